@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import simhash
+from lodestone.llm import langid, quality, simhash, toxicity
 from lodestone.llm.common import table
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_dedup(spark, sf_dir):
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op7_quality, op10_simhash_dedup)}
 ORACLE: dict[str, str] = {}
