@@ -166,7 +166,7 @@ class Model:
         return float(self.value[max(0, np.searchsorted(self.at, vote, side="right") - 1)]), self.ids[d].tolist()
 
 
-def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, k: int = 25) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, k: int = 25) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row."""
     examples = written(labelled(docs, labels, "toxic", max_rows), "examples")
     vocab = vocabulary(examples)
@@ -177,8 +177,10 @@ def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, k: int = 2
     ex = term_counts(examples, vocab).join(F.broadcast(examples.select("doc_id", "y")), "doc_id").distinct()
     rows = [(r.doc_id, r.y, r.ids, r.tf) for r in ex.select("doc_id", "y", "ids", "tf").collect()]  # bounded by max_rows
 
+    model = Model(idf, rows, k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(idf, rows, k), {}
+        known: dict = {}
         for b in batches:
             out = []
             for ids, tf in zip(b.column("ids").to_pylist(), b.column("tf").to_pylist(), strict=True):
