@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, quality, simhash, toxicity
+from lodestone.llm import langid, lmscore, packing, quality, simhash, toxicity
 from lodestone.llm.common import table
 
 
@@ -16,14 +17,22 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark, sf_dir):
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op7_quality, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_packing, op7_quality, op9_lm_scoring, op10_simhash_dedup)}
 ORACLE: dict[str, str] = {}
