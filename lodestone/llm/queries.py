@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, lmscore, packing, quality, simhash, toxicity
+from lodestone.llm import decontaminate, langid, lmscore, packing, quality, simhash, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -21,10 +21,19 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_exact_topk(spark, sf_dir):
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("id % 20 = 0"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
 
@@ -34,5 +43,16 @@ def op10_simhash_dedup(spark, sf_dir):
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_packing, op7_quality, op9_lm_scoring, op10_simhash_dedup)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_packing, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup)}
+ORACLE: dict[str, str] = {
+    "op6_exact_topk": """
+        WITH ok AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
+          FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
