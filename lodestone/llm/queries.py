@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, langid, lmscore, packing, quality, simhash, topk, toxicity
+from lodestone.llm import decontaminate, htmltext, langid, lmscore, packing, quality, simhash, topk, toxicity, warc
 from lodestone.llm.common import table
 
 
+def op1_warc_index(spark, sf_dir):
+    return warc.capture_history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_topk(spark, sf_dir):
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter("id % 20 = 0"))
@@ -43,8 +51,18 @@ def op10_simhash_dedup(spark, sf_dir):
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_packing, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_language_id, op3_toxicity, op4_packing, op5_html_extraction, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup)}
 ORACLE: dict[str, str] = {
+    "op1_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+        d AS (
+          SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_aggregate(list_transform(range(5), lambda b:
+              ((((position(substr(h, CAST((5 * i + b) // 4 + 1 AS INTEGER), 1) IN '0123456789ABCDEF') - 1) >> CAST(3 - (5 * i + b) % 4 AS INTEGER)) & 1) << CAST(4 - b AS INTEGER))), 'sum')::INTEGER, 1)), 'string_agg', '') AS payload_digest
+          FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM w""",
     "op6_exact_topk": """
         WITH ok AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
