@@ -125,27 +125,44 @@ def _ngrams_of(w: list[str], sizes: set[int]) -> set[tuple[str, ...]]:
     return set().union(*(_ngrams(w, n) for n in sizes))
 
 
+def _indexes(benchmark: DataFrame, max_items: int) -> Iterator[list[tuple]]:
+    """The items in parts of about max_items, sorted."""
+    cuts = max(1, -(-benchmark.count() // max_items))
+    for c in range(cuts):
+        some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == c).select("item_id", "text")
+        yield sorted([(r.item_id, r.text) for r in some.collect()], key=lambda x: (x[0] is None, x[0], x[1] or ""))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, start_word, question_overlap, answer_overlap) for each leaked item of each document."""
     if step > window:
         raise ValueError("passages must not leave gaps")
-    cuts = max(1, -(-benchmark.count() // max_items))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, question_overlap double, answer_overlap double"
+    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     out = None
-    for c in range(cuts):
-        some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == c).select("item_id", "text")
-        items = [(r.item_id, r.text) for r in some.collect()]  # about max_items rows
+    for items in _indexes(benchmark, max_items):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")), share, ngram, least)
+            index = ItemIndex(items, share, ngram, least)
             for b in slices(batches):
                 rows = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in index.leaks(t, window, step, ngram, overlap)]
-                at = pa.array([r[0] for r in rows], pa.int32())
-                cols = [pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))]
-                yield pa.record_batch([b.column("doc_id").take(at), pa.array([r[1] for r in rows], b_item), *cols], names=["doc_id", "item_id", "score", "start_word", "question_overlap", "answer_overlap"])
+                cols = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, item_type), (2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))]
+                yield pa.record_batch([b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int32())), *cols], names=["doc_id", "item_id", "score", "start_word", "question_overlap", "answer_overlap"])
 
-        b_item = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for items in _indexes(benchmark, max_items):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items, share, ngram, least)
+            for b in slices(batches):
+                yield b.filter(pa.array([not index.leaks(t, window, step, ngram, overlap) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, kinds)
+    return docs

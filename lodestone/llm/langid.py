@@ -126,18 +126,19 @@ class Profiles:
         return self.names[best], float(np.clip(like[best] / total, 0, 1)) if total > 0 else 1 / len(self.names)
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (default doc_id) with lang_pred and score, for every row and its whole text."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of `keep` (default doc_id) with lang_pred and score (named as `out` says), for every row and its whole text."""
     keep = keep or ["doc_id"]
+    text, said_cols = ("text", []) if "text" in keep else ("__text", [F.col("text").alias("__text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, length)
         for b in slices(batches):
-            said = [model.predict(t) for t in b.column("__text").to_pylist()]
-            yield pa.record_batch([*[b.column(c) for c in keep], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
+            said = [model.predict(t) for t in b.column(text).to_pylist()]
+            yield pa.record_batch([*[b.column(c) for c in keep], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, *out])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*keep, *said_cols).mapInArrow(run, f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
 def identify(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -148,16 +148,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> dict:
     return fit(got[FEATURES].to_numpy(float), got["y"].to_numpy(float))
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (default doc_id) with the score of every row's whole text."""
+def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns of `keep` (default doc_id) with the score (named as `out` says) of every row's whole text."""
     keep = keep or ["doc_id"]
+    text, more = ("text", []) if "text" in keep else ("__text", [F.col("text").alias("__text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(score(model, features(utf8(b, "__text"))))], names=[*keep, "score"])
+            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(score(model, features(utf8(b, text))))], names=[*keep, out])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, *more).mapInArrow(run, f"{kinds}, `{out}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:

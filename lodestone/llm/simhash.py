@@ -200,3 +200,132 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, cap: int
     best = root.groupBy("root").agg(F.min("lo").alias("component_id"))
     mapped = root.select("fp", "root").join(best, "root").select("fp", "component_id")
     return fps.join(mapped, "fp").select(id_col, "fp", "component_id")
+
+
+# Similar documents: five-word shingles and a Jaccard similarity of about 0.8 need more room than 64 bits. Documents of
+# Jaccard similarity s have shingle sets of cosine 2s/(1+s), so each bit of a SimHash differs with probability
+# arccos(2s/(1+s))/pi: 0.15 at 0.8. Of 512 bits about 78 differ, and about 17 of the 64 positional bytes stay equal, against
+# a quarter of a byte for unrelated texts. The same index then works with a count filter that holds all but surely.
+WIDE_BITS, WIDE_BYTES = 512, 64
+WIDE_KEYS = [(i, (i + s) % 64, (i + 3 * s + 5) % 64) for s in (11, 23) for i in range(64)]
+
+
+def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
+    """512-bit SimHash over distinct word shingles; zero if there is no word."""
+    words = text.lower().split()
+    if not words:
+        return bytes(WIDE_BYTES)
+    grams = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams))
+    total = np.zeros(WIDE_BITS, np.int64)
+    step = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(h), 255 * 16):
+        x = h[i : i + 255 * 16, None] + step  # eight words of mixed bits from each hash
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            total += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
+def _wide_linked(a: np.ndarray, x: np.ndarray, max_bits: int, shared: int) -> np.ndarray:
+    y = a ^ x
+    near = np.flatnonzero((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared)
+    return near[np.bitwise_count(y[near]).sum(axis=1) <= max_bits]
+
+
+def _wide_edges(postings: DataFrame, max_bits: int, shared: int, cap: int) -> DataFrame:
+    """Spanning forests of the links inside postings (t, k, fid, fp), met in order; one longer than cap is met in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fid, fp = np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty((0, 8), np.uint64)
+
+        def flush(fid: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+            out, rest = [], np.arange(len(fid))
+            while len(rest) > 1:
+                root, todo, rest = rest[0], [rest[0]], rest[1:]
+                while todo and len(rest):
+                    hit = _wide_linked(fp[rest], fp[todo.pop()], max_bits, shared)
+                    found, rest = rest[hit], np.delete(rest, hit)
+                    out += [(int(fid[root]), int(fid[v])) for v in found]
+                    todo += list(found)
+            return out
+
+        def send(key: np.ndarray, fid: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(fid)]
+            two = starts[ends - starts == 2]
+            y = fp[two] ^ fp[two + 1]
+            ok = two[((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1) <= max_bits)]
+            edges = list(zip(fid[ok].tolist(), fid[ok + 1].tolist(), strict=True))
+            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                for i in range(s, e, cap - 1):  # pieces share a fingerprint
+                    edges += flush(fid[i : min(i + cap, e)], fp[i : min(i + cap, e)])
+            e = np.array(sorted(set(edges)), np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+
+        for b in batches:
+            key = np.concatenate([key, np.column_stack([b.column("t").to_numpy().astype(np.int64), b.column("k").to_numpy()])])
+            fid = np.concatenate([fid, b.column("fid").to_numpy()])
+            fp = np.concatenate([fp, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 8)])
+            last = int(np.flatnonzero((key == key[-1]).all(axis=1))[0]) if len(fid) else 0
+            if len(fid) - last > 4 * cap:  # a long posting: its first pieces can go
+                last = len(fid) - 1
+            if last:
+                yield send(key[:last], fid[:last], fp[:last])
+                key, fid, fp = key[last:], fid[last:], fp[last:]
+        if len(fid):
+            yield send(key, fid, fp)
+
+    return postings.select("t", "k", "fid", "fp").mapInArrow(run, "u long, v long")
+
+
+def similar_classes(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int = 512) -> DataFrame:
+    """(fid, root): class of each distinct wide fingerprint (columns fid, fp); classes of one are left out."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.array(WIDE_KEYS)
+        for b in slices(batches, 2000):
+            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int32)
+            k = x[:, place[:, 0]] << 16 | x[:, place[:, 1]] << 8 | x[:, place[:, 2]]
+            t = np.broadcast_to(np.arange(len(place), dtype=np.int32), k.shape)
+            yield pa.record_batch([pa.array(np.repeat(b.column("fid").to_numpy(), len(place))), pa.array(t.ravel()), pa.array(k.ravel().astype(np.int64))], names=["fid", "t", "k"])
+
+    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
+            t, k = b.column("t").to_numpy(), b.column("k").to_numpy()
+            for c in range(4):
+                own = k << 16 | x[:, 7 + 13 * c] << 8 | x[:, 3 + 17 * c]
+                yield pa.record_batch([b.column("fid"), pa.array((t * 4 + c + 1000).astype(np.int32)), pa.array(own)], names=["fid", "t", "k"])
+
+    keys = written(fps.select("fid", "fp").mapInArrow(keyed, "fid long, t int, k long"), "wide_keys")
+    post = written(_counted(keys), "wide_post")
+    # a long posting is cut by two more bytes, at four places each, so that no key gathers a large class
+    more = written(post.filter(F.col("n") > cap).join(fps, "fid").select("fid", "t", "k", "fp").mapInArrow(recut, "fid long, t int, k long"), "wide_recut")
+    cut = post.filter(F.col("n") <= cap).select("t", "k", "fid").union(_counted(more).select("t", "k", "fid"))
+    spread = cut.join(fps, "fid").repartition("t", "k").sortWithinPartitions("t", "k", "fid")
+    edges = written(_wide_edges(spread, max_bits, shared, cap).distinct(), "wide_links")
+    return components(edges, "wide_cc").select(F.col("node").alias("fid"), "root")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, max_bits: int = 90) -> DataFrame:
+    """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fp = [wide_fingerprint(t, width) for t in utf8(b, "text")]
+            yield pa.record_batch([*b.columns, pa.array(fp, pa.binary())], names=[*b.schema.names, "__fp"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(run, f"{kinds}, __fp binary").withColumn("__fid", F.xxhash64("__fp")).withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows, "wide_rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    one = rows.groupBy("__fid").agg(F.min(order).alias("o"), F.first("__fp").alias("fp"))
+    one = written(one.select(F.col("__fid").alias("fid"), "fp", "o"), "wide_fps")
+    classes = similar_classes(one.select("fid", "fp"), max_bits)
+    best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
+    return rows.join(best, "__row", "left_semi").select(*names)
