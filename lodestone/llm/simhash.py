@@ -282,7 +282,7 @@ def _wide_edges(postings: DataFrame, max_bits: int, shared: int, cap: int) -> Da
     return postings.select("t", "k", "fid", "fp").mapInArrow(run, "u long, v long")
 
 
-def similar_classes(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int = 512) -> DataFrame:
+def similar_classes(fps: DataFrame, max_bits: int = 84, shared: int = 8, cap: int = 512) -> DataFrame:
     """(fid, root): class of each distinct wide fingerprint (columns fid, fp); classes of one are left out."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def similar_classes(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: in
     return components(edges, "wide_cc").select(F.col("node").alias("fid"), "root")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, max_bits: int = 90) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, max_bits: int = 84) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last."""
     names = docs.columns
 
