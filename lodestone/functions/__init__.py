@@ -1 +1,101 @@
-"""functions of the lodestone engine."""
+"""Scalar functions as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+FIO_KEYS = ["rw", "bs", "iodepth", "numjobs", "rwmixread", "random_distribution", "bssplit"]  # fixed values: the known job keys
+
+
+def first_alias(df_columns: list[str], names: list[str]) -> Column:
+    """First non-blank of the alias columns that exist."""
+    have = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in df_columns]
+    return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+
+def parse_series(text: Column) -> Column:
+    """A JSON list, a ; or , list, or a scalar as array of doubles; what is no number goes."""
+    t = F.trim(text)
+    json = F.from_json(t, "array<double>")
+    parts = F.split(F.regexp_replace(t, r"[\[\]\s]", ""), "[;,]")
+    return F.coalesce(F.when(t.startswith("["), json), F.filter(F.transform(parts, lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
+def norm_date(text: Column) -> Column:
+    """Mixed date texts as a date."""
+    t = F.trim(text)
+    return F.coalesce(F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd")), F.when(t.rlike(r"^\d{4}/\d{2}/\d{2}"), F.try_to_date(F.substring(t, 1, 10), "yyyy/MM/dd")))
+
+
+def file_date(path: Column) -> Column:
+    """Date of eight digits, or of three dashed parts, in a file name."""
+    d = F.regexp_extract(path, r"(\d{4})-?(\d{2})-?(\d{2})[^/]*$", 0)
+    return F.try_to_date(F.substring(F.regexp_replace(d, r"\D", ""), 1, 8), "yyyyMMdd")
+
+
+def safe_id(text: Column) -> Column:
+    return F.substring(F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "_"), 1, 72)
+
+
+def slug(text: Column) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 128)
+
+
+def fio_value(job: Column, key: str) -> Column:
+    """Value of a key of a job text."""
+    return F.nullif(F.trim(F.regexp_extract(job, rf"(?m)^\s*{key}\s*=\s*([^\n\r]+)", 1)), F.lit(""))
+
+
+def policies(text: Column) -> Column:
+    """k=v;k=v as a map."""
+    return F.str_to_map(text, F.lit(";"), F.lit("="))
+
+
+def extract_json(text: Column) -> Column:
+    """The outermost {...} of a text."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def fix_verb(verb: Column, evidence: Column) -> Column:
+    """Flips improves and degrades where the evidence speaks of the contrary."""
+    e = F.lower(evidence)
+    worse, better = e.rlike(r"degrad|increase[sd]? latency|worse"), e.rlike(r"improv|reduc|better")
+    return F.when((verb == "improves") & worse & ~better, "degrades").when((verb == "degrades") & better & ~worse, "improves").otherwise(verb)
+
+
+def observations(c: dict[str, Column]) -> Column:
+    """Names of the threshold rules that hold, of columns hit, pressure, inline, iter, churn_slope, tail_slope."""
+    rules = [("low_hit", c["hit"] < 0.85), ("cache_pressure", c["pressure"] > 0.5), ("low_inline", c["inline"] < 0.4), ("iterators", c["iter"] > 0), ("churn_up", c["churn_slope"] > 0), ("tail_up", c["tail_slope"] > 0)]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
+
+
+def query_terms(c: dict[str, Column], terms: dict[str, list[str]]) -> Column:
+    """Search terms of the signals that are present."""
+    return F.flatten(F.array(*[F.when(c[k].isNotNull(), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in terms.items()]))
+
+
+def value_distribution(text: Column) -> Column:
+    """A histogram given as a JSON object, as a map."""
+    return F.from_json(text, "map<string,double>")
+
+
+def policy_string(gc: Column, wl: Column) -> Column:
+    return F.concat_ws(";", F.concat(F.lit("gc="), gc), F.concat(F.lit("wl="), wl))
+
+
+def xor_bytes(a: Column, b: Column) -> Column:
+    """XOR of two binary values byte by byte; the longer one's tail stays."""
+    x, y = F.hex(a), F.hex(b)
+    n, m = F.length(x), F.length(y)
+    pad = lambda s, k: F.rpad(s, k, "0")
+    size = F.greatest(n, m)
+    digit = lambda s, i: F.conv(F.substring(s, i, 1), 16, 10).cast("int")
+    one = lambda i: F.substring(F.lit("0123456789ABCDEF"), digit(pad(x, size), i).bitwiseXOR(digit(pad(y, size), i)) + 1, 1)
+    return F.when(size == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), one), "")))
+
+
+def chunks(text: Column, size: int = 2000) -> Column:
+    """Pieces of a text of fixed length."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))

@@ -1 +1,180 @@
-"""sources of the lodestone engine."""
+"""Readers: request traces, row files, simulator XML, logs, drive logs, job files, papers, triples. All read by Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone import functions as fn
+
+TRACE_COLUMNS = ["ts", "key", "key_size", "value_size", "client_id", "op", "ttl"]
+KVPACK_DEFAULTS = {"source": "kvpack", "kv_ftl": "KVPack"}  # fixed values
+SIM_PATHS = {"requests": "Request_Count", "iops": "IOPS", "bandwidth": "Bandwidth", "response_time": "Device_Response_Time"}  # fixed values: tags of a flow
+
+
+def trace_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Headless request trace; rows that are short or hold no numbers go, but count for max_rows.
+
+    max_rows needs line order: lines are numbered by place in the file, and only that case pays for it.
+    """
+    raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    if max_rows is not None:
+        raw = raw.orderBy("line_no").limit(max_rows)
+    p = F.split("value", ",")
+    num = lambda i, t: F.try_element_at(p, F.lit(i)).try_cast(t)
+    text = lambda i: F.try_element_at(p, F.lit(i))
+    out = raw.filter(F.size(p) >= 7).select("line_no", num(1, "long").alias("ts"), text(2).alias("key"), num(3, "int").alias("key_size"), num(4, "int").alias("value_size"), text(5).alias("client_id"), text(6).alias("op"), num(7, "long").alias("ttl"))
+    return out.filter("ts is not null and key_size is not null and value_size is not null and ttl is not null")
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with header, JSON (object or list) or JSON lines, by suffix."""
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).csv(path)
+    return spark.read.option("multiLine", path.endswith(".json")).json(path)
+
+
+def kvpack(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
+    """JSON lines cut to the allowed columns; broken lines go; defaults for source and kv_ftl."""
+    df = spark.read.option("mode", "DROPMALFORMED").json(path)
+    df = df.select(*[c for c in allowed if c in df.columns])
+    for k, v in KVPACK_DEFAULTS.items():
+        df = df.withColumn(k, F.coalesce(F.col(k).cast("string"), F.lit(v)) if k in df.columns else F.lit(v))
+    return df
+
+
+def sim_xml(spark: SparkSession, path: str, paths: dict[str, str] | None = None) -> DataFrame:
+    """First value by tag of each simulator result file; numbers where they are."""
+    w = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("xml"), F.col("_metadata.file_name").alias("file"))
+    for name, tag in (paths or SIM_PATHS).items():
+        w = w.withColumn(name, F.nullif(F.trim(F.regexp_extract("xml", rf"<{tag}>\s*([^<]*)</{tag}>", 1)), F.lit("")))
+        w = w.withColumn(f"{name}_number", F.col(name).try_cast("double"))
+    return w.drop("xml")
+
+
+def kv_log(spark: SparkSession, path: str) -> DataFrame:
+    """Throughput, latencies and amplification of store logs."""
+    w = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    num = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
+    gb, user = num(r"(?i)written[^\d\n]*([\d.]+) GB"), num(r"(?i)user[^\d\n]*([\d.]+) GB")
+    return w.select("file", num(r"([\d.]+) ops/sec").alias("ops"), (num(r"([\d.]+) ops/sec") / 1000).alias("kops"), num(r"P50:\s*([\d.]+)").alias("p50"), num(r"P99:\s*([\d.]+)").alias("p99"), num(r"P99\.9:\s*([\d.]+)").alias("p999"), F.coalesce(num(r"(?i)write amp\w*[:=]\s*([\d.]+)"), F.try_divide(gb, user)).alias("write_amp"))
+
+
+def log_stats(lines: DataFrame) -> DataFrame:
+    """`name P50 : x P95 : y P99 : z COUNT : n SUM : s` lines (ts, line) as long rows (ts, stat, v)."""
+    name = F.regexp_extract("line", r"([A-Za-z][\w.]*)\s+P50", 1)
+    pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(r"(P\d+|COUNT|SUM)\s*:\s*[\d.]+"), F.lit(1)).alias("k"), F.regexp_extract_all("line", F.lit(r"(?:P\d+|COUNT|SUM)\s*:\s*([\d.]+)"), F.lit(1)).alias("v"))
+    out = lines.filter(name != "").select("ts", name.alias("name"), F.explode(pairs).alias("p"))
+    return out.select("ts", F.concat_ws(".", "name", F.lower(F.col("p.k"))).alias("stat"), F.col("p.v").try_cast("double").alias("v"))
+
+
+def daily_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Many daily CSV files; the day comes from the file name."""
+    df = spark.read.option("header", True).csv(path)
+    return df.withColumn("ds", fn.file_date(F.input_file_name()))
+
+
+def parquet_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Column-pruned scan; ds falls back to log_date; missing columns are null."""
+    df = spark.read.parquet(path)
+    if "ds" not in df.columns and "log_date" in df.columns:
+        df = df.withColumnRenamed("log_date", "ds")
+    return ensure_columns(df, columns)
+
+
+def ensure_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds missing columns as null and orders all."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns])
+
+
+def error_log(spark: SparkSession, path: str, counters: list[str]) -> DataFrame:
+    """Drive error log: missing counters are 0, microseconds become days."""
+    df = spark.read.option("header", True).csv(path)
+    num = [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in counters]
+    return df.select("drive_id", F.timestamp_micros(F.col("timestamp_usec").cast("long")).cast("date").alias("day"), *num)
+
+
+def fio_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Job files as rows: name, text and the known keys; the global section is left out."""
+    w = spark.read.option("wholetext", True).text(path)
+    part = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\[[^\]\n]+\][^\[]*)"), F.lit(1)))
+    j = w.select(part.alias("job_text")).withColumn("job_name", F.regexp_extract("job_text", r"^\[([^\]]+)\]", 1)).filter("job_name <> 'global'")
+    return j.select("job_name", "job_text", *[fn.fio_value(F.col("job_text"), k).alias(k) for k in fn.FIO_KEYS])
+
+
+def fio_grid(spark: SparkSession, rws: list[str], sizes: list[str], depths: list[int]) -> DataFrame:
+    """All combinations of short parameter lists."""
+    one = lambda v, n: spark.createDataFrame([(x,) for x in v], [n])
+    return one(rws, "rw").crossJoin(one(sizes, "bs")).crossJoin(one(depths, "iodepth"))
+
+
+def papers(spark: SparkSession, path: str, size: int = 2000) -> DataFrame:
+    """Texts in chunks of a fixed length: (file, chunk, text)."""
+    w = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return w.select("file", F.posexplode(fn.chunks(F.col("value"), size)).alias("chunk", "text"))
+
+
+def turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of Turtle files of the plain kind: one subject a block, predicates by `;`, objects by `,`."""
+    w = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"(?m)^\s*(@prefix|@base|#)[^\n]*$", "").alias("v"))
+    lit = r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\]|\\.)*\"(?:@[\w-]+|\^\^[\w:<>/#.\-]+)?|<[^>]*>|[^\s;,.\"]+(?:\.[^\s;,.\"]+)*|[;,.]"
+    tok = w.select(F.monotonically_increasing_id().alias("f"), F.regexp_extract_all("v", F.lit(f"({lit})"), F.lit(1)).alias("t"))
+    start = F.struct(F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast("array<struct<s:string,p:string,o:string>>").alias("out"))
+
+    def step(a, x):
+        put = lambda s, p, out: F.struct(s.alias("s"), p.alias("p"), out.alias("out"))
+        none = F.lit("")
+        return (
+            F.when(x == ".", put(none, none, a["out"])).when(x == ";", put(a["s"], none, a["out"])).when(x == ",", a)
+            .when(a["s"] == "", put(x, none, a["out"])).when(a["p"] == "", put(a["s"], x, a["out"]))
+            .otherwise(put(a["s"], a["p"], F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["p"].alias("p"), x.alias("o"))))))
+        )
+
+    out = tok.select(F.inline(F.aggregate("t", start, step)["out"]))
+    return out.select("s", F.when(F.col("p") == "a", "rdf:type").otherwise(F.col("p")).alias("p"), F.regexp_replace("o", r'^"+|"+(@[\w-]+|\^\^.*)?$', "").alias("o"), F.col("o").startswith('"').alias("o_is_literal")).distinct()
+
+
+def block_io(spark: SparkSession, path: str) -> DataFrame:
+    """Block IO trace `time device address size type` up to the first malformed line of each file."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.split(F.trim("value"), r"\s+").alias("p"))
+    n = lambda i: F.try_element_at("p", F.lit(i)).try_cast("long")
+    r = raw.select("file", "line_no", n(1).alias("time"), n(2).alias("device"), n(3).alias("address"), n(4).alias("size"), n(5).alias("type"))
+    bad = F.col("time").isNull() | F.col("device").isNull() | F.col("address").isNull() | F.col("size").isNull() | F.col("type").isNull()
+    stop = r.filter(bad).groupBy("file").agg(F.min("line_no").alias("stop"))
+    return r.join(stop, "file", "left").filter("stop is null or line_no < stop").drop("stop", "file")
+
+
+def trace_text(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Query, block-cache and IO traces in their text form, by schema."""
+    return spark.read.schema(columns).csv(path, mode="DROPMALFORMED")
+
+
+def synthetic(spark: SparkSession, n: int, addresses: int, mode: str = "hotcold", hot: float = 0.2, hot_share: float = 0.8, reads: float = 0.5, seed: int = 1) -> DataFrame:
+    """Synthetic requests: streaming, uniform or hot and cold addresses."""
+    u, v = F.rand(seed), F.rand(seed + 1)
+    pick = {"streaming": F.col("id") % addresses, "uniform": F.floor(u * addresses), "hotcold": F.when(v < hot_share, F.floor(u * addresses * hot)).otherwise(F.floor(addresses * hot + u * addresses * (1 - hot)))}[mode]
+    return spark.range(n).select(F.col("id").alias("time"), pick.cast("long").alias("address"), (F.rand(seed + 2) < reads).cast("int").alias("type"))
+
+
+def benchmark_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark report; rows whose ops_sec is no number go."""
+    df = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return df.withColumn("ops_sec", F.col("ops_sec").try_cast("double")).filter("ops_sec is not null")
+
+
+def unpivot(df: DataFrame, ids: list[str], name: str, value: str) -> DataFrame:
+    """Pivoted statistics as long rows."""
+    return df.unpivot(ids, [c for c in df.columns if c not in ids], name, value)
+
+
+def options_ini(spark: SparkSession, path: str) -> DataFrame:
+    """Option files as (section, name, value)."""
+    w = spark.read.option("wholetext", True).text(path)
+    s = w.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\[[^\]\n]+\][^\[]*)"), F.lit(1))).alias("x"))
+    s = s.select(F.regexp_extract("x", r"^\[([^\]]+)\]", 1).alias("section"), F.explode(F.regexp_extract_all("x", F.lit(r"(?m)^\s*([\w.]+\s*=\s*[^\n\r]*)"), F.lit(1))).alias("kv"))
+    return s.select("section", F.trim(F.split_part("kv", F.lit("="), F.lit(1))).alias("name"), F.trim(F.regexp_extract("kv", r"=(.*)$", 1)).alias("value"))
+
+
+def ordered(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Adds the place of each row within its key."""
+    return df.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
