@@ -63,9 +63,9 @@ def _(t):
     return kv.merge_operands(_log(t), SEQ)
 
 
-@query("kv_get", f"WITH {RES} SELECT * FROM rs WHERE cf = 'O' AND key = 1007")
+@query("kv_get", f"WITH {RES} SELECT * FROM rs WHERE cf = 'O' AND key = 2")
 def _(t):
-    return kv.resolve(_log(t).filter("cf = 'O' and key = 1007"), SEQ)
+    return kv.resolve(_log(t).filter("cf = 'O' and key = 2"), SEQ)
 
 
 @query("kv_multiget", f"WITH {RES} SELECT * FROM rs WHERE key % 100 = 7")

@@ -45,7 +45,7 @@ def kvpack(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
 
 def sim_xml(spark: SparkSession, path: str, paths: dict[str, str] | None = None) -> DataFrame:
     """First value by tag of each simulator result file; numbers where they are."""
-    w = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("xml"), F.col("_metadata.file_name").alias("file"))
+    w = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), F.col("_metadata.file_name").alias("file"))
     for name, tag in (paths or SIM_PATHS).items():
         w = w.withColumn(name, F.nullif(F.trim(F.regexp_extract("xml", rf"<{tag}>\s*([^<]*)</{tag}>", 1)), F.lit("")))
         w = w.withColumn(f"{name}_number", F.col(name).try_cast("double"))
@@ -54,7 +54,7 @@ def sim_xml(spark: SparkSession, path: str, paths: dict[str, str] | None = None)
 
 def kv_log(spark: SparkSession, path: str) -> DataFrame:
     """Throughput, latencies and amplification of store logs."""
-    w = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    w = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     num = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
     gb, user = num(r"(?i)written[^\d\n]*([\d.]+) GB"), num(r"(?i)user[^\d\n]*([\d.]+) GB")
     return w.select("file", num(r"([\d.]+) ops/sec").alias("ops"), (num(r"([\d.]+) ops/sec") / 1000).alias("kops"), num(r"P50:\s*([\d.]+)").alias("p50"), num(r"P99:\s*([\d.]+)").alias("p99"), num(r"P99\.9:\s*([\d.]+)").alias("p999"), F.coalesce(num(r"(?i)write amp\w*[:=]\s*([\d.]+)"), F.try_divide(gb, user)).alias("write_amp"))
@@ -96,7 +96,7 @@ def error_log(spark: SparkSession, path: str, counters: list[str]) -> DataFrame:
 
 def fio_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Job files as rows: name, text and the known keys; the global section is left out."""
-    w = spark.read.option("wholetext", True).text(path)
+    w = spark.read.text(path, wholetext=True)
     part = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\[[^\]\n]+\][^\[]*)"), F.lit(1)))
     j = w.select(part.alias("job_text")).withColumn("job_name", F.regexp_extract("job_text", r"^\[([^\]]+)\]", 1)).filter("job_name <> 'global'")
     return j.select("job_name", "job_text", *[fn.fio_value(F.col("job_text"), k).alias(k) for k in fn.FIO_KEYS])
@@ -110,13 +110,13 @@ def fio_grid(spark: SparkSession, rws: list[str], sizes: list[str], depths: list
 
 def papers(spark: SparkSession, path: str, size: int = 2000) -> DataFrame:
     """Texts in chunks of a fixed length: (file, chunk, text)."""
-    w = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    w = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return w.select("file", F.posexplode(fn.chunks(F.col("value"), size)).alias("chunk", "text"))
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
     """Triples of Turtle files of the plain kind: one subject a block, predicates by `;`, objects by `,`."""
-    w = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"(?m)^\s*(@prefix|@base|#)[^\n]*$", "").alias("v"))
+    w = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)^\s*(@prefix|@base|#)[^\n]*$", "").alias("v"))
     lit = r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\]|\\.)*\"(?:@[\w-]+|\^\^[\w:<>/#.\-]+)?|<[^>]*>|[^\s;,.\"]+(?:\.[^\s;,.\"]+)*|[;,.]"
     tok = w.select(F.monotonically_increasing_id().alias("f"), F.regexp_extract_all("v", F.lit(f"({lit})"), F.lit(1)).alias("t"))
     start = F.struct(F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast("array<struct<s:string,p:string,o:string>>").alias("out"))
@@ -169,7 +169,7 @@ def unpivot(df: DataFrame, ids: list[str], name: str, value: str) -> DataFrame:
 
 def options_ini(spark: SparkSession, path: str) -> DataFrame:
     """Option files as (section, name, value)."""
-    w = spark.read.option("wholetext", True).text(path)
+    w = spark.read.text(path, wholetext=True)
     s = w.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\[[^\]\n]+\][^\[]*)"), F.lit(1))).alias("x"))
     s = s.select(F.regexp_extract("x", r"^\[([^\]]+)\]", 1).alias("section"), F.explode(F.regexp_extract_all("x", F.lit(r"(?m)^\s*([\w.]+\s*=\s*[^\n\r]*)"), F.lit(1))).alias("kv"))
     return s.select("section", F.trim(F.split_part("kv", F.lit("="), F.lit(1))).alias("name"), F.trim(F.regexp_extract("kv", r"=(.*)$", 1)).alias("value"))
