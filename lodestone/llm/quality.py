@@ -69,10 +69,14 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, smooth: float = 5.0) -> np.n
 
 
 def _tree2(g: np.ndarray, h: np.ndarray, smooth: float = 5.0) -> np.ndarray:
-    """Values of a tree over a grid: one cut along the rows, then one along the columns on either side."""
-    rows_g, rows_h = g.sum(axis=1), h.sum(axis=1)
-    gl, hl = rows_g.cumsum()[:-1], rows_h.cumsum()[:-1]
-    cut = int((gl**2 / (hl + smooth) + (rows_g.sum() - gl) ** 2 / (rows_h.sum() - hl + smooth)).argmax()) + 1
+    """Values of a tree over a grid: one cut along the rows, then one along the columns on either side, the best such cuts."""
+
+    def gain(a: np.ndarray, b: np.ndarray) -> float:
+        gl, hl = a.cumsum(), b.cumsum()
+        return float((gl**2 / (hl + smooth) + (gl[-1] - gl) ** 2 / (hl[-1] - hl + smooth)).max())
+
+    up_g, up_h, all_g, all_h = g.cumsum(axis=0), h.cumsum(axis=0), g.sum(axis=0), h.sum(axis=0)
+    cut = max(range(1, len(g)), key=lambda c: gain(up_g[c - 1], up_h[c - 1]) + gain(all_g - up_g[c - 1], all_h - up_h[c - 1])) if len(g) > 1 else 1
     out = np.empty_like(g)
     for part in (slice(0, cut), slice(cut, None)):
         out[part] = _tree(g[part].sum(axis=0), h[part].sum(axis=0), 1, smooth)
@@ -102,7 +106,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse: int = 8, rounds: i
                 step = rate * _tree(np.bincount(at[f], g, len(tables[f])), np.bincount(at[f], h, len(tables[f])), 2)
                 tables[f] += step
                 z += step[at[f]]
-    thin = [np.unique(e[:: max(1, -(-len(e) // (coarse - 1)))]) for e in edges]
+    thin = [np.unique(np.quantile(c, np.linspace(0, 1, coarse + 1)[1:-1])) for c in x.T]
     cell = [np.searchsorted(e, c, side="left") for e, c in zip(thin, x.T, strict=True)]
     g, h = grad()
     gains = []

@@ -150,11 +150,25 @@ class Model:
         self.y = np.array([e[1] for e in examples], float)
         vectors = [weights(e[2], e[3], idf) if e[2] else (np.empty(0, np.int64), np.empty(0)) for e in examples]
         self.index = BlockMaxIndex(vectors, len(idf))
-        own = [self.vote(*v, skip=d)[0] for d, v in enumerate(vectors)]
+        self.near: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        own = [self._left_out(d, *v) for d, v in enumerate(vectors)]
+        self.near = {}
         none = np.array([v is None for v in own], bool)
         self.rest = float((self.y[none].sum() + 0.5 * UNKNOWN) / (none.sum() + 0.5)) if len(own) else UNKNOWN
         self.at, self.value = isotonic(np.array([v for v in own if v is not None]), self.y[~none]) if (~none).any() else (np.zeros(1), np.array([self.rest]))
 
+    def _left_out(self, d: int, i: np.ndarray, q: np.ndarray) -> float | None:
+        """Vote on example d by the others: the k + 1 nearest without itself, found once for equal examples."""
+        if not len(i):
+            return None
+        key = i.tobytes() + q.tobytes()
+        if key not in self.near:
+            self.near[key] = self.index.search(i, q, self.k + 1)
+        near, cos = self.near[key]
+        keep = near != d
+        near, cos = near[keep][: self.k], cos[keep][: self.k]
+        return round(float((cos * self.y[near]).sum() / cos.sum()), 6) if len(near) else None
+
     def vote(self, i: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray]:
         d, cos = self.index.search(i, q, self.k, skip)
         return (round(float((cos * self.y[d]).sum() / cos.sum()), 6), d) if len(d) else (None, d)
