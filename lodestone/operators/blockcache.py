@@ -155,7 +155,7 @@ def reuse_distance(acc: DataFrame, shards: int = 64) -> DataFrame:
 
 def policy(name: str):
     """A cache of `capacity` bytes as a function (blocks, sizes, next times, capacity) -> hits."""
-    return {"lru": _lru, "fifo": _fifo, "mru": _mru, "lfu": _lfu, "gdsize": _gdsize, "opt": _opt, "arc": _arc, "ghost": _ghost}[name]
+    return {"lru": _lru, "fifo": _fifo, "mru": _mru, "lfu": _lfu, "gdsize": _gdsize, "opt": _opt, "arc": _arc, "ghost": _ghost, "hyperbolic": _hyperbolic, "costclass": _costclass, "ts": _thompson, "linucb": _linucb, "hybrid": _hybrid, "priority": _priority}[name]
 
 
 def _simple(blocks, sizes, capacity, pick, touch=True) -> int:
@@ -304,6 +304,108 @@ def _arc(blocks, sizes, nxt, capacity) -> int:
     return hits
 
 
+def _sampled(blocks, sizes, capacity, worth, sample: int = 16) -> int:
+    """Evicts the least worthy of a seeded sample; worth(block, size, hits, age, class hits) is taken at eviction."""
+    rng = np.random.default_rng(1)
+    cache: dict[int, list] = {}
+    names: list[int] = []
+    by_size: dict[int, int] = {}
+    used = hits = 0
+    for i, (b, s) in enumerate(zip(blocks, sizes, strict=True)):
+        k = int(s).bit_length()
+        if b in cache:
+            hits += 1
+            cache[b][1] += 1
+            by_size[k] = by_size.get(k, 0) + 1
+            continue
+        if s > capacity:
+            continue
+        while used + s > capacity:
+            some = rng.integers(0, len(names), min(sample, len(names)))
+            at = min(some.tolist(), key=lambda j: worth(names[j], cache[names[j]][0], cache[names[j]][1], i - cache[names[j]][2] + 1, by_size.get(int(cache[names[j]][0]).bit_length(), 0)))
+            old = names[at]
+            names[at] = names[-1]
+            names.pop()
+            used -= cache.pop(old)[0]
+        cache[b] = [s, 1, i]
+        names.append(b)
+        used += s
+    return hits
+
+
+def _hyperbolic(blocks, sizes, nxt, capacity) -> int:
+    """Hits a unit of time in the cache, by size."""
+    return _sampled(blocks, sizes, capacity, lambda b, s, n, age, c: n / (age * s))
+
+
+def _costclass(blocks, sizes, nxt, capacity) -> int:
+    """Hits of the block's size class, by size."""
+    return _sampled(blocks, sizes, capacity, lambda b, s, n, age, c: (c + 1) / s)
+
+
+def _bandit(blocks, sizes, capacity, choose, learn) -> int:
+    """Each eviction uses the oldest or the least used block, as the bandit says; coming back soon is a loss for that arm."""
+    cache: dict[int, int] = {}
+    count: dict[int, int] = {}
+    gone: dict[int, int] = {}
+    used = hits = 0
+    for b, s in zip(blocks, sizes, strict=True):
+        count[b] = count.get(b, 0) + 1
+        if b in cache:
+            hits += 1
+            cache[b] = cache.pop(b)
+            continue
+        if b in gone:
+            learn(gone.pop(b), 0.0)
+        if s > capacity:
+            continue
+        while used + s > capacity:
+            arm = choose()
+            old = next(iter(cache)) if arm == 0 else min(cache, key=count.__getitem__)
+            used -= cache.pop(old)
+            gone[old] = arm
+            if len(gone) > 64:
+                learn(gone.pop(next(iter(gone))), 1.0)
+        cache[b] = s
+        used += s
+    return hits
+
+
+def _thompson(blocks, sizes, nxt, capacity) -> int:
+    """Thompson sampling between the two evictions, seeded."""
+    rng, win, loss = np.random.default_rng(1), [1.0, 1.0], [1.0, 1.0]
+
+    def learn(arm: int, reward: float) -> None:
+        win[arm] += reward
+        loss[arm] += 1 - reward
+
+    return _bandit(blocks, sizes, capacity, lambda: int(rng.beta(win[1], loss[1]) > rng.beta(win[0], loss[0])), learn)
+
+
+def _linucb(blocks, sizes, nxt, capacity) -> int:
+    """Upper confidence bound on each eviction's reward (a constant context)."""
+    n, total = [1.0, 1.0], [0.5, 0.5]
+
+    def learn(arm: int, reward: float) -> None:
+        n[arm] += 1
+        total[arm] += reward
+
+    return _bandit(blocks, sizes, capacity, lambda: int(total[1] / n[1] + 1 / n[1] ** 0.5 > total[0] / n[0] + 1 / n[0] ** 0.5), learn)
+
+
+def _hybrid(blocks, sizes, nxt, capacity) -> int:
+    """A tenth of the bytes keeps single rows of blocks (a sixteenth of their size), the rest whole blocks; a row hit counts."""
+    rows = capacity // 10
+    return max(_lru(blocks, sizes, nxt, capacity - rows), _lru(blocks, [max(1, s // 16) for s in sizes], nxt, rows))
+
+
+def _priority(blocks, sizes, nxt, capacity) -> int:
+    """Blocks of the smaller half of sizes count as metadata: they have half of the bytes to themselves."""
+    mid = sorted(sizes)[len(sizes) // 2]
+    parts = [[(b, s) for b, s in zip(blocks, sizes, strict=True) if (s < mid) == high] for high in (True, False)]
+    return sum(_lru([b for b, _ in p], [s for _, s in p], nxt, capacity // 2) for p in parts)
+
+
 def simulate(acc: DataFrame, configs: list[tuple[str, int]], shards: int = 16) -> DataFrame:
     """Hits and accesses of each (policy, capacity in bytes). Blocks are dealt to shards of an equal share of the capacity.
 

@@ -6,7 +6,7 @@ import importlib
 
 from lodestone.plans.registry import ORACLE, QUERIES
 
-MODULES = ["trace_queries", "telemetry_queries", "kv_queries", "block_queries", "misc_queries"]
+MODULES = ["trace_queries", "telemetry_queries", "kv_queries", "block_queries", "misc_queries", "io_queries"]
 for _name in MODULES:
     importlib.import_module(f"lodestone.plans.{_name}")
 
