@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +39,9 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that nothing lazy refers to any more."""
-    for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            delete_path(df.sparkSession, f)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of any Hadoop file system, if it is there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables in the shared folder; call it when no result is lazy any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone")
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -74,7 +65,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-
-
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)

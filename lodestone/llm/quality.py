@@ -8,8 +8,8 @@ through a logistic.
 The model is fitted on at most `max_rows` labelled rows, taken in the order of a hash of their id.
 
 Cases: null and empty texts have the features of an empty text and get a score; without any labelled row the score is
-0.5, with one class only that class's smoothed rate; several labels of one document count as their rounded mean; labels
-of unknown documents are ignored; a null doc_id has no label and held_out null; further columns are ignored.
+0.5, with one class only that class's smoothed rate; several labels of one document count as their rounded mean, and
+of several texts of one labelled id the smallest is learned; labels of unknown documents are ignored; a null doc_id has no label and held_out null; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
     """(doc_id, text, y) of at most max_rows labelled rows outside the held-out fold."""
     some = labels.filter(F.col(label).isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bounded by max_rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bounded by max_rows
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> dict:

@@ -12,7 +12,8 @@ calibrated by an isotonic fit on the examples' own leave-one-out votes; document
 get the rate of the examples without neighbours.
 
 Cases: null and empty texts have no term and get that rate; without labelled rows every score is 0.1; repeated rows are
-scored alike; several labels of one document count as their rounded mean; further columns are ignored.
+scored alike; several labels of one document count as their rounded mean, and of several texts of one
+labelled id the smallest is an example; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,8 +66,9 @@ def vocabulary(examples: DataFrame, size: int = 256) -> list[str]:
     return [x.term for x in found if x.llr > bar] or [x.term for x in found[:8]]
 
 
-def term_counts(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(doc_id, ids array, tf array) of every row over its whole text; ids in ascending order."""
+def term_counts(docs: DataFrame, vocab: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The columns of `keep` (default doc_id) with ids array, tf array of every row over its whole text; ids ascend."""
+    keep = keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {t: i for i, t in enumerate(vocab)}
@@ -76,10 +78,10 @@ def term_counts(docs: DataFrame, vocab: list[str]) -> DataFrame:
                 found = sorted(Counter(map(index.__getitem__, filter(index.__contains__, terms(t)))).items())
                 ids.append([i for i, _ in found])
                 tfs.append([n for _, n in found])
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["doc_id", "ids", "tf"])
+            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=[*keep, "ids", "tf"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, tf array<int>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, ids array<int>, tf array<int>")
 
 
 def weights(ids: list[int], tf: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +190,7 @@ def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, k: int =
     df = dict(counts.select(F.explode("ids").alias("t")).groupBy("t").count().collect())  # at most a row a term of the space
     n = counts.count()
     idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1e-6 for t in range(len(vocab))])
-    ex = term_counts(examples, vocab).join(F.broadcast(examples.select("doc_id", "y")), "doc_id").distinct()
-    rows = [(r.doc_id, r.y, r.ids, r.tf) for r in ex.select("doc_id", "y", "ids", "tf").collect()]  # bounded by max_rows
+    rows = [(r.doc_id, r.y, r.ids, r.tf) for r in term_counts(examples, vocab, ["doc_id", "y"]).collect()]  # bounded by max_rows
 
     model = Model(idf, rows, k)
 
