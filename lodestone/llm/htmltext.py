@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. First pass: blocks in structural
 sidebars, forms, adverts, notices, comments, by tag or by the words of class, id and role) and blocks that are mostly
 links are bad; long blocks with a good share of stop words are good; blocks without enough stop words are bad; short ones
 stay open. Second pass: an open block takes the label of its nearest decided neighbours; where the two sides differ, the
-nearer one counts, and bad wins a tie. Inside an element that the page itself marks as its article, a block is open
+nearer one counts, and bad wins a tie; a heading goes with what follows it. Inside an element that the page itself marks as its article, a block is open
 rather than bad for want of stop words, only neighbours inside it count, and it is bad only between bad ones.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
@@ -64,11 +64,12 @@ def _role(tag: str, attrs: str, in_article: bool) -> int:
     return GOOD if tag in ("article", "main") else OPEN
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters in links, role, article number or 0) of each block with text."""
-    out: list[tuple[str, int, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, characters in links, role, article number or 0, heading?) of each block with text."""
+    out: list[tuple[str, int, int, int, bool]] = []
     stack: list[tuple[str, int, int]] = []  # element, role, article
     bad = article = articles = link = 0
+    heading = False
     text: list[str] = []
     linked: list[str] = []
 
@@ -76,7 +77,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             own = " ".join(html.unescape("".join(linked)).split())
-            out.append((words, len(own), BAD if bad else OPEN, article))
+            out.append((words, len(own), BAD if bad else OPEN, article, heading))
         text.clear()
         linked.clear()
 
@@ -101,6 +102,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if tag not in BREAKS:
             continue
         close()
+        heading = not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         if tag not in CONTAINERS:
             continue
         if not ends:
@@ -124,10 +126,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def classify(found: list[tuple[str, int, int, int]], short: int = 70, long: int = 200, low: float = 0.3, high: float = 0.32, links: float = 0.2) -> list[int]:
+def classify(found: list[tuple[str, int, int, int, bool]], short: int = 70, long: int = 200, low: float = 0.3, high: float = 0.32, links: float = 0.2) -> list[int]:
     """Label of each block after both passes."""
     first = []
-    for text, linked, role, article in found:
+    for text, linked, role, article, _ in found:
         density = linked / len(text)
         if role == BAD or density > (0.5 if article else links):
             first.append(BAD)
@@ -159,6 +161,8 @@ def classify(found: list[tuple[str, int, int, int]], short: int = 70, long: int
             (dl, a), (dr, b) = left[i], right[i]
             if where[i]:
                 label = BAD if a == b == BAD else GOOD
+            elif found[i][4]:
+                label = b
             else:
                 label = a if a == b or dl < dr else b if dr < dl else BAD
         out.append(label)
