@@ -32,8 +32,8 @@ def visible(log: DataFrame, column: str, snapshot) -> DataFrame:
 
 def effective(log: DataFrame, seq: list[str]) -> DataFrame:
     """The rows a merge read folds: all above the newest put or delete of the key, and that row itself."""
-    base = F.max(F.when(F.col("type") != "merge", F.struct(*seq))).over(Window.partitionBy(*KEY))
-    return log.withColumn("_base", base).filter(F.col("_base").isNull() | (F.struct(*seq) >= F.col("_base"))).drop("_base")
+    base = log.filter("type <> 'merge'").groupBy(*KEY).agg(F.max(F.struct(*seq)).alias("_base"))
+    return log.join(base, KEY, "left").filter(F.col("_base").isNull() | (F.struct(*seq) >= F.col("_base"))).drop("_base")
 
 
 MERGES: dict[str, Callable[[list[str]], Column]] = {

@@ -1,7 +1,8 @@
 """Request-trace analytics: equal-width windows, key statistics, rates, distributions, prefixes, correlations.
 
 Inputs have the columns of a request trace: line_no, ts (s), key, key_size, value_size, op. Where a statistic needs the
-order of requests, the window is over one key, never over the whole trace.
+order of requests, the window is over one key, never over the whole trace; where the first or greatest row of a key is
+enough, it is an aggregate joined back, which combines before the shuffle and which AQE can split.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ def windows(trace: DataFrame, n: int = 8) -> DataFrame:
 
 def seen_before(trace: DataFrame) -> DataFrame:
     """Adds seen: whether an earlier line has the key, by any operation."""
-    first = Window.partitionBy("key")
-    return trace.withColumn("seen", F.col("line_no") > F.min("line_no").over(first))
+    first = trace.groupBy("key").agg(F.min("line_no").alias("_first"))  # combines before the shuffle, so a hot key is no task
+    return trace.join(first, "key").withColumn("seen", F.col("line_no") > F.col("_first")).drop("_first")
 
 
 def window_stats(trace: DataFrame, n: int = 8) -> DataFrame:
