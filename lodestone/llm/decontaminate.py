@@ -1,10 +1,10 @@
 """Benchmark decontamination: block-max WAND over a BM25 inverted index of the test items.
 
 The index holds the test items; the queries are all passages of all documents: windows of `window` words, `step` apart,
-the last one reaching the end. Postings of a term are cut into blocks of items, each with its greatest BM25 weight. Most
-passages go because the sum of their terms' greatest weights stays under the lowest threshold of any item. For the others
-the block maxima are added up, and only blocks whose bound reaches the threshold are opened and scored exactly, so every
-item that reaches its threshold is retrieved: `share` of the score that the item gives itself. A retrieved item is then
+the last one reaching the end. Postings of a term are cut into blocks of items of like thresholds, each with its greatest
+BM25 weight. A passage adds up the block maxima of its terms, and only blocks whose bound reaches their lowest threshold
+are opened and scored exactly, so every item that reaches its threshold is retrieved: `share` of the score that the item
+gives itself. A retrieved item is then
 verified on the whole document: of the word n-grams of its question (first half of its words) and of its answer (second
 half), at least `overlap` each must occur there.
 
@@ -43,7 +43,7 @@ def _ngrams(w: list[str], n: int) -> set[tuple[str, ...]]:
 class ItemIndex:
     """BM25 index of test items with block maxima."""
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 16):
+    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 4):
         self.items = [(i, w) for i, t in items if len(w := words(t)) >= least]
         self.block, n = block, len(self.items)
         self.term: dict[str, int] = {}
@@ -58,39 +58,47 @@ class ItemIndex:
         df = np.bincount([t for own in tf for t in own], minlength=len(self.term)) if n else np.zeros(0)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        self.bar = np.zeros(n)
+        bar = np.zeros(n)
         for d, own in enumerate(tf):
             norm = K1 * (1 - B + B * len(self.items[d][1]) / mean)
             for t, k in own.items():
-                x = float(idf[t] * k * (K1 + 1) / (k + norm))
-                lists[t].append((d, x))
-                self.bar[d] += share * x
-        self.doc = [np.array([d for d, _ in x], np.int64) for x in lists]
-        self.weight = [np.array([w for _, w in x]) for x in lists]
+                lists[t].append((d, x := float(idf[t] * k * (K1 + 1) / (k + norm))))
+                bar[d] += share * x
+        # items of like thresholds share a block, which keeps its bound and its lowest threshold close
+        order = np.argsort(bar, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.items, self.bar = [self.items[d] for d in order], bar[order]
         self.blocks = -(-n // block)
-        self.most = np.zeros((len(lists) + 1, self.blocks))
-        for t in range(len(lists)):
-            np.maximum.at(self.most[t], self.doc[t] // block, self.weight[t])
-        self.cut = [np.searchsorted(d, np.arange(self.blocks + 1) * block) for d in self.doc]
-        self.best = self.most.max(axis=1) if self.blocks else np.zeros(len(lists) + 1)  # the last term is "unknown": 0
-        low = [self.bar[b * block : (b + 1) * block].min() for b in range(self.blocks)]
-        self.low, self.least_bar = np.array(low), min(low, default=np.inf)
+        self.most = np.zeros((len(lists), self.blocks), np.float32)
+        self.post: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
+        for t, own in enumerate(lists):
+            for d, x in own:
+                k = int(place[d])
+                self.post[k // block].setdefault(t, []).append((k % block, x))
+                self.most[t, k // block] = max(self.most[t, k // block], x)
+        self.low = np.array([self.bar[k * block : (k + 1) * block].min() - 1e-3 for k in range(self.blocks)], np.float32)
         half = [len(w) // 2 for _, w in self.items]
         self.question = [_ngrams(w[:h], ngram) for (_, w), h in zip(self.items, half, strict=True)]
         self.answer = [_ngrams(w[h:], ngram) for (_, w), h in zip(self.items, half, strict=True)]
 
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of all items that reach their threshold for distinct terms."""
-        out = []
-        bound = self.most[terms].sum(axis=0)
-        for b in np.flatnonzero(bound >= self.low - 1e-9):
-            start = int(b) * self.block
-            got = np.zeros(min(self.block, len(self.items) - start))
+    def search(self, terms: set[int | None]) -> list[tuple[int, float]]:
+        """(item, score) of all items that reach their threshold for distinct terms; None is no term of the index."""
+        out: list[tuple[int, float]] = []
+        terms.discard(None)
+        if not terms:
+            return out
+        open_ = self.most.take(list(terms), axis=0).sum(axis=0) >= self.low
+        if not open_.any():
+            return out
+        for b in open_.nonzero()[0].tolist():
+            start, post = b * self.block, self.post[b]
+            got = [0.0] * self.block
             for t in terms:
-                s, e = self.cut[t][b], self.cut[t][b + 1]
-                if e > s:
-                    got[self.doc[t][s:e] - start] += self.weight[t][s:e]
-            out += [(start + int(i), float(got[i])) for i in np.flatnonzero(got >= self.bar[start : start + len(got)] - 1e-9)]
+                if t in post:
+                    for k, x in post[t]:
+                        got[k] += x
+            out += [(start + k, g) for k, g in enumerate(got[: len(self.items) - start]) if g >= self.bar[start + k] - 1e-9]
         return out
 
     def leaks(self, text: str | None, window: int, step: int, ngram: int, overlap: float) -> list[tuple[int | None, float, int, float, float]]:
@@ -98,15 +106,10 @@ class ItemIndex:
         w = words(text)
         if not w or not self.items:
             return []
-        unknown = len(self.term)
-        t = np.fromiter(map(self.term.get, w, [unknown] * len(w)), np.int64, len(w))
-        total = np.r_[0.0, self.best[t].cumsum()]
-        starts = np.arange(0, max(1, len(w) - window + step), step)
-        hot = starts[total[np.minimum(starts + window, len(w))] - total[starts] >= self.least_bar - 1e-6]
+        t = list(map(self.term.get, w))
         found: dict[int, tuple[float, int]] = {}
-        for s in hot.tolist():
-            own = np.unique(t[s : s + window])
-            for d, score in self.search(own[own != unknown]):
+        for s in range(0, max(1, len(w) - window + step), step):
+            for d, score in self.search({*t[s : s + window]}):
                 if score > found.get(d, (0.0, 0))[0]:
                     found[d] = score, s
         if not found:
@@ -133,7 +136,7 @@ def _indexes(benchmark: DataFrame, max_items: int) -> Iterator[list[tuple]]:
         yield sorted([(r.item_id, r.text) for r in some.collect()], key=lambda x: (x[0] is None, x[0], x[1] or ""))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:
     """(doc_id, item_id, score, start_word, question_overlap, answer_overlap) for each leaked item of each document."""
     if step > window:
         raise ValueError("passages must not leave gaps")
@@ -154,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 3
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:
     """The rows of docs, all columns, that hold no test item."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for items in _indexes(benchmark, max_items):
