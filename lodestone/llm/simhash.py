@@ -245,11 +245,12 @@ def _wide_edges(postings: DataFrame, max_bits: int, shared: int, cap: int) -> Da
         def flush(fid: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
             out, rest = [], np.arange(len(fid))
             while len(rest) > 1:
-                root, todo, rest = rest[0], [rest[0]], rest[1:]
+                todo, rest = [rest[0]], rest[1:]
                 while todo and len(rest):
-                    hit = _wide_linked(fp[rest], fp[todo.pop()], max_bits, shared)
+                    own = todo.pop()
+                    hit = _wide_linked(fp[rest], fp[own], max_bits, shared)
                     found, rest = rest[hit], np.delete(rest, hit)
-                    out += [(int(fid[root]), int(fid[v])) for v in found]
+                    out += [(int(fid[own]), int(fid[v])) for v in found]
                     todo += list(found)
             return out
 
@@ -282,8 +283,8 @@ def _wide_edges(postings: DataFrame, max_bits: int, shared: int, cap: int) -> Da
     return postings.select("t", "k", "fid", "fp").mapInArrow(run, "u long, v long")
 
 
-def similar_classes(fps: DataFrame, max_bits: int = 84, shared: int = 8, cap: int = 512) -> DataFrame:
-    """(fid, root): class of each distinct wide fingerprint (columns fid, fp); classes of one are left out."""
+def similar_links(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int = 512) -> DataFrame:
+    """Spanning links (u, v) of the postings between distinct wide fingerprints (columns fid, fp) within max_bits."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.array(WIDE_KEYS)
@@ -307,12 +308,37 @@ def similar_classes(fps: DataFrame, max_bits: int = 84, shared: int = 8, cap: in
     more = written(post.filter(F.col("n") > cap).join(fps, "fid").select("fid", "t", "k", "fp").mapInArrow(recut, "fid long, t int, k long"), "wide_recut")
     cut = post.filter(F.col("n") <= cap).select("t", "k", "fid").union(_counted(more).select("t", "k", "fid"))
     spread = cut.join(fps, "fid").repartition("t", "k").sortWithinPartitions("t", "k", "fid")
-    edges = written(_wide_edges(spread, max_bits, shared, cap).distinct(), "wide_links")
-    return components(edges, "wide_cc").select(F.col("node").alias("fid"), "root")
+    e = _wide_edges(spread, max_bits, shared, cap)
+    return written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide_links")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, max_bits: int = 84) -> DataFrame:
-    """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last."""
+def shingles(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+
+
+def verified(links_: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links whose texts (fid, text) have a Jaccard similarity of word shingles of at least `least`."""
+    both = links_.join(texts.select(F.col("fid").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fid").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            keep = []
+            for x, y in zip(utf8(b, "a"), utf8(b, "b"), strict=True):
+                x, y = shingles(x, width), shingles(y, width)
+                n = len(x & y)
+                keep.append(n >= least * (len(x) + len(y) - n))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 90) -> DataFrame:
+    """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
+
+    Texts are linked whose word shingles have a Jaccard similarity of at least `least`, of the pairs that postings of
+    their wide fingerprints join.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +352,11 @@ def first_of_each(docs: DataFrame, width: int = 5, max_bits: int = 84) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     one = rows.groupBy("__fid").agg(F.min(order).alias("o"), F.first("__fp").alias("fp"))
     one = written(one.select(F.col("__fid").alias("fid"), "fp", "o"), "wide_fps")
-    classes = similar_classes(one.select("fid", "fp"), max_bits)
+    links_ = similar_links(one.select("fid", "fp"), max_bits)
+    ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
+    # one text stands for a fingerprint: that of its first row
+    texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("__row")).join(rows.select("__row", "text"), "__row").select("fid", "text")
+    sure = written(verified(links_, written(texts, "wide_texts"), width, least), "wide_sure")
+    classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
     return rows.join(best, "__row", "left_semi").select(*names)

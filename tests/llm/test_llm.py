@@ -428,6 +428,44 @@ def test_pipeline(spark):
     assert len({text[i] for i in ids}) == len(ids)
 
 
+def test_stages_brute_force(spark):
+    import corpus_pipeline
+
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    text = {r.doc_id: r.text or "" for r in docs_.collect()}
+    good = stage["quality"](spark, docs_, SF)
+    assert ids(good) == {r.doc_id for r in QUERIES["op7_quality"](spark, SF).collect() if r.predicted == 1}
+    spoken = stage["language"](spark, docs_, SF)
+    assert ids(spoken) == {i for i, t in text.items() if any(c.isalpha() for c in t)}
+    first = ids(stage["near_duplicates"](spark, docs_, SF))
+    grams = {}
+    for i, t in text.items():
+        w = t.encode().lower().split()
+        grams[i] = set(zip(*(w[k:] for k in range(5)), strict=False)) or {tuple(w)}
+    near = collections.defaultdict(set)
+    for i, a in grams.items():
+        for j, b in grams.items():
+            if j != i and len(a & b) >= 0.8 * len(a | b):
+                near[i].add((j, len(a & b) / len(a | b)))
+    for i in text:
+        if i in first:  # nothing alike and smaller stays beside it
+            assert all(s < 0.85 for j, s in near[i] if j < i)
+        else:
+            assert near[i]
+    items = {r.item_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    hold = set()
+    for i, t in text.items():
+        w = decontaminate.words(t)
+        own = set(zip(*(w[k:] for k in range(5)), strict=False))
+        for x in items.values():
+            halves = [decontaminate._ngrams(h, 5) for h in (x[: len(x) // 2], x[len(x) // 2 :])]
+            if len(x) >= 8 and all(len(h & own) >= 0.4 * len(h) for h in halves):
+                hold.add(i)
+    assert ids(stage["decontamination"](spark, docs_, SF)) == set(text) - hold and hold
+
+
 def test_pipeline_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline
 
