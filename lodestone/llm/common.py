@@ -36,7 +36,16 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
     spark = df.sparkSession
     path = new_path(spark, label)
     (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing lazy reads any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear(spark: SparkSession) -> None:

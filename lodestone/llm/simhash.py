@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, utf8, written
+from lodestone.llm.common import discard, slices, utf8, written
 
 SEED = 42
 BYTE = [0xFF << (8 * i) for i in range(8)]
@@ -149,12 +149,13 @@ def links(fps: DataFrame, max_bits: int = 3, cap: int = 4096) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("the postings guarantee links of up to 3 bits")
     post = written(_counted(_keyed(fps.select("fp").distinct(), [_mask(c) for c in TRIPLES])), "postings")
-    edges = _posting_edges(post.filter(F.col("n") <= cap), max_bits)
+    edges, made = _posting_edges(post.filter(F.col("n") <= cap), max_bits), [post]
     if post.filter(F.col("n") > cap).limit(1).count():  # the exact way for long postings
         holds = [[i for i, f in enumerate(FIVES) if set(t) <= set(f)] for t in TRIPLES]
         five = F.array(*[F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(FIVES[i])))).alias("k")) for i in h]) for h in holds])
         keys = post.filter(F.col("n") > cap).select("fp", F.inline(F.element_at(five, F.col("t") + 1))).distinct()
         post5 = written(_counted(keys), "postings5")
+        made.append(post5)
         edges = edges.union(_posting_edges(post5.filter(F.col("n") <= cap), max_bits))
         rest = post5.filter(F.col("n") > cap)
         if rest.limit(1).count():
@@ -165,7 +166,9 @@ def links(fps: DataFrame, max_bits: int = 3, cap: int = 4096) -> DataFrame:
             keys = rest.select("fp", "t", F.posexplode(F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in masks]), F.col("t") + 1)).alias("c", "m"))
             keys = keys.select("fp", (F.col("t") * 20 + F.col("c")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("k"))
             edges = edges.union(_posting_edges(_counted(keys), max_bits))
-    return written(edges.distinct(), "links")
+    out = written(edges.distinct(), "links")
+    discard(*made)
+    return out
 
 
 def components(edges: DataFrame, label: str = "cc", most: int = 60) -> DataFrame:
@@ -183,7 +186,9 @@ def components(edges: DataFrame, label: str = "cc", most: int = 60) -> DataFrame
         large = large.union(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = written(small.union(down.select("u", F.col("m").alias("v"))).distinct(), label)
+        old, cur = cur, written(small.union(down.select("u", F.col("m").alias("v"))).distinct(), label)
+        if hasattr(old, "_written_to"):
+            discard(old)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -309,7 +314,9 @@ def similar_links(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int
     cut = post.filter(F.col("n") <= cap).select("t", "k", "fid").union(_counted(more).select("t", "k", "fid"))
     spread = cut.join(fps, "fid").repartition("t", "k").sortWithinPartitions("t", "k", "fid")
     e = _wide_edges(spread, max_bits, shared, cap)
-    return written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide_links")
+    out = written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide_links")
+    discard(keys, post, more)
+    return out
 
 
 def shingles(text: bytes, width: int) -> set[bytes]:
@@ -356,7 +363,9 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
     ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
     # one text stands for a fingerprint: that of its first row
     texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("__row")).join(rows.select("__row", "text"), "__row").select("fid", "text")
-    sure = written(verified(links_, written(texts, "wide_texts"), width, least), "wide_sure")
+    texts = written(texts, "wide_texts")
+    sure = written(verified(links_, texts, width, least), "wide_sure")
+    discard(links_, texts)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
     return rows.join(best, "__row", "left_semi").select(*names)
