@@ -92,9 +92,11 @@ def weights(ids: list[int], tf: list[int], idf: np.ndarray) -> tuple[np.ndarray,
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples."""
+    """Postings of unit vectors by term, in blocks of examples; those with like terms share a block, those with none have no place."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+        self.names = np.array(sorted((d for d, (i, _) in enumerate(vectors) if len(i)), key=lambda d: (vectors[d][0].tolist(), vectors[d][1].tolist(), d)), np.int64)
+        vectors = [vectors[d] for d in self.names]
         self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
         lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
@@ -120,7 +122,7 @@ class BlockMaxIndex:
                 s, e = self.cut[t][b], self.cut[t][b + 1]
                 own[self.doc[t][s:e] - b * self.block] += x * self.w[t][s:e]
             d = np.flatnonzero(own > 0)
-            cos, d = np.round(own[d], 12), d + b * self.block
+            cos, d = np.round(own[d], 12), self.names[d + b * self.block]
             cos, d = cos[d != skip], d[d != skip]
             best_d, best_s = np.concatenate([best_d, d]), np.concatenate([best_s, cos])
             top = np.lexsort((best_d, -best_s))[:k]
