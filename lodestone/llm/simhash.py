@@ -17,7 +17,7 @@ a null doc_id keeps its row and is never a component id unless its whole compone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -235,61 +235,115 @@ def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
     return np.packbits(2 * total > len(h), bitorder="little").tobytes()
 
 
-def _wide_linked(a: np.ndarray, x: np.ndarray, max_bits: int, shared: int) -> np.ndarray:
+def _wide_near(a: np.ndarray, x: np.ndarray, max_bits: int, shared: int) -> np.ndarray:
+    """Places of the fingerprints in a that are within max_bits of x and share enough bytes with it."""
     y = a ^ x
-    near = np.flatnonzero((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared)
-    return near[np.bitwise_count(y[near]).sum(axis=1) <= max_bits]
+    near = np.flatnonzero(np.bitwise_count(y).sum(axis=1, dtype=np.int32) <= max_bits)
+    return near[(y[near].view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared]
 
 
-def _wide_edges(postings: DataFrame, max_bits: int, shared: int, cap: int) -> DataFrame:
-    """Spanning forests of the links inside postings (t, k, fid, fp), met in order; one longer than cap is met in pieces."""
+def _forest_of(fp: np.ndarray, max_bits: int, shared: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fp, as pairs of places."""
+    out, rest = [], np.arange(len(fp))
+    while len(rest) > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            own = todo.pop()
+            hit = _wide_near(fp[rest], fp[own], max_bits, shared)
+            found, rest = rest[hit], np.delete(rest, hit)
+            out += [(int(own), int(v)) for v in found]
+            todo += list(found)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fid, fp = np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty((0, 8), np.uint64)
-
-        def flush(fid: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-            out, rest = [], np.arange(len(fid))
-            while len(rest) > 1:
-                todo, rest = [rest[0]], rest[1:]
-                while todo and len(rest):
-                    own = todo.pop()
-                    hit = _wide_linked(fp[rest], fp[own], max_bits, shared)
-                    found, rest = rest[hit], np.delete(rest, hit)
-                    out += [(int(fid[own]), int(fid[v])) for v in found]
-                    todo += list(found)
-            return out
 
-        def send(key: np.ndarray, fid: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(fid)]
-            two = starts[ends - starts == 2]
-            y = fp[two] ^ fp[two + 1]
-            ok = two[((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1) <= max_bits)]
-            edges = list(zip(fid[ok].tolist(), fid[ok + 1].tolist(), strict=True))
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                for i in range(s, e, cap - 1):  # pieces share a fingerprint
-                    edges += flush(fid[i : min(i + cap, e)], fp[i : min(i + cap, e)])
-            e = np.array(sorted(set(edges)), np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place in WIDE_KEYS at which the fingerprints of each row agree."""
+    same = (a ^ b).view(np.uint8).reshape(-1, WIDE_BYTES) == 0
+    place = np.array(WIDE_KEYS)
+    return np.argmax(same[:, place[:, 0]] & same[:, place[:, 1]] & same[:, place[:, 2]], axis=1)
 
-        for b in batches:
-            key = np.concatenate([key, np.column_stack([b.column("t").to_numpy().astype(np.int64), b.column("k").to_numpy()])])
-            fid = np.concatenate([fid, b.column("fid").to_numpy()])
-            fp = np.concatenate([fp, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 8)])
-            last = int(np.flatnonzero((key == key[-1]).all(axis=1))[0]) if len(fid) else 0
-            if len(fid) - last > 4 * cap:  # a long posting: its first pieces can go
-                last = len(fid) - 1
-            if last:
-                yield send(key[:last], fid[:last], fp[:last])
-                key, fid, fp = key[last:], fid[last:], fp[last:]
-        if len(fid):
-            yield send(key, fid, fp)
 
-    return postings.select("t", "k", "fid", "fp").mapInArrow(run, "u long, v long")
+def _units(post: DataFrame, fps: DataFrame, cap: int) -> DataFrame:
+    """Postings (t, k, fid, n) with the columns of fps, cut into units to compare: a posting of more than about cap
+    fingerprints is cut into blocks, and every two of its blocks, and every block with itself, are a unit (t, k, i, j)."""
+    cuts = F.ceil(F.col("n") / cap).cast("int")
+    own = post.select("t", "k", "fid", F.pmod(F.xxhash64("fid", "t"), cuts).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("o"))
+    own = own.select("t", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fid")
+    return own.join(fps, "fid").repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "b", "fid")
 
 
-def similar_links(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int = 512) -> DataFrame:
-    """Spanning links (u, v) of the postings between distinct wide fingerprints (columns fid, fp) within max_bits."""
+def _wide_edges(units: DataFrame, max_bits: int, shared: int, forest: bool) -> DataFrame:
+    """Links in units of (t, k, i, j, b, fid, fp, c), met in order: a spanning forest of each, or all pairs of different
+    c, each in the first posting that holds it."""
+
+    def pairs(t: int, within: bool, b: np.ndarray, fid: np.ndarray, fp: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        second = int(np.searchsorted(b, b[0], "right"))  # the second block starts there
+        out = []
+        for x in range(len(fid) - 1 if within else second if second < len(fid) else 0):
+            start = x + 1 if within else second
+            hit = start + _wide_near(fp[start:], fp[x], max_bits, shared)
+            hit = hit[c[hit] != c[x]]
+            if len(hit):
+                hit = hit[_first_common(fp[hit], fp[x][None]) == t]
+                out.append(np.column_stack([np.full(len(hit), fid[x]), fid[hit]]))
+        return out
+
+    def send(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(e), 100_000):
+            x = e[i : i + 100_000]
+            yield pa.record_batch([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["u", "v"])
+
+    def met(key: np.ndarray, b: np.ndarray, fid: np.ndarray, fp: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(fid)]
+        two = starts[(ends - starts == 2) & (key[starts, 2] == key[starts, 3])]
+        y = fp[two] ^ fp[two + 1]
+        ok = two[((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1, dtype=np.int32) <= max_bits)]
+        if not forest:
+            ok = ok[c[ok] != c[ok + 1]]
+            ok = ok[_first_common(fp[ok], fp[ok + 1]) == key[ok, 0]]
+        edges = [np.column_stack([fid[ok], fid[ok + 1]])]
+        rest = (ends - starts > 2) | ((ends - starts == 2) & (key[starts, 2] != key[starts, 3]))
+        for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
+            if forest:
+                edges += [fid[s + np.array(f)] for f in [_forest_of(fp[s:e], max_bits, shared)] if f]
+            else:
+                edges += pairs(int(key[s, 0]), key[s, 2] == key[s, 3], b[s:e], fid[s:e], fp[s:e], c[s:e])
+            if len(edges) > 20_000:
+                yield from send(np.concatenate(edges))
+                edges = []
+        if edges:
+            yield from send(np.concatenate(edges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            key = np.column_stack([batch.column(x).to_numpy().astype(np.int64) for x in ("t", "k", "i", "j")])
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, 8)
+            got = (key, batch.column("b").to_numpy(), batch.column("fid").to_numpy(), fp, batch.column("c").to_numpy())
+            if not len(key):
+                continue
+            if (key[0] == key[-1]).all() and (not held or (held[-1][0][-1] == key[0]).all()):
+                held.append(got)  # still inside one unit
+                continue
+            all_ = [np.concatenate(x) for x in zip(*held, got, strict=True)]
+            last = int(np.flatnonzero((all_[0] == all_[0][-1]).all(axis=1))[0])
+            yield from met(*(x[:last] for x in all_))
+            held = [tuple(x[last:] for x in all_)]
+        if held:
+            yield from met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return units.select("t", "k", "i", "j", "b", "fid", "fp", "c").mapInArrow(run, "u long, v long")
+
+
+def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame], max_bits: int = 90, shared: int = 8, cap: int = 4096, tight: int = 60, dense: int = 64) -> DataFrame:
+    """A spanning set of the sure links (u, v) between distinct wide fingerprints (columns fid, fp) within max_bits.
+
+    sure_of(links, label) gives, as a written table, the links that stand. Every pair that meets in a posting is tested
+    by it or lies in one class of links that stand: postings of more than `dense` first give a forest of the links within
+    `tight` bits, so that groups of near copies are joined by few tests, and then all postings give all pairs that those
+    classes do not join already.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.array(WIDE_KEYS)
@@ -299,24 +353,23 @@ def similar_links(fps: DataFrame, max_bits: int = 90, shared: int = 8, cap: int
             t = np.broadcast_to(np.arange(len(place), dtype=np.int32), k.shape)
             yield pa.record_batch([pa.array(np.repeat(b.column("fid").to_numpy(), len(place))), pa.array(t.ravel()), pa.array(k.ravel().astype(np.int64))], names=["fid", "t", "k"])
 
-    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000):
-            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-            t, k = b.column("t").to_numpy(), b.column("k").to_numpy()
-            for c in range(4):
-                own = k << 16 | x[:, 7 + 13 * c] << 8 | x[:, 3 + 17 * c]
-                yield pa.record_batch([b.column("fid"), pa.array((t * 4 + c + 1000).astype(np.int32)), pa.array(own)], names=["fid", "t", "k"])
-
     keys = written(fps.select("fid", "fp").mapInArrow(keyed, "fid long, t int, k long"), "wide_keys")
     post = written(_counted(keys), "wide_post")
-    # a long posting is cut by two more bytes, at four places each, so that no key gathers a large class
-    more = written(post.filter(F.col("n") > cap).join(fps, "fid").select("fid", "t", "k", "fp").mapInArrow(recut, "fid long, t int, k long"), "wide_recut")
-    cut = post.filter(F.col("n") <= cap).select("t", "k", "fid").union(_counted(more).select("t", "k", "fid"))
-    spread = cut.join(fps, "fid").repartition("t", "k").sortWithinPartitions("t", "k", "fid")
-    e = _wide_edges(spread, max_bits, shared, cap)
-    out = written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide_links")
-    discard(keys, post, more)
-    return out
+    discard(keys)
+    made, first, own = [post], None, fps.select("fid", "fp", F.col("fid").alias("c"))
+    long_ = post.filter(F.col("n") > dense)
+    if long_.limit(1).count():
+        e = written(_wide_edges(_units(long_, own, cap), min(tight, max_bits), shared, True).distinct(), "wide_forest")
+        first = sure_of(e, "wide_first")
+        discard(e)
+        classes = written(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
+        made.append(classes)
+        own = fps.select("fid", "fp").join(classes, "fid", "left").select("fid", "fp", F.coalesce("root", "fid").alias("c"))
+    e = written(_wide_edges(_units(post, own, cap), max_bits, shared, False), "wide_links")
+    discard(*made)
+    out = sure_of(e, "wide_sure")
+    discard(e)
+    return out if first is None else out.union(first)
 
 
 def shingles(text: bytes, width: int) -> set[bytes]:
@@ -340,7 +393,7 @@ def verified(links_: DataFrame, texts: DataFrame, width: int, least: float) -> D
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 90) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 90, cap: int = 4096) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
 
     Texts are linked whose word shingles have a Jaccard similarity of at least `least`, of the pairs that postings of
@@ -359,13 +412,17 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     one = rows.groupBy("__fid").agg(F.min(order).alias("o"), F.first("__fp").alias("fp"))
     one = written(one.select(F.col("__fid").alias("fid"), "fp", "o"), "wide_fps")
-    links_ = similar_links(one.select("fid", "fp"), max_bits)
-    ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
-    # one text stands for a fingerprint: that of its first row
-    texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("__row")).join(rows.select("__row", "text"), "__row").select("fid", "text")
-    texts = written(texts, "wide_texts")
-    sure = written(verified(links_, texts, width, least), "wide_sure")
-    discard(links_, texts)
+
+    def sure_of(links_: DataFrame, label: str) -> DataFrame:
+        ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
+        # one text stands for a fingerprint: that of its first row
+        texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("__row")).join(rows.select("__row", "text"), "__row").select("fid", "text")
+        texts = written(texts, "wide_texts")
+        out = written(verified(links_, texts, width, least), label)
+        discard(texts)
+        return out
+
+    sure = similar_links(one.select("fid", "fp"), sure_of, max_bits, cap=cap)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
     return rows.join(best, "__row", "left_semi").select(*names)

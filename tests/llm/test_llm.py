@@ -412,6 +412,60 @@ def test_similar_documents(spark):
     assert {r.doc_id for r in got.collect()} == first | {500} and got.columns == df.columns
 
 
+def _related(n, seed):
+    """A group of texts of a cross similarity of about 0.77, every second with a near-duplicate of about 0.87."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(6))
+
+    def changed(w):
+        w = list(w)
+        for i in rnd.sample(range(5, 295), 4):
+            w[i] = word()
+        return w
+
+    base, out = [word() for _ in range(304)], []
+    for _ in range(n // 2):
+        b = changed(base)
+        out += [b, changed(b)]
+    rnd.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def _firsts(texts):
+    """Brute force: places that come first in their class, of pairs that share a posting, the bits and the similarity."""
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    fps = np.frombuffer(b"".join(simhash.wide_fingerprint(t.encode()) for t in texts), np.uint64).reshape(-1, 8)
+    place, root = np.array(simhash.WIDE_KEYS), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        y = fps ^ fps[a]
+        same = y.view(np.uint8).reshape(-1, 64) == 0
+        meet = (same[:, place[:, 0]] & same[:, place[:, 1]] & same[:, place[:, 2]]).any(axis=1)
+        for b in np.flatnonzero(meet & (np.bitwise_count(y).sum(axis=1) <= 90) & (same.sum(axis=1) >= 8)):
+            both = len(sets[a] & sets[b])
+            if b > a and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                u, v = find(a), find(int(b))
+                root[max(u, v)] = min(u, v)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_related_group_loses_no_pair(spark):
+    texts = _related(400, 5)
+    got = simhash.first_of_each(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    assert {r.doc_id for r in got.collect()} == _firsts(texts)
+
+
+def test_long_postings_are_whole(spark):
+    texts = _related(300, 6)
+    got = simhash.first_of_each(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), cap=8)
+    assert {r.doc_id for r in got.collect()} == _firsts(texts)
+
+
 # pipeline and SQL
 
 
