@@ -4,21 +4,23 @@ The index holds the test items; the queries are all passages of all documents: w
 the last one reaching the end. Postings of a term are cut into blocks of items of like thresholds, each with its greatest
 BM25 weight. A passage adds up the block maxima of its terms, and only blocks whose bound reaches their lowest threshold
 are opened and scored exactly, so every item that reaches its threshold is retrieved: `share` of the score that the item
-gives itself. A retrieved item is then
-verified on the whole document: of the word n-grams of its question (first half of its words) and of its answer (second
+gives itself or, if it is longer than a passage, of the least that any `window` of its words in a row give it. A retrieved
+item is then verified on the whole document: of the word n-grams of its question (first half of its words) and of its answer (second
 half), at least `overlap` each must occur there.
 
 An index holds at most `max_items` items; a larger benchmark is cut by a hash into several indexes, and documents are run
-against each.
+against each. Their weights are those of the whole benchmark. Items with fewer than `least` words leak where all their
+words occur in a row.
 
-Cases: null and empty texts have no passage; items with fewer than `least` words (or null) are not searched; repeated
+Cases: null and empty texts have no passage; items without words (or null) are not searched; repeated
 documents and items give a row each; a null doc_id or item_id is kept; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,30 +42,65 @@ def _ngrams(w: list[str], n: int) -> set[tuple[str, ...]]:
     return set(zip(*(w[i:] for i in range(n)), strict=False)) if n else set()
 
 
-class ItemIndex:
-    """BM25 index of test items with block maxima."""
+class Statistics:
+    """Number of items with at least `least` words, their mean length and how many of them hold a term."""
+
+    def __init__(self, texts: Iterable[str | None], least: int):
+        self.items, length, self.df = 0, 0, Counter()
+        for t in texts:
+            if len(w := words(t)) >= least:
+                self.items, length = self.items + 1, length + len(w)
+                self.df.update(set(w))
+        self.mean = length / max(self.items, 1)
+
+    def of(self, texts: Iterable[str | None]) -> Statistics:
+        """The same with only the terms of these texts."""
+        own = Statistics((), 0)
+        own.items, own.mean, own.df = self.items, self.mean, {x: self.df.get(x, 0) for t in texts for x in words(t)}
+        return own
+
+    def weights(self, w: list[str]) -> dict[str, float]:
+        """BM25 weights of the terms in an item."""
+        norm = K1 * (1 - B + B * len(w) / (self.mean or len(w)))
+        idf = lambda x: float(np.log(1 + (self.items - (df := self.df.get(x, 0)) + 0.5) / (df + 0.5)))
+        return {x: idf(x) * k * (K1 + 1) / (k + norm) for x, k in Counter(w).items()}
+
+
+def _lightest(w: list[str], weight: dict[str, float], window: int) -> float:
+    """The least weight of the distinct terms of `window` words in a row, of all words if there are fewer."""
+    held = Counter(w[:window])
+    now = best = sum(weight[x] for x in held)
+    for out, new in zip(w, w[window:], strict=False):
+        held[out] -= 1
+        now -= weight[out] * (held[out] == 0)
+        now += weight[new] * (held[new] == 0)
+        held[new] += 1
+        best = min(best, now)
+    return best
+
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 4):
-        self.items = [(i, w) for i, t in items if len(w := words(t)) >= least]
+class ItemIndex:
+    """BM25 index of test items with block maxima, and the short items by their words."""
+
+    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 4, window: int | None = None, stats: Statistics | None = None):
+        stats = stats or Statistics((t for _, t in items), least)
+        self.short: dict[int, dict[tuple[str, ...], list[tuple[int | None, float]]]] = {}
+        for i, t in items:
+            if 0 < len(w := words(t)) < least:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append((i, sum(stats.weights(w).values())))
+        self.items = [(i, w) for i, t in items if len(w := words(t)) >= max(least, 1)]
         self.block, n = block, len(self.items)
         self.term: dict[str, int] = {}
-        tf: list[dict[int, int]] = []
-        for _, w in self.items:
-            own: dict[int, int] = {}
-            for x in w:
-                t = self.term.setdefault(x, len(self.term))
-                own[t] = own.get(t, 0) + 1
-            tf.append(own)
-        mean = sum(len(w) for _, w in self.items) / max(n, 1)
-        df = np.bincount([t for own in tf for t in own], minlength=len(self.term)) if n else np.zeros(0)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
+        lists: list[list[tuple[int, float]]] = []
         bar = np.zeros(n)
-        for d, own in enumerate(tf):
-            norm = K1 * (1 - B + B * len(self.items[d][1]) / mean)
-            for t, k in own.items():
-                lists[t].append((d, x := float(idf[t] * k * (K1 + 1) / (k + norm))))
-                bar[d] += share * x
+        for d, (_, w) in enumerate(self.items):
+            own = stats.weights(w)
+            for x, v in own.items():
+                if x not in self.term:
+                    self.term[x] = len(self.term)
+                    lists.append([])
+                lists[self.term[x]].append((d, v))
+            bar[d] = share * _lightest(w, own, window or len(w))
         # items of like thresholds share a block, which keeps its bound and its lowest threshold close
         order = np.argsort(bar, kind="stable")
         place = np.empty(n, np.int64)
@@ -101,11 +138,25 @@ class ItemIndex:
             out += [(start + k, g) for k, g in enumerate(got[: len(self.items) - start]) if g >= self.bar[start + k] - 1e-9]
         return out
 
+    def _short_leaks(self, w: list[str]) -> list[tuple[int | None, float, int, float, float]]:
+        """The short items whose words occur in a row, at their first place."""
+        out = []
+        for n, items in sorted(self.short.items()):
+            first: dict[tuple[str, ...], int] = {}
+            for s, x in enumerate(zip(*(w[i:] for i in range(n)), strict=False)):
+                if x in items:
+                    first.setdefault(x, s)
+            out += [(i, score, s, 1.0, 1.0) for x, s in first.items() for i, score in items[x]]
+        return out
+
     def leaks(self, text: str | None, window: int, step: int, ngram: int, overlap: float) -> list[tuple[int | None, float, int, float, float]]:
         """(item_id, score, first word of the best passage, question overlap, answer overlap) of the items in a document."""
         w = words(text)
-        if not w or not self.items:
+        if not w:
             return []
+        out = self._short_leaks(w)
+        if not self.items:
+            return out
         t = list(map(self.term.get, w))
         found: dict[int, tuple[float, int]] = {}
         for s in range(0, max(1, len(w) - window + step), step):
@@ -113,8 +164,8 @@ class ItemIndex:
                 if score > found.get(d, (0.0, 0))[0]:
                     found[d] = score, s
         if not found:
-            return []
-        have, out = set(zip(*(w[i:] for i in range(ngram)), strict=False)), []
+            return out
+        have = set(zip(*(w[i:] for i in range(ngram)), strict=False))
         for d, (score, s) in sorted(found.items()):
             q, a = self.question[d], self.answer[d]
             here = have if len(next(iter(q))) == ngram and len(next(iter(a))) == ngram else have | _ngrams_of(w, {len(next(iter(q))), len(next(iter(a)))})
@@ -128,12 +179,14 @@ def _ngrams_of(w: list[str], sizes: set[int]) -> set[tuple[str, ...]]:
     return set().union(*(_ngrams(w, n) for n in sizes))
 
 
-def _indexes(benchmark: DataFrame, max_items: int) -> Iterator[list[tuple]]:
-    """The items in parts of about max_items, sorted."""
+def _indexes(benchmark: DataFrame, max_items: int, least: int) -> Iterator[tuple[list[tuple], Statistics]]:
+    """The items in parts of about max_items, sorted, each with the statistics of all items for its terms."""
+    stats = Statistics((r.text for r in benchmark.select("text").toLocalIterator()), least)
     cuts = max(1, -(-benchmark.count() // max_items))
     for c in range(cuts):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == c).select("item_id", "text")
-        yield sorted([(r.item_id, r.text) for r in some.collect()], key=lambda x: (x[0] is None, x[0], x[1] or ""))
+        items = sorted([(r.item_id, r.text) for r in some.collect()], key=lambda x: (x[0] is None, x[0], x[1] or ""))
+        yield items, stats.of(t for _, t in items)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:
@@ -143,10 +196,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 3
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     out = None
-    for items in _indexes(benchmark, max_items):
+    for items, stats in _indexes(benchmark, max_items, least):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(items, share, ngram, least)
+        def run(batches: Iterator[pa.RecordBatch], items=items, stats=stats) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items, share, ngram, least, window=window, stats=stats)
             for b in slices(batches):
                 rows = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in index.leaks(t, window, step, ngram, overlap)]
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, item_type), (2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))]
@@ -160,10 +213,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 3
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:
     """The rows of docs, all columns, that hold no test item."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for items in _indexes(benchmark, max_items):
+    for items, stats in _indexes(benchmark, max_items, least):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(items, share, ngram, least)
+        def run(batches: Iterator[pa.RecordBatch], items=items, stats=stats) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items, share, ngram, least, window=window, stats=stats)
             for b in slices(batches):
                 yield b.filter(pa.array([not index.leaks(t, window, step, ngram, overlap) for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -285,6 +285,18 @@ def test_leaks_brute_force(spark, odd):
     assert decontaminate.clean(docs(spark, rows), b).count() == 60 - len({i for i, _ in want})
 
 
+def test_long_and_short_items(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (200, 300, 3, 7, 20, 30)]
+    rows = [(i, " ".join([word() for _ in range(90 + i)] + x + [word() for _ in range(90)]), "en") for i, x in enumerate(items)]
+    rows.append((9, " ".join(items[2][:2] + [word()] + items[2][2:]), "en"))
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    one, cut = ({(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.leaks(docs(spark, rows), b, max_items=m).collect()} for m in (100, 2))
+    assert set(one) == {(i, i) for i in range(6)} and one == cut
+    assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), b).collect()] == [9]
+
+
 def test_search_is_exact():
     rnd = random.Random(9)
     items = [(i, " ".join(rnd.choice("abcdefghij") * 2 for _ in range(12))) for i in range(50)]
