@@ -184,11 +184,12 @@ def train(p: dict, docs: list[np.ndarray], start: int, width: int | None = None,
         g["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
         total, step = max(1, int(here.sum())), step + 1
         scale = 1 / total * min(1.0, 5.0 / (1e-9 + float(np.sqrt(sum((x / total * x / total).sum() for x in g.values()))))) if total else 0
+        own = rate * total / (window * doc.shape[1])  # the last lanes of long documents weigh by their symbols
         for k, x in g.items():
             x = x * F4(scale)
             m[k] += F4(0.1) * (x - m[k])
             v[k] += F4(0.01) * (x * x - v[k])
-            p[k] -= F4(rate) * (m[k] / F4(1 - 0.9**step)) / (np.sqrt(v[k] / F4(1 - 0.99**step)) + F4(1e-6))
+            p[k] -= F4(own) * (m[k] / F4(1 - 0.9**step)) / (np.sqrt(v[k] / F4(1 - 0.99**step)) + F4(1e-6))
     return p
 
 

@@ -7,8 +7,8 @@ by hash range, so a frequent token costs a range at most one entry a block, and
 of its own tokens. Blocks hold everything needed to score their documents.
 
 The model's symbols are the most frequent training tokens and one for all others; the others share their probability in
-proportion to their smoothed counts, so a document's score is the probability of its exact tokens. Training documents of
-one hash class in `train_share` are learned from whole, their state carried from window to window; every task trains from
+proportion to their smoothed counts, so a document's score is the probability of its exact tokens. All training documents
+(with a `train_share` over 1, those of one hash class) are learned from whole, their state carried from window to window; every task trains from
 the same start on its own documents and the parameters are averaged by their number of tokens, `rounds` times. What is
 gathered therefore grows with the corpus.
 
@@ -208,7 +208,7 @@ def learn(table: DataFrame, vocab: Vocabulary, hidden: int, classes: int, share:
     return params
 
 
-def score_documents(docs: DataFrame, symbols: int = 1024, hidden: int = 32, classes: int = 32, train_share: int = 10, rounds: int = 2, ranges: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, symbols: int = 1024, hidden: int = 32, classes: int = 32, train_share: int = 1, rounds: int = 2, ranges: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     held = crc_mod("doc_id", 10) == 0
     source = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(held, F.lit(False)).cast("byte").alias("held"), "text")

@@ -322,6 +322,19 @@ def test_base_scores(spark, odd):
     assert lmscore.score_documents(empty(spark)[0]).count() == 0
 
 
+def test_all_training_documents_are_learned_from(spark, odd, monkeypatch):
+    seen, real = [], lmscore.sample
+
+    def kept(*args):
+        out = real(*args)
+        seen.append(sum(len(r.lens) // 4 for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(lmscore, "sample", kept)
+    lmscore.score_documents(odd)
+    assert seen == [sum(r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in odd.collect())]
+
+
 def test_blocks_do_not_matter():
     p = gru.initial(np.arange(64, 0, -1.0), 8, 8)
     rng = np.random.default_rng(0)
