@@ -2,7 +2,7 @@
 
 A symbol's probability is that of its class times that of the symbol within the class; classes are equal slices of the
 symbols in order of frequency. The output biases start at the unigram distribution, so an untrained model equals it.
-Training is truncated backpropagation: windows follow each other along lanes of documents and the state is carried from
+Training is truncated backpropagation: windows follow each other along lanes of equal length and the state is carried from
 one window to the next; scoring carries it through the whole document. The state is zero where a document begins.
 """
 
@@ -66,13 +66,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _run(p: dict, inp: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of a window [time, lane]; h is the state before it and becomes the one after it."""
+    """States after each step of a window [time, lane]; h is the state before it, zero where a document begins."""
     n, u = h.shape[1], p["u"]
     gates = p["x"][inp] + p["b"]
-    out = np.empty((*inp.shape, n), F4)
+    out = np.empty((*inp.shape, n), u.dtype)
     for t in range(len(inp)):
         if fresh[t].any():
-            h = np.where(fresh[t][:, None], F4(0), h)
+            h = np.where(fresh[t][:, None], u.dtype.type(0), h)
         g = h @ u
         zr = _sigmoid(gates[t, :, : 2 * n] + g[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
@@ -136,60 +136,83 @@ def log_likelihood(p: dict, docs: list[np.ndarray], start: int, width: int = 256
     return out
 
 
-def train(p: dict, docs: list[np.ndarray], start: int, width: int | None = None, window: int = 20, rate: float = 6e-3) -> dict:
+def gradient(p: dict, inp: np.ndarray, tgt: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Loss (negative log-probability of all targets), its slopes by parameter, and the state after a window [time, lane].
+
+    Targets below 0 are padding. The state before the window counts as given: backpropagation is cut there.
+    """
+    n, kind = h.shape[1], p["u"].dtype
+    keep: list = []
+    states = _run(p, inp, fresh, h, keep)
+    here = np.flatnonzero((tgt >= 0).ravel())
+    g: dict[str, np.ndarray] = {}
+    logp, some = _outputs(p, states.reshape(-1, n)[here], tgt.ravel()[here], g)
+    dh = np.zeros((tgt.size, n), kind)
+    dh[here] = some
+    dh = dh.reshape(states.shape)
+    dgate, dstate, back = np.empty((*inp.shape, 3 * n), kind), np.empty((*inp.shape, n), kind), np.zeros_like(h)
+    for i in range(len(states) - 1, -1, -1):
+        before, z, r, c, gn = keep[i]
+        d = dh[i] + back
+        dc = d * (1 - z) * (1 - c * c)
+        own = dgate[i]
+        own[:, :n] = d * (before - c) * z * (1 - z)
+        own[:, n : 2 * n] = dc * gn * r * (1 - r)
+        own[:, 2 * n :] = dc
+        dstate[i] = dc * r
+        back = d * z + own[:, : 2 * n] @ p["u"][:, : 2 * n].T + dstate[i] @ p["u"][:, 2 * n :].T
+        back[fresh[i]] = 0
+    flat = dgate.reshape(-1, 3 * n)
+    past = np.stack([k[0] for k in keep]).reshape(-1, n)
+    g["u"] = past.T @ np.concatenate([flat[:, : 2 * n], dstate.reshape(-1, n)], axis=1)
+    g["b"] = flat.sum(axis=0)
+    g["x"] = np.zeros_like(p["x"])
+    ids = inp.ravel()
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    g["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+    return -float(logp.sum()), g, states[-1]
+
+
+def train(p: dict, docs: list[np.ndarray], start: int, width: int | None = None, window: int = 20, rate: float = 2.5e-2, done: float = 0.0, share: float = 1.0) -> dict:
     """One pass of truncated backpropagation with Adam over whole documents; returns new parameters.
 
-    Unless `width` says otherwise, there is a lane for every 4,000 symbols, 32 to 256 of them: enough steps on little text,
-    wide ones on much.
+    Documents lie end to end and the row is cut into lanes of one length, so every step has all lanes in use, however
+    long a document is; a document that a cut divides goes on in the next lane from a zero state. Unless `width` says
+    otherwise, there is a lane for every 2,000 symbols, 32 to 256 of them. The rate falls in a line to a twentieth over
+    the whole training, of which this pass is the `share` after `done`.
     """
-    width = width or min(256, max(32, sum(map(len, docs)) // 4000))
     p = {k: v.copy() for k, v in p.items()}
-    if not docs:
+    size = sum(map(len, docs))
+    if not size:
         return p
-    inp, tgt, doc, used = lanes(docs, start, width)
-    fresh = doc != np.vstack([np.full((1, doc.shape[1]), -2, np.int32), doc[:-1]])
-    n, step = p["u"].shape[0], 0
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    h = np.zeros((doc.shape[1], n), F4)
-    for t in range(0, len(inp), window):
-        b = int(used[t])
-        s = np.s_[t : t + window, :b]
-        keep: list = []
-        states = _run(p, inp[s], fresh[s], h[:b], keep)
-        h = states[-1]
-        here = (doc[s] >= 0).ravel()
-        g: dict[str, np.ndarray] = {}
-        _, some = _outputs(p, states.reshape(-1, n)[here], tgt[s].ravel()[here], g)
-        dh = np.zeros((states.shape[0] * b, n), F4)
-        dh[here] = some
-        dh = dh.reshape(states.shape)
-        dgate, du, back = np.empty((*inp[s].shape, 3 * n), F4), np.zeros_like(p["u"]), np.zeros((b, n), F4)
-        for i in range(len(states) - 1, -1, -1):
-            before, z, r, c, gn = keep[i]
-            d = dh[i] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            dgate[i] = np.concatenate([dz, dr, dc], axis=1)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            du += before.T @ dg
-            back = d * z + dg @ p["u"].T
-            back[fresh[t + i, :b]] = 0
-        flat = dgate.reshape(-1, 3 * n)
-        g["u"], g["b"] = du, flat.sum(axis=0)
-        g["x"] = np.zeros_like(p["x"])
-        ids = inp[s].ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        g["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
-        total, step = max(1, int(here.sum())), step + 1
-        scale = 1 / total * min(1.0, 5.0 / (1e-9 + float(np.sqrt(sum((x / total * x / total).sum() for x in g.values()))))) if total else 0
-        own = rate * total / (window * doc.shape[1])  # the last lanes of long documents weigh by their symbols
-        for k, x in g.items():
-            x = x * F4(scale)
-            m[k] += F4(0.1) * (x - m[k])
-            v[k] += F4(0.01) * (x * x - v[k])
-            p[k] -= F4(own) * (m[k] / F4(1 - 0.9**step)) / (np.sqrt(v[k] / F4(1 - 0.99**step)) + F4(1e-6))
+    width = max(1, min(width or min(256, max(32, size // 2000)), size))
+    length = -(-size // width)
+    tgt = np.full(width * length, -1, np.int32)
+    tgt[:size] = np.concatenate(docs)
+    inp, fresh = np.roll(tgt, 1), np.zeros(len(tgt), bool)
+    starts = np.cumsum([0, *map(len, docs)])
+    fresh[starts[starts < size]] = True
+    inp[fresh | (inp < 0)] = start
+    inp, tgt, fresh = (np.ascontiguousarray(x.reshape(width, length).T) for x in (inp, tgt, fresh))
+    names = sorted(p)
+    flat = np.concatenate([p[k].ravel() for k in names])  # one row of parameters, of which p holds views
+    at = 0
+    for k in names:
+        p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+    m, v, h, step = np.zeros_like(flat), np.zeros_like(flat), np.zeros((width, p["u"].shape[0]), F4), 0
+    for t in range(0, length, window):
+        s = np.s_[t : t + window]
+        _, g, h = gradient(p, inp[s], tgt[s], fresh[s], h)
+        x = np.concatenate([g[k].ravel() for k in names]) * F4(1 / max(1, int((tgt[s] >= 0).sum())))
+        x *= F4(min(1.0, 1.0 / (1e-9 + float(np.sqrt(x @ x)))))
+        step += 1
+        part = len(tgt[s]) / window  # the last window may be short
+        own = rate * part * (1 - 0.95 * (done + share * t / length))
+        m += F4(0.1) * (x - m)
+        v += F4(0.01) * (x * x - v)
+        flat -= F4(own / (1 - 0.9**step)) * m / (np.sqrt(v * F4(1 / (1 - 0.99**step))) + F4(1e-6))
     return p
 
 

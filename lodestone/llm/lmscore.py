@@ -2,18 +2,18 @@
 
 Tokens are the words of the lower-cased text and one end token. The text is read once: each task cuts its documents into
 blocks and writes, for each block, the distinct tokens (as 64-bit hashes in ascending order), how often each occurs in
-training documents, and the documents as sequences of places in that list. Counts of the whole corpus are then added up
-by hash range, so a frequent token costs a range at most one entry a block, and every range sends each block the counts
-of its own tokens. Blocks hold everything needed to score their documents.
+training documents, and the documents as sequences of places in that list. Counts of the whole corpus are added up by
+hash. The counts of common tokens, of which there can be no more than a parameter says, are sent to all tasks; a block
+gets those of its rare tokens by a join. Blocks then hold everything needed to score their documents.
 
 The model's symbols are the most frequent training tokens and one for all others; the others share their probability in
 proportion to their smoothed counts, so a document's score is the probability of its exact tokens. All training documents
-(with a `train_share` over 1, those of one hash class) are learned from whole, their state carried from window to window; every task trains from
-the same start on its own documents and the parameters are averaged by their number of tokens, `rounds` times. What is
-gathered therefore grows with the corpus.
+are learned from whole, their state carried from window to window. They are dealt to shards by a hash of id and text, so
+the model does not depend on the layout of the table; every shard trains from the same start and the parameters are
+averaged by their number of tokens, `rounds` times. What is gathered therefore grows with the corpus.
 
 Cases: null and empty texts are one end token; with no training document all counts are zero and the base is that of an
-empty corpus; a null doc_id counts as training and has held_out null; repeated rows count as often as they occur; further
+empty corpus; very long texts are learned from and scored whole, in windows; a null doc_id counts as training and has held_out null; repeated rows count as often as they occur; further
 columns are ignored. Two different tokens with one 64-bit hash would share their counts.
 """
 
@@ -82,41 +82,28 @@ def blocks(docs: DataFrame, tokens: int = 1_500_000) -> DataFrame:
     return docs.select("row", "held", "text").mapInArrow(run, BLOCK)
 
 
-def range_counts(table: DataFrame, ranges: int, top: int) -> DataFrame:
-    """Per range and block the corpus counts of the block's tokens in order of hash; rows with block -1 sum up a range."""
+def token_counts(table: DataFrame) -> DataFrame:
+    """(h, n) of every distinct training token; blocks are summed up before the shuffle."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                hashes = np.frombuffer(b.column("hashes")[i].as_py(), np.uint64)
-                counts = np.frombuffer(b.column("counts")[i].as_py(), np.int32)
-                cut = np.searchsorted(hashes, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64))
-                cut = [0, *cut.tolist(), len(hashes)]
-                own = [r for r in range(ranges) if cut[r + 1] > cut[r]]
-                yield pa.record_batch(
-                    [pa.array(own, pa.int32()), pa.array([b.column("block")[i].as_py()] * len(own), pa.int64()), pa.array([hashes[cut[r] : cut[r + 1]].tobytes() for r in own], pa.binary()), pa.array([counts[cut[r] : cut[r + 1]].tobytes() for r in own], pa.binary())],
-                    names=["r", "block", "hashes", "counts"],
-                )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
-        keys, at = np.unique(hashes, return_inverse=True)
-        total = np.bincount(at, counts).astype(np.int64)
-        back, start = [], 0
-        for x in pdf["hashes"]:
-            n = len(x) // 8
-            back.append(total[at[start : start + n]].tobytes())
-            start += n
-        r = int(pdf["r"].iloc[0])
-        best = np.lexsort((keys, -total))[:top]
-        best = best[total[best] > 0]
-        rows = pd.DataFrame({"r": r, "block": pdf["block"], "c": back, "n": 0, "v": 0, "top": None})
-        one = pd.DataFrame({"r": [r], "block": [-1], "c": [keys[best].tobytes()], "n": [int(total.sum())], "v": [int((total > 0).sum())], "top": [total[best].tobytes()]})
-        return pd.concat([rows, one], ignore_index=True)
-
-    parts = table.select("block", "hashes", "counts").mapInArrow(split, "r int, block long, hashes binary, counts binary")
-    return parts.groupBy("r").applyInPandas(add, "r int, block long, c binary, n long, v long, top binary")
+            for hashes, counts in zip(b.column("hashes").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                h, n = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int32)
+                yield pa.record_batch([pa.array(h[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["h", "n"])
+
+    return table.select("hashes", "counts").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def rare_counts(table: DataFrame, counts: DataFrame, common: np.ndarray) -> DataFrame:
+    """(block, h, n): the corpus counts of the tokens of each block but the common ones (hashes in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, hashes in zip(b.column("block").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                h = np.setdiff1d(np.frombuffer(hashes, np.uint64), common, assume_unique=True).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(h), block)), pa.array(h)], names=["block", "h"])
+
+    return table.select("block", "hashes").mapInArrow(run, "block long, h long").join(counts, "h")
 
 
 class Vocabulary:
@@ -144,21 +131,23 @@ class Vocabulary:
         return np.where(self.keys[at] == hashes, self.symbol[at], self.unknown).astype(np.int32)
 
 
-def sample(table: DataFrame, vocab: Vocabulary, share: int) -> DataFrame:
-    """Training documents of one hash class in `share`, as symbols: (block, lens, syms)."""
+def sample(table: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
+    """All training documents as symbols: (shard, o, syms). Shard and order come from id and text, not from the layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                get = lambda c, t: np.frombuffer(b.column(c)[i].as_py(), t)  # noqa: B023, E731
-                lens, held, ids = get("lens", np.int32), get("held", np.int8), get("ids", np.int64)
-                mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                take = (held == 0) & (mixed % np.uint64(share) == 0)
-                if take.any():
-                    syms = vocab.symbols(get("hashes", np.uint64)).astype(np.uint16)[get("seq", np.int32)[np.repeat(take, lens)]]
-                    yield pa.record_batch([pa.array([b.column("block")[i].as_py()], pa.int64()), pa.array([lens[take].tobytes()], pa.binary()), pa.array([syms.tobytes()], pa.binary())], names=["block", "lens", "syms"])
+            for ids, held, lens, seq, hashes in zip(*(b.column(c).to_pylist() for c in ("ids", "held", "lens", "seq", "hashes")), strict=True):
+                symbols = vocab.symbols(np.frombuffer(hashes, np.uint64)).astype(np.uint16)[np.frombuffer(seq, np.int32)]
+                rows = []
+                for i, hold, syms in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(held, np.int8).tolist(), _docs(lens, symbols), strict=True):
+                    if not hold:
+                        raw = syms.tobytes()
+                        rows.append((xxhash.xxh64_intdigest(raw, seed=i & 0xFFFFFFFF) >> 1, raw))
+                for k in range(0, len(rows), 2000):
+                    o = np.array([x for x, _ in rows[k : k + 2000]], np.int64)
+                    yield pa.record_batch([pa.array((o % shards).astype(np.int32)), pa.array(o), pa.array([x for _, x in rows[k : k + 2000]], pa.binary())], names=["shard", "o", "syms"])
 
-    return table.select("block", "ids", "held", "lens", "seq", "hashes").mapInArrow(run, "block long, lens binary, syms binary")
+    return table.select("ids", "held", "lens", "seq", "hashes").mapInArrow(run, "shard int, o long, syms binary")
 
 
 def _docs(lens: bytes, syms: np.ndarray) -> list[np.ndarray]:
@@ -175,63 +164,87 @@ def average(models: DataFrame, fan: int = 16) -> tuple[np.ndarray, float]:
     models = written(models, "models")
     while (n := models.count()) > fan:
         groups = -(-n // fan)
-        models = written(models.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups))).groupBy("g").applyInPandas(mean, "p binary, w double"), "models")
-    rows = models.collect()
+        fewer = written(models.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups))).groupBy("g").applyInPandas(mean, "p binary, w double"), "models")
+        discard(models)
+        models = fewer
+    rows = sorted(models.collect(), key=lambda r: r.p)
+    discard(models)
     total = sum(r.w for r in rows)
     return (sum(np.frombuffer(r.p, np.float64) * r.w for r in rows) / total, total) if total else (np.empty(0), 0.0)
 
 
-def learn(table: DataFrame, vocab: Vocabulary, hidden: int, classes: int, share: int, rounds: int) -> dict:
-    """Model parameters, averaged over the tasks' own training."""
+def learn(table: DataFrame, vocab: Vocabulary, hidden: int, classes: int, rounds: int, shard_tokens: int) -> dict:
+    """Model parameters: every shard of about shard_tokens tokens trains on all its documents, the shards are averaged."""
     params = gru.initial(vocab.freq, hidden, classes)
-    some = written(sample(table, vocab, share), "sample")
-    for _ in range(rounds):
+    shards = max(1, -(-vocab.n // shard_tokens))
+    for k in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], params=params, k=k) -> Iterator[pa.RecordBatch]:
+            own, held, size, shard, weight = params, [], 0, None, 0
+
+            def fit(own: dict) -> dict:
+                return gru.train(own, held, vocab.end, done=k / rounds, share=1 / rounds)
+
+            def send() -> pa.RecordBatch:
+                flat = np.frombuffer(gru.packed(own), np.float32).astype(np.float64)
+                return pa.record_batch([pa.array([flat.tobytes()], pa.binary()), pa.array([float(weight)])], names=["p", "w"])
 
-        def run(batches: Iterator[pa.RecordBatch], params=params) -> Iterator[pa.RecordBatch]:
-            own, weight, held, size = params, 0, [], 0
             for b in batches:
-                for lens, syms in zip(b.column("lens").to_pylist(), b.column("syms").to_pylist(), strict=True):
-                    held += _docs(lens, np.frombuffer(syms, np.uint16))
-                    size, weight = size + len(syms) // 2, weight + len(syms) // 2
-                    if size > 2_000_000:  # blocks go together, so that the lanes are wide
-                        own, held, size = gru.train(own, held, vocab.end), [], 0
-            own = gru.train(own, held, vocab.end)
+                for s, syms in zip(b.column("shard").to_pylist(), b.column("syms").to_pylist(), strict=True):
+                    if s != shard and weight:
+                        own = fit(own)
+                        yield send()
+                        own, held, size, weight = params, [], 0, 0
+                    shard = s
+                    held.append(np.frombuffer(syms, np.uint16))
+                    size, weight = size + len(held[-1]), weight + len(held[-1])
+                    if size > 4 * shard_tokens:  # a shard that very many equal rows swell goes through in parts
+                        own, held, size = fit(own), [], 0
             if weight:
-                flat = np.frombuffer(gru.packed(own), np.float32).astype(np.float64)
-                yield pa.record_batch([pa.array([flat.tobytes()], pa.binary()), pa.array([float(weight)])], names=["p", "w"])
+                own = fit(own)
+                yield send()
 
-        flat, total = average(some.select("lens", "syms").mapInArrow(run, "p binary, w double"))
+        dealt = sample(table, vocab, shards).repartition(shards, "shard").sortWithinPartitions("shard", "o")
+        flat, total = average(dealt.select("shard", "syms").mapInArrow(run, "p binary, w double"))
         if not total:
             break
         params = gru.unpacked(flat, params)
-    discard(some)
     return params
 
 
-def score_documents(docs: DataFrame, symbols: int = 1024, hidden: int = 32, classes: int = 32, train_share: int = 1, rounds: int = 2, ranges: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score_documents(docs: DataFrame, symbols: int = 1024, hidden: int = 32, classes: int = 32, rounds: int = 2, shard_tokens: int = 2_000_000, common_share: int = 65_536) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Tokens that make up at least one in common_share of all training tokens are common: there are at most so many.
+    """
     held = crc_mod("doc_id", 10) == 0
     source = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(held, F.lit(False)).cast("byte").alias("held"), "text")
     table = written(blocks(source.withColumn("row", F.coalesce("row", F.lit(NO_ID)))), "blocks")
-    ranges = ranges or max(48, table.count() // 4)  # a range then holds a few blocks' worth of tokens, however many blocks
-    counts = written(range_counts(table, ranges, symbols - 2), "range_counts")
-    totals = counts.filter("block = -1").select(F.sum("n"), F.sum("v")).first()
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, total in zip(b.column("c").to_pylist(), b.column("top").to_pylist(), strict=True):
-                yield pa.record_batch([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(total, np.int64))], names=["h", "c"])
-
-    best = counts.filter("block = -1").select("c", "top").mapInArrow(lay, "h long, c long").orderBy(F.desc("c"), "h").limit(symbols - 2).collect()
-    vocab = Vocabulary(np.array([b.h for b in best], np.int64).view(np.uint64), np.array([b.c for b in best], np.int64), totals[0] or 0, totals[1] or 0, symbols, classes)
-    params = learn(table, vocab, hidden, classes, train_share, rounds)
+    counts = written(token_counts(table), "token_counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    common = sorted(((r.n, r.h & (1 << 64) - 1) for r in counts.filter(F.col("n") * common_share >= n).collect()), key=lambda x: (-x[0], x[1]))  # at most common_share
+    best = common[: symbols - 2]
+    vocab = Vocabulary(np.array([h for _, h in best], np.uint64), np.array([c for c, _ in best], np.int64), n, v, symbols, classes)
+    by_hash = sorted((h, c) for c, h in common)
+    keys, known = np.array([h for h, _ in by_hash], np.uint64), np.array([c for _, c in by_hash], np.int64)
+    params = learn(table, vocab, hidden, classes, rounds, shard_tokens)
+
+    def looked_up(hashes: np.ndarray, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, known[at], 0)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in right.sort_values("r")["c"]]) if len(right) else np.empty(0, np.int64)
+        rare = right["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(rare)
+        rare, often = rare[order], right["n"].to_numpy(np.int64)[order]
         for row in left.itertuples():
+            hashes = np.frombuffer(row.hashes, np.uint64)
+            c = looked_up(hashes, keys, known) + looked_up(hashes, rare, often)
             seq, lens = np.frombuffer(row.seq, np.int32), np.frombuffer(row.lens, np.int32)
-            sym = vocab.symbols(np.frombuffer(row.hashes, np.uint64))
+            sym = vocab.symbols(hashes)
             doc = np.repeat(np.arange(len(lens)), lens)
             add = lambda v, doc=doc, seq=seq, lens=lens: np.bincount(doc, v[seq], len(lens))
             base = np.log10(c + 0.1) - vocab.base
@@ -241,8 +254,7 @@ def score_documents(docs: DataFrame, symbols: int = 1024, hidden: int = 32, clas
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: [] for k in ("row", "held", "n_tokens", "n_known", "base_score", "score")})
 
     left = table.select("block", "ids", "held", "lens", "seq", "hashes").groupBy("block")
-    right = counts.filter("block >= 0").select("block", "r", "c").groupBy("block")
+    right = rare_counts(table, counts, keys).select("block", "h", "n").groupBy("block")
     done = left.cogroup(right).applyInPandas(finish, "row long, held boolean, n_tokens long, n_known long, base_score double, score double")
     doc_id = F.when(F.col("row") != NO_ID, F.col("row"))
     return done.select(doc_id.alias("doc_id"), F.when(doc_id.isNotNull(), F.col("held")).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
-

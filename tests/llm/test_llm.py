@@ -327,12 +327,43 @@ def test_all_training_documents_are_learned_from(spark, odd, monkeypatch):
 
     def kept(*args):
         out = real(*args)
-        seen.append(sum(len(r.lens) // 4 for r in out.collect()))
+        seen.append(out.count())
         return out
 
     monkeypatch.setattr(lmscore, "sample", kept)
     lmscore.score_documents(odd)
-    assert seen == [sum(r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in odd.collect())]
+    assert seen == 2 * [sum(r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in odd.collect())]
+
+
+def test_rare_and_common_tokens(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(60)), "en") for i in range(60)]
+    one, two = ({r.doc_id: (round(r.base_score, 6), r.n_known) for r in lmscore.score_documents(docs(spark, rows), common_share=m).collect()} for m in (4, 65_536))
+    assert one == two
+
+
+def test_layout_does_not_matter(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in lmscore.score_documents(d.repartition(n), shard_tokens=20_000).collect()} for n in (1, 16))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-3 for i in one)
+
+
+def test_one_very_long_document(spark):
+    rnd = random.Random(7)
+    word = lambda: rnd.choice(["ka", "lo", "mi", "ne"]) + rnd.choice("xyz")
+
+    def text(n):  # every second word follows from the one before it
+        out = []
+        for _ in range(n // 2):
+            w = word()
+            out += [w, w[::-1]]
+        return " ".join(out)
+
+    rows = [(i, text(rnd.randint(20, 80)), "en") for i in range(200)]
+    long_ = (1000, " ".join("zu" + str(i % 50) for i in range(20_000)), "en")
+    for some in (rows, [*rows, long_]):
+        r = lmscore.score_documents(docs(spark, some)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert r[0] > 0.9 * r[1]
 
 
 def test_blocks_do_not_matter():
@@ -347,15 +378,31 @@ def test_blocks_do_not_matter():
 
 
 def test_gradient():
-    p = {k: v.astype(np.float64) for k, v in gru.initial(np.arange(16, 0, -1.0), 4, 4).items()}
-    d = [np.array([3, 1, 5, 15, 2, 8], np.int32)] * 3
-    better = gru.log_likelihood(gru.train(gru.initial(np.arange(16, 0, -1.0), 4, 4), d * 40, 0, width=4), d, 0).sum()
-    assert better > gru.log_likelihood(p, d, 0).sum()
-
-
-def test_model_beats_base(spark):
-    r = QUERIES["op9_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > r[1]
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in gru.initial(np.arange(16, 0, -1.0), 4, 4).items()}
+    inp, tgt, fresh = rng.integers(0, 16, (6, 3)), rng.integers(0, 16, (6, 3)), rng.random((6, 3)) < 0.2
+    tgt[4:, 2] = -1
+    h = rng.standard_normal((3, 4))
+    _, g, _ = gru.gradient(p, inp, tgt, fresh, h)
+    for k in p:
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in p[k].shape)
+            was, got = p[k][at], []
+            for e in (1e-5, -1e-5):
+                p[k][at] = was + e
+                got.append(gru.gradient(p, inp, tgt, fresh, h)[0])
+            p[k][at] = was
+            assert abs((got[0] - got[1]) / 2e-5 - g[k][at]) < 1e-6
+
+
+def test_more_documents_are_better(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    ratio = []
+    for m in (10, 2, 1):
+        r = lmscore.score_documents(d.filter((F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0) | held)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        ratio.append(r[0] / r[1])
+    assert 1 > ratio[0] > ratio[1] > ratio[2] and ratio[2] < 0.95
 
 
 # op10
