@@ -61,59 +61,74 @@ def lanes(docs: list[np.ndarray], start: int, width: int) -> tuple[np.ndarray, n
     return inp, tgt, doc, np.searchsorted(-size[order], -np.arange(t), side="left")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _run(p: dict, inp: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+def _run(p: dict, inp: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """States after each step of a window [time, lane]; h is the state before it, zero where a document begins."""
     n, u = h.shape[1], p["u"]
-    gates = p["x"][inp] + p["b"]
+    gates = p["x"][inp]
+    gates += p["b"]
     out = np.empty((*inp.shape, n), u.dtype)
+    if keep is not None:
+        keep |= {k: np.empty_like(out) for k in ("before", "c", "gn")}
+    begins = fresh.any(axis=1).tolist()
     for t in range(len(inp)):
-        if fresh[t].any():
+        if begins[t]:
             h = np.where(fresh[t][:, None], u.dtype.type(0), h)
         g = h @ u
-        zr = _sigmoid(gates[t, :, : 2 * n] + g[:, : 2 * n])
+        zr = gates[t, :, : 2 * n]
+        zr += g[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)  # the gates are kept where their inputs were
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gates[t, :, 2 * n :] + r * g[:, 2 * n :])
-        out[t] = c + z * (h - c)
+        c = r * g[:, 2 * n :]
+        c += gates[t, :, 2 * n :]
+        np.tanh(c, out=c)
         if keep is not None:
-            keep.append((h, z, r, c, g[:, 2 * n :]))
-        h = out[t]
+            keep["before"][t], keep["c"][t], keep["gn"][t] = h, c, g[:, 2 * n :]
+        h = np.subtract(h, c, out=out[t])
+        h *= z
+        h += c
+    if keep is not None:
+        keep["z"], keep["r"] = gates[:, :, :n], gates[:, :, n : 2 * n]
     return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Over the first axis, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def _outputs(p: dict, h: np.ndarray, tgt: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of each target given its state; with grads, also the loss's slope by state."""
-    size = p["bo"].shape[1]
-    cls, sub = tgt // size, tgt % size
-    rows = np.arange(len(tgt))
-    pc = _softmax(h @ p["wc"] + p["bc"])
-    logp = np.log(pc[rows, cls])
-    dh = None
-    if grads is not None:
-        pc[rows, cls] -= 1
-        grads["wc"], grads["bc"] = h.T @ pc, pc.sum(axis=0)
-        dh = pc @ p["wc"].T
-        grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(len(p["bc"]) + 1))
-    for c in range(len(p["bc"])):
-        i = order[cut[c] : cut[c + 1]]
-        if len(i):
-            hi, k = h[i], np.arange(len(i))
-            po = _softmax(hi @ p["wo"][c] + p["bo"][c])
-            logp[i] += np.log(po[k, sub[i]])
-            if grads is not None:
-                po[k, sub[i]] -= 1
-                grads["wo"][c], grads["bo"][c] = hi.T @ po, po.sum(axis=0)
-                dh[i] += po @ p["wo"][c].T
+    size, classes = p["bo"].shape[1], len(p["bc"])
+    order = np.argsort((tgt // size).astype(np.uint16 if classes < 1 << 16 else np.int64), kind="stable")
+    cls, sub = np.divmod(tgt[order], size)
+    cut = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    spans = [(c, slice(cut[c], cut[c + 1])) for c in range(classes) if cut[c] < cut[c + 1]]
+    hs, rows = np.ascontiguousarray(h[order].T), np.arange(len(tgt))
+    pc = _softmax(p["wc"].T @ hs + p["bc"][:, None])
+    po = np.empty((size, len(tgt)), h.dtype)
+    for c, s in spans:
+        np.add(p["wo"][c].T @ hs[:, s], p["bo"][c][:, None], out=po[:, s])
+    po = _softmax(po)
+    logp = np.empty(len(tgt), h.dtype)
+    logp[order] = np.log(pc[cls, rows]) + np.log(po[sub, rows])
+    if grads is None:
+        return logp, None
+    pc[cls, rows] -= 1
+    po[sub, rows] -= 1
+    grads["wc"], grads["bc"] = hs @ pc.T, pc.sum(axis=1)
+    grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
+    ds = p["wc"] @ pc
+    for c, s in spans:
+        grads["wo"][c], grads["bo"][c] = hs[:, s] @ po[:, s].T, po[:, s].sum(axis=1)
+        ds[:, s] += p["wo"][c] @ po[:, s]
+    dh = np.empty_like(h)
+    dh[order] = ds.T
     return logp, dh
 
 
@@ -142,7 +157,7 @@ def gradient(p: dict, inp: np.ndarray, tgt: np.ndarray, fresh: np.ndarray, h: np
     Targets below 0 are padding. The state before the window counts as given: backpropagation is cut there.
     """
     n, kind = h.shape[1], p["u"].dtype
-    keep: list = []
+    keep: dict = {}
     states = _run(p, inp, fresh, h, keep)
     here = np.flatnonzero((tgt >= 0).ravel())
     g: dict[str, np.ndarray] = {}
@@ -150,25 +165,29 @@ def gradient(p: dict, inp: np.ndarray, tgt: np.ndarray, fresh: np.ndarray, h: np
     dh = np.zeros((tgt.size, n), kind)
     dh[here] = some
     dh = dh.reshape(states.shape)
-    dgate, dstate, back = np.empty((*inp.shape, 3 * n), kind), np.empty((*inp.shape, n), kind), np.zeros_like(h)
+    z, r, c, before = keep["z"], keep["r"], keep["c"], keep["before"]
+    slope = np.empty((*inp.shape, 3 * n), kind)  # of the gates' inputs and of the candidate's, by that of the state
+    slope[..., :n] = (before - c) * z * (1 - z)
+    dc = (1 - z) * (1 - c * c)
+    slope[..., n : 2 * n] = dc * keep["gn"] * r * (1 - r)
+    slope[..., 2 * n :] = dc * r
+    slope, back, ut = slope.reshape(*inp.shape, 3, n), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+    begins = fresh.any(axis=1).tolist()
     for i in range(len(states) - 1, -1, -1):
-        before, z, r, c, gn = keep[i]
-        d = dh[i] + back
-        dc = d * (1 - z) * (1 - c * c)
-        own = dgate[i]
-        own[:, :n] = d * (before - c) * z * (1 - z)
-        own[:, n : 2 * n] = dc * gn * r * (1 - r)
-        own[:, 2 * n :] = dc
-        dstate[i] = dc * r
-        back = d * z + own[:, : 2 * n] @ p["u"][:, : 2 * n].T + dstate[i] @ p["u"][:, 2 * n :].T
-        back[fresh[i]] = 0
-    flat = dgate.reshape(-1, 3 * n)
-    past = np.stack([k[0] for k in keep]).reshape(-1, n)
-    g["u"] = past.T @ np.concatenate([flat[:, : 2 * n], dstate.reshape(-1, n)], axis=1)
+        back += dh[i]
+        dc[i] *= back
+        slope[i] *= back[:, None]
+        back *= z[i]
+        back += slope[i].reshape(-1, 3 * n) @ ut
+        if begins[i]:
+            back[fresh[i]] = 0
+    flat = slope.reshape(-1, 3 * n)
+    g["u"] = before.reshape(-1, n).T @ flat
+    flat[:, 2 * n :] = dc.reshape(-1, n)
     g["b"] = flat.sum(axis=0)
     g["x"] = np.zeros_like(p["x"])
     ids = inp.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16 if len(p["x"]) <= 1 << 16 else np.int64), kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
     g["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
     return -float(logp.sum()), g, states[-1]
