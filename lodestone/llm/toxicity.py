@@ -1,19 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased runs of letters. The vector space has the terms that go with the label beyond chance (likelihood
-ratio of document frequencies, with a threshold that grows with the number of terms tried). Inverse document frequencies
-count every document. Examples are at most `max_rows` labelled rows in the order of a hash of their id, so the index is
-bounded and can be sent to every task.
-
-The index keeps postings by term, cut in blocks of examples with the greatest weight of each block. A query adds up its
-terms' block maxima, opens blocks from the best bound down, and stops when no bound exceeds the k-th cosine, so
-neighbours are exact; ties go to the smaller example id. Their labels vote with the cosine as weight. Votes are
-calibrated by an isotonic fit on the examples' own leave-one-out votes; documents that share no term with any example
-get the rate of the examples without neighbours.
-
-Cases: null and empty texts have no term and get that rate; without labelled rows every score is 0.1; repeated rows are
-scored alike; several labels of one document count as their rounded mean, and of several texts of one
-labelled id the smallest is an example; further columns are ignored.
+Terms are lower-cased runs of letters; every term of the examples is in the vector space. A term weighs (1 + ln tf) times
+its inverse document frequency over all documents; terms that go with either label beyond chance weigh more, by one plus
+the root of the likelihood ratio of their document frequencies, if that passes a threshold that grows with the number of
+terms tried. (By plain TF-IDF, neighbours share the topic rather than the label; the README has the figures.)
+
+Examples are labelled rows in the order of a hash of their id, at most `max_rows` of them and at most `max_postings`
+distinct terms in all, so the index is bounded and can be sent to every task. It keeps postings by term and, for terms with
+long postings, the greatest weight in each block of examples; examples with like terms share a block. A query adds up the
+short postings, bounds the rest by block maxima, and scores exactly those examples whose bound reaches the k-th cosine,
+so neighbours are exact; ties go to the smaller example id. Terms that no example has scale all cosines of a query alike.
+
+Neighbours vote with their cosine as weight. Votes are calibrated by an isotonic fit, with straight lines between its
+steps, on the examples' own leave-one-out votes; texts that share no term with any example get the smoothed rate of the
+examples without neighbours.
+
+Cases: null and empty texts have no term and get that rate; without labelled rows every score is 0.1; very long texts are
+counted whole; repeated rows are scored alike; several labels of one document count as their rounded mean, and of several
+texts of one labelled id the smallest is an example; a null doc_id has no label and held_out null; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, slices, written
+from lodestone.llm.common import crc_mod, discard, slices, written
 from lodestone.llm.quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,173 +45,242 @@ def terms(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _example_terms(examples: DataFrame) -> DataFrame:
+def _coded(index: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers of the known terms of a text and how often each occurs."""
+    own = terms(text)
+    i, tf = np.unique(np.fromiter(map(index.get, own, repeat(-1)), np.int32, len(own)), return_counts=True)
+    known = int(np.searchsorted(i, 0))
+    return i[known:], tf[known:].astype(np.int32)
+
+
+def coded(rows: DataFrame, keep: list[str], vocab: list[str]) -> DataFrame:
+    """The columns of `keep` with ids binary and tf binary (32-bit numbers) of every row's whole text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([sorted(set(terms(t))) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "y", "terms"])
+        index = {t: i for i, t in enumerate(vocab)}
+        for b in slices(batches, 500):
+            own = [_coded(index, t) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([*(b.column(c) for c in keep), *(pa.array([x[c].tobytes() for x in own], pa.binary()) for c in (0, 1))], names=[*keep, "ids", "tf"])
 
-    kind = examples.schema["doc_id"].dataType.simpleString()
-    return examples.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, terms array<string>")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(*keep, "text").mapInArrow(run, kinds + "ids binary, tf binary")
 
 
-def vocabulary(examples: DataFrame, size: int = 256) -> list[str]:
-    """Terms of the space: those that go with label 1, strongest first."""
-    rows = _example_terms(examples)
-    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not 0 < pos < n:
-        return []
-    df = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("hit"))
-    bar = 2 * math.log(100 * max(1, df.count()))
+def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All terms of the examples (doc_id, text, y), the most frequent first, in how many of them each occurs, and with label 1."""
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            own = [set(terms(t)) for t in b.column("text").to_pylist()]
+            y = np.repeat(np.array(b.column("y").to_pylist(), np.int32), [len(s) for s in own])
+            yield pa.record_batch([pa.array([t for s in own for t in s], pa.string()), pa.array(y)], names=["term", "y"])
 
-    a, m, rate = F.col("hit"), F.col("df"), pos / n
-    llr = 2 * (part(a, m * rate) + part(m - a, m * (1 - rate)) + part(pos - a, (n - m) * rate) + part((n - pos) - (m - a), (n - m) * (1 - rate)))
-    found = df.filter(a > m * rate).withColumn("llr", llr).orderBy(F.desc("llr"), "term").limit(size).collect()
-    return [x.term for x in found if x.llr > bar] or [x.term for x in found[:8]]
+    df = examples.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("hit"))
+    got = df.toPandas().sort_values(["df", "term"], ascending=[False, True])  # at most max_postings rows
+    return got["term"].tolist(), got["df"].to_numpy(np.int64), got["hit"].to_numpy(np.int64)
 
 
-def term_counts(docs: DataFrame, vocab: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (default doc_id) with ids array, tf array of every row over its whole text; ids ascend."""
-    keep = keep or ["doc_id"]
+def document_frequencies(counts: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
+    """Number of coded rows, and in how many each term occurs; a task sends one number a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {t: i for i, t in enumerate(vocab)}
-        for b in slices(batches):
-            ids, tfs = [], []
-            for t in b.column("text").to_pylist():
-                found = sorted(Counter(map(index.__getitem__, filter(index.__contains__, terms(t)))).items())
-                ids.append([i for i, _ in found])
-                tfs.append([n for _, n in found])
-            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=[*keep, "ids", "tf"])
+        n, df = 0, np.zeros(n_terms, np.int64)
+        for b in batches:
+            n += b.num_rows
+            df += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.int32), minlength=n_terms)
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], names=["t", "n"])
+
+    got = counts.select("ids").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    t, n = got["t"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    out = np.zeros(n_terms, np.int64)
+    out[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), out
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, ids array<int>, tf array<int>")
 
+def relevance(df: np.ndarray, hit: np.ndarray, pos: int, n: int) -> np.ndarray:
+    """1, or 1 + the root of the likelihood ratio for terms (in df of n examples, hit of the pos ones) that go with a label beyond chance."""
+    rate, bar = pos / n if n else 0.0, 2 * math.log(100 * max(1, len(df)))
 
-def weights(ids: list[int], tf: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector."""
-    i = np.array(ids, np.int64)
-    w = (1 + np.log(np.array(tf, float))) * idf[i]
-    return i, w / np.sqrt((w * w).sum())
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+
+    llr = 2 * (part(hit, df * rate) + part(df - hit, df * (1 - rate)) + part(pos - hit, (n - df) * rate) + part((n - pos) - (df - hit), (n - df) * (1 - rate)))
+    return np.where(llr > bar, 1 + np.sqrt(np.maximum(llr, 0)), 1.0)
+
+
+def weights(i: np.ndarray, tf: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Unit vector over the terms i."""
+    w = (1 + np.log(tf)) * value[i]
+    return w / np.sqrt(w @ w) if len(w) else w
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples; those with like terms share a block, those with none have no place."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
-        self.names = np.array(sorted((d for d, (i, _) in enumerate(vectors) if len(i)), key=lambda d: (vectors[d][0].tolist(), vectors[d][1].tolist(), d)), np.int64)
-        vectors = [vectors[d] for d in self.names]
-        self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for d, (i, w) in enumerate(vectors):
-            for t, x in zip(i, w, strict=True):
-                lists[t].append((d, x))
-        self.doc = [np.array([d for d, _ in x], np.int64) for x in lists]
-        self.w = [np.array([w for _, w in x], float) for x in lists]
-        self.cut = [np.searchsorted(d, np.arange(self.blocks + 1) * block) for d in self.doc]
-        self.most = np.zeros((n_terms, self.blocks))
-        for t in range(n_terms):
-            np.maximum.at(self.most[t], self.doc[t] // block, self.w[t])
+    """Postings of unit vectors by term, and block maxima of the terms whose postings are long."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, long: float = 1 / 2):
+        # terms are numbered by frequency, so the first ones tell the language and kind of a text
+        order = sorted(range(len(vectors)), key=lambda d: (vectors[d][0][:12].tolist(), d))
+        self.names, self.block, n = np.array(order, np.int64), block, len(order)
+        size = np.array([len(vectors[d][0]) for d in order], np.int64)
+        self.start = np.r_[0, size.cumsum()]
+        none = np.empty(0)
+        self.term = np.concatenate([vectors[d][0] for d in order] + [none]).astype(np.int32)
+        self.weight = np.concatenate([vectors[d][1] for d in order] + [none])
+        by = np.argsort(self.term, kind="stable")
+        self.doc = np.repeat(np.arange(n), size)[by]
+        self.post = self.weight[by]
+        self.cut = np.searchsorted(self.term[by], np.arange(n_terms + 1))
+        self.of = np.arange(n) // block
+        blocks = -(-n // block)
+        heavy = np.flatnonzero(np.diff(self.cut) > max(4, n * long))
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[heavy] = np.arange(len(heavy))
+        self.most = np.zeros((len(heavy), blocks))
+        for k, t in enumerate(heavy):
+            s = slice(self.cut[t], self.cut[t + 1])
+            np.maximum.at(self.most[k], self.doc[s] // block, self.post[s])
+        self.query = np.zeros(n_terms)
+
+    def _exact(self, d: np.ndarray) -> np.ndarray:
+        """Cosines of these examples (places in the index) with the laid-out query."""
+        size = self.start[d + 1] - self.start[d]
+        at = np.repeat(self.start[d] - np.r_[0, size.cumsum()[:-1]], size) + np.arange(size.sum())
+        return np.round(np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.r_[0, size.cumsum()[:-1]]), 12)
 
     def search(self, i: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest positive cosine, without `skip`; ties to the smaller number."""
-        bound = q @ self.most[i]
-        best_d, best_s = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            own = np.zeros(self.block)
-            for t, x in zip(i, q, strict=True):
-                s, e = self.cut[t][b], self.cut[t][b + 1]
-                own[self.doc[t][s:e] - b * self.block] += x * self.w[t][s:e]
-            d = np.flatnonzero(own > 0)
-            cos, d = np.round(own[d], 12), self.names[d + b * self.block]
-            cos, d = cos[d != skip], d[d != skip]
-            best_d, best_s = np.concatenate([best_d, d]), np.concatenate([best_s, cos])
-            top = np.lexsort((best_d, -best_s))[:k]
-            best_d, best_s = best_d[top], best_s[top]
-        return best_d, best_s
+        none = np.empty(0, np.int64), np.empty(0)
+        n = len(self.names)
+        if not n or not len(i):
+            return none
+        place = self.place[i]
+        rare, often = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        lo, hi = self.cut[i[rare]], self.cut[i[rare] + 1]
+        bound = np.zeros(n)
+        spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+        if spans:
+            docs = np.concatenate([self.doc[s:e] for s, e in spans])
+            bound = np.bincount(docs, np.repeat(q[rare], hi - lo) * np.concatenate([self.post[s:e] for s, e in spans]), n)
+        if len(often):
+            bound += (q[often] @ self.most[place[often]])[self.of]
+        if skip >= 0:
+            bound[self.names == skip] = 0
+        self.query[i] = q
+        d = np.argpartition(-bound, 3 * k)[: 3 * k] if n > 3 * k else np.arange(n)
+        d = d[bound[d] > 0]
+        if not len(d):
+            self.query[i] = 0
+            return none
+        cos = self._exact(d)
+        if n > 3 * k:
+            kth = np.sort(cos)[-k] if len(cos) >= k else 0.0
+            done = np.zeros(n, bool)
+            done[d] = True
+            more = np.flatnonzero((bound >= kth - 1e-9) & (bound > 0) & ~done)
+            if len(more):
+                d, cos = np.concatenate([d, more]), np.concatenate([cos, self._exact(more)])
+        self.query[i] = 0
+        d, cos = self.names[d[cos > 0]], cos[cos > 0]
+        top = np.lexsort((d, -cos))[:k]
+        return d[top], cos[top]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Step function, not falling, that best fits y over x: left ends and smoothed values."""
+    """Not falling fit of y over x: the mean place of each step and its smoothed value."""
     prior = y.mean()
     cells: list[list[float]] = []
     for v in np.unique(x):
         hit = y[x == v]
-        cells.append([v, hit.sum(), len(hit)])
+        cells.append([v * len(hit), hit.sum(), len(hit)])
         while len(cells) > 1 and cells[-2][1] / cells[-2][2] >= cells[-1][1] / cells[-1][2]:
             last = cells.pop()
-            cells[-1][1] += last[1]
-            cells[-1][2] += last[2]
-    return np.array([c[0] for c in cells]), np.array([(c[1] + smooth * prior) / (c[2] + smooth) for c in cells])
+            cells[-1] = [a + b for a, b in zip(cells[-1], last, strict=True)]
+    value = np.maximum.accumulate([(c[1] + smooth * prior) / (c[2] + smooth) for c in cells])
+    return np.array([c[0] / c[2] for c in cells]), value
 
 
 class Model:
-    """Index, votes and calibration."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], k: int = 25):
-        self.idf, self.k = idf, k
-        examples = sorted(examples)
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.y = np.array([e[1] for e in examples], float)
-        vectors = [weights(e[2], e[3], idf) if e[2] else (np.empty(0, np.int64), np.empty(0)) for e in examples]
-        self.index = BlockMaxIndex(vectors, len(idf))
-        self.near: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        own = [self._left_out(d, *v) for d, v in enumerate(vectors)]
-        self.near = {}
-        none = np.array([v is None for v in own], bool)
-        self.rest = float((self.y[none].sum() + 0.5 * UNKNOWN) / (none.sum() + 0.5)) if len(own) else UNKNOWN
-        self.at, self.value = isotonic(np.array([v for v in own if v is not None]), self.y[~none]) if (~none).any() else (np.zeros(1), np.array([self.rest]))
-
-    def _left_out(self, d: int, i: np.ndarray, q: np.ndarray) -> float | None:
-        """Vote on example d by the others: the k + 1 nearest without itself, found once for equal examples."""
-        if not len(i):
-            return None
-        key = i.tobytes() + q.tobytes()
-        if key not in self.near:
-            self.near[key] = self.index.search(i, q, self.k + 1)
-        near, cos = self.near[key]
-        keep = near != d
-        near, cos = near[keep][: self.k], cos[keep][: self.k]
-        return round(float((cos * self.y[near]).sum() / cos.sum()), 6) if len(near) else None
-
-    def vote(self, i: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray]:
-        d, cos = self.index.search(i, q, self.k, skip)
-        return (round(float((cos * self.y[d]).sum() / cos.sum()), 6), d) if len(d) else (None, d)
-
-    def score(self, ids: list[int], tf: list[int]) -> tuple[float, list[int]]:
-        vote, d = self.vote(*weights(ids, tf, self.idf)) if ids else (None, self.ids[:0])
-        if vote is None:
-            return self.rest, []
-        return float(self.value[max(0, np.searchsorted(self.at, vote, side="right") - 1)]), self.ids[d].tolist()
-
-
-def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, k: int = 25) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row."""
-    examples = written(labelled(docs, labels, "toxic", max_rows), "examples")
-    vocab = vocabulary(examples)
-    counts = written(term_counts(docs, vocab), "term_counts")
-    df = dict(counts.select(F.explode("ids").alias("t")).groupBy("t").count().collect())  # at most a row a term of the space
-    n = counts.count()
-    idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1e-6 for t in range(len(vocab))])
-    rows = [(r.doc_id, r.y, r.ids, r.tf) for r in term_counts(examples, vocab, ["doc_id", "y"]).collect()]  # bounded by max_rows
+    """Vocabulary, term values and index of the examples; calibration once it is fitted."""
+
+    def __init__(self, value: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], k: int = 25):
+        self.value, self.k = value, k
+        order = np.argsort(ids)
+        self.ids, self.y = ids[order], y[order].astype(float)  # ties between examples go by these numbers
+        self.index = BlockMaxIndex([(counts[d][0], weights(*counts[d], value)) for d in order], len(value))
+        self.rest, self.at, self.level = UNKNOWN, np.zeros(1), np.full(1, UNKNOWN)
+
+    def vote(self, i: np.ndarray, tf: np.ndarray, own_id: int | None = None) -> tuple[float | None, list[int]]:
+        """Share of label 1 among the neighbours by cosine, and their ids; own_id is left out."""
+        skip = -1 if own_id is None else int(np.searchsorted(self.ids, own_id))
+        d, cos = self.index.search(i, weights(i, tf, self.value), self.k, skip)
+        return (float((cos * self.y[d]).sum() / cos.sum()) if len(d) else None), self.ids[d].tolist()
+
+    def fit(self, votes: list[tuple[float | None, int]]) -> None:
+        """Calibration by the examples' leave-one-out votes."""
+        own = np.array([v for v, _ in votes if v is not None])
+        y = np.array([y for v, y in votes if v is not None], float)
+        none = [y for v, y in votes if v is None]
+        self.rest = (sum(none) + 0.5 * UNKNOWN) / (len(none) + 0.5)
+        self.at, self.level = isotonic(np.round(own, 6), y) if len(own) else (np.zeros(1), np.full(1, self.rest))
+
+    def score(self, i: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
+        vote, near = self.vote(i, tf)
+        return (self.rest if vote is None else float(np.interp(vote, self.at, self.level))), near
+
+
+def _pairs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i, t in zip(b.column("ids").to_pylist(), b.column("tf").to_pylist(), strict=True):
+        yield np.frombuffer(i, np.int32), np.frombuffer(t, np.int32)
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 25) -> tuple[Model, DataFrame]:
+    """Index over the labelled rows, term values from all documents, calibration by leave-one-out votes; and the coded documents."""
+    rows = written(labelled(docs, labels, "toxic", max_rows).withColumn("o", F.xxhash64("doc_id")), "examples")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            yield pa.record_batch([b.column("o"), pa.array([len(set(terms(t))) for t in b.column("text").to_pylist()], pa.int64())], names=["o", "n"])
+
+    sizes = sorted((r.o, r.n) for r in rows.select("o", "text").mapInArrow(measure, "o long, n long").collect())  # at most max_rows
+    fits = np.cumsum([n for _, n in sizes]) <= max_postings
+    examples = rows if fits.all() else rows.filter(F.col("o") < sizes[int(np.argmin(fits))][0])
+    vocab, ex_df, hit = vocabulary(examples)
+    n, pos = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = written(coded(docs, ["doc_id"], vocab), "term_counts")
+    total, df = document_frequencies(counts, len(vocab))
+    value = (np.log((total + 1) / (df + 1)) + 1e-6) * relevance(ex_df, hit, pos, n)
+    own = written(coded(examples, ["doc_id", "y"], vocab), "coded_examples")
+    discard(rows)
+    got = own.toPandas()  # at most max_postings numbers
+    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(t, np.int32)) for i, t in zip(got["ids"], got["tf"], strict=True)]
+    model = Model(value, got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(), pairs, k)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = [model.vote(i, t, d)[0] for d, (i, t) in zip(b.column("doc_id").to_pylist(), _pairs(b), strict=True)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), b.column("y")], names=["vote", "y"])
 
-    model = Model(idf, rows, k)
+    if len(got):
+        model.fit([(r.vote, r.y) for r in own.repartition(-(-len(got) // 500)).mapInArrow(left_out, "vote double, y int").collect()])
+    discard(own)
+    return model, counts
+
+
+def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 25) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row."""
+    model, counts = learn(docs, labels, max_rows, max_postings, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for b in batches:
+        known: dict[bytes, tuple[float, list[int]]] = {}  # texts of equal counts are searched once
+        for b in slices(batches):
             out = []
-            for ids, tf in zip(b.column("ids").to_pylist(), b.column("tf").to_pylist(), strict=True):
-                key = (tuple(ids), tuple(tf))
+            for i, tf in _pairs(b):
+                key = i.tobytes() + tf.tobytes()
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 2_000:
                         known.clear()
-                    known[key] = model.score(ids, tf)
+                    known[key] = model.score(i, tf)
                 out.append(known[key])
             yield pa.record_batch([b.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
