@@ -1,24 +1,32 @@
 """Benchmark decontamination: block-max WAND over a BM25 inverted index of the test items.
 
 The index holds the test items; the queries are all passages of all documents: windows of `window` words, `step` apart,
-the last one reaching the end. Postings of a term are cut into blocks of items of like thresholds, each with its greatest
-BM25 weight. A passage adds up the block maxima of its terms, and only blocks whose bound reaches their lowest threshold
-are opened and scored exactly, so every item that reaches its threshold is retrieved: `share` of the score that the item
-gives itself or, if it is longer than a passage, of the least that any `window` of its words in a row give it. A retrieved
-item is then verified on the whole document: of the word n-grams of its question (first half of its words) and of its answer (second
-half), at least `overlap` each must occur there.
-
-An index holds at most `max_items` items; a larger benchmark is cut by a hash into several indexes, and documents are run
-against each. Their weights are those of the whole benchmark. Items with fewer than `least` words leak where all their
-words occur in a row.
-
-Cases: null and empty texts have no passage; items without words (or null) are not searched; repeated
-documents and items give a row each; a null doc_id or item_id is kept; further columns are ignored.
+the last one reaching the end. An item is retrieved if a passage reaches its threshold: `share` of the score that the item
+gives itself or, if it is longer than a passage, of the least that any `window` of its words in a row give it.
+
+Items are numbered by ascending threshold, and blocks of items keep each term's greatest BM25 weight. A passage first adds
+up its terms' block maxima, coarse blocks before fine ones, and is done if no block can reach its lowest threshold. If one
+can, a cursor runs along the postings of each term: the pivot is the first item that the terms up to it could bring to the
+threshold of the first one; items before it are skipped, as is the rest of a block whose maxima stay below the pivot's
+threshold, and all others are scored exactly. Since thresholds ascend, all items that reach their own are found.
+
+A retrieved item is then verified on the whole document: of the word n-grams of its question (first half of its words) and
+of its answer (second half), at least `overlap` each must occur there.
+
+An index holds at most `max_items` items; a larger benchmark is cut into several, which documents pass one after the other
+in one reading. Weights are those of the whole benchmark, which the driver holds once. Items with fewer than `least` words
+leak where all their words occur in a row.
+
+Cases: null and empty texts have no passage; very long texts are cut into passages whole; items without words (or null) are
+not searched; ties need no order, since every item that reaches its threshold counts; repeated documents and items give a
+row each; a null doc_id or item_id is kept; an empty table of either kind gives no rows; further columns are ignored, and
+kept by `clean`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -82,61 +90,93 @@ def _lightest(w: list[str], weight: dict[str, float], window: int) -> float:
 class ItemIndex:
     """BM25 index of test items with block maxima, and the short items by their words."""
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 4, window: int | None = None, stats: Statistics | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], share: float, ngram: int, least: int, block: int = 4, window: int | None = None, stats: Statistics | None = None, coarse: int = 16):
         stats = stats or Statistics((t for _, t in items), least)
         self.short: dict[int, dict[tuple[str, ...], list[tuple[int | None, float]]]] = {}
         for i, t in items:
             if 0 < len(w := words(t)) < least:
                 self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append((i, sum(stats.weights(w).values())))
-        self.items = [(i, w) for i, t in items if len(w := words(t)) >= max(least, 1)]
-        self.block, n = block, len(self.items)
+        found = [(i, w, stats.weights(w)) for i, t in items if len(w := words(t)) >= max(least, 1)]
+        found = sorted(((share * _lightest(w, own, window or len(w)), k, i, w, own) for k, (i, w, own) in enumerate(found)), key=lambda x: x[:2])
+        self.items, self.bar = [(i, w) for _, _, i, w, _ in found], [x[0] - 1e-9 for x in found]
+        self.block, n = block, len(found)
         self.term: dict[str, int] = {}
-        lists: list[list[tuple[int, float]]] = []
-        bar = np.zeros(n)
-        for d, (_, w) in enumerate(self.items):
-            own = stats.weights(w)
+        self.docs: list[list[int]] = []  # postings by term, items in order
+        self.weight: list[list[float]] = []
+        for d, (_, _, _, _, own) in enumerate(found):
             for x, v in own.items():
-                if x not in self.term:
-                    self.term[x] = len(self.term)
-                    lists.append([])
-                lists[self.term[x]].append((d, v))
-            bar[d] = share * _lightest(w, own, window or len(w))
-        # items of like thresholds share a block, which keeps its bound and its lowest threshold close
-        order = np.argsort(bar, kind="stable")
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.items, self.bar = [self.items[d] for d in order], bar[order]
-        self.blocks = -(-n // block)
-        self.most = np.zeros((len(lists), self.blocks), np.float32)
-        self.post: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
-        for t, own in enumerate(lists):
-            for d, x in own:
-                k = int(place[d])
-                self.post[k // block].setdefault(t, []).append((k % block, x))
-                self.most[t, k // block] = max(self.most[t, k // block], x)
-        self.low = np.array([self.bar[k * block : (k + 1) * block].min() - 1e-3 for k in range(self.blocks)], np.float32)
+                t = self.term.setdefault(x, len(self.term))
+                if t == len(self.docs):
+                    self.docs.append([])
+                    self.weight.append([])
+                self.docs[t].append(d)
+                self.weight[t].append(v)
+        self.top = [max(w) for w in self.weight]
+        blocks = -(-n // block)
+        most = np.zeros((len(self.docs), blocks), np.float32)
+        for t, (docs, w) in enumerate(zip(self.docs, self.weight, strict=True)):
+            np.maximum.at(most[t], np.array(docs) // block, np.array(w, np.float32))
+        self.most = most
+        self.low = np.array(self.bar[::block], np.float32) - np.float32(1e-3)  # bars ascend
+        # coarse blocks of fine ones are looked at first, where there are enough
+        self.wide = np.arange(0, blocks, coarse) if blocks > 4 * coarse else None
+        if self.wide is not None:
+            self.most_wide, self.coarse = np.maximum.reduceat(most, self.wide, axis=1), coarse
         half = [len(w) // 2 for _, w in self.items]
         self.question = [_ngrams(w[:h], ngram) for (_, w), h in zip(self.items, half, strict=True)]
         self.answer = [_ngrams(w[h:], ngram) for (_, w), h in zip(self.items, half, strict=True)]
 
+    def _open(self, terms: list[int]) -> bool:
+        """Whether the block maxima of the terms let any block reach its lowest threshold."""
+        if self.wide is None:
+            return bool((self.most.take(terms, axis=0).sum(axis=0) >= self.low).any())
+        some = np.flatnonzero(self.most_wide.take(terms, axis=0).sum(axis=0) >= self.low[self.wide])
+        for k in some.tolist():
+            s = slice(k * self.coarse, (k + 1) * self.coarse)
+            if (self.most[terms, s].sum(axis=0) >= self.low[s]).any():
+                return True
+        return False
+
     def search(self, terms: set[int | None]) -> list[tuple[int, float]]:
         """(item, score) of all items that reach their threshold for distinct terms; None is no term of the index."""
-        out: list[tuple[int, float]] = []
         terms.discard(None)
-        if not terms:
-            return out
-        open_ = self.most.take(list(terms), axis=0).sum(axis=0) >= self.low
-        if not open_.any():
-            return out
-        for b in open_.nonzero()[0].tolist():
-            start, post = b * self.block, self.post[b]
-            got = [0.0] * self.block
-            for t in terms:
-                if t in post:
-                    for k, x in post[t]:
-                        got[k] += x
-            out += [(start + k, g) for k, g in enumerate(got[: len(self.items) - start]) if g >= self.bar[start + k] - 1e-9]
-        return out
+        return self._wand(terms) if terms and self._open(list(terms)) else []
+
+    def _wand(self, terms: set[int]) -> list[tuple[int, float]]:
+        bar, top, block, most = self.bar, self.top, self.block, self.most
+        cursors = [[self.docs[t][0], t, 0] for t in terms]  # item, term, place in the term's postings
+        out: list[tuple[int, float]] = []
+
+        def advance(some: list[list[int]], item: int) -> None:
+            for c in some:
+                docs = self.docs[c[1]]
+                c[2] = bisect_left(docs, item, c[2])
+                c[0] = docs[c[2]] if c[2] < len(docs) else -1
+
+        while True:
+            cursors = sorted(c for c in cursors if c[0] >= 0)
+            if not cursors:
+                return out
+            reach, need, n = 0.0, bar[cursors[0][0]], 0
+            for n, c in enumerate(cursors):
+                reach += top[c[1]]
+                if reach >= need:
+                    break
+            else:
+                return out
+            pivot = cursors[n][0]
+            while n + 1 < len(cursors) and cursors[n + 1][0] == pivot:
+                n += 1
+            upto, k = cursors[: n + 1], pivot // block
+            if sum(float(most[c[1], k]) for c in upto) < bar[pivot] - 1e-3:
+                advance(upto, min((k + 1) * block, cursors[n + 1][0] if n + 1 < len(cursors) else len(bar)))
+            elif cursors[0][0] == pivot:
+                score = sum(self.weight[c[1]][c[2]] for c in upto)
+                if score >= bar[pivot]:
+                    out.append((pivot, score))
+                advance(upto, pivot + 1)
+            else:
+                advance([c for c in upto if c[0] < pivot], pivot)
 
     def _short_leaks(self, w: list[str]) -> list[tuple[int | None, float, int, float, float]]:
         """The short items whose words occur in a row, at their first place."""
@@ -179,14 +219,11 @@ def _ngrams_of(w: list[str], sizes: set[int]) -> set[tuple[str, ...]]:
     return set().union(*(_ngrams(w, n) for n in sizes))
 
 
-def _indexes(benchmark: DataFrame, max_items: int, least: int) -> Iterator[tuple[list[tuple], Statistics]]:
-    """The items in parts of about max_items, sorted, each with the statistics of all items for its terms."""
-    stats = Statistics((r.text for r in benchmark.select("text").toLocalIterator()), least)
-    cuts = max(1, -(-benchmark.count() // max_items))
-    for c in range(cuts):
-        some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == c).select("item_id", "text")
-        items = sorted([(r.item_id, r.text) for r in some.collect()], key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        yield items, stats.of(t for _, t in items)
+def _indexes(benchmark: DataFrame, max_items: int, least: int) -> list[tuple[list[tuple], Statistics]]:
+    """The items in parts of at most max_items, in order of id, each with the statistics of all items for its terms."""
+    items = sorted(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator() if r.text), key=lambda x: (x[0] is None, x[0], x[1]))
+    stats = Statistics((t for _, t in items), least)
+    return [(part, stats.of(t for _, t in part)) for part in (items[s : s + max_items] for s in range(0, max(1, len(items)), max_items))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:
@@ -195,19 +232,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 3
         raise ValueError("passages must not leave gaps")
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
-    out = None
-    for items, stats in _indexes(benchmark, max_items, least):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, stats=stats) -> Iterator[pa.RecordBatch]:
+    found_type = pa.list_(pa.struct([("item_id", item_type), ("score", pa.float64()), ("start_word", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+    names = [f.name for f in found_type.value_type]
+    schema = f"doc_id {doc_kind}, text string, found array<struct<item_id:{item_kind},score:double,start_word:bigint,question_overlap:double,answer_overlap:double>>"
+    out = docs.select("doc_id", "text")
+    parts = _indexes(benchmark, max_items, least)
+    for k, (items, stats) in enumerate(parts):
+
+        def run(batches: Iterator[pa.RecordBatch], k=k, items=items, stats=stats) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(items, share, ngram, least, window=window, stats=stats)
             for b in slices(batches):
-                rows = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in index.leaks(t, window, step, ngram, overlap)]
-                cols = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, item_type), (2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))]
-                yield pa.record_batch([b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int32())), *cols], names=["doc_id", "item_id", "score", "start_word", "question_overlap", "answer_overlap"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
-    return out
+                texts = b.column("text").to_pylist()
+                found = [[dict(zip(names, x, strict=True)) for x in index.leaks(t, window, step, ngram, overlap)] for t in texts]
+                if k:
+                    found = [(x or []) + y for x, y in zip(b.column("found").to_pylist(), found, strict=True)]
+                rows = pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(found, found_type)], names=["doc_id", "text", "found"])
+                yield rows.filter(pa.array(map(bool, found), pa.bool_())) if k == len(parts) - 1 else rows
+
+        out = out.mapInArrow(run, schema)
+    return out.select("doc_id", F.inline("found"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 64, step: int = 32, share: float = 0.4, ngram: int = 5, overlap: float = 0.4, least: int = 8, max_items: int = 2_000) -> DataFrame:

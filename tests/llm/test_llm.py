@@ -349,14 +349,47 @@ def test_long_and_short_items(spark):
     assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), b).collect()] == [9]
 
 
-def test_search_is_exact():
+@pytest.mark.parametrize("block, coarse", [(4, 16), (1, 2), (3, 1)])
+def test_search_is_exact(block, coarse):
     rnd = random.Random(9)
-    items = [(i, " ".join(rnd.choice("abcdefghij") * 2 for _ in range(12))) for i in range(50)]
-    index = decontaminate.ItemIndex(items, 0.5, 3, 1, block=4)
-    for _, text in items:
-        t = {index.term[w] for w in text.split()[:6]}
-        score = [sum(x for i in t for k, x in index.post[d // 4].get(i, []) if k == d % 4) for d in range(50)]
-        assert {d for d, _ in index.search({*t, None})} == {d for d in range(50) if score[d] >= index.bar[d] - 1e-9}
+    texts = [[rnd.choice("abcdefghijklmnopqrst") * 2 for _ in range(rnd.randint(6, 30))] for _ in range(80)]
+    index = decontaminate.ItemIndex([(i, " ".join(w)) for i, w in enumerate(texts)], 0.5, 3, 1, block=block, window=12, coarse=coarse)
+    df = collections.Counter(x for w in texts for x in set(w))
+    mean = sum(map(len, texts)) / 80
+
+    def weight(w, x):
+        k = w.count(x)
+        return math.log(1 + (80 - df[x] + 0.5) / (df[x] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(w) / mean)) if k else 0.0
+
+    bar = [0.5 * min(sum(weight(w, x) for x in set(w[s : s + 12])) for s in range(max(1, len(w) - 11))) for w in texts]
+    place = {i: d for d, (i, _) in enumerate(index.items)}
+    hits = 0
+    for w in texts + [[rnd.choice("abcdefghijklmnopqrst") * 2 for _ in range(9)] for _ in range(40)]:
+        terms = set(w[:9])
+        score = [sum(weight(x, t) for t in terms) for x in texts]
+        want = {place[i]: round(score[i], 9) for i in range(80) if score[i] >= bar[i] - 1e-9}
+        assert {d: round(s, 9) for d, s in index.search({*(index.term[t] for t in terms), None})} == want
+        hits += len(want)
+    assert 0 < hits < 9000
+
+
+@pytest.mark.parametrize("n", [20, 60, 64, 65, 90, 120, 200, 300, 400])
+def test_items_of_any_length(n):
+    rnd = random.Random(n)
+    word = lambda: rnd.choice(["ka", "lo", "mi", "ne", "su"]) + rnd.choice(["ra", "to", "vi", "ze"]) + rnd.choice(["", "n", "s", "l"])
+    items = [(i, " ".join(word() for _ in range(n))) for i in range(40)]
+    index = decontaminate.ItemIndex(items, 0.4, 5, 8, window=64)
+    for i in (0, 7, 39):
+        for before in (0, 13, 31, 50):
+            text = " ".join([word() for _ in range(before)] + [items[i][1]] + [word() for _ in range(40)])
+            assert [x[0] for x in index.leaks(text, 64, 32, 5, 0.4)] == [i]
+
+
+def test_equal_items_are_dealt_evenly(spark):
+    b = spark.createDataFrame([(1, "ka lo mi ne su ra to vi ze na")] * 30, "item_id long, text string")
+    assert [len(items) for items, _ in decontaminate._indexes(b, 8, 8)] == [8, 8, 8, 6]
+    d = docs(spark, [(5, "x ka lo mi ne su ra to vi ze na y", "en")])
+    assert decontaminate.leaks(d, b, max_items=8).count() == 30
 
 
 # op9
