@@ -3,21 +3,25 @@
 A page is cut into blocks at block-level tags. First pass: blocks in structural boilerplate (menus, page headers, footers,
 sidebars, forms, adverts, notices, comments, by tag or by the words of class, id and role) and blocks that are mostly
 links are bad; long blocks with a good share of stop words are good; blocks without enough stop words are bad; short ones
-stay open. Second pass: an open block takes the label of its nearest decided neighbours; where the two sides differ, the
-nearer one counts, and bad wins a tie; a heading goes with what follows it. Inside an element that the page itself marks as its article, a block is open
-rather than bad for want of stop words, only neighbours inside it count, and it is bad only between bad ones.
+stay open. In text mostly of letters beyond Latin, for which there are no stop words, length alone decides. Second pass:
+an open block takes the label of its nearest decided neighbours; where the two sides differ, the nearer one counts, and bad
+wins a tie; a heading goes with what follows it. Inside an element that the page itself marks as its article, a block is
+open rather than bad for want of stop words, only neighbours inside it count, and it is bad only between bad ones. Class
+words on the article itself do not make it bad unless they say that it is a comment or an advert.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
-order. Nothing else is dropped or capped.
+order. Nothing else is dropped or capped. The tokeniser takes time in proportion to the page, whatever is left unclosed.
 
-Cases: null and empty pages give an empty text; broken, unclosed and cut-off markup is read as far as it goes, and an
-unended comment or script reaches the end of the page; repeated rows are extracted alike; further columns are ignored.
+Cases: null and empty pages give an empty text; broken, unclosed and cut-off markup is read as far as it goes: an unended
+comment or script reaches the end of the page, as does a tag after which no > comes; very long pages are read whole;
+repeated rows are extracted alike, so there are no ties to break; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,21 +37,25 @@ STOP_WORDS = frozenset(
     "al como con del donde el ella ellos era es esta este fue ha hay la las lo los más me muy no nos o para pero por que se sin sobre su sus también te un una uno y ya".split()
 )
 # Elements by their part in a page.
-DROPPED = "script style noscript template iframe object svg math canvas head select textarea button audio video"
+RAW = frozenset("script style title textarea iframe".split())  # without an end they reach that of the page
+DROPPED = RAW | frozenset("noscript template svg canvas select button audio video".split())
 BAD_TAGS = frozenset("nav aside footer form menu dialog".split())
 CONTAINERS = frozenset("nav aside footer form menu dialog header article main section div ul ol dl table tbody thead tr td th figure fieldset details blockquote center body".split())
-BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption figcaption summary legend option html br title".split())
+BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption figcaption summary legend option html br".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + DROPPED.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+STATES = frozenset("no not has have with without is".split())  # such class names tell of a page's layout, not of the element
+SPOKEN = frozenset("comment comments reply replies respond disqus ad ads advert advertisement sponsored promo".split())
+NEXT = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+SIMPLE = re.compile(r"((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")  # the rest of a tag that holds no < or >
+VALUE = re.compile(r">|=\s*[\"']")
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|</{t}\s*\Z", re.I) for t in DROPPED}
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+OTHER = re.compile(r"[^\W\d_\x00-\u024f]")
+DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")  # scripts that say more in a character
 OPEN, GOOD, BAD = 0, 1, -1
 
 
@@ -55,19 +63,69 @@ def _role(tag: str, attrs: str, in_article: bool) -> int:
     """-1 for boilerplate, 1 for a marked article, 0 for neither."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return BAD
-    if attrs and tag != "body":
-        words = {w for m in HINT.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        if words & BAD_WORDS:
-            return BAD
-        if words & {"contentinfo", "complementary", "search"}:
-            return BAD
-    return GOOD if tag in ("article", "main") else OPEN
+    article = tag in ("article", "main")
+    if attrs and tag not in ("body", "main"):
+        for m in HINT.finditer(attrs):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = [w for w in re.split(r"[^a-z]+", name) if w]
+                if not words or words[0] in STATES:
+                    continue
+                if words[0] in SPOKEN if article else any(w in BAD_WORDS for w in words) or name in ("contentinfo", "complementary", "search"):
+                    return BAD
+    return GOOD if article else OPEN
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, element in lower case, end tag?, attributes) of each tag; "" for a comment or the end of the page.
+
+    A dropped element is one token, with its content left out. Every character is looked at a bounded number of times.
+    """
+    at, say, loose, unended = 0, 0, False, set()
+    while m := NEXT.search(page, at):
+        text, tag = page[say : m.start()], (m[2] or "").lower()
+        if not tag:
+            end = page.find("-->", m.end()) + 2 if m[0] == "<!--" else page.find(">", m.end())
+            if end < (2 if m[0] == "<!--" else 0) or end == 1:
+                end = len(page)
+            yield text, "", False, ""
+        else:
+            if s := SIMPLE.match(page, m.end()):
+                end = s.end() - 1
+            else:
+                end = -1
+                if not loose:  # quoted values may hold < and >
+                    pos = m.end()
+                    while v := VALUE.search(page, pos):
+                        if v[0] == ">":
+                            end = v.start()
+                            break
+                        if (pos := page.find(v[0][-1], v.end()) + 1) == 0:
+                            break
+                    loose = end < 0  # some quote never ends: from here on, tags end at the next >
+                if end < 0:
+                    end = page.find(">", m.end())
+            attrs = page[m.end() : end] if end >= 0 else ""
+            if end < 0:
+                end = len(page)
+            if tag in DROPPED and not m[1] and not (tag not in RAW and attrs.endswith("/")):
+                close = None if tag in unended else ENDS[tag].search(page, end + 1)
+                if close:
+                    end = close.end() - 1
+                elif tag in RAW:
+                    end = len(page)
+                else:
+                    unended.add(tag)
+            yield text, tag, bool(m[1]), attrs
+        at = say = min(end + 1, len(page))
+    if say < len(page):
+        yield page[say:], "", False, ""
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, characters in links, role, article number or 0, heading?) of each block with text."""
     out: list[tuple[str, int, int, int, bool]] = []
     stack: list[tuple[str, int, int]] = []  # element, role, article
+    open_now: Counter[str] = Counter()
     bad = article = articles = link = 0
     heading = False
     text: list[str] = []
@@ -86,17 +144,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         if link:
             linked.append(s)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if m[1] or not tag:
-            if m[1]:
-                close()
+    for before, tag, ends, attrs in tokens(page):
+        if before:
+            say(before)
+        if not tag:
+            continue
+        if tag in DROPPED:
+            close()
             continue
-        ends = bool(m[2] or m[5])
         if tag == "a":
             link = 0 if ends else 1
         if tag not in BREAKS:
@@ -106,22 +161,21 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         if tag not in CONTAINERS:
             continue
         if not ends:
-            role = _role(tag, m[4] or m[7] or "", article > 0)
+            role = _role(tag, attrs, article > 0)
             stack.append((tag, role, article))
+            open_now[tag] += 1
             bad += role == BAD
             if role == GOOD and not article:
                 articles += 1
                 article = articles
-        elif any(s[0] == tag for s in stack):
+        elif open_now[tag]:
             link = 0
             while stack:
-                name, role, before = stack.pop()
+                name, role, article = stack.pop()
+                open_now[name] -= 1
                 bad -= role == BAD
-                article = before
                 if name == tag:
                     break
-    if at < len(page):
-        say(page[at:])
     close()
     return out
 
@@ -135,6 +189,10 @@ def classify(found: list[tuple[str, int, int, int, bool]], short: int = 70, long
             first.append(BAD)
             continue
         words = WORD.findall(text.lower())
+        if 2 * len(OTHER.findall(text)) > sum(map(len, words)):
+            size = len(text) + 2 * len(DENSE.findall(text))
+            first.append(OPEN if size < long else GOOD)
+            continue
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if len(text) < short:
             first.append(OPEN if article or not linked else BAD)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -287,6 +288,36 @@ def test_html_cases():
     assert got.startswith("It was It was") and "So it is." in got and "Home" not in got and "links" not in got
 
 
+JAPANESE = "これは日本語の記事の段落です。東京の天気は今日とても良く、多くの人々が公園を散歩していました。新しい図書館が開館し、子供たちは本を読んでいます。" * 2
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><meta x><body><article><p>Hello there world</p></article>", "Hello there world"),
+        ('<article class="post has-sidebar"><p>Hello there</p></article>', "Hello there"),
+        ('<main class="single no-comments"><p>Hello there</p></main>', "Hello there"),
+        ('<main><div class="content has-sidebar"><p>Hello there</p></div><div class="sidebar left"><p>Away</p></div></main>', "Hello there"),
+        (f"<body><div><a href=x>ホーム</a></div><div><p>{JAPANESE}</p><p>{JAPANESE}</p></div></body>", f"{JAPANESE} {JAPANESE}"),
+        ("<article><p>Let <math><mi>x</mi></math> be <object>fallback</object> there</p></article>", "Let x be fallback there"),
+        ('<article><p>Good text here</p></article><article class="comment-body"><p>I was first</p></article>', "Good text here"),
+        ('<article title="a>b"><p>in</p></article>', "in"),
+        ("<article><p>a < b <svg>x</svg> &lt;p&gt;</p><svg/><p>c<!-- x > --><p>d<template></article>", "a < b <p> c d"),
+        ("<article><p>kept<p class='cut", "kept"),
+        ("<article>" + "<p>one two</p>" * 20_000 + "</article>", " ".join(["one two"] * 20_000)),
+    ],
+)
+def test_html_pages(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a x=\"'>", "<svg>", "<!--", '<a x=">" y="', "<p", '"<', "<a='\">", "<button><p>x", "<div>", "</div>", "<div></p></section>", "&", "<a x=\"'", "<script", "</script"])
+def test_hostile_pages_take_linear_time(part):
+    t = time.perf_counter()
+    htmltext.main_text((part * (1_000_000 // len(part) + 1))[:1_000_000])
+    assert time.perf_counter() - t < 2
+
+
 def test_html_rows(spark):
     p = spark.createDataFrame([(1, None, None), (None, "u", "<article><p>x</p></article>"), (2, "v", ""), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.text, r.n_chars) for r in htmltext.extract(p).collect()) == [("", 0), ("", 0), ("", 0), ("x", 1)]
