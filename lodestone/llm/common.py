@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +64,14 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, or a longer one, that is none of those taken; Spark's names know no case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

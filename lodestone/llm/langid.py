@@ -6,7 +6,8 @@ each n-gram is out of place, a missing one counting as the whole profile length.
 smaller language name.
 
 Cases: null texts and texts without a letter are `und` with score 0; if no row can be learned from, all are `und`; null
-languages are never learned; repeated rows count as often as they occur; further columns are ignored.
+languages are never learned; very long texts are ranked whole; any number of languages is learned; repeated rows count as
+often as they occur; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, slices
+from lodestone.llm.common import crc_mod, fresh, slices
 
 UND = "und"
 BITS = 20
@@ -28,18 +29,19 @@ BITS = 20
 
 @cache
 def _letters() -> np.ndarray:
-    """Lower-case code of every letter of the first two planes, 0 for all else."""
-    low = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x20000)]
-    return np.array(low, np.int64)
+    """Lower-case code of every character that Unicode calls a letter, 0 for all else; the last entry stands for those beyond."""
+    low = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)]
+    table = np.array(low, np.int64)
+    table = table[: int(np.flatnonzero(table)[-1]) + 2]
+    assert table.max() < 1 << BITS
+    return table
 
 
 def grams(text: str) -> np.ndarray:
     """Keys of all 1- to 3-grams of a text; a word begins and ends with a blank, and none crosses one."""
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letters()
     x = table[np.minimum(code, len(table) - 1)]
-    if len(code) and code.max() >= len(table):
-        x = np.where(code >= len(table), code & 0xFFFFF, x)
     x = np.concatenate([[0], x, [0]])
     x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]
     if len(x) < 3:
@@ -90,16 +92,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, length: int = 400, max_languages: int = 500) -> dict[str, np.ndarray]:
-    """Profiles by language; at most max_languages of `length` n-grams, so their size is bounded."""
+def learn(docs: DataFrame, length: int = 400) -> dict[str, np.ndarray]:
+    """Profiles by language, at most `length` n-grams each: 8 * length bytes a language on the driver."""
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = gram_counts(docs).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= length)
-    out: dict[str, list[int]] = defaultdict(list)
-    for x in top.select("lang", "r", "gram").orderBy("lang", "r").limit(length * max_languages + 1).collect():
-        out[x.lang].append(x.gram)
-    if len(out) > max_languages:
-        raise ValueError(f"more than {max_languages} languages: raise max_languages")
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+    rows = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "gram"))), lambda x: x["gram"]).alias("grams"))  # at most `length` a row
+    return {x.lang: np.array(x.grams, np.int64) for x in rows.toLocalIterator()}
 
 
 class Profiles:
@@ -112,33 +110,58 @@ class Profiles:
         for i, name in enumerate(self.names):
             self.rank[i, np.searchsorted(self.keys, profiles[name])] = np.arange(len(profiles[name]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def distances(self, text: str | None) -> tuple[int, float, float] | None:
+        """Number of the nearest language, its likeness and that of all together; None for a text without a letter."""
         keys = grams(text) if text and self.names else ()
         if not len(keys):
-            return UND, 0.0
+            return None
         own = ranked(*np.unique(keys, return_counts=True), self.length)
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         place = np.where(self.keys[at] == own, self.rank[:, at], -1)
         off = np.where(place >= 0, np.abs(place - np.arange(len(own))), self.length).sum(axis=1)
         best = int(off.argmin())
-        like = 1 - off / (self.length * len(own))
-        total = np.maximum(like, 0).sum()
-        return self.names[best], float(np.clip(like[best] / total, 0, 1)) if total > 0 else 1 / len(self.names)
+        like = np.maximum(1 - off / (self.length * len(own)), 0)
+        return best, float(like[best]), float(like.sum())
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns of `keep` (default doc_id) with lang_pred and score (named as `out` says), for every row and its whole text."""
-    keep = keep or ["doc_id"]
-    text, said_cols = ("text", []) if "text" in keep else ("__text", [F.col("text").alias("__text")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Profiles(profiles, length)
-        for b in slices(batches):
-            said = [model.predict(t) for t in b.column(text).to_pylist()]
-            yield pa.record_batch([*[b.column(c) for c in keep], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, *out])
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), most: int = 500) -> DataFrame:
+    """The columns of `keep` (default doc_id) with lang_pred and score (named as `out` says), for every row and its whole text.
 
+    A task holds the profiles of at most `most` languages; more are compared in parts, one after the other.
+    """
+    keep = keep or ["doc_id"]
+    text, said_cols = ("text", []) if "text" in keep else (own := fresh("text_", [*keep, *out]), [F.col("text").alias(own)])
+    name, score = out
+    like = fresh("likeness", [*keep, *out, text])
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *said_cols).mapInArrow(run, f"{kinds}, `{out[0]}` string, `{out[1]}` double")
+    carried = kinds + ("" if text in keep else f", `{text}` string")
+    names = sorted(profiles)
+    parts = [names[s : s + most] for s in range(0, max(1, len(names)), most)]
+    rows = docs.select(*keep, *said_cols)
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], k=k, part=part, last=last) -> Iterator[pa.RecordBatch]:
+            model = Profiles({x: profiles[x] for x in part}, length)
+            for b in slices(batches):
+                found = [model.distances(t) for t in b.column(text).to_pylist()]
+                who = [model.names[f[0]] if f else UND for f in found]
+                best, total = (np.array([f[c] if f else 0.0 for f in found]) for c in (1, 2))
+                if k:  # the languages come in order, so an earlier one wins a tie
+                    old = np.array(b.column(score).to_pylist(), float)
+                    who = [x if a >= c else y for x, y, a, c in zip(b.column(name).to_pylist(), who, old, best, strict=True)]
+                    best, total = np.maximum(old, best), total + np.array(b.column(like).to_pylist(), float)
+                cols, heads = [b.column(c) for c in keep], list(keep)
+                if last:
+                    any_ = 1 / max(1, len(names))
+                    share = np.where(total > 0, best / np.where(total > 0, total, 1), [0.0 if f is None else any_ for f in found])
+                    yield pa.record_batch([*cols, pa.array(who, pa.string()), pa.array(np.clip(share, 0, 1))], names=[*heads, name, score])
+                else:
+                    more = [] if text in keep else [b.column(text)]
+                    yield pa.record_batch([*cols, *more, pa.array(who, pa.string()), pa.array(best), pa.array(total)], names=[*heads, *([text] if more else []), name, score, like])
+
+        rows = rows.mapInArrow(run, f"{kinds}, `{name}` string, `{score}` double" if last else f"{carried}, `{name}` string, `{score}` double, `{like}` double")
+    return rows
 
 
 def identify(docs: DataFrame, length: int = 400) -> DataFrame:

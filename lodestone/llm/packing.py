@@ -6,10 +6,10 @@ hash of their row number, and each group is packed by itself: pieces from long t
 the first sequence that has room. A tournament tree over the free room of the sequences finds that first one in
 logarithmic time. Groups need nothing of each other, so any number of them runs at once.
 
-White space never lies inside a token of the vocabularies used here, so documents are cut at ASCII white space and each
-distinct part is encoded once in a task.
+Where the tokenizer's file shows that white space never lies inside a token, documents are cut at ASCII white space and each
+distinct part is encoded once in a task; for other files the library encodes whole texts.
 
-Cases: null and empty texts are one end id; repeated rows and equal doc_ids are packed as documents of their own (row
+Cases: null and empty texts are one end id; very long texts are cut into full pieces and a rest; repeated rows and equal doc_ids are packed as documents of their own (row
 numbers tell them apart); an empty table gives no rows; further columns are ignored.
 """
 
@@ -126,6 +126,17 @@ class WordPieces:
             rank[r, p] = self.rank[found]
 
 
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the file's tokenizer is of the kind known to treat parts between white space alike wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    split = ((file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value: the file's split pattern
+    blanks = any(c.isspace() for t in file.get("added_tokens") or [] for c in t["content"])
+    return steps == ["NFC", "Replace", "Lowercase"] and (split.get("pattern") or {}).get("Regex") == pattern and split.get("invert") is True and bool(file["model"].get("end_of_word_suffix")) and not blanks
+
+
 class Encoder:
     """Token ids of whole texts; encodes each distinct part between white space once.
 
@@ -135,7 +146,8 @@ class Encoder:
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.words, self.most, self.known = Tokenizer.from_file(path), WordPieces(path), most, {}
+        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.words = WordPieces(path) if cuts_at_blanks(path) else None  # else whole texts go to the library
 
     def learn(self, parts: list[str]) -> None:
         one, words, two, first, second, other = [], [], [], [], [], []
@@ -159,6 +171,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.words is None:
+            got = [e for i in range(0, len(texts), 100) for e in self.tok.encode_batch_fast([t or "" for t in texts[i : i + 100]], add_special_tokens=False)]
+            return [np.array(e.ids, np.uint32).tobytes() for e in got]
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         flat = [p for parts in split for p in parts]
         if len(self.known) > self.most:
@@ -254,8 +269,8 @@ def pack(parts: DataFrame, length: int = 2048, group: int = 2048, seed: int = 7)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id long, offset long"
     packed = dealt.groupBy("g").applyInPandas(whole, schema)
-    # a full piece is a sequence of its own: even numbers, from its row and place
-    alone = full.select(*names, (2 * F.xxhash64("row", "start").bitwiseAND(F.lit((1 << 61) - 1))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # a full piece is a sequence of its own: even numbers, from its place in the written table
+    alone = full.select(*names, (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 

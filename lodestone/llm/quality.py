@@ -7,7 +7,8 @@ through a logistic.
 
 The model is fitted on at most `max_rows` labelled rows, taken in the order of a hash of their id.
 
-Cases: null and empty texts have the features of an empty text and get a score; without any labelled row the score is
+Cases: null and empty texts have the features of an empty text and get a score; very long texts are counted whole; rows of
+equal features score alike, so there are no ties to break; an empty table gives no rows; without any labelled row the score is
 0.5, with one class only that class's smoothed rate; several labels of one document count as their rounded mean, and
 of several texts of one labelled id the smallest is learned; labels of unknown documents are ignored; a null doc_id has no label and held_out null; further columns are ignored.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, slices, utf8
+from lodestone.llm.common import crc_mod, fresh, slices, utf8
 
 FEATURES = ["log_bytes", "upper", "symbols", "exclaims", "bars", "digits", "spaces", "lines_a_word", "word_bytes", "stops_a_word", "unique_words", "repeated_lines", "short_words"]
 
@@ -156,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> dict:
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns of `keep` (default doc_id) with the score (named as `out` says) of every row's whole text."""
     keep = keep or ["doc_id"]
-    text, more = ("text", []) if "text" in keep else ("__text", [F.col("text").alias("__text")])
+    text, more = ("text", []) if "text" in keep else (own := fresh("text_", [*keep, out]), [F.col("text").alias(own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

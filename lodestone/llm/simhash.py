@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, slices, utf8, written
+from lodestone.llm.common import discard, fresh, slices, utf8, written
 
 SEED = 42
 BYTE = [0xFF << (8 * i) for i in range(8)]
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, cap: int
 # arccos(2s/(1+s))/pi: 0.15 at 0.8. Of 512 bits about 78 differ, and about 17 of the 64 positional bytes stay equal, against
 # a quarter of a byte for unrelated texts. The same index then works with a count filter that holds all but surely.
 WIDE_BITS, WIDE_BYTES = 512, 64
-WIDE_KEYS = [(i, (i + s) % 64, (i + 3 * s + 5) % 64) for s in (11, 23) for i in range(64)]
+WIDE_KEYS = [(i, (i + a) % 64, (i + b) % 64) for a, b in ((11, 38), (23, 10), (7, 29), (17, 41)) for i in range(64)]
 
 
 def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
@@ -336,7 +336,7 @@ def _wide_edges(units: DataFrame, max_bits: int, shared: int, forest: bool) -> D
     return units.select("t", "k", "i", "j", "b", "fid", "fp", "c").mapInArrow(run, "u long, v long")
 
 
-def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame], max_bits: int = 90, shared: int = 8, cap: int = 4096, tight: int = 60, dense: int = 64) -> DataFrame:
+def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame], max_bits: int = 110, shared: int = 6, cap: int = 4096, tight: int = 60, dense: int = 64) -> DataFrame:
     """A spanning set of the sure links (u, v) between distinct wide fingerprints (columns fid, fp) within max_bits.
 
     sure_of(links, label) gives, as a written table, the links that stand. Every pair that meets in a posting is tested
@@ -348,14 +348,31 @@ def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame]
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.array(WIDE_KEYS)
         for b in slices(batches, 2000):
-            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int32)
-            k = x[:, place[:, 0]] << 16 | x[:, place[:, 1]] << 8 | x[:, place[:, 2]]
-            t = np.broadcast_to(np.arange(len(place), dtype=np.int32), k.shape)
-            yield pa.record_batch([pa.array(np.repeat(b.column("fid").to_numpy(), len(place))), pa.array(t.ravel()), pa.array(k.ravel().astype(np.int64))], names=["fid", "t", "k"])
+            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
+            k = np.arange(len(place)) << 24 | x[:, place[:, 0]] << 16 | x[:, place[:, 1]] << 8 | x[:, place[:, 2]]
+            yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(b.column("fid").to_numpy(), len(place)))], names=["key", "fid"])
 
-    keys = written(fps.select("fid", "fp").mapInArrow(keyed, "fid long, t int, k long"), "wide_keys")
+    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows, in order of key, whose key is also that of a neighbour; the last row waits for the next batch."""
+        last, met = np.empty((2, 0), np.int64), False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([last, np.stack([b.column("key").to_numpy(), b.column("fid").to_numpy()])], axis=1)
+            like = rows[0, 1:] == rows[0, :-1]
+            keep = np.r_[met, like] | np.r_[like, False]
+            out = rows[:, :-1][:, keep[:-1]]
+            yield pa.record_batch([pa.array(out[0]), pa.array(out[1])], names=["key", "fid"])
+            met = bool(like[-1]) if len(like) else met
+            last = rows[:, -1:]
+        if met:
+            yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["key", "fid"])
+
+    pairs = "key long, fid long"
+    some = written(fps.select("fid", "fp").mapInArrow(keyed, pairs).repartition("key").sortWithinPartitions("key").mapInArrow(shared_only, pairs), "wide_keys")
+    keys = some.select(F.shiftright("key", 24).cast("int").alias("t"), F.col("key").bitwiseAND(F.lit((1 << 24) - 1)).alias("k"), "fid")
     post = written(_counted(keys), "wide_post")
-    discard(keys)
+    discard(some)
     made, first, own = [post], None, fps.select("fid", "fp", F.col("fid").alias("c"))
     long_ = post.filter(F.col("n") > dense)
     if long_.limit(1).count():
@@ -393,30 +410,31 @@ def verified(links_: DataFrame, texts: DataFrame, width: int, least: float) -> D
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 90, cap: int = 4096) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 4096) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
 
     Texts are linked whose word shingles have a Jaccard similarity of at least `least`, of the pairs that postings of
     their wide fingerprints join.
     """
     names = docs.columns
+    fp, fid, row = (fresh(c, names) for c in ("fp", "fid", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = [wide_fingerprint(t, width) for t in utf8(b, "text")]
-            yield pa.record_batch([*b.columns, pa.array(fp, pa.binary())], names=[*b.schema.names, "__fp"])
+            own = [wide_fingerprint(t, width) for t in utf8(b, "text")]
+            yield pa.record_batch([*b.columns, pa.array(own, pa.binary())], names=[*b.schema.names, fp])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(run, f"{kinds}, __fp binary").withColumn("__fid", F.xxhash64("__fp")).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.mapInArrow(run, f"{kinds}, `{fp}` binary").withColumn(fid, F.xxhash64(fp)).withColumn(row, F.monotonically_increasing_id())
     rows = written(rows, "wide_rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    one = rows.groupBy("__fid").agg(F.min(order).alias("o"), F.first("__fp").alias("fp"))
-    one = written(one.select(F.col("__fid").alias("fid"), "fp", "o"), "wide_fps")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    one = rows.groupBy(fid).agg(F.min(order).alias("o"), F.first(fp).alias("fp"))
+    one = written(one.select(F.col(fid).alias("fid"), "fp", "o"), "wide_fps")
 
     def sure_of(links_: DataFrame, label: str) -> DataFrame:
         ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
         # one text stands for a fingerprint: that of its first row
-        texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("__row")).join(rows.select("__row", "text"), "__row").select("fid", "text")
+        texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("at")).join(rows.select(F.col(row).alias("at"), "text"), "at").select("fid", "text")
         texts = written(texts, "wide_texts")
         out = written(verified(links_, texts, width, least), label)
         discard(texts)
@@ -424,5 +442,5 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
 
     sure = similar_links(one.select("fid", "fp"), sure_of, max_bits, cap=cap)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
-    best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
-    return rows.join(best, "__row", "left_semi").select(*names)
+    best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias(row))
+    return rows.join(best, row, "left_semi").select(*[f"`{c}`" for c in names])
