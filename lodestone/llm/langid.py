@@ -124,9 +124,12 @@ class Profiles:
         return best, float(like[best]), float(like.sum())
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), most: int = 500) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), most: int = 500, likeness: str | None = None) -> DataFrame:
     """The columns of `keep` (default doc_id) with lang_pred and score (named as `out` says), for every row and its whole text.
 
+    If a name is given for it, the likeness to the nearest profile is a further column: 1 less the share of the greatest
+    possible distance, 0 where no n-gram of the text is in the profile.
+
     A task holds the profiles of at most `most` languages; more are compared in parts, one after the other.
     """
     keep = keep or ["doc_id"]
@@ -155,12 +158,13 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = 400,
                 if last:
                     any_ = 1 / max(1, len(names))
                     share = np.where(total > 0, best / np.where(total > 0, total, 1), [0.0 if f is None else any_ for f in found])
-                    yield pa.record_batch([*cols, pa.array(who, pa.string()), pa.array(np.clip(share, 0, 1))], names=[*heads, name, score])
+                    also = [pa.array(best)] if likeness else []
+                    yield pa.record_batch([*cols, pa.array(who, pa.string()), pa.array(np.clip(share, 0, 1)), *also], names=[*heads, name, score, *([likeness] if likeness else [])])
                 else:
                     more = [] if text in keep else [b.column(text)]
                     yield pa.record_batch([*cols, *more, pa.array(who, pa.string()), pa.array(best), pa.array(total)], names=[*heads, *([text] if more else []), name, score, like])
 
-        rows = rows.mapInArrow(run, f"{kinds}, `{name}` string, `{score}` double" if last else f"{carried}, `{name}` string, `{score}` double, `{like}` double")
+        rows = rows.mapInArrow(run, f"{kinds}, `{name}` string, `{score}` double" + (f", `{likeness}` double" if likeness else "") if last else f"{carried}, `{name}` string, `{score}` double, `{like}` double")
     return rows
 
 

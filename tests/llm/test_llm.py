@@ -803,6 +803,14 @@ def test_stages_brute_force(spark):
     assert ids(stage["decontamination"](spark, docs_, SF)) == set(text) - hold and hold
 
 
+def test_language_stage_rejects_by_likeness(spark):
+    import corpus_pipeline
+
+    rows = [(i, "the cat and the dog of this house are in the garden " * 3, "en") for i in range(8)] + [(20, "Ελληνικά γράμματα και λέξεις εδώ", None), (21, "12 !", "en")]
+    got = corpus_pipeline.language_stage(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(8))
+
+
 CLASHES = ("__score", "__lang", "__fp", "__fid", "__row", "__text", "fid", "at", "text_", "likeness", "Fp_", "o", "found", "vb")
 
 
