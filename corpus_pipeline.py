@@ -2,7 +2,8 @@
 
 Every stage works on all rows that its predecessor kept and its decisions take effect; all but the last return the
 columns of their input. Null and empty texts are low quality or have no language, unless labels say otherwise; further
-columns pass through; an empty table gives an empty result.
+columns pass through, whatever their names; very long texts are taken whole; of repeated rows and ties the first stays; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,26 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, packing, quality, simhash
-from lodestone.llm.common import table, written
+from lodestone.llm.common import fresh, table, written
 
 QUALITY_THRESHOLD = 0.3
+LIKENESS_FLOOR = 0.1  # of the nearest language profile; whole texts in a learned language have 0.4 or more
+
+
+def _kept(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold stay."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.predict(docs, model, docs.columns, "__score").filter(F.col("__score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    return _kept(quality.predict(docs, model, docs.columns, score).filter(F.col(score) >= QUALITY_THRESHOLD), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; those without a letter go."""
+    """Documents like a learned language stay; those without a letter, or hardly like the nearest profile, go."""
     profiles = langid.learn(docs)
-    said = langid.predict(docs, profiles, keep=docs.columns, out=("__lang", "__score"))
-    return said.filter(F.col("__lang") != langid.UND).select(*docs.columns)
+    lang, score, like = (fresh(c, docs.columns) for c in ("lang_pred", "share", "likeness"))
+    said = langid.predict(docs, profiles, keep=docs.columns, out=(lang, score), likeness=like)
+    return _kept(said.filter((F.col(lang) != langid.UND) & (F.col(like) >= LIKENESS_FLOOR)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of similar texts stays: five-word shingles, similarity of about 0.8 or more."""
+    """The first document of each class of similar texts stays: five-word shingles, similarity of 0.8 or more."""
     return simhash.first_of_each(docs)
 
 
