@@ -242,20 +242,6 @@ def _wide_near(a: np.ndarray, x: np.ndarray, max_bits: int, shared: int) -> np.n
     return near[(y[near].view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared]
 
 
-def _forest_of(fp: np.ndarray, max_bits: int, shared: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among fp, as pairs of places."""
-    out, rest = [], np.arange(len(fp))
-    while len(rest) > 1:
-        todo, rest = [rest[0]], rest[1:]
-        while todo and len(rest):
-            own = todo.pop()
-            hit = _wide_near(fp[rest], fp[own], max_bits, shared)
-            found, rest = rest[hit], np.delete(rest, hit)
-            out += [(int(own), int(v)) for v in found]
-            todo += list(found)
-    return out
-
-
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The first place in WIDE_KEYS at which the fingerprints of each row agree."""
     same = (a ^ b).view(np.uint8).reshape(-1, WIDE_BYTES) == 0
@@ -263,86 +249,140 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.argmax(same[:, place[:, 0]] & same[:, place[:, 1]] & same[:, place[:, 2]], axis=1)
 
 
+UNIT = ["t", "k", "i", "j"]
+
+
 def _units(post: DataFrame, fps: DataFrame, cap: int) -> DataFrame:
     """Postings (t, k, fid, n) with the columns of fps, cut into units to compare: a posting of more than about cap
     fingerprints is cut into blocks, and every two of its blocks, and every block with itself, are a unit (t, k, i, j)."""
     cuts = F.ceil(F.col("n") / cap).cast("int")
     own = post.select("t", "k", "fid", F.pmod(F.xxhash64("fid", "t"), cuts).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("o"))
     own = own.select("t", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fid")
-    return own.join(fps, "fid").repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "b", "fid")
-
-
-def _wide_edges(units: DataFrame, max_bits: int, shared: int, forest: bool) -> DataFrame:
-    """Links in units of (t, k, i, j, b, fid, fp, c), met in order: a spanning forest of each, or all pairs of different
-    c, each in the first posting that holds it."""
-
-    def pairs(t: int, within: bool, b: np.ndarray, fid: np.ndarray, fp: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-        second = int(np.searchsorted(b, b[0], "right"))  # the second block starts there
-        out = []
-        for x in range(len(fid) - 1 if within else second if second < len(fid) else 0):
-            start = x + 1 if within else second
-            hit = start + _wide_near(fp[start:], fp[x], max_bits, shared)
-            hit = hit[c[hit] != c[x]]
-            if len(hit):
-                hit = hit[_first_common(fp[hit], fp[x][None]) == t]
-                out.append(np.column_stack([np.full(len(hit), fid[x]), fid[hit]]))
-        return out
-
-    def send(e: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(e), 100_000):
-            x = e[i : i + 100_000]
-            yield pa.record_batch([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["u", "v"])
-
-    def met(key: np.ndarray, b: np.ndarray, fid: np.ndarray, fp: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(fid)]
-        two = starts[(ends - starts == 2) & (key[starts, 2] == key[starts, 3])]
-        y = fp[two] ^ fp[two + 1]
-        ok = two[((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1, dtype=np.int32) <= max_bits)]
-        if not forest:
-            ok = ok[c[ok] != c[ok + 1]]
-            ok = ok[_first_common(fp[ok], fp[ok + 1]) == key[ok, 0]]
-        edges = [np.column_stack([fid[ok], fid[ok + 1]])]
-        rest = (ends - starts > 2) | ((ends - starts == 2) & (key[starts, 2] != key[starts, 3]))
-        for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
-            if forest:
-                edges += [fid[s + np.array(f)] for f in [_forest_of(fp[s:e], max_bits, shared)] if f]
-            else:
-                edges += pairs(int(key[s, 0]), key[s, 2] == key[s, 3], b[s:e], fid[s:e], fp[s:e], c[s:e])
-            if len(edges) > 20_000:
-                yield from send(np.concatenate(edges))
-                edges = []
-        if edges:
-            yield from send(np.concatenate(edges))
+    return _in_order(own.join(fps, "fid"))
+
+
+def _in_order(units: DataFrame) -> DataFrame:
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT, "b", "fid")
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of whole units, in order: keys [row, 4], b, fid, fp, c and the columns of `more` as lists."""
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(x).to_numpy().astype(np.int64) for x in UNIT])
+        fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, 8)
+        texts = [np.array([*batch.column(x).to_pylist(), None], object)[:-1] for x in more]
+        got = (key, batch.column("b").to_numpy(), batch.column("fid").to_numpy(), fp, batch.column("c").to_numpy(), *texts)
+        if (key[0] == key[-1]).all() and (not held or (held[-1][0][-1] == key[0]).all()):
+            held.append(got)  # still inside one unit
+            continue
+        all_ = [np.concatenate(x) for x in zip(*held, got, strict=True)]
+        last = int(np.flatnonzero((all_[0] == all_[0][-1]).all(axis=1))[0])
+        if last:
+            yield tuple(x[:last] for x in all_)
+        held = [tuple(x[last:] for x in all_)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _pairs(key: np.ndarray, b: np.ndarray, fp: np.ndarray, c: np.ndarray, max_bits: int, shared: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and differing bits of the pairs of one unit that are near enough and of different c; with `once`, only of
+    those for which the unit's posting is the first that holds both."""
+    t, within = int(key[0, 0]), key[0, 2] == key[0, 3]
+    second = int(np.searchsorted(b, b[0], "right"))  # the second block starts there
+    xs, ys = [], []
+    for x in range(len(b) - 1 if within else second if second < len(b) else 0):
+        start = x + 1 if within else second
+        hit = start + _wide_near(fp[start:], fp[x], max_bits, shared)
+        hit = hit[c[hit] != c[x]]
+        if once and len(hit):
+            hit = hit[_first_common(fp[hit], fp[x][None]) == t]
+        xs.append(np.full(len(hit), x))
+        ys.append(hit)
+    none = np.empty(0, np.int64)
+    x, y = np.concatenate([none, *xs]).astype(np.int64), np.concatenate([none, *ys]).astype(np.int64)
+    return x, y, np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int32)
+
+
+def _members(units: DataFrame, max_bits: int, shared: int, once: bool) -> DataFrame:
+    """The rows (unit, b, fid) of units that lie in any pair: they are few, and only their texts are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            key = np.column_stack([batch.column(x).to_numpy().astype(np.int64) for x in ("t", "k", "i", "j")])
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, 8)
-            got = (key, batch.column("b").to_numpy(), batch.column("fid").to_numpy(), fp, batch.column("c").to_numpy())
-            if not len(key):
-                continue
-            if (key[0] == key[-1]).all() and (not held or (held[-1][0][-1] == key[0]).all()):
-                held.append(got)  # still inside one unit
-                continue
-            all_ = [np.concatenate(x) for x in zip(*held, got, strict=True)]
-            last = int(np.flatnonzero((all_[0] == all_[0][-1]).all(axis=1))[0])
-            yield from met(*(x[:last] for x in all_))
-            held = [tuple(x[last:] for x in all_)]
-        if held:
-            yield from met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for key, b, fid, fp, c in _whole_units(batches, []):
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(fid)]
+            keep = np.zeros(len(fid), bool)
+            two = starts[(ends - starts == 2) & (key[starts, 2] == key[starts, 3])]
+            y = fp[two] ^ fp[two + 1]
+            two = two[(c[two] != c[two + 1]) & ((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1, dtype=np.int32) <= max_bits)]
+            if once:
+                two = two[_first_common(fp[two], fp[two + 1]) == key[two, 0]]
+            keep[two] = keep[two + 1] = True
+            for s, e in zip(starts, ends, strict=True):
+                if e - s > 2 or e - s == 2 and key[s, 2] != key[s, 3]:
+                    x, y, _ = _pairs(key[s:e], b[s:e], fp[s:e], c[s:e], max_bits, shared, once)
+                    keep[s + x] = keep[s + y] = True
+            yield pa.record_batch([*(pa.array(key[keep, i]) for i in range(4)), pa.array(b[keep].astype(np.int64)), pa.array(fid[keep])], names=[*UNIT, "b", "fid"])
+
+    return units.select(*UNIT, "b", "fid", "fp", "c").mapInArrow(run, "t long, k long, i long, j long, b long, fid long")
 
-    return units.select("t", "k", "i", "j", "b", "fid", "fp", "c").mapInArrow(run, "u long, v long")
+
+def shingles(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame], max_bits: int = 110, shared: int = 6, cap: int = 4096, tight: int = 60, dense: int = 64) -> DataFrame:
-    """A spanning set of the sure links (u, v) between distinct wide fingerprints (columns fid, fp) within max_bits.
+def _verified(units: DataFrame, max_bits: int, shared: int, once: bool, width: int, least: float) -> DataFrame:
+    """Links (u, v) that join the classes c of a unit's rows (with texts): pairs are verified by the Jaccard similarity of
+    their shingles, the nearest first, unless links of the unit join them already."""
 
-    sure_of(links, label) gives, as a written table, the links that stand. Every pair that meets in a posting is tested
-    by it or lies in one class of links that stand: postings of more than `dense` first give a forest of the links within
-    `tight` bits, so that groups of near copies are joined by few tests, and then all postings give all pairs that those
-    classes do not join already.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, b, fid, fp, c, text in _whole_units(batches, ["text"]):
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            out = []
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fid)], strict=True):
+                xs, ys, bits = _pairs(key[s:e], b[s:e], fp[s:e], c[s:e], max_bits, shared, once)
+                root = {x: x for x in c[s:e].tolist()}
+                sets: dict[int, set[bytes]] = {}
+
+                def find(x: int, root=root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                def grams(x: int, s=s, sets=sets, text=text) -> set[bytes]:
+                    if x not in sets:
+                        sets[x] = shingles(text[s + x] or b"", width)
+                    return sets[x]
+
+                for k in np.lexsort((ys, xs, bits)).tolist():
+                    x, y = int(xs[k]), int(ys[k])
+                    p, q = find(int(c[s + x])), find(int(c[s + y]))
+                    if p == q:
+                        continue
+                    one, two = grams(x), grams(y)
+                    if least * max(len(one), len(two)) <= min(len(one), len(two)):
+                        n = len(one & two)
+                        if n >= least * (len(one) + len(two) - n):
+                            root[max(p, q)] = min(p, q)
+                            out.append((int(fid[s + x]), int(fid[s + y])))
+            if out:
+                u = np.array(out, np.int64)
+                yield pa.record_batch([pa.array(u.min(axis=1)), pa.array(u.max(axis=1))], names=["u", "v"])
+
+    return units.select(*UNIT, "b", "fid", "fp", "c", F.col("text").cast("binary").alias("text")).mapInArrow(run, "u long, v long")
+
+
+def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = 5, least: float = 0.8, max_bits: int = 110, shared: int = 6, cap: int = 1024, tight: int = 60, dense: int = 64) -> DataFrame:
+    """A spanning set of the links (u, v) of a shingle similarity of at least `least` between distinct wide fingerprints
+    (columns fid, fp) that meet in a posting within max_bits; a written table.
+
+    texts_of(fids) gives (fid, text). Every pair that meets is verified or lies in one class of verified links. Postings
+    of more than `dense` first give the links within `tight` bits, so that groups of near copies are joined by few tests;
+    then all postings are tested for pairs that those classes do not join already. Pairs are never rows of a table: a
+    unit's rows come with their texts and are compared where they are.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,44 +413,26 @@ def similar_links(fps: DataFrame, sure_of: Callable[[DataFrame, str], DataFrame]
     keys = some.select(F.shiftright("key", 24).cast("int").alias("t"), F.col("key").bitwiseAND(F.lit((1 << 24) - 1)).alias("k"), "fid")
     post = written(_counted(keys), "wide_post")
     discard(some)
+    def found(some: DataFrame, own: DataFrame, bits: int, once: bool, label: str) -> DataFrame:
+        near = written(_members(_units(some, own, cap), bits, shared, once), "wide_near")
+        texts = written(texts_of(near.select("fid").distinct()), "wide_texts")
+        out = written(_verified(_in_order(near.join(own, "fid").join(texts, "fid")), bits, shared, once, width, least), label)
+        discard(near, texts)
+        return out
+
     made, first, own = [post], None, fps.select("fid", "fp", F.col("fid").alias("c"))
     long_ = post.filter(F.col("n") > dense)
     if long_.limit(1).count():
-        e = written(_wide_edges(_units(long_, own, cap), min(tight, max_bits), shared, True).distinct(), "wide_forest")
-        first = sure_of(e, "wide_first")
-        discard(e)
+        first = found(long_, own, min(tight, max_bits), False, "wide_first")
         classes = written(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
         made.append(classes)
         own = fps.select("fid", "fp").join(classes, "fid", "left").select("fid", "fp", F.coalesce("root", "fid").alias("c"))
-    e = written(_wide_edges(_units(post, own, cap), max_bits, shared, False), "wide_links")
+    sure = found(post, own, max_bits, True, "wide_sure")
     discard(*made)
-    out = sure_of(e, "wide_sure")
-    discard(e)
-    return out if first is None else out.union(first)
+    return sure if first is None else sure.union(first)
 
 
-def shingles(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-
-
-def verified(links_: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Links whose texts (fid, text) have a Jaccard similarity of word shingles of at least `least`."""
-    both = links_.join(texts.select(F.col("fid").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fid").alias("v"), F.col("text").alias("b")), "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            keep = []
-            for x, y in zip(utf8(b, "a"), utf8(b, "b"), strict=True):
-                x, y = shingles(x, width), shingles(y, width)
-                n = len(x & y)
-                keep.append(n >= least * (len(x) + len(y) - n))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
-
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 4096) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 1024) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
 
     Texts are linked whose word shingles have a Jaccard similarity of at least `least`, of the pairs that postings of
@@ -431,16 +453,11 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
     one = rows.groupBy(fid).agg(F.min(order).alias("o"), F.first(fp).alias("fp"))
     one = written(one.select(F.col(fid).alias("fid"), "fp", "o"), "wide_fps")
 
-    def sure_of(links_: DataFrame, label: str) -> DataFrame:
-        ends = links_.select(F.col("u").alias("fid")).union(links_.select(F.col("v").alias("fid"))).distinct()
-        # one text stands for a fingerprint: that of its first row
-        texts = one.join(ends, "fid").select("fid", F.col("o.row").alias("at")).join(rows.select(F.col(row).alias("at"), "text"), "at").select("fid", "text")
-        texts = written(texts, "wide_texts")
-        out = written(verified(links_, texts, width, least), label)
-        discard(texts)
-        return out
+    def texts_of(fids: DataFrame) -> DataFrame:  # one text stands for a fingerprint: that of its first row
+        at = one.join(fids, "fid").select("fid", F.col("o.row").alias("at"))
+        return at.join(rows.select(F.col(row).alias("at"), "text"), "at").select("fid", "text")
 
-    sure = similar_links(one.select("fid", "fp"), sure_of, max_bits, cap=cap)
+    sure = similar_links(one.select("fid", "fp"), texts_of, width, least, max_bits, cap=cap)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias(row))
     return rows.join(best, row, "left_semi").select(*[f"`{c}`" for c in names])
