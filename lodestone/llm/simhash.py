@@ -415,13 +415,13 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
     discard(some)
     def found(some: DataFrame, own: DataFrame, bits: int, once: bool, label: str) -> DataFrame:
         near = written(_members(_units(some, own, cap), bits, shared, once), "wide_near")
-        texts = written(texts_of(near.select("fid").distinct()), "wide_texts")
-        out = written(_verified(_in_order(near.join(own, "fid").join(texts, "fid")), bits, shared, once, width, least), label)
+        texts = written(texts_of(near.select("fid").distinct()).join(own, "fid"), "wide_texts")
+        out = written(_verified(_in_order(near.join(texts, "fid")), bits, shared, once, width, least), label)
         discard(near, texts)
         return out
 
     made, first, own = [post], None, fps.select("fid", "fp", F.col("fid").alias("c"))
-    long_ = post.filter(F.col("n") > dense)
+    long_ = post.filter((F.col("n") > dense) & (F.col("t") < WIDE_BYTES))  # so near pairs share half of their bytes
     if long_.limit(1).count():
         first = found(long_, own, min(tight, max_bits), False, "wide_first")
         classes = written(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
