@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from itertools import count, groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import scratch
+
 ORDER = ["ts", "o1", "o2", "o3"]
 
 
@@ -113,55 +119,101 @@ def next_access(acc: DataFrame) -> DataFrame:
     return acc.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("block").orderBy(*ORDER)))
 
 
-def reuse_distance(acc: DataFrame, shards: int = 64) -> DataFrame:
-    """Bytes of distinct blocks between two accesses of a block, over hash shards of blocks (each shard a trace by itself).
+def placed(acc: DataFrame, chunk_rows: int = 500_000, chunks: int = 1024) -> tuple[DataFrame, int]:
+    """The accesses as a written table with pos, a number that follows their order, next_pos of the same block, and chunk,
+    the range of the order that pos >> 33 tells; and a bound of the chunks. No task sees the whole trace."""
+    n = max(1, min(chunks, -(-acc.count() // chunk_rows)))
+    at = scratch.path(acc.sparkSession, "placed")
+    acc.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).withColumn("pos", F.monotonically_increasing_id()).write.parquet(at)
+    rows = acc.sparkSession.read.parquet(at)
+    w = Window.partitionBy("block").orderBy("pos")
+    return rows.withColumn("next_pos", F.lead("pos").over(w)).withColumn("chunk", F.shiftright("pos", 33)), n
+
+
+def below(y: np.ndarray, w: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each query, the sum of w over the first `upto` places whose y is less than its limit: a merge tree, level by level."""
+    values, rank = np.unique(y, return_inverse=True)
+    cut, out = np.searchsorted(values, limit), np.zeros(len(upto), np.int64)
+    for level in range(len(y).bit_length()):
+        ask = np.flatnonzero(upto >> level & 1)
+        if not len(ask):
+            continue
+        key = (np.arange(len(y)) >> level) * (len(values) + 1) + rank
+        order = np.argsort(key, kind="stable")
+        total = np.r_[0, w[order].cumsum()]
+        block = (upto[ask] >> level) - 1
+        out[ask] += total[np.searchsorted(key[order], block * (len(values) + 1) + cut[ask])] - total[block << level]
+    return out
 
-    Within a shard a Fenwick tree over positions holds the size of each block at its latest access; a distance is a range
-    sum. Distances of the whole trace are estimated as shard distance times shards, as in spatial sampling.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable")
-        n = len(pdf)
-        tree = np.zeros(n + 1, np.int64)
-
-        def add(i: int, v: int) -> None:
-            i += 1
-            while i <= n:
-                tree[i] += v
-                i += i & -i
-
-        def upto(i: int) -> int:
-            s = 0
-            while i > 0:
-                s += int(tree[i])
-                i -= i & -i
-            return s
-
-        last: dict[int, tuple[int, int]] = {}
-        out = []
-        for i, (b, size) in enumerate(zip(pdf["block"].tolist(), pdf["size"].tolist(), strict=True)):
-            if b in last:
-                at, old = last[b]
-                out.append((b, upto(i) - upto(at + 1)))
-                add(at, -old)
-            add(i, size)
-            last[b] = i, size
-        return pd.DataFrame(out, columns=["block", "distance"])
-
-    dealt = acc.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, "block long, distance long")
+FAR = 1 << 52  # beyond every pos, and still exact as a float
+
+
+def reuse_distance(acc: DataFrame, chunk_rows: int = 500_000) -> DataFrame:
+    """(block, distance): bytes of the distinct other blocks between two accesses of a block, each at its latest size.
+
+    Exact, in ranges of the order. An access counts between two others if it lies there and its block is not accessed
+    again before the later one, which is a sum over a quadrant of (place, next place). Inside a chunk a merge tree gives
+    it. Where the earlier access lies in another chunk, the sum is that of what each chunk between left behind (a small
+    table over pairs of chunks), of what the earlier access's chunk left behind after it, less what this chunk has touched.
+    """
+    rows, n = placed(acc, chunk_rows)
+    later = F.coalesce(F.shiftright("next_pos", 33), F.lit(n))
+    left = rows.filter(later > F.col("chunk")).select("chunk", "pos", "size", "next_pos", later.cast("int").alias("till"))
+    mass = np.zeros((n, n + 1), np.int64)
+    for r in left.groupBy("chunk", "till").agg(F.sum("size").alias("s")).collect():  # at most a row for two chunks
+        mass[r.chunk, r.till] = r.s
+    held = mass[:, ::-1].cumsum(axis=1)[:, ::-1]  # what a chunk left behind that is not touched before a later one
+    past = np.vstack([np.zeros((1, n + 1), np.int64), held.cumsum(axis=0)])
+
+    def behind(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        c, till, size = int(pdf["chunk"].iloc[0]), pdf["till"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+        after = np.arange(1, len(pdf) + 1)
+        own = size.sum() - below(till, size, np.full(len(pdf), len(pdf)), till) - (size.cumsum() - below(till, size, after, till))
+        out = pd.DataFrame({"pos": pdf["next_pos"], "prev": pdf["pos"], "prev_size": size, "base": own + past[till, till] - past[c + 1, till]})[till < n]
+        return out.astype(np.int64)
+
+    first = left.groupBy("chunk").applyInPandas(behind, "pos long, prev long, prev_size long, base long")
+    every = rows.join(first, "pos", "left").select("chunk", "pos", "next_pos", "block", "size", "prev", "prev_size", "base")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, size = pdf["pos"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+        nxt, prev = pdf["next_pos"].fillna(FAR).to_numpy(np.int64), pdf["prev"].fillna(-1).to_numpy(np.int64)
+        cross, k = prev >= 0, np.arange(len(pos))
+        here = np.searchsorted(pos, nxt)  # the place of the next access, if it is in this chunk
+        near = here < len(pos)
+        near[near] = pos[here[near]] == nxt[near]
+        before = np.full(len(pos), -1)
+        before[here[near]] = k[near]
+        total = np.r_[0, size.cumsum()]
+        live = lambda at, upto: total[upto] - below(nxt, size, upto, pos[at] + 1)
+        out = np.zeros(len(pos), np.int64)
+        q = np.flatnonzero(before >= 0)
+        out[q] = live(q, q) - live(q, before[q] + 1)
+        x = np.flatnonzero(cross)
+        weight = pdf["prev_size"].fillna(0).to_numpy(np.int64)
+        touched = np.r_[0, weight.cumsum()][x] - below(prev, weight, x, prev[x] + 1)
+        out[x] = live(x, x) + pdf["base"].fillna(0).to_numpy(np.int64)[x] - touched
+        again = cross | (before >= 0)
+        return pd.DataFrame({"block": pdf["block"].to_numpy()[again], "distance": out[again]})
+
+    return every.groupBy("chunk").applyInPandas(inside, "block long, distance long")
 
 
 def policy(name: str):
-    """A cache of `capacity` bytes as a function (blocks, sizes, next times, capacity) -> hits."""
+    """A cache as a function of (accesses, capacity in bytes) -> hits; accesses are tuples of FIELDS in order."""
     return {"lru": _lru, "fifo": _fifo, "mru": _mru, "lfu": _lfu, "gdsize": _gdsize, "opt": _opt, "arc": _arc, "ghost": _ghost, "hyperbolic": _hyperbolic, "costclass": _costclass, "ts": _thompson, "linucb": _linucb, "hybrid": _hybrid, "priority": _priority}[name]
 
 
-def _simple(blocks, sizes, capacity, pick, touch=True) -> int:
+FIELDS = ["block", "size", "next_pos", "btype", "level", "key_id"]
+
+
+def _simple(rows, capacity, pick, touch=True) -> int:
     cache: dict[int, int] = {}
     used = hits = 0
-    for b, s in zip(blocks, sizes, strict=True):
+    for b, s, *_ in rows:
         if b in cache:
             hits += 1
             if touch:
@@ -176,20 +228,20 @@ def _simple(blocks, sizes, capacity, pick, touch=True) -> int:
     return hits
 
 
-def _lru(blocks, sizes, nxt, capacity) -> int:
-    return _simple(blocks, sizes, capacity, lambda c: next(iter(c)))
+def _lru(rows, capacity) -> int:
+    return _simple(rows, capacity, lambda c: next(iter(c)))
 
 
-def _fifo(blocks, sizes, nxt, capacity) -> int:
-    return _simple(blocks, sizes, capacity, lambda c: next(iter(c)), touch=False)
+def _fifo(rows, capacity) -> int:
+    return _simple(rows, capacity, lambda c: next(iter(c)), touch=False)
 
 
-def _mru(blocks, sizes, nxt, capacity) -> int:
-    return _simple(blocks, sizes, capacity, lambda c: next(reversed(c)))
+def _mru(rows, capacity) -> int:
+    return _simple(rows, capacity, lambda c: next(reversed(c)))
 
 
-def _ranked(blocks, sizes, capacity, value) -> int:
-    """Evicts the least value; value(block, size, count, place, floor) is set at each access, with lazy heap entries."""
+def _ranked(rows, capacity, value) -> int:
+    """Evicts the least value; value(size, count, next place, floor) is set at each access, with lazy heap entries."""
     import heapq
 
     cache: dict[int, tuple[float, int]] = {}
@@ -197,7 +249,7 @@ def _ranked(blocks, sizes, capacity, value) -> int:
     heap: list[tuple[float, int]] = []
     used = hits = 0
     floor = 0.0
-    for i, (b, s) in enumerate(zip(blocks, sizes, strict=True)):
+    for b, s, nxt, *_ in rows:
         count[b] = count.get(b, 0) + 1
         if b in cache:
             hits += 1
@@ -211,30 +263,31 @@ def _ranked(blocks, sizes, capacity, value) -> int:
                     floor = max(floor, v)
             used += s
         size = cache[b][1] if b in cache else s
-        v = value(b, size, count[b], i, floor)
+        v = value(size, count[b], nxt, floor)
         cache[b] = v, size
         heapq.heappush(heap, (v, b))
     return hits
 
 
-def _lfu(blocks, sizes, nxt, capacity) -> int:
-    return _ranked(blocks, sizes, capacity, lambda b, s, c, i, f: float(c))
+def _lfu(rows, capacity) -> int:
+    return _ranked(rows, capacity, lambda s, c, nxt, f: float(c))
 
 
-def _gdsize(blocks, sizes, nxt, capacity) -> int:
-    return _ranked(blocks, sizes, capacity, lambda b, s, c, i, f: f + 1.0 / max(s, 1))
+def _gdsize(rows, capacity) -> int:
+    return _ranked(rows, capacity, lambda s, c, nxt, f: f + 1.0 / max(s, 1))
 
 
-def _opt(blocks, sizes, nxt, capacity) -> int:
-    return _ranked(blocks, sizes, capacity, lambda b, s, c, i, f: -float(nxt[i]))
+def _opt(rows, capacity) -> int:
+    """Evicts the block whose next access is farthest."""
+    return _ranked(rows, capacity, lambda s, c, nxt, f: -float("inf") if nxt is None else -nxt)
 
 
-def _ghost(blocks, sizes, nxt, capacity) -> int:
+def _ghost(rows, capacity) -> int:
     """Admits a block only on its second access within the ghost list, which holds as many bytes of names."""
     ghost: dict[int, int] = {}
     cache: dict[int, int] = {}
     used = gused = hits = 0
-    for b, s in zip(blocks, sizes, strict=True):
+    for b, s, *_ in rows:
         if b in cache:
             hits += 1
             cache[b] = cache.pop(b)
@@ -253,7 +306,7 @@ def _ghost(blocks, sizes, nxt, capacity) -> int:
     return hits
 
 
-def _arc(blocks, sizes, nxt, capacity) -> int:
+def _arc(rows, capacity) -> int:
     """Adaptive replacement by bytes: a recent and a frequent list with ghosts that move the target between them."""
     t1, t2, b1, b2 = {}, {}, {}, {}
     size = {id(x): 0 for x in (t1, t2, b1, b2)}
@@ -277,7 +330,7 @@ def _arc(blocks, sizes, nxt, capacity) -> int:
                 b = next(iter(t2))
                 put(b2, b, drop(t2, b))
 
-    for b, s in zip(blocks, sizes, strict=True):
+    for b, s, *_ in rows:
         if b in t1 or b in t2:
             hits += 1
             put(t2, b, drop(t1 if b in t1 else t2, b))
@@ -304,14 +357,14 @@ def _arc(blocks, sizes, nxt, capacity) -> int:
     return hits
 
 
-def _sampled(blocks, sizes, capacity, worth, sample: int = 16) -> int:
-    """Evicts the least worthy of a seeded sample; worth(block, size, hits, age, class hits) is taken at eviction."""
+def _sampled(rows, capacity, worth, sample: int = 64) -> int:
+    """Evicts the least worthy of a seeded sample; worth(size, hits, age, hits of its size class) is taken at eviction."""
     rng = np.random.default_rng(1)
     cache: dict[int, list] = {}
     names: list[int] = []
     by_size: dict[int, int] = {}
     used = hits = 0
-    for i, (b, s) in enumerate(zip(blocks, sizes, strict=True)):
+    for i, (b, s, *_) in enumerate(rows):
         k = int(s).bit_length()
         if b in cache:
             hits += 1
@@ -321,8 +374,8 @@ def _sampled(blocks, sizes, capacity, worth, sample: int = 16) -> int:
         if s > capacity:
             continue
         while used + s > capacity:
-            some = rng.integers(0, len(names), min(sample, len(names)))
-            at = min(some.tolist(), key=lambda j: worth(names[j], cache[names[j]][0], cache[names[j]][1], i - cache[names[j]][2] + 1, by_size.get(int(cache[names[j]][0]).bit_length(), 0)))
+            some = rng.integers(0, len(names), min(sample, len(names))).tolist()
+            at = min(some, key=lambda j: worth(cache[names[j]][0], cache[names[j]][1], i - cache[names[j]][2] + 1, by_size.get(int(cache[names[j]][0]).bit_length(), 0)))
             old = names[at]
             names[at] = names[-1]
             names.pop()
@@ -333,96 +386,166 @@ def _sampled(blocks, sizes, capacity, worth, sample: int = 16) -> int:
     return hits
 
 
-def _hyperbolic(blocks, sizes, nxt, capacity) -> int:
+def _hyperbolic(rows, capacity) -> int:
     """Hits a unit of time in the cache, by size."""
-    return _sampled(blocks, sizes, capacity, lambda b, s, n, age, c: n / (age * s))
+    return _sampled(rows, capacity, lambda s, n, age, c: n / (age * s))
 
 
-def _costclass(blocks, sizes, nxt, capacity) -> int:
+def _costclass(rows, capacity) -> int:
     """Hits of the block's size class, by size."""
-    return _sampled(blocks, sizes, capacity, lambda b, s, n, age, c: (c + 1) / s)
+    return _sampled(rows, capacity, lambda s, n, age, c: (c + 1) / s)
 
 
-def _bandit(blocks, sizes, capacity, choose, learn) -> int:
-    """Each eviction uses the oldest or the least used block, as the bandit says; coming back soon is a loss for that arm."""
-    cache: dict[int, int] = {}
+def _bandit(rows, capacity, choose, learn, sample: int = 64) -> int:
+    """Each eviction uses the oldest block or the least used of a seeded sample, as the bandit says; choose(context) gives
+    the arm, and learn(arm, context, reward) hears 0 if the block comes back soon, else 1."""
+    rng, cache, names, place = np.random.default_rng(2), {}, [], {}
     count: dict[int, int] = {}
-    gone: dict[int, int] = {}
+    gone: dict[int, tuple] = {}
     used = hits = 0
-    for b, s in zip(blocks, sizes, strict=True):
+    for b, s, _, btype, level, *_ in rows:
         count[b] = count.get(b, 0) + 1
         if b in cache:
             hits += 1
             cache[b] = cache.pop(b)
             continue
         if b in gone:
-            learn(gone.pop(b), 0.0)
+            learn(*gone.pop(b), 0.0)
         if s > capacity:
             continue
+        context = (1.0, float(zlib.crc32(str(btype).encode()) % 2), float(level) / 8, min(1.0, s / capacity))
         while used + s > capacity:
-            arm = choose()
-            old = next(iter(cache)) if arm == 0 else min(cache, key=count.__getitem__)
+            arm = choose(context)
+            if arm == 0:
+                old = next(iter(cache))
+            else:
+                old = min((names[j] for j in rng.integers(0, len(names), min(sample, len(names))).tolist()), key=count.__getitem__)
             used -= cache.pop(old)
-            gone[old] = arm
+            at = place.pop(old)
+            names[at] = names[-1]
+            place[names[-1]] = at
+            names.pop()
+            place.pop(old, None)
+            gone[old] = arm, context
             if len(gone) > 64:
-                learn(gone.pop(next(iter(gone))), 1.0)
+                learn(*gone.pop(next(iter(gone))), 1.0)
         cache[b] = s
+        place[b] = len(names)
+        names.append(b)
         used += s
     return hits
 
 
-def _thompson(blocks, sizes, nxt, capacity) -> int:
+def _thompson(rows, capacity) -> int:
     """Thompson sampling between the two evictions, seeded."""
     rng, win, loss = np.random.default_rng(1), [1.0, 1.0], [1.0, 1.0]
 
-    def learn(arm: int, reward: float) -> None:
+    def learn(arm: int, context: tuple, reward: float) -> None:
         win[arm] += reward
         loss[arm] += 1 - reward
 
-    return _bandit(blocks, sizes, capacity, lambda: int(rng.beta(win[1], loss[1]) > rng.beta(win[0], loss[0])), learn)
+    return _bandit(rows, capacity, lambda context: int(rng.beta(win[1], loss[1]) > rng.beta(win[0], loss[0])), learn)
 
 
-def _linucb(blocks, sizes, nxt, capacity) -> int:
-    """Upper confidence bound on each eviction's reward (a constant context)."""
-    n, total = [1.0, 1.0], [0.5, 0.5]
+def _linucb(rows, capacity, width: float = 0.2) -> int:
+    """Upper confidence bound of each eviction's reward, a ridge model of the context each: block type, level, size."""
+    inverse, total = [np.eye(4), np.eye(4)], [np.zeros(4), np.zeros(4)]
 
-    def learn(arm: int, reward: float) -> None:
-        n[arm] += 1
-        total[arm] += reward
+    def choose(context: tuple) -> int:
+        x = np.array(context)
+        bound = [float(x @ (a @ t) + width * np.sqrt(x @ a @ x)) for a, t in zip(inverse, total, strict=True)]
+        return int(bound[1] > bound[0])
 
-    return _bandit(blocks, sizes, capacity, lambda: int(total[1] / n[1] + 1 / n[1] ** 0.5 > total[0] / n[0] + 1 / n[0] ** 0.5), learn)
+    def learn(arm: int, context: tuple, reward: float) -> None:
+        x = np.array(context)
+        ax = inverse[arm] @ x
+        inverse[arm] -= np.outer(ax, ax) / (1 + x @ ax)
+        total[arm] += reward * x
 
+    return _bandit(rows, capacity, choose, learn)
 
-def _hybrid(blocks, sizes, nxt, capacity) -> int:
-    """A tenth of the bytes keeps single rows of blocks (a sixteenth of their size), the rest whole blocks; a row hit counts."""
-    rows = capacity // 10
-    return max(_lru(blocks, sizes, nxt, capacity - rows), _lru(blocks, [max(1, s // 16) for s in sizes], nxt, rows))
+
+def _hybrid(rows, capacity) -> int:
+    """One least-recently-used cache of whole blocks and of single rows of them (a sixteenth of the size); either is a hit."""
+    cache: dict[tuple, int] = {}
+    used = hits = 0
+    for b, s, _, _, _, key in rows:
+        row, block = (b, key), (b,)
+        found = next((x for x in (row, block) if x in cache), None)
+        if found:
+            hits += 1
+            cache[found] = cache.pop(found)
+        for x, n in ((block, s), (row, max(1, s // 16))):
+            if x in cache or found == row or n > capacity or x == block and found:
+                continue
+            while used + n > capacity:
+                used -= cache.pop(next(iter(cache)))
+            cache[x] = n
+            used += n
+    return hits
 
 
-def _priority(blocks, sizes, nxt, capacity) -> int:
-    """Blocks of the smaller half of sizes count as metadata: they have half of the bytes to themselves."""
-    mid = sorted(sizes)[len(sizes) // 2]
-    parts = [[(b, s) for b, s in zip(blocks, sizes, strict=True) if (s < mid) == high] for high in (True, False)]
-    return sum(_lru([b for b, _ in p], [s for _, s in p], nxt, capacity // 2) for p in parts)
+def _priority(rows, capacity, share: float = 0.5) -> int:
+    """Least recently used in two parts: blocks of the type seen first, as index blocks are, may fill a share of the bytes
+    before their oldest join the others, which are evicted first."""
+    high: dict[int, int] = {}
+    low: dict[int, int] = {}
+    used = [0, 0]
+    hits, best = 0, None
+    for b, s, _, btype, *_ in rows:
+        best = btype if best is None else best
+        hit = b in high or b in low
+        hits += hit
+        if hit:
+            own, k = (high, 0) if b in high else (low, 1)
+            s = own.pop(b)
+            used[k] -= s
+        elif s > capacity:
+            continue
+        while sum(used) + s > capacity:
+            k = 1 if low else 0
+            own = low if low else high
+            used[k] -= own.pop(next(iter(own)))
+        if btype == best:
+            high[b] = s
+            used[0] += s
+            while used[0] > share * capacity and len(high) > 1:
+                old = next(iter(high))
+                low[old] = high.pop(old)
+                used[0] -= low[old]
+                used[1] += low[old]
+        else:
+            low[b] = s
+            used[1] += s
+    return hits
 
 
-def simulate(acc: DataFrame, configs: list[tuple[str, int]], shards: int = 16) -> DataFrame:
-    """Hits and accesses of each (policy, capacity in bytes). Blocks are dealt to shards of an equal share of the capacity.
+def simulate(acc: DataFrame, configs: list[tuple[str, int]], rate: float = 1.0) -> DataFrame:
+    """Hits and accesses of each (policy, capacity in bytes), each one cache.
 
-    Replacement is sequential inside a shard, as in a sharded cache; shards and configurations run at once.
+    A cache is sequential by nature, so a configuration is one task, past which the whole trace streams in order; it holds
+    what the cache holds. For traces too long for one task, `rate` takes that share of the blocks by hash and of the
+    capacity, as in spatial sampling; it is in the result, which is then an estimate.
     """
-    cf = acc.sparkSession.createDataFrame(configs, "policy string, capacity long")
-    dealt = next_access(acc).withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards))).crossJoin(F.broadcast(cf))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable")
-        name, capacity = pdf["policy"].iloc[0], int(pdf["capacity"].iloc[0])
-        nxt = pdf["next_ts"].fillna(np.inf).to_numpy()
-        hits = policy(name)(pdf["block"].tolist(), pdf["size"].tolist(), nxt, capacity // shards)
-        return pd.DataFrame({"policy": [name], "capacity": [capacity], "hits": [hits], "accesses": [len(pdf)]})
-
-    out = dealt.groupBy("policy", "capacity", "shard").applyInPandas(run, "policy string, capacity long, hits long, accesses long")
-    return out.groupBy("policy", "capacity").agg(F.sum("hits").alias("hits"), F.sum("accesses").alias("accesses")).withColumn("miss_ratio", F.round(1 - F.col("hits") / F.col("accesses"), 6))
+    rows, _ = placed(acc)
+    if rate < 1:
+        rows = rows.filter(F.pmod(F.xxhash64("block"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))
+    dealt = rows.select(numbers.alias("i"), "pos", *FIELDS).repartition(len(configs), "i").sortWithinPartitions("i", "pos")
+
+    def run(batches):
+        def stream():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("i", *FIELDS)), strict=True)
+
+        for i, own in groupby(stream(), key=lambda r: r[0]):
+            name, capacity = configs[i]
+            seen = count()
+            hits = policy(name)((r[1:] for r, _ in zip(own, seen, strict=False)), int(capacity * rate))
+            yield pa.record_batch([pa.array([name]), pa.array([capacity]), pa.array([rate]), pa.array([hits]), pa.array([next(seen)])], names=["policy", "capacity", "rate", "hits", "accesses"])
+
+    out = dealt.mapInArrow(run, "policy string, capacity long, rate double, hits long, accesses long")
+    return out.withColumn("miss_ratio", F.round(1 - F.col("hits") / F.col("accesses"), 6))
 
 
 def histogram_limits(top: float = 1e12) -> list[int]:

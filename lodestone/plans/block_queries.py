@@ -51,7 +51,13 @@ def _(t):
     return bc.lifetime(t("v_block"))
 
 
-@query("agg_reuse_distance")
+REUSE = """WITH a AS (SELECT block, size, row_number() OVER (ORDER BY ts, o1, o2, o3) AS p FROM v_block),
+  n AS (SELECT *, lag(p) OVER w AS q, coalesce(lead(p) OVER w, 1000000000000) AS later FROM a WINDOW w AS (PARTITION BY block ORDER BY p)),
+  d AS (SELECT i.p, coalesce(sum(j.size), 0) AS distance FROM n i LEFT JOIN n j ON j.p > i.q AND j.p < i.p AND j.later > i.p WHERE i.q IS NOT NULL GROUP BY i.p)
+  SELECT CAST(distance // 100 AS BIGINT) AS bucket, count(*) AS n FROM d GROUP BY 1"""
+
+
+@query("agg_reuse_distance", REUSE)
 def _(t):
     d = bc.reuse_distance(t("v_block"))
     return d.groupBy(F.floor(F.col("distance") / 100).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -64,30 +64,74 @@ def test_named_aggregation_switches(spark):
     assert kv.agg_named(log, ["seq"]).first().value == 20.0
 
 
-def test_caches_against_plain_lru_and_opt_is_best():
-    rnd = random.Random(3)
-    blocks = [int(rnd.paretovariate(1)) % 60 for _ in range(3000)]
-    sizes = [1] * len(blocks)
-    nxt, seen = [float("inf")] * len(blocks), {}
-    for i in range(len(blocks) - 1, -1, -1):
-        nxt[i] = seen.get(blocks[i], float("inf"))
-        seen[blocks[i]] = i
-    order, hits = [], 0
-    for b in blocks:
-        if b in order:
+ACCESS = "block long, size long, caller string, level long, btype string, ts long, o1 long, o2 long, o3 long, key_id long, is_hit long"
+
+
+def _trace(n, blocks, seed, sizes=lambda rnd: rnd.randint(1, 9)):
+    rnd = random.Random(seed)
+    return [(int(rnd.paretovariate(0.7)) % blocks, sizes(rnd), "c", rnd.randint(1, 7), rnd.choice("FO"), i // 3, i % 3, 0, 0, rnd.randint(0, 4), 1) for i in range(n)]
+
+
+def _plain(policy, rows, capacity):
+    """One cache, step by step: hits of least recent, most recent, least frequent or farthest next use."""
+    cache, count, hits = {}, {}, 0
+    for i, r in enumerate(rows):
+        b, s = r[0], r[1]
+        count[b] = count.get(b, 0) + 1
+        if b in cache:
             hits += 1
-            order.remove(b)
-        elif len(order) == 10:
-            order.pop(0)
-        order.append(b)
-    got = {p: bc.policy(p)(blocks, sizes, nxt, 10) for p in ("lru", "fifo", "mru", "lfu", "gdsize", "arc", "opt", "ghost")}
-    assert got["lru"] == hits and all(got["opt"] >= h for h in got.values())
-
-
-def test_reuse_distance(spark):
-    acc = spark.createDataFrame([(b, 10 * b, "c", 1, "d", i, 0, 0, 0, 0, 1) for i, b in enumerate([1, 2, 3, 1, 2, 2])], "block long, size long, caller string, level long, btype string, ts long, o1 long, o2 long, o3 long, key_id long, is_hit long")
-    got = sorted((r.block, r.distance) for r in bc.reuse_distance(acc, 1).collect())
-    assert got == [(1, 50), (2, 0), (2, 40)]
+            cache[b] = (cache[b][0], i)
+            continue
+        if s > capacity:
+            continue
+        while sum(x for x, _ in cache.values()) + s > capacity:
+            ahead = lambda k, i=i: next((j for j in range(i + 1, len(rows)) if rows[j][0] == k), len(rows) + k)
+            cache.pop(max(cache, key=ahead) if policy == "opt" else (min if policy == "lru" else max)(cache, key=lambda k: cache[k][1]))
+        cache[b] = s, i
+    return hits
+
+
+def test_caches_are_one_cache(spark):
+    rows = _trace(1500, 60, 3)
+    acc = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), ACCESS)
+    names = ("lru", "mru", "fifo", "lfu", "gdsize", "arc", "opt", "ghost", "hyperbolic", "costclass", "ts", "linucb", "hybrid", "priority")
+    got = {r.policy: r for r in bc.simulate(acc, [(n, 40) for n in names]).collect()}
+    assert len(got) == len(names) and all(r.accesses == 1500 and 0 <= r.hits <= 1500 for r in got.values())
+    for n in ("lru", "mru"):
+        assert got[n].hits == _plain(n, rows, 40)
+    assert got["lru"].hits == next(r.hits for r in bc.simulate(acc, [("lru", 40), ("lru", 90)]).collect() if r.capacity == 40)
+
+
+def test_farthest_next_use_is_best(spark):
+    rows = _trace(900, 40, 5, lambda rnd: 1)
+    got = {r.policy: r.hits for r in bc.simulate(spark.createDataFrame(rows, ACCESS), [(n, 10) for n in ("lru", "mru", "fifo", "lfu", "gdsize", "arc", "opt", "ghost", "hyperbolic", "ts", "linucb", "priority")]).collect()}
+    assert got["opt"] == _plain("opt", rows, 10) and all(got["opt"] >= h for h in got.values())
+
+
+def test_lru_is_what_reuse_distances_say(spark):
+    rows = [(r[0], 1 + r[0] % 5, *r[2:]) for r in _trace(2000, 70, 9)]  # a block keeps its size
+    acc = spark.createDataFrame(rows, ACCESS)
+    far = [(r.block, r.distance) for r in bc.reuse_distance(acc, 300).collect()]
+    for r in bc.simulate(acc, [("lru", c) for c in (20, 60, 120)]).collect():
+        assert r.hits == sum(d + 1 + b % 5 <= r.capacity for b, d in far)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 1000), st.integers(5, 80), st.sampled_from([7, 40, 1000]))
+def test_reuse_distance(spark, seed, blocks, chunk):
+    rows = _trace(260, blocks, seed)
+    want, last = [], {}
+    for i, r in enumerate(rows):
+        if r[0] in last:
+            want.append((r[0], sum({x[0]: x[1] for x in rows[last[r[0]] + 1 : i]}.values())))
+        last[r[0]] = i
+    got = bc.reuse_distance(spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), ACCESS), chunk)
+    assert sorted((r.block, r.distance) for r in got.collect()) == sorted(want)
+
+
+def test_sampled_simulation_says_so(spark):
+    r = bc.simulate(spark.createDataFrame(_trace(2000, 400, 2), ACCESS), [("lru", 400)], rate=0.5).first()
+    assert r.rate == 0.5 and 0 < r.accesses < 2000
 
 
 def test_histogram_limits_start():
