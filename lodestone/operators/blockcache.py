@@ -563,10 +563,10 @@ def histogram_limits(top: float = 1e12) -> list[int]:
 def histogram_percentiles(values: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
     """Percentiles from the growing buckets, interpolated and held inside the extremes: columns p<percent>."""
     limits = histogram_limits()
-    spark = values.sparkSession
-    table = spark.createDataFrame([(i, float(limits[i - 1]) if i else 0.0, float(x)) for i, x in enumerate(limits)], "i int, lo double, hi double")
-    x = F.col("v").cast("double")
-    b = values.select(*by, "v", x.alias("x")).join(F.broadcast(table), (x <= F.col("hi")) & ((x > F.col("lo")) | (F.col("i") == 0)))
+    table = F.array(*[F.lit(float(x)) for x in limits])
+    b = values.select(*by, F.col("v").cast("double").alias("x")).filter(F.col("x") <= float(limits[-1]))
+    b = b.withColumn("i", F.size(F.filter(table, lambda top: top < F.col("x"))))
+    b = b.withColumn("lo", F.coalesce(F.get(table, F.col("i") - 1), F.lit(0.0))).withColumn("hi", F.get(table, F.col("i")))
     c = b.groupBy(*by, "i", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
     w = Window.partitionBy(*by)
     run = c.withColumn("cum", F.sum("n").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w)).withColumn("lowest", F.min("mn").over(w)).withColumn("highest", F.max("mx").over(w))

@@ -15,11 +15,13 @@ def daily_collapse(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def gap_fill(daily: DataFrame) -> DataFrame:
-    """Every day of each drive's span: counts and flags 0, cumulative values carried forward."""
-    spine = daily.groupBy("drive").agg(F.min("day").alias("d0"), F.max("day").alias("d1")).select("drive", F.explode(F.sequence("d0", "d1")).alias("day"))
-    w = Window.partitionBy("drive").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    out = spine.join(daily, ["drive", "day"], "left")
-    return out.select("drive", "day", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("flag", F.lit(0)).alias("flag"), F.last("wear", ignorenulls=True).over(w).alias("wear"))
+    """Every day of each drive's span: counts and flags 0, cumulative values carried forward. Each day fills up to the next."""
+    w = Window.partitionBy("drive").orderBy("day")
+    known = F.last("wear", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = daily.select("drive", "day", "errors", "flag", known.alias("wear"), F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day")).alias("till"))
+    out = d.select("drive", F.col("day").alias("first"), "errors", "flag", "wear", F.explode(F.sequence("day", "till")).alias("day"))
+    own = lambda c: F.when(F.col("day") == F.col("first"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(daily.schema[c].dataType).alias(c)
+    return out.select("drive", "day", own("errors"), own("flag"), "wear")
 
 
 def consecutive(daily: DataFrame, n: int = 30) -> DataFrame:

@@ -49,7 +49,7 @@ def cfv(statements: Column) -> Column:
     return F.round(ratio(good, F.size(statements)), 6)
 
 
-TOKEN = r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)?|[%°]+|[^\s]"  # fixed value: the token pattern
+TOKEN = r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)?|[%°]+|\S"  # fixed value: the token pattern
 
 
 def tokens(text: Column) -> Column:
@@ -61,18 +61,15 @@ def _ngrams(t: Column, n: int) -> Column:
 
 
 def bleu4(pairs: DataFrame, key: str) -> DataFrame:
-    """BLEU-4 of columns cand and ref with smoothing 1e-9; a candidate below four tokens scores 0."""
-    t = pairs.select(key, tokens(F.col("cand")).alias("c"), tokens(F.col("ref")).alias("r"))
-    grams = None
-    for n in range(1, 5):
-        a = t.select(key, F.explode(_ngrams(F.col("c"), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("x"))
-        b = t.select(key, F.explode(_ngrams(F.col("r"), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("y"))
-        m = a.join(b, [key, "g"], "left").groupBy(key).agg(F.sum(F.least("x", F.coalesce("y", F.lit(0)))).alias("hit"), F.sum("x").alias("total"))
-        grams = m.withColumn("n", F.lit(n)) if grams is None else grams.union(m.withColumn("n", F.lit(n)))
-    p = grams.groupBy(key).agg(F.sum(F.log((F.col("hit") + 1e-9) / (F.col("total") + 1e-9))).alias("logs"))
-    brevity = F.when(F.size("c") > F.size("r"), 1.0).otherwise(F.exp(1 - F.size("r") / F.greatest(F.size("c"), F.lit(1))))
-    out = t.join(p, key, "left")
-    return out.select(key, F.round(F.when(F.size("c") < 4, 0.0).otherwise(brevity * F.exp(F.col("logs") / 4)), 6).alias("bleu"))
+    """BLEU-4 of columns cand and ref with smoothing 1e-9; a candidate below four tokens scores 0. One shuffle, by key."""
+    t = pairs.select(key, tokens(F.col("cand")).alias("c"), tokens(F.col("ref")).alias("r")).withColumn("nc", F.size("c")).withColumn("nr", F.size("r"))
+    mark = lambda side, n, x: F.transform(_ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(x).alias("x"), F.lit(1 - x).alias("y")))
+    rows = t.select(key, "nc", "nr", F.explode_outer(F.concat(*[mark(side, n, x) for n in range(1, 5) for side, x in (("c", 1), ("r", 0))])).alias("e")).select(key, "nc", "nr", "e.*")
+    grams = rows.repartition(key).groupBy(key, "nc", "nr", "n", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    by = grams.groupBy(key, "nc", "nr", "n").agg(F.sum(F.least("x", "y")).alias("hit"), F.sum("x").alias("total"))
+    p = by.groupBy(key, "nc", "nr").agg(F.sum(F.when(F.col("n").isNotNull(), F.log((F.col("hit") + 1e-9) / (F.col("total") + 1e-9)))).alias("logs"))
+    brevity = F.when(F.col("nc") > F.col("nr"), 1.0).otherwise(F.exp(1 - F.col("nr") / F.greatest(F.col("nc"), F.lit(1))))
+    return p.select(key, F.round(F.when(F.col("nc") < 4, 0.0).otherwise(brevity * F.exp(F.col("logs") / 4)), 6).alias("bleu"))
 
 
 def rouge_l(pairs: DataFrame, key: str) -> DataFrame:

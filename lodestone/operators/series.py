@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import scratch
+
 R = 6  # digits in results
 
 
@@ -53,10 +55,21 @@ def outliers(series: DataFrame, by: list[str], limit: float = 3.5) -> DataFrame:
     return dev.join(mad, by).groupBy(*by).agg(F.count_if(far).alias("outliers"))
 
 
-def frames(series: DataFrame, by: list[str]) -> DataFrame:
-    """One frame per group: n, median, p95, extremes, slope, changepoint, outliers."""
-    base = robust_stats(series, by).select(*by, "n", "median", F.col("q95").alias("p95"), "min_v", "max_v")
-    return base.join(slope(series, by), by).join(changepoint(series, by), by).join(outliers(series, by), by)
+def frames(series: DataFrame, by: list[str], limit: float = 3.5) -> DataFrame:
+    """One frame per group: n, median, p95, extremes, slope, changepoint, outliers. One shuffle, by group: steps need a
+    group's order anyway, so its median and deviation are windows over the same partitioning."""
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("pos")
+    s = clean(series).withColumn("i", F.row_number().over(order) - 1).withColumn("step", F.abs(F.col("v") - F.lag("v").over(order)))
+    s = s.withColumn("off", F.abs(F.col("v") - F.median("v").over(group))).withColumn("mad", F.median("off").over(group))
+    best = F.max(F.when(F.col("step").isNotNull(), F.struct("step", (-F.col("i")).alias("neg"))))
+    n, q = F.count(F.lit(1)), F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)))
+    far = F.count_if((F.col("mad") > 0) & (0.6745 * F.col("off") / F.col("mad") > limit))
+    g = s.groupBy(*by).agg(n.alias("n"), q.alias("q"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.regr_slope("v", F.col("pos").cast("double")).alias("slope"), best.alias("b"), far.alias("far"))
+    enough = F.col("n") >= 4
+    return g.select(
+        *by, "n", _r(F.col("q")[0]).alias("median"), _r(F.col("q")[1]).alias("p95"), "min_v", "max_v", _r(F.when(F.col("n") >= 3, F.col("slope"))).alias("slope"),
+        F.when(enough, (-F.col("b.neg")).cast("long")).alias("changepoint"), F.when(enough, F.col("far")).otherwise(F.lit(0)).alias("outliers"),
+    )
 
 
 def risk_score(frame: DataFrame, by: list[str]) -> DataFrame:
@@ -72,13 +85,16 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 def fleet_attributes(frame: DataFrame, drive: str, attribute: str, top: int = 5) -> DataFrame:
     """Per attribute over drives: count, upper median and nearest-rank p95 of the medians, slopes, outliers, changepoints, steepest drives."""
-    # values are cut to one number a drive; percentiles by place need them in order
+    # values are cut to one number a drive; percentiles by place need them in order. Frames are computed once
+    at = scratch.path(frame.sparkSession, "frames")
+    frame.write.parquet(at)
+    frame = frame.sparkSession.read.parquet(at)
     rank = Window.partitionBy(attribute).orderBy("median", drive)
     size = Window.partitionBy(attribute)
     f = frame.withColumn("i", F.row_number().over(rank) - 1).withColumn("n_drives", F.count(F.lit(1)).over(size))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col("median")))
+    nth = lambda place: F.max(F.when(F.col("i") == place, F.col("median")))
     agg = f.groupBy(attribute).agg(
-        F.max("n_drives").alias("n_drives"), at(F.floor(F.col("n_drives") / 2)).alias("median_of_medians"), at(F.bround(0.95 * (F.col("n_drives") - 1)).cast("long")).alias("p95_of_medians"),
+        F.max("n_drives").alias("n_drives"), nth(F.floor(F.col("n_drives") / 2)).alias("median_of_medians"), nth(F.bround(0.95 * (F.col("n_drives") - 1)).cast("long")).alias("p95_of_medians"),
         _r(F.avg("slope")).alias("mean_slope"), _r(F.avg("outliers")).alias("mean_outliers"), _r(F.avg(F.col("changepoint").isNotNull().cast("double"))).alias("changepoint_share"),
     )
     steep = Window.partitionBy(attribute).orderBy(F.desc(F.abs(F.coalesce("slope", F.lit(0.0)))), drive)

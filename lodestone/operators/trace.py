@@ -59,12 +59,13 @@ def value_histogram(trace: DataFrame) -> DataFrame:
 
 
 def top_key_share(trace: DataFrame, n: int = 8, top: float = 0.01) -> DataFrame:
-    """Per window, the share of requests that go to the top 1 % (one at least) of its keys."""
-    per = windows(trace, n).groupBy("w", "key").agg(F.count(F.lit(1)).alias("c"))
-    size = per.groupBy("w").agg(F.sum("c").alias("total"), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * top)).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("c"), "key"))
-    hot = per.withColumn("r", rank).join(F.broadcast(size), "w").filter("r <= k")
-    return hot.groupBy("w").agg(F.round(F.sum("c") / F.first("total"), 6).alias("top_share"))
+    """Per window, the share of requests that go to the top 1 % (one at least) of its keys; keys of one count are taken together."""
+    by = windows(trace, n).groupBy("w", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("w")  # a row per count
+    before = F.coalesce(F.sum("m").over(w.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = by.select("w", "c", "m", before.alias("before"), F.sum(F.col("c") * F.col("m")).over(w).alias("total"), F.greatest(F.lit(1), F.floor(F.sum("m").over(w) * top)).alias("k"))
+    taken = F.greatest(F.lit(0), F.least(F.col("m"), F.col("k") - F.col("before")))
+    return r.groupBy("w").agg(F.round(F.sum(taken * F.col("c")) / F.first("total"), 6).alias("top_share"))
 
 
 def key_stats(trace: DataFrame) -> DataFrame:
@@ -145,10 +146,14 @@ def whole_keyspace(keys: DataFrame, trace: DataFrame) -> DataFrame:
     return keys.join(hit, "key", "left").select("key", F.coalesce("accesses", F.lit(0)).alias("accesses"))
 
 
-def sample_ops(trace: DataFrame, n: int) -> DataFrame:
-    """One in n requests of each operation, in order of line."""
-    rank = F.row_number().over(Window.partitionBy("op").orderBy("line_no"))
-    return trace.withColumn("r", rank).filter(F.col("r") % n == 1 % n).drop("r")
+def sample_ops(trace: DataFrame, n: int, lines: int = 1_000_000) -> DataFrame:
+    """One in n requests of each operation, in order of line. A line's rank is that in its range of lines, and the counts
+    of the ranges before it."""
+    own = trace.withColumn("_part", F.floor(F.col("line_no") / lines))
+    counts = own.groupBy("op", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("op", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("op").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("op", "_part").orderBy("line_no"))
+    return own.withColumn("_r", rank).join(before, ["op", "_part"]).filter((F.col("_r") + F.col("_before")) % n == 1 % n).select(*[f"`{c}`" for c in trace.columns])
 
 
 def cluster_stats(trace: DataFrame) -> DataFrame:

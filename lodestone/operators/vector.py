@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +16,26 @@ def l2(a: Column, b: Column) -> Column:
     return F.round(F.aggregate(d, F.lit(0.0), lambda s, x: s + x), 6)
 
 
-def _queries(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: run them in parts")
-    return F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # bounded above
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks that may be sent to every task, each checked to hold no more than MAX_QUERIES."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    n = q.count()
+    if n <= MAX_QUERIES:
+        return [F.broadcast(q)]
+    parts = -(-2 * n // MAX_QUERIES)
+    part = F.pmod(F.xxhash64("query_id", "q"), F.lit(parts))
+    sizes = {r["p"]: r["count"] for r in q.groupBy(part.alias("p")).count().collect()}
+    return [F.broadcast(own) if sizes.get(k, 0) <= MAX_QUERIES else own for k in range(parts) for own in [q.filter(part == k)]]
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest other vectors of each query of a stated, bounded set."""
-    d = vectors.join(_queries(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("dist"))
+    """The k nearest other vectors of each query, block by block of queries."""
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    return d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    out = []
+    for q in _blocks(queries):
+        d = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("dist"))
+        out.append(d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
@@ -36,10 +47,14 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 def ivf(vectors: DataFrame, queries: DataFrame, centers: DataFrame, k: int, probes: int) -> DataFrame:
     """Nearest vectors among those whose nearest centroid is one of the query's `probes` nearest."""
+    if centers.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} centroids are not sent to every task")
     c = F.broadcast(centers)
-    near = vectors.join(c).groupBy("vec_id").agg(F.min_by("centroid", l2(F.col("center"), F.col("embedding"))).alias("centroid"), F.first("embedding").alias("embedding"))
-    w = Window.partitionBy("query_id").orderBy("pd", "centroid")
-    q = _queries(queries).join(c).withColumn("pd", l2(F.col("center"), F.col("q"))).withColumn("pr", F.row_number().over(w)).filter(F.col("pr") <= probes)
-    d = near.join(q, "centroid").filter("vec_id <> query_id").select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("dist"))
-    best = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    return d.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    near = vectors.join(c).groupBy("vec_id").agg(F.min_by("centroid", F.struct(l2(F.col("center"), F.col("embedding")), "centroid")).alias("centroid"), F.first("embedding").alias("embedding"))
+    w, best = Window.partitionBy("query_id").orderBy("pd", "centroid"), Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    out = []
+    for own in _blocks(queries):
+        q = own.join(c).withColumn("pd", l2(F.col("center"), F.col("q"))).withColumn("pr", F.row_number().over(w)).filter(F.col("pr") <= probes)
+        d = near.join(q, "centroid").filter("vec_id <> query_id").select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("dist"))
+        out.append(d.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
+    return reduce(DataFrame.unionByName, out)

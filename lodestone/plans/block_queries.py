@@ -170,9 +170,9 @@ def _(t):
     return t("v_block").withColumn("prev", F.lag("ts").over(w)).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") < F.col("prev")).alias("backward"))
 
 
-@query("fn_row_key", "SELECT block, key_id, CAST(block AS VARCHAR) || '_' || CAST(key_id AS VARCHAR) AS row_key, count(*) AS n FROM v_block WHERE block < 50 GROUP BY ALL")
+@query("fn_row_key", "SELECT block, key_id, CAST(block AS VARCHAR) || '_' || CAST(key_id AS VARCHAR) AS row_key, count(*) AS n FROM v_block GROUP BY ALL")
 def _(t):
-    return t("v_block").filter("block < 50").groupBy("block", "key_id", F.concat_ws("_", F.col("block").cast("string"), F.col("key_id").cast("string")).alias("row_key")).agg(F.count(F.lit(1)).alias("n"))
+    return t("v_block").groupBy("block", "key_id", F.concat_ws("_", F.col("block").cast("string"), F.col("key_id").cast("string")).alias("row_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dev_gc_select", "SELECT plane, block, invalid FROM (SELECT key % 8 AS plane, key AS block, count(*) FILTER (type = 'delete') AS invalid, row_number() OVER (PARTITION BY key % 8 ORDER BY count(*) FILTER (type = 'delete') DESC, key) AS r FROM v_kv GROUP BY key) WHERE r = 1")

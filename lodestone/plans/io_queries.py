@@ -51,26 +51,26 @@ def _(t):
     return sources.sim_xml(t.spark, p).select(F.col("iops_number").alias("iops"), F.col("response_time_number").alias("response"))
 
 
-@query("src_kv_log", "SELECT n_nationkey / 1000.0::DOUBLE AS kops, CAST(n_regionkey AS DOUBLE) AS p99 FROM nation WHERE n_nationkey < 5")
+@query("src_kv_log", "SELECT n_nationkey / 1000.0::DOUBLE AS kops, CAST(n_regionkey AS DOUBLE) AS p99 FROM nation")
 def _(t):
     log = F.concat(F.lit("fill: "), _s("n_nationkey"), F.lit(" ops/sec;\nPercentiles: P50: 1 P99: "), _s("n_regionkey"), F.lit(" P99.9: 9\n"))
     p = path(t.spark, "log")
-    t("nation").filter("n_nationkey < 5").select("n_nationkey", log.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(p)
+    t("nation").select("n_nationkey", log.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(p)
     return sources.kv_log(t.spark, p).select("kops", "p99")
 
 
-@query("src_daily_csv_chunks", "SELECT CAST(o_orderdate AS DATE) AS ds, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("src_daily_csv_chunks", "SELECT CAST(o_orderdate AS DATE) AS ds, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     p = path(t.spark, "daily")
-    o = t("orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey")
+    o = t("orders").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey")
     sinks.daily_csv(o, p)
     return t.spark.read.option("header", True).csv(p).groupBy(F.col("ds").cast("date").alias("ds")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_daily_csv", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ds FROM orders WHERE o_orderkey % 100 = 1")
+@query("snk_daily_csv", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ds FROM orders")
 def _(t):
     p = path(t.spark, "daily2")
-    sinks.daily_csv(t("orders").filter("o_orderkey % 100 = 1").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey"), p)
+    sinks.daily_csv(t("orders").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey"), p)
     return t.spark.read.schema("o_orderkey long, ds date").option("header", True).csv(p)
 
 
@@ -82,10 +82,10 @@ def _(t):
     return sources.error_log(t.spark, p, ["errors", "absent"])
 
 
-@query("src_fio_ini", "SELECT p_name || p_partkey AS job_name, CAST(p_size AS VARCHAR) AS iodepth FROM part WHERE p_partkey < 50")
+@query("src_fio_ini", "SELECT p_name || p_partkey AS job_name, CAST(p_size AS VARCHAR) AS iodepth FROM part")
 def _(t):
     ini = F.concat(F.lit("[global]\nbs=1k\n["), "p_name", _s("p_partkey"), F.lit("]\niodepth="), _s("p_size"), F.lit("\n"))
-    return sources.fio_jobs(t.spark, _lines(t, t("part").filter("p_partkey < 50").select(ini.alias("value")), "fio")).select("job_name", "iodepth")
+    return sources.fio_jobs(t.spark, _lines(t, t("part").select(ini.alias("value")), "fio")).select("job_name", "iodepth")
 
 
 @query("src_ttl", "SELECT 'e:n' || n_nationkey AS s, 'e:in' AS p, 'e:r' || n_regionkey AS o, false AS o_is_literal FROM nation UNION ALL SELECT 'e:n' || n_nationkey, 'rdfs:label', n_name, true FROM nation")
@@ -117,9 +117,9 @@ def _(t):
     return _text(t, "src_qtrace", t("v_trace").withColumn("type_id", F.length("op")))
 
 
-@query("src_btrace", "SELECT block, size, caller, level FROM v_block WHERE block < 100")
+@query("src_btrace", "SELECT block, size, caller, level FROM v_block")
 def _(t):
-    return _text(t, "src_btrace", t("v_block").filter("block < 100"))
+    return _text(t, "src_btrace", t("v_block"))
 
 
 @query("src_iotrace", "SELECT ts, op, value_size AS len FROM v_trace")
@@ -134,10 +134,10 @@ def _(t):
     return t.spark.read.parquet(p).groupBy("year", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_csv_json", "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 100")
+@query("snk_csv_json", "SELECT c_custkey, c_name FROM customer")
 def _(t):
     p = path(t.spark, "art")
-    sinks.artifact(t("customer").filter("c_custkey < 100").select("c_custkey", "c_name"), p)
+    sinks.artifact(t("customer").select("c_custkey", "c_name"), p)
     return t.spark.read.schema("c_custkey long, c_name string").json(p)
 
 
@@ -217,9 +217,9 @@ def _(t):
     return t("nation").select("n_nationkey", F.concat(F.lit("http://x/"), F.replace(F.url_encode("n_name"), F.lit("+"), F.lit("%20"))).alias("uri"))
 
 
-@query("fn_table_id", "SELECT block, block // 100 AS table_id, block % 100 * 4096 AS block_offset FROM v_block WHERE block < 500")
+@query("fn_table_id", "SELECT block, block // 100 AS table_id, block % 100 * 4096 AS block_offset FROM v_block")
 def _(t):
-    return t("v_block").filter("block < 500").select("block", F.floor(F.col("block") / 100).alias("table_id"), (F.col("block") % 100 * 4096).alias("block_offset"))
+    return t("v_block").select("block", F.floor(F.col("block") / 100).alias("table_id"), (F.col("block") % 100 * 4096).alias("block_offset"))
 
 
 SEQ = ["day", "a", "b", "c"]
@@ -243,9 +243,9 @@ def _(t):
     return kv.resolve(t("v_kv").filter("not (day > 10800 and b > 4)"), SEQ)
 
 
-@query("kv_get_entity", "SELECT key, string_agg(cf || '=' || value, ';' ORDER BY cf) AS entity FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC) AS r FROM v_kv WHERE key < 200) WHERE r = 1 AND type <> 'delete' GROUP BY key")
+@query("kv_get_entity", "SELECT key, string_agg(cf || '=' || value, ';' ORDER BY cf) AS entity FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC) AS r FROM v_kv) WHERE r = 1 AND type <> 'delete' GROUP BY key")
 def _(t):
-    rows = kv.resolve(t("v_kv").filter("key < 200"), SEQ)
+    rows = kv.resolve(t("v_kv"), SEQ)
     return kv.attribute_groups(rows).withColumnRenamed("groups", "entity")
 
 

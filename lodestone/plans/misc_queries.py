@@ -21,9 +21,9 @@ def _(t):
     return sources.ensure_columns(t("supplier").withColumn("s_suppkey", F.col("s_suppkey").cast("double")), ["s_acctbal", "r_5", "s_suppkey"])
 
 
-@query("prj_drop_by_model", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_tax END AS l_tax FROM lineitem WHERE l_orderkey < 2000")
+@query("prj_drop_by_model", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_tax END AS l_tax FROM lineitem")
 def _(t):
-    return t("lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("l_tax"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("l_tax"))
 
 
 @query("prj_map_features", "SELECT s_suppkey, coalesce(s_acctbal, 0) AS r_5, 0.0::DOUBLE AS r_9 FROM supplier")
@@ -193,9 +193,9 @@ def _(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey < 3000")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def _(t):
-    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").filter("o_orderkey < 3000").select("o_custkey"))
+    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
 
 
 @query("rul_log_regex", "SELECT event_id FROM events WHERE regexp_matches(event_type || ' ' || props, 'error.*[13579]}')")

@@ -12,7 +12,8 @@ def partitioned(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def daily_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("ds").option("header", True).csv(path)
+    """A folder per day; the day is in the path, not in the rows."""
+    df.repartition("ds").write.mode("append").partitionBy("ds").option("header", True).csv(path)
 
 
 def artifact(df: DataFrame, path: str, kind: str = "json") -> None:
