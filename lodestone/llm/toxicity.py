@@ -156,24 +156,24 @@ class BlockMaxIndex:
             return none
         place = self.place[i]
         rare, often = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
-        lo, hi = self.cut[i[rare]], self.cut[i[rare] + 1]
-        bound = np.zeros(n)
-        spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-        if spans:
-            docs = np.concatenate([self.doc[s:e] for s, e in spans])
-            bound = np.bincount(docs, np.repeat(q[rare], hi - lo) * np.concatenate([self.post[s:e] for s, e in spans]), n)
+        lo = self.cut[i[rare]]
+        size = self.cut[i[rare] + 1] - lo
+        at = np.repeat(lo - (size.cumsum() - size), size)
+        at += np.arange(len(at))
+        bound = np.bincount(self.doc[at], np.repeat(q[rare], size) * self.post[at], n)
         if len(often):
             bound += (q[often] @ self.most[place[often]])[self.of]
         if skip >= 0:
             bound[self.names == skip] = 0
         self.query[i] = q
-        d = np.argpartition(-bound, 3 * k)[: 3 * k] if n > 3 * k else np.arange(n)
+        few = k + k // 3 + 1  # bounds are close to cosines, so these hold nearly all of the k best
+        d = np.argpartition(-bound, few)[:few] if n > few else np.arange(n)
         d = d[bound[d] > 0]
         if not len(d):
             self.query[i] = 0
             return none
         cos = self._exact(d)
-        if n > 3 * k:
+        if n > few:
             kth = np.sort(cos)[-k] if len(cos) >= k else 0.0
             done = np.zeros(n, bool)
             done[d] = True
