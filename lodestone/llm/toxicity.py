@@ -162,7 +162,7 @@ class BlockMaxIndex:
         at += np.arange(len(at))
         bound = np.bincount(self.doc[at], np.repeat(q[rare], size) * self.post[at], n)
         if len(often):
-            bound += (q[often] @ self.most[place[often]])[self.of]
+            bound = bound + (q[often] @ self.most[place[often]])[self.of]
         if skip >= 0:
             bound[self.names == skip] = 0
         self.query[i] = q
