@@ -149,7 +149,7 @@ def below(y: np.ndarray, w: np.ndarray, upto: np.ndarray, limit: np.ndarray) ->
 FAR = 1 << 52  # beyond every pos, and still exact as a float
 
 
-def reuse_distance(acc: DataFrame, chunk_rows: int = 500_000) -> DataFrame:
+def reuse_distance(acc: DataFrame, chunk_rows: int = 80_000) -> DataFrame:
     """(block, distance): bytes of the distinct other blocks between two accesses of a block, each at its latest size.
 
     Exact, in ranges of the order. An access counts between two others if it lies there and its block is not accessed
