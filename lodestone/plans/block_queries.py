@@ -112,7 +112,16 @@ def _(t):
     return bc.simulate(t("v_block"), [("lru", c) for c in (1_000, 5_000, 10_000, 20_000)])
 
 
-@query("agg_hist_percentile")
+_L = bc.histogram_limits()
+_ROWS = ", ".join(f"({i}, {_L[i - 1] if i else 0}::DOUBLE, {x}::DOUBLE)" for i, x in enumerate(_L))
+_PCT = ", ".join(f"round(arg_min(least(greatest(lo + (hi - lo) * (total * {p / 100} - (cum - n)) / n, lowest), highest), i) FILTER (cum >= total * {p / 100}), 6) AS p{p}" for p in (50, 95, 99))
+HIST = f"""WITH l AS (SELECT * FROM (VALUES {_ROWS}) v(i, lo, hi)),
+  c AS (SELECT op, i, lo, hi, count(*) AS n, min(value_size)::DOUBLE AS mn, max(value_size)::DOUBLE AS mx FROM v_trace JOIN l ON value_size <= hi AND (value_size > lo OR i = 0) GROUP BY ALL),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY i) AS cum, sum(n) OVER (PARTITION BY op) AS total, min(mn) OVER (PARTITION BY op) AS lowest, max(mx) OVER (PARTITION BY op) AS highest FROM c)
+  SELECT op, CAST(sum(n) AS BIGINT) AS n, {_PCT} FROM r GROUP BY op"""
+
+
+@query("agg_hist_percentile", HIST)
 def _(t):
     return bc.histogram_percentiles(t("v_trace").select("op", F.col("value_size").alias("v")), ["op"], [50.0, 95.0, 99.0])
 

@@ -8,6 +8,7 @@ from lodestone import functions as fn
 from lodestone import sinks, sources, streaming
 from lodestone.operators import blockcache as bc
 from lodestone.operators import kv
+from lodestone.plans.kv_queries import EFF
 from lodestone.plans.registry import query
 from lodestone.sources.scratch import path
 
@@ -254,7 +255,7 @@ def _(t):
     return t("v_kv").groupBy("type", F.floor(F.col("day") / 365).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("udf_registry")
+@query("udf_registry", f"WITH {EFF} SELECT cf, key, min(value) AS value FROM ef WHERE type <> 'delete' GROUP BY cf, key")
 def _(t):
     """A merge operator registered by name: the least operand."""
     kv.register_merge("min", lambda seq: F.min("value"))

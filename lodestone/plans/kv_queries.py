@@ -166,7 +166,19 @@ def _(t):
     return vector.knn(e, e.filter("vec_id % 20 = 0"), 5)
 
 
-@query("idx_ivf")
+def _far(a, b):
+    return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))), 6)"
+
+
+IVF = f"""WITH u AS (SELECT label AS centroid, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT centroid, pos, avg(x) AS x FROM u GROUP BY ALL),
+  c AS (SELECT centroid, list(x ORDER BY pos) AS center FROM m GROUP BY centroid), vd AS (SELECT vec_id, embedding, centroid, {_far("center", "embedding")} AS d FROM embeddings CROSS JOIN c),
+  near AS (SELECT vec_id, any_value(embedding) AS embedding, arg_min(centroid, row(d, centroid)) AS centroid FROM vd GROUP BY vec_id),
+  q AS (SELECT vec_id AS query_id, embedding AS q, centroid, row_number() OVER (PARTITION BY vec_id ORDER BY d, centroid) AS pr FROM vd WHERE vec_id % 20 = 0),
+  s AS (SELECT query_id, n.vec_id, {_far("q.q", "n.embedding")} AS dist FROM near n JOIN q ON n.centroid = q.centroid WHERE pr <= 3 AND n.vec_id <> query_id)
+  SELECT query_id, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM s) WHERE r <= 5"""
+
+
+@query("idx_ivf", IVF)
 def _(t):
     from lodestone.operators import vector
 
