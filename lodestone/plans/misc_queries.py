@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import functions as fn
-from lodestone import sources, streaming
+from lodestone import sinks, sources, streaming
 from lodestone.operators import graph, rules
 from lodestone.plans.registry import query
+from lodestone.sources.scratch import path
 
 
 @query("prj_alias_coalesce", "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END), ''), c_name) AS value FROM customer")
@@ -303,6 +304,8 @@ def _(t):
     return sources.unpivot(w, ["s_suppkey"], "stat", "v")
 
 
-@query("src_sst", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 500")
+@query("src_sst", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(t):
-    return t("orders").filter("o_orderkey between 100 and 500").select("o_orderkey", "o_totalprice")
+    p = path(t.spark, "sorted")
+    sinks.sorted_files(t("orders").select("o_orderkey", "o_totalprice"), p, "o_orderkey", 4)
+    return t.spark.read.parquet(p).select("o_orderkey", "o_totalprice")
