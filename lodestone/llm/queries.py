@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, htmltext, langid, lmscore, packing, quality, simhash, topk, toxicity, warc
+from lodestone.llm import decontaminate, htmltext, langid, lmscore, packing, quality, simhash, topk, toxicity, vectorcode, warc
 from lodestone.llm.common import table
 
 
@@ -51,7 +51,41 @@ def op10_simhash_dedup(spark, sf_dir):
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_language_id, op3_toxicity, op4_packing, op5_html_extraction, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup)}
+def op11_vector_codes(spark, sf_dir):
+    return vectorcode.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_language_id, op3_toxicity, op4_packing, op5_html_extraction, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup, op11_vector_codes)}
+def _vector_codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256, dims: int = 64) -> str:
+    """Lloyd rounds one after the other; squared distances of integers are exact as doubles."""
+    w = dims // parts
+    steps = f"""
+        WITH ok AS (
+          SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT rid, vec_id, label, p, CAST(v[p * {w} + 1:p * {w} + {w}] AS DOUBLE[{w}]) AS x FROM ok, range({parts}) t(p)),
+        b0 AS MATERIALIZED (
+          SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, v) - 1 AS k, x AS c
+          FROM x JOIN (SELECT rid, v FROM ok ORDER BY vec_id, v LIMIT {entries}) s USING (rid))"""
+    for k in range(rounds + 1):
+        steps += f""",
+        d{k} AS MATERIALIZED (
+          SELECT rid, p, min([array_inner_product(x, x) - 2 * array_inner_product(x, c) + array_inner_product(c, c), k]) AS m FROM x JOIN b{k} USING (p) GROUP BY rid, p)"""
+        if k < rounds:
+            steps += f""",
+        s{k} AS (
+          SELECT p, CAST(m[2] AS BIGINT) AS k, i, floor(sum(x[i]) / count(*)) AS c FROM d{k} JOIN x USING (rid, p), range(1, {w + 1}) t(i) GROUP BY p, m[2], i),
+        n{k} AS (SELECT p, k, CAST(list(c ORDER BY i) AS DOUBLE[{w}]) AS c FROM s{k} GROUP BY p, k),
+        b{k + 1} AS MATERIALIZED (SELECT o.p, o.k, coalesce(n.c, o.c) AS c FROM b{k} o LEFT JOIN n{k} n ON o.p = n.p AND o.k = n.k)"""
+    return (
+        steps
+        + f""",
+        h AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256 FROM b{rounds}, range(1, {w + 1}) t(i)),
+        e AS (SELECT rid, string_agg(lower(printf('%02x', CAST(m[2] AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM d{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN ok USING (rid), h"""
+    )
+
+
 ORACLE: dict[str, str] = {
     "op1_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h FROM pages),
@@ -73,4 +107,5 @@ ORACLE: dict[str, str] = {
           FROM ok q JOIN ok c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
