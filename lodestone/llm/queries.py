@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, htmltext, langid, lmscore, packing, quality, simhash, topk, toxicity, vectorcode, warc
+from lodestone.llm import collocations, decontaminate, htmltext, langid, lmscore, packing, quality, simhash, substring, topk, toxicity, vectorcode, warc
 from lodestone.llm.common import table
 
 
@@ -55,7 +55,16 @@ def op11_vector_codes(spark, sf_dir):
     return vectorcode.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_language_id, op3_toxicity, op4_packing, op5_html_extraction, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup, op11_vector_codes)}
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark, sf_dir):
+    left = substring.repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_language_id, op3_toxicity, op4_packing, op5_html_extraction, op6_exact_topk, op7_quality, op8_decontamination, op9_lm_scoring, op10_simhash_dedup, op11_vector_codes, op12_collocations, op13_substring_dedup)}
 def _vector_codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256, dims: int = 64) -> str:
     """Lloyd rounds one after the other; squared distances of integers are exact as doubles."""
     w = dims // parts
@@ -108,4 +117,35 @@ ORACLE: dict[str, str] = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_collocations": """
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+        g AS (
+          SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+          FROM p, range(1, 5) t(k) WHERE len(w) >= k),
+        f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY lang, words, phrase),
+        t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+        c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE words > 1 AND n >= 30),
+        u AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, range(1, 4) t(k) WHERE k < words),
+        s AS (
+          SELECT u.lang, u.phrase, a, k, x.n AS l, y.n AS r, CAST(2000000::HUGEINT * a // (x.n::HUGEINT + y.n) AS BIGINT) AS score
+          FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.x JOIN f y ON y.lang = u.lang AND y.phrase = u.y),
+        m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s),
+        o AS (
+          SELECT * FROM m WHERE i = 1 AND NOT EXISTS (
+            SELECT 1 FROM c WHERE c.lang = m.lang AND 100 * c.a >= 80 * m.a AND c.words > len(string_split(m.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' '))),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT z.lang, z.rank, z.phrase, z.a, z.l, z.r, t.n, z.score FROM z JOIN t ON t.lang = z.lang WHERE z.rank <= 2000""",
+    "op13_substring_dedup": """
+        WITH d AS (
+          SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        n AS (SELECT rid, coalesce(doc_id, 9223372036854775807) AS k, w, unnest(range(1, len(w) - 18)) AS s FROM d),
+        g AS (SELECT rid, k, s, array_to_string(w[s:s + 19], ' ') AS phrase FROM n),
+        f AS (SELECT phrase, min([k, s]) AS first FROM g GROUP BY phrase HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT rid, unnest(range(s, s + 20)) AS i FROM g JOIN f USING (phrase) WHERE [k, s] > first),
+        l AS (SELECT rid, list(i) AS away, count(*) AS n FROM gone GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+          sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(away, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN l USING (rid)""",
 }
