@@ -3,11 +3,16 @@
 A page is cut into blocks at block-level tags. First pass: blocks in structural boilerplate (menus, page headers, footers,
 sidebars, forms, adverts, notices, comments, by tag or by the words of class, id and role) and blocks that are mostly
 links are bad; long blocks with a good share of stop words are good; blocks without enough stop words are bad; short ones
-stay open. In text mostly of letters beyond Latin, for which there are no stop words, length alone decides. Second pass:
-an open block takes the label of its nearest decided neighbours; where the two sides differ, the nearer one counts, and bad
-wins a tie; a heading goes with what follows it. Inside an element that the page itself marks as its article, a block is
-open rather than bad for want of stop words, only neighbours inside it count, and it is bad only between bad ones. Class
-words on the article itself do not make it bad unless they say that it is a comment or an advert.
+stay open. Stop words tell only of four languages: in a page whose text holds hardly any, the form of sentences stands for
+them, and in text mostly of letters beyond Latin length alone decides. Second pass: an open block takes the label of its
+nearest decided neighbours; where the two sides differ, the nearer one counts, and bad wins a tie; a heading goes with what
+follows it. Inside an element that the page itself marks as its article, a block is open rather than bad for want of stop
+words, only neighbours inside it count, and it is bad only between bad ones.
+
+Menus, footers, asides, dialogs, page headers and comments are never text. All other signs of boilerplate - class words such
+as `sidebar`, `social` or `promo`, and forms - are votes: layout names often stand on a wrapper, and some pages are one form.
+An element so voted keeps its text if it holds half of the page's marked articles, or, where none is marked, two thirds of
+the page's text out of links. A page that would be empty although it has long blocks in sentences gives those.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
 order. Nothing else is dropped or capped. The tokeniser takes time in proportion to the page, whatever is left unclosed.
@@ -23,6 +28,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +45,7 @@ STOP_WORDS = frozenset(
 # Elements by their part in a page.
 RAW = frozenset("script style title textarea iframe".split())  # without an end they reach that of the page
 DROPPED = RAW | frozenset("noscript template svg canvas select button audio video".split())
-BAD_TAGS = frozenset("nav aside footer form menu dialog".split())
+BAD_TAGS = frozenset("nav aside footer menu dialog".split())
 CONTAINERS = frozenset("nav aside footer form menu dialog header article main section div ul ol dl table tbody thead tr td th figure fieldset details blockquote center body".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption figcaption summary legend option html br".split())
 BAD_WORDS = frozenset(
@@ -47,7 +53,8 @@ BAD_WORDS = frozenset(
     "comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip".split()
 )
 STATES = frozenset("no not has have with without is".split())  # such class names tell of a page's layout, not of the element
-SPOKEN = frozenset("comment comments reply replies respond disqus ad ads advert advertisement sponsored promo".split())
+SPOKEN = frozenset("comment comments reply replies respond disqus".split())  # never the page's own text
+PAID = frozenset("ad ads advert advertisement sponsored promo".split())  # of an article, only these speak against it
 NEXT = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
 SIMPLE = re.compile(r"((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")  # the rest of a tag that holds no < or >
 VALUE = re.compile(r">|=\s*[\"']")
@@ -56,23 +63,26 @@ HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 WORD = re.compile(r"[^\W\d_]+")
 OTHER = re.compile(r"[^\W\d_\x00-\u024f]")
 DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")  # scripts that say more in a character
-OPEN, GOOD, BAD = 0, 1, -1
+SENTENCE = re.compile(r"[.!?\u2026][\"'\u00bb\u201d\u2019)\]]*(?=\s|$)")
+OPEN, GOOD, BAD, VOTED = 0, 1, -1, -2
 
 
 def _role(tag: str, attrs: str, in_article: bool) -> int:
-    """-1 for boilerplate, 1 for a marked article, 0 for neither."""
+    """-1 for boilerplate, -2 for a vote for it, 1 for a marked article, 0 for none of these."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return BAD
-    article = tag in ("article", "main")
+    article, role = tag in ("article", "main"), VOTED if tag == "form" else OPEN
     if attrs and tag not in ("body", "main"):
         for m in HINT.finditer(attrs):
             for name in (m[1] or m[2] or m[3] or "").lower().split():
                 words = [w for w in re.split(r"[^a-z]+", name) if w]
                 if not words or words[0] in STATES:
                     continue
-                if words[0] in SPOKEN if article else any(w in BAD_WORDS for w in words) or name in ("contentinfo", "complementary", "search"):
+                if words[0] in SPOKEN:
                     return BAD
-    return GOOD if article else OPEN
+                if words[0] in PAID if article else any(w in BAD_WORDS for w in words) or name in ("contentinfo", "complementary", "search"):
+                    role = VOTED
+    return role if role == VOTED else GOOD if article else OPEN
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -121,12 +131,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         yield page[say:], "", False, ""
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, characters in links, role, article number or 0, heading?) of each block with text."""
-    out: list[tuple[str, int, int, int, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # element, role, article
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    bad: bool  # in boilerplate
+    votes: tuple[int, ...]  # numbers of the elements around it that are voted boilerplate
+    article: int  # number of the marked article, or 0
+    heading: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks with text."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int]] = []  # element, role, article outside it
     open_now: Counter[str] = Counter()
-    bad = article = articles = link = 0
+    votes: list[int] = []
+    bad = article = articles = link = voted = 0
     heading = False
     text: list[str] = []
     linked: list[str] = []
@@ -135,7 +155,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             own = " ".join(html.unescape("".join(linked)).split())
-            out.append((words, len(own), BAD if bad else OPEN, article, heading))
+            out.append(Block(words, len(own), bad > 0, tuple(votes[-64:]), article, heading))
         text.clear()
         linked.clear()
 
@@ -165,7 +185,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             stack.append((tag, role, article))
             open_now[tag] += 1
             bad += role == BAD
-            if role == GOOD and not article:
+            if role == VOTED:
+                voted += 1
+                votes.append(voted)
+            if (role == GOOD or role == VOTED and tag == "article") and not article:
                 articles += 1
                 article = articles
         elif open_now[tag]:
@@ -174,18 +197,51 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                 name, role, article = stack.pop()
                 open_now[name] -= 1
                 bad -= role == BAD
+                if role == VOTED:
+                    votes.pop()
                 if name == tag:
                     break
     close()
     return out
 
 
-def classify(found: list[tuple[str, int, int, int, bool]], short: int = 70, long: int = 200, low: float = 0.3, high: float = 0.32, links: float = 0.2) -> list[int]:
+def outvoted(found: list[Block], of_articles: float = 0.5, of_page: float = 2 / 3) -> set[int]:
+    """The voted elements that hold so much of the page that they are no boilerplate."""
+    own = [(b, len(b.text) - b.linked) for b in found if not b.bad]
+    marked = [x for x in own if x[0].article]
+    some, share = (marked, of_articles) if sum(n for _, n in marked) else (own, of_page)
+    held: Counter[int] = Counter()
+    for b, n in some:
+        for v in b.votes:
+            held[v] += n
+    total = sum(n for _, n in some)
+    return {v for v, n in held.items() if total and n >= share * total}
+
+
+def _stops(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _in_sentences(text: str) -> bool:
+    """Ends as a sentence does, has a sentence in 400 characters, and not a capital at every other word."""
+    ends = list(SENTENCE.finditer(text))
+    words = text.split()
+    return bool(ends) and ends[-1].end() == len(text) and len(text) <= 400 * len(ends) and len(words) >= 5 * len(ends) and 2 * sum(w[:1].isupper() for w in words) <= len(words) + 2
+
+
+def foreign(found: list[Block], short: int = 70, few: float = 0.25) -> bool:
+    """Whether the page's text out of links and boilerplate holds hardly any stop word."""
+    words = [w for b in found if not b.bad and len(b.text) >= short and 2 * b.linked <= len(b.text) for w in WORD.findall(b.text.lower())]
+    return len(words) >= 20 and _stops(words) < few
+
+
+def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.3, high: float = 0.32, links: float = 0.2) -> list[int]:
     """Label of each block after both passes."""
+    kept, strange = outvoted(found), foreign(found)
     first = []
-    for text, linked, role, article, _ in found:
+    for text, linked, bad, votes, article, _ in found:
         density = linked / len(text)
-        if role == BAD or density > (0.5 if article else links):
+        if bad or not kept.issuperset(votes) or density > (0.5 if article else links):
             first.append(BAD)
             continue
         words = WORD.findall(text.lower())
@@ -193,16 +249,17 @@ def classify(found: list[tuple[str, int, int, int, bool]], short: int = 70, long
             size = len(text) + 2 * len(DENSE.findall(text))
             first.append(OPEN if size < long else GOOD)
             continue
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if len(text) < short:
             first.append(OPEN if article or not linked else BAD)
-        elif stops >= high and len(text) >= long or article and stops >= low:
+            continue
+        enough, plenty = (_in_sentences(text),) * 2 if strange else ((s := _stops(words)) >= low, s >= high)
+        if plenty and len(text) >= long or article and enough:
             first.append(GOOD)
-        elif stops >= low:
+        elif enough:
             first.append(OPEN)
         else:
             first.append(OPEN if article else BAD)
-    n, where = len(found), [f[3] for f in found]
+    n, where = len(found), [f.article for f in found]
     left, right = [(0, BAD)] * n, [(0, BAD)] * n
     for side, order, back in ((left, range(n), -1), (right, range(n - 1, -1, -1), 1)):
         for i in order:
@@ -219,11 +276,13 @@ def classify(found: list[tuple[str, int, int, int, bool]], short: int = 70, long
             (dl, a), (dr, b) = left[i], right[i]
             if where[i]:
                 label = BAD if a == b == BAD else GOOD
-            elif found[i][4]:
+            elif found[i].heading:
                 label = b
             else:
                 label = a if a == b or dl < dr else b if dr < dl else BAD
         out.append(label)
+    if GOOD not in out:  # better a doubtful article than none
+        out = [GOOD if not b.bad and len(b.text) >= long and b.linked <= links * len(b.text) and _in_sentences(b.text) else BAD for b in found]
     return out
 
 
@@ -232,7 +291,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return " ".join(f[0] for f, label in zip(found, classify(found), strict=True) if label == GOOD)
+    return " ".join(f.text for f, label in zip(found, classify(found), strict=True) if label == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
