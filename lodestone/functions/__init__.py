@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIO_KEYS = ["rw", "bs", "iodepth", "numjobs", "rwmixread", "random_distribution", "bssplit"]  # fixed values: the known job keys
 
+# fixed values: health attributes, those that a drive model does not report, and those that counters of another log stand for
+SMART = ["r_5", "r_9", "r_12", "r_173", "r_174", "r_175", "r_177", "r_180", "r_181", "r_182", "r_183", "r_184", "r_187", "r_195", "r_197", "r_199", "r_233", "r_241", "r_242"]
+DROPPED = {
+    "MA1": ["r_177", "r_181", "r_182", "r_183", "r_233", "r_241", "r_242"],
+    "MA2": ["r_173", "r_177", "r_180", "r_181", "r_182", "r_195"],
+    "MB1": ["r_173", "r_174", "r_175", "r_233"],
+    "MB2": ["r_173", "r_174", "r_175", "r_233"],
+    "MC1": ["r_175", "r_177", "r_181", "r_182", "r_233", "r_241", "r_242"],
+    "MC2": ["r_175", "r_177", "r_181", "r_182", "r_233", "r_241", "r_242"],
+}
+COUNTERS = {"write_count": "r_241", "read_count": "r_242", "uncorrectable_error": "r_187", "correctable_error": "r_195", "erase_error": "r_182", "write_error": "r_181"}
+MAPPED = [c for c in SMART if c not in DROPPED["MB1"]]
+
+
+def drop_by_model(df: DataFrame, model: str, dropped: dict[str, list[str]] | None = None) -> DataFrame:
+    """Attributes that a row's model does not report become null; models without a list keep all."""
+    lists = DROPPED if dropped is None else dropped
+    gone = lambda c: F.col(model).isin(*[m for m, cs in lists.items() if c in cs])
+    return df.select(*[F.when(F.coalesce(~gone(c), F.lit(True)), F.col(c)).alias(c) if any(c in cs for cs in lists.values()) else F.col(c) for c in df.columns])
+
+
+def of_model(df: DataFrame, model: str, name: str, ids: list[str] | None = None) -> DataFrame:
+    """The rows of one model with the attributes it reports, in order."""
+    kept = [c for c in SMART if c not in DROPPED.get(name, []) and c in df.columns]
+    return df.filter(F.col(model) == name).select(*(ids or ["disk_id", "ds"]), *kept)
+
+
+def map_features(df: DataFrame) -> DataFrame:
+    """Adds the attributes of MAPPED: from the counter that stands for one, where it is there and a number, else 0."""
+    of = {r: c for c, r in COUNTERS.items() if c in df.columns}
+    return df.select("*", *[F.coalesce(F.col(of[r]).try_cast("double"), F.lit(0.0)).alias(r) if r in of else F.lit(0.0).alias(r) for r in MAPPED])
+
 
 def first_alias(df_columns: list[str], names: list[str]) -> Column:
     """First non-blank of the alias columns that exist."""
@@ -29,8 +61,8 @@ def norm_date(text: Column) -> Column:
 
 
 def file_date(path: Column) -> Column:
-    """Date of eight digits, or of three dashed parts, in a file name."""
-    d = F.regexp_extract(path, r"(\d{4})-?(\d{2})-?(\d{2})[^/]*$", 0)
+    """The first date in a file's own name: year, month and day with or without a dash or line between."""
+    d = F.regexp_extract(path, r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})[^/]*$", 0)
     return F.try_to_date(F.substring(F.regexp_replace(d, r"\D", ""), 1, 8), "yyyyMMdd")
 
 
@@ -57,11 +89,16 @@ def extract_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+# fixed values: words of the evidence that turn a verb
+BETTER = ["improve", "decrease", "reduced", "lower"]
+WORSE = ["increase", "worse", "degrade", "higher"]
+
+
 def fix_verb(verb: Column, evidence: Column) -> Column:
-    """Flips improves and degrades where the evidence speaks of the contrary."""
-    e = F.lower(evidence)
-    worse, better = e.rlike(r"degrad|increase[sd]? latency|worse"), e.rlike(r"improv|reduc|better")
-    return F.when((verb == "improves") & worse & ~better, "degrades").when((verb == "degrades") & better & ~worse, "improves").otherwise(verb)
+    """Turns `degrades` where the evidence has a word of the better, and `improves` where it has one of the worse."""
+    e = F.lower(F.coalesce(evidence, F.lit("")))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: e.contains(w))
+    return F.when((verb == "degrades") & has(BETTER), "improves").when((verb == "improves") & has(WORSE), "degrades").otherwise(verb)
 
 
 def observations(c: dict[str, Column]) -> Column:
@@ -86,13 +123,26 @@ def policy_string(gc: Column, wl: Column) -> Column:
 
 def xor_bytes(a: Column, b: Column) -> Column:
     """XOR of two binary values byte by byte; the longer one's tail stays."""
-    x, y = F.hex(a), F.hex(b)
-    n, m = F.length(x), F.length(y)
-    pad = lambda s, k: F.rpad(s, k, "0")
-    size = F.greatest(n, m)
-    digit = lambda s, i: F.conv(F.substring(s, i, 1), 16, 10).cast("int")
-    one = lambda i: F.substring(F.lit("0123456789ABCDEF"), digit(pad(x, size), i).bitwiseXOR(digit(pad(y, size), i)) + 1, 1)
-    return F.when(size == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), one), "")))
+
+    @F.pandas_udf("binary")
+    def run(x, y):
+        import pandas as pd
+
+        def one(p, q):
+            if p is None or q is None:
+                return None
+            n = max(len(p), len(q))
+            return (int.from_bytes(p.ljust(n, b"\0"), "big") ^ int.from_bytes(q.ljust(n, b"\0"), "big")).to_bytes(n, "big")
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return run(a, b)
+
+
+def paper_id(file: Column) -> Column:
+    """A file's name without its ending, in letters, digits, dots, lines and dashes."""
+    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", ""), 1, 128)
 
 
 def chunks(text: Column, size: int = 2000) -> Column:

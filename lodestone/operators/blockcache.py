@@ -560,23 +560,50 @@ def histogram_limits(top: float = 1e12) -> list[int]:
     return out
 
 
-def histogram_percentiles(values: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
-    """Percentiles from the growing buckets, interpolated and held inside the extremes: columns p<percent>."""
+def histogram(values: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """(by, i, lo, hi, n, mn, mx, total): a row for each growing bucket that has values; the last bucket takes all above.
+
+    Histograms merge by adding rows of the same bucket, so they combine before the shuffle and over any groups of `by`.
+    """
     limits = histogram_limits()
     table = F.array(*[F.lit(float(x)) for x in limits])
-    b = values.select(*by, F.col("v").cast("double").alias("x")).filter(F.col("x") <= float(limits[-1]))
-    b = b.withColumn("i", F.size(F.filter(table, lambda top: top < F.col("x"))))
+    b = values.select(*by, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
+    b = b.withColumn("i", F.least(F.size(F.filter(table, lambda top: top < F.col("x"))), F.lit(len(limits) - 1)))
     b = b.withColumn("lo", F.coalesce(F.get(table, F.col("i") - 1), F.lit(0.0))).withColumn("hi", F.get(table, F.col("i")))
-    c = b.groupBy(*by, "i", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    w = Window.partitionBy(*by)
-    run = c.withColumn("cum", F.sum("n").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w)).withColumn("lowest", F.min("mn").over(w)).withColumn("highest", F.max("mx").over(w))
+    return b.groupBy(*by, "i", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.sum("x").alias("total"))
+
+
+def merged_histograms(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One histogram for each group of `by` from histograms of parts of it."""
+    return rows.groupBy(*by, "i", "lo", "hi").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("total").alias("total"))
+
+
+def percentiles(rows: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
+    """Of histograms: n, mean, extremes, and percentiles interpolated in their bucket and held inside the extremes: p<percent>."""
+    w = Window.partitionBy(*by)  # a row a bucket
+    run = rows.withColumn("cum", F.sum("n").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w)).withColumn("lowest", F.min("mn").over(w)).withColumn("highest", F.max("mx").over(w))
     agg = []
     for p in percents:
-        need = F.col("total") * (p / 100)
+        need = F.col("_all") * (p / 100)
         inside = F.col("lo") + (F.col("hi") - F.col("lo")) * (need - (F.col("cum") - F.col("n"))) / F.col("n")
         hit = F.when(F.col("cum") >= need, F.struct("i", F.least(F.greatest(inside, F.col("lowest")), F.col("highest")).alias("q")))
         agg.append(F.round(F.min(hit)["q"], 6).alias(f"p{p:g}".replace(".", "_")))
-    return run.groupBy(*by).agg(F.sum("n").alias("n"), *agg)
+    return run.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.min("mn").alias("least"), F.max("mx").alias("greatest"), *agg)
+
+
+def histogram_percentiles(values: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
+    """Percentiles from the growing buckets: columns n and p<percent>."""
+    return percentiles(histogram(values, by), by, percents).drop("mean", "least", "greatest")
+
+
+def windowed_histograms(values: DataFrame, by: list[str], width: int, count: int, percents: list[float], ts: str = "ts") -> DataFrame:
+    """Percentiles over each window of `count` sub-windows of `width`: (by, w, n, mean, least, greatest, p<percent>), w the last sub-window.
+
+    Rows are counted once, into the histogram of their sub-window; only those histograms are copied to the windows they are in.
+    """
+    sub = histogram(values.withColumn("_sub", F.floor(F.col(ts) / width)), [*by, "_sub"])
+    to = sub.withColumn("w", F.explode(F.sequence(F.col("_sub"), F.col("_sub") + count - 1)))
+    return percentiles(merged_histograms(to, [*by, "w"]), [*by, "w"], percents)
 
 
 def queue_stats(events: DataFrame, by: str) -> DataFrame:

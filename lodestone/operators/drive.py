@@ -15,13 +15,17 @@ def daily_collapse(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def gap_fill(daily: DataFrame) -> DataFrame:
-    """Every day of each drive's span: counts and flags 0, cumulative values carried forward. Each day fills up to the next."""
+    """Every day of each drive's span: counts and flags 0, cumulative values carried forward, a model (if there is one)
+    forward and then backward. Each day fills up to the next."""
     w = Window.partitionBy("drive").orderBy("day")
-    known = F.last("wear", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = daily.select("drive", "day", "errors", "flag", known.alias("wear"), F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day")).alias("till"))
-    out = d.select("drive", F.col("day").alias("first"), "errors", "flag", "wear", F.explode(F.sequence("day", "till")).alias("day"))
+    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    known = F.last("wear", ignorenulls=True).over(past)
+    model = [F.coalesce(F.last("model", ignorenulls=True).over(past), F.first("model", ignorenulls=True).over(future)).alias("model")] if "model" in daily.columns else []
+    d = daily.select("drive", "day", "errors", "flag", known.alias("wear"), *model, F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day")).alias("till"))
+    extra = ["model"] if model else []
+    out = d.select("drive", F.col("day").alias("first"), "errors", "flag", "wear", *extra, F.explode(F.sequence("day", "till")).alias("day"))
     own = lambda c: F.when(F.col("day") == F.col("first"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(daily.schema[c].dataType).alias(c)
-    return out.select("drive", "day", own("errors"), own("flag"), "wear")
+    return out.select("drive", "day", own("errors"), own("flag"), "wear", *extra)
 
 
 def consecutive(daily: DataFrame, n: int = 30) -> DataFrame:
@@ -32,9 +36,10 @@ def consecutive(daily: DataFrame, n: int = 30) -> DataFrame:
 
 
 def window_values(daily: DataFrame, n: int = 30, value: str = "errors") -> DataFrame:
-    """The last n values of each window end, oldest first."""
+    """The values of the last n days of each window end, oldest first, where all n days are there."""
     w = Window.partitionBy("drive").orderBy("day").rowsBetween(-(n - 1), 0)
-    return daily.select("drive", "day", F.collect_list(value).over(w).alias("values")).filter(F.size("values") == n)
+    last = daily.select("drive", "day", F.collect_list(value).over(w).alias("values"), F.first("day").over(w).alias("_from"))  # n values
+    return last.filter((F.size("values") == n) & (F.datediff("day", "_from") == n - 1)).drop("_from")
 
 
 def flatten_window(values: DataFrame, name: str, n: int) -> DataFrame:

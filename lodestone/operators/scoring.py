@@ -72,18 +72,33 @@ def bleu4(pairs: DataFrame, key: str) -> DataFrame:
     return p.select(key, F.round(F.when(F.col("nc") < 4, 0.0).otherwise(brevity * F.exp(F.col("logs") / 4)), 6).alias("bleu"))
 
 
-def rouge_l(pairs: DataFrame, key: str) -> DataFrame:
-    """F1 of the longest common token subsequence of cand and ref, as a fold over the candidate's tokens."""
-    t = pairs.select(key, tokens(F.col("cand")).alias("c"), tokens(F.col("ref")).alias("r"))
-    zeros = F.transform(F.sequence(F.lit(0), F.size("r")), lambda _: F.lit(0))
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a bit for each element of b: a step of the table is one addition."""
+    at: dict = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & at.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
+
+
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, over Arrow batches."""
 
-    def row(prev: Column, tok: Column) -> Column:
-        def step(acc: Column, j: Column) -> Column:
-            cell = F.when(F.get(F.col("r"), j) == tok, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(cell))
+    @F.pandas_udf("int")
+    def run(x, y):
+        import pandas as pd
 
-        return F.aggregate(F.when(F.size("r") > 0, F.sequence(F.lit(0), F.size("r") - 1)).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), step)
+        return pd.Series([None if p is None or q is None else common_length(p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
-    lcs = F.element_at(F.aggregate("c", zeros, row), -1)
+    return run(a, b)
+
+
+def rouge_l(pairs: DataFrame, key: str) -> DataFrame:
+    """F1 of the longest common token subsequence of cand and ref."""
+    t = pairs.select(key, tokens(F.col("cand")).alias("c"), tokens(F.col("ref")).alias("r")).withColumn("lcs", lcs(F.col("c"), F.col("r")))
     p, q = ratio(F.col("lcs"), F.size("c")), ratio(F.col("lcs"), F.size("r"))
-    return t.withColumn("lcs", lcs).select(key, F.round(ratio(2 * p * q, p + q), 6).alias("rouge_l"))
+    return t.select(key, F.round(ratio(2 * p * q, p + q), 6).alias("rouge_l"))

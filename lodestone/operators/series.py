@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import order
 from lodestone.sources import scratch
 
 R = 6  # digits in results
@@ -83,24 +84,24 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(values, (F.bround(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
 
 
-def fleet_attributes(frame: DataFrame, drive: str, attribute: str, top: int = 5) -> DataFrame:
-    """Per attribute over drives: count, upper median and nearest-rank p95 of the medians, slopes, outliers, changepoints, steepest drives."""
-    # values are cut to one number a drive; percentiles by place need them in order. Frames are computed once
-    at = scratch.path(frame.sparkSession, "frames")
+def fleet_attributes(frame: DataFrame, drive: str, attribute: str, top: int = 5, parts: int = 64) -> DataFrame:
+    """Per attribute over drives: count, upper median and nearest-rank p95 of the medians, slopes, outliers, changepoints, steepest drives.
+
+    Percentiles by place come from the places of a total order, the steepest drives from the steepest of each part, so the
+    drives of an attribute never meet in one task.
+    """
+    at = scratch.path(frame.sparkSession, "frames")  # frames are computed once
     frame.write.parquet(at)
     frame = frame.sparkSession.read.parquet(at)
-    rank = Window.partitionBy(attribute).orderBy("median", drive)
-    size = Window.partitionBy(attribute)
-    f = frame.withColumn("i", F.row_number().over(rank) - 1).withColumn("n_drives", F.count(F.lit(1)).over(size))
-    nth = lambda place: F.max(F.when(F.col("i") == place, F.col("median")))
-    agg = f.groupBy(attribute).agg(
-        F.max("n_drives").alias("n_drives"), nth(F.floor(F.col("n_drives") / 2)).alias("median_of_medians"), nth(F.bround(0.95 * (F.col("n_drives") - 1)).cast("long")).alias("p95_of_medians"),
-        _r(F.avg("slope")).alias("mean_slope"), _r(F.avg("outliers")).alias("mean_outliers"), _r(F.avg(F.col("changepoint").isNotNull().cast("double"))).alias("changepoint_share"),
-    )
-    steep = Window.partitionBy(attribute).orderBy(F.desc(F.abs(F.coalesce("slope", F.lit(0.0)))), drive)
-    best = frame.withColumn("r", F.row_number().over(steep)).filter(F.col("r") <= top)
+    size = F.col("size")
+    picks = order.nth(frame, "median", [attribute], {"median_of_medians": F.floor(size / 2), "p95_of_medians": F.bround(0.95 * (size - 1)).cast("long")}, [drive]).withColumnRenamed("size", "n_drives")
+    agg = frame.groupBy(attribute).agg(_r(F.avg("slope")).alias("mean_slope"), _r(F.avg("outliers")).alias("mean_outliers"), _r(F.avg(F.col("changepoint").isNotNull().cast("double"))).alias("changepoint_share"))
+    by = [F.desc(F.abs(F.coalesce("slope", F.lit(0.0)))), drive]
+    some = frame.withColumn("_part", F.pmod(F.xxhash64(drive), F.lit(parts)))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy(attribute, "_part").orderBy(*by))).filter(F.col("r") <= top)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy(attribute).orderBy(*by))).filter(F.col("r") <= top)
     best = best.groupBy(attribute).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", drive))), lambda x: x[drive].cast("string")), ",").alias("top_drives"))  # at most `top` a group
-    return agg.join(best, attribute)
+    return picks.join(agg, attribute).join(best, attribute)
 
 
 def top_signals(frame: DataFrame, drive: str, attribute: str, k: int = 3) -> DataFrame:

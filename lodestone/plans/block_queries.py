@@ -115,8 +115,9 @@ def _(t):
 _L = bc.histogram_limits()
 _ROWS = ", ".join(f"({i}, {_L[i - 1] if i else 0}::DOUBLE, {x}::DOUBLE)" for i, x in enumerate(_L))
 _PCT = ", ".join(f"round(arg_min(least(greatest(lo + (hi - lo) * (total * {p / 100} - (cum - n)) / n, lowest), highest), i) FILTER (cum >= total * {p / 100}), 6) AS p{p}" for p in (50, 95, 99))
+_LAST = len(bc.histogram_limits()) - 1
 HIST = f"""WITH l AS (SELECT * FROM (VALUES {_ROWS}) v(i, lo, hi)),
-  c AS (SELECT op, i, lo, hi, count(*) AS n, min(value_size)::DOUBLE AS mn, max(value_size)::DOUBLE AS mx FROM v_trace JOIN l ON value_size <= hi AND (value_size > lo OR i = 0) GROUP BY ALL),
+  c AS (SELECT op, i, lo, hi, count(*) AS n, min(value_size)::DOUBLE AS mn, max(value_size)::DOUBLE AS mx FROM v_trace JOIN l ON (value_size <= hi OR i = {_LAST}) AND (value_size > lo OR i = 0) GROUP BY ALL),
   r AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY i) AS cum, sum(n) OVER (PARTITION BY op) AS total, min(mn) OVER (PARTITION BY op) AS lowest, max(mx) OVER (PARTITION BY op) AS highest FROM c)
   SELECT op, CAST(sum(n) AS BIGINT) AS n, {_PCT} FROM r GROUP BY op"""
 
@@ -167,16 +168,31 @@ def _(t):
     return t("v_series").groupBy(F.floor(F.col("pos") / 4).alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
 
 
-@query("win_hist_windowing", "SELECT w, count(*) AS n, round(avg(value_size), 6) AS mean_v FROM (SELECT unnest([ts // 43200, ts // 43200 - 1]) AS w, value_size FROM v_trace) GROUP BY w")
+@query("win_hist_windowing", f"""WITH l AS (SELECT * FROM (VALUES {_ROWS}) v(i, lo, hi)),
+  e AS (SELECT op, unnest([ts // 43200, ts // 43200 + 1, ts // 43200 + 2]) AS w, value_size FROM v_trace),
+  c AS (SELECT op, w, i, lo, hi, count(*) AS n, min(value_size)::DOUBLE AS mn, max(value_size)::DOUBLE AS mx, sum(value_size) AS total FROM e JOIN l ON (value_size <= hi OR i = {_LAST}) AND (value_size > lo OR i = 0) GROUP BY ALL),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY op, w ORDER BY i) AS cum, sum(n) OVER (PARTITION BY op, w) AS total_n, min(mn) OVER (PARTITION BY op, w) AS lowest, max(mx) OVER (PARTITION BY op, w) AS highest FROM c)
+  SELECT op, CAST(w AS BIGINT) AS w, CAST(sum(n) AS BIGINT) AS n, round(sum(total) / sum(n)::DOUBLE, 6) AS mean, min(mn) AS least, max(mx) AS greatest, {_PCT.replace("total", "total_n")} FROM r GROUP BY op, w""")
 def _(t):
-    b = F.floor(F.col("ts") / 43200)
-    return t("v_trace").select(F.explode(F.array(b, b - 1)).alias("w"), "value_size").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value_size"), 6).alias("mean_v"))
+    """Percentiles over the last three half days of each operation."""
+    return bc.windowed_histograms(t("v_trace").withColumn("v", F.col("value_size")), ["op"], 43200, 3, [50.0, 95.0, 99.0]).select("op", "w", "n", "mean", "least", "greatest", "p50", "p95", "p99")
 
 
-@query("src_block_io", "SELECT block, count(*) AS n, count(*) FILTER (ts < prev) AS backward FROM (SELECT block, ts, lag(ts) OVER w AS prev FROM v_block WINDOW w AS (PARTITION BY block ORDER BY o1, o2, o3, ts)) GROUP BY block")
+LINE = "n AS (SELECT *, row_number() OVER (ORDER BY ts, o1, o2, o3, block) - 1 AS place FROM v_block), g AS (SELECT ts AS time, o3 AS device, block AS address, size, level % 2 AS type, place FROM n WHERE place < coalesce((SELECT min(place) FROM n WHERE o1 % 997 = 996 AND ts > 10900), 9223372036854775807))"
+
+
+@query("src_block_io", f"WITH {LINE} SELECT CAST(r AS INTEGER) AS round, place, time + r * (SELECT arg_max(time, place) FROM g) AS time, device, address, size, type FROM g, range(2) t(r)")
 def _(t):
-    w = Window.partitionBy("block").orderBy("o1", "o2", "o3", "ts")
-    return t("v_block").withColumn("prev", F.lag("ts").over(w)).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") < F.col("prev")).alias("backward"))
+    """A trace written in time order and read back in two rounds, up to its first malformed line."""
+    from lodestone.sources import block_io
+    from lodestone.sources.scratch import path
+
+    s = lambda c: F.col(c).cast("string")
+    good = F.concat_ws(" ", s("ts"), s("o3"), s("block"), s("size"), (F.col("level") % 2).cast("string"))
+    by = ["ts", "o1", "o2", "o3", "block"]
+    p = path(t.spark, "block-io")
+    t("v_block").repartitionByRange(*by).sortWithinPartitions(*by).select(F.when((F.col("o1") % 997 == 996) & (F.col("ts") > 10900), F.concat(s("ts"), F.lit(" cut"))).otherwise(good).alias("value")).write.text(p)
+    return block_io.read(t.spark, p, rounds=2).select("round", "place", *block_io.FIELDS)
 
 
 @query("fn_row_key", "SELECT block, key_id, CAST(block AS VARCHAR) || '_' || CAST(key_id AS VARCHAR) AS row_key, count(*) AS n FROM v_block GROUP BY ALL")

@@ -10,7 +10,9 @@ from lodestone.operators import blockcache as bc
 from lodestone.operators import kv
 from lodestone.plans.kv_queries import EFF
 from lodestone.plans.registry import query
+from lodestone.sources import wal
 from lodestone.sources.scratch import path
+from lodestone.streaming import state
 
 
 def _lines(t, df, label):
@@ -44,35 +46,60 @@ def _(t):
     return sources.kvpack(t.spark, _lines(t, lines, "pack"), ["s_suppkey", "absent"]).select("s_suppkey", "source", "kv_ftl")
 
 
-@query("src_sim_xml", "SELECT CAST(n_nationkey AS DOUBLE) AS iops, CAST(n_regionkey AS DOUBLE) AS response FROM nation")
+def _files(t, df, key, label):
+    """A file for each row: text column `value`, by a short key."""
+    p = path(t.spark, label)
+    df.repartition(key).write.partitionBy(key).text(p)
+    return p
+
+
+@query("src_sim_xml", "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey ELSE n_nationkey END AS DOUBLE) AS throughput_kops, CASE WHEN n_nationkey % 2 = 0 THEN 0.5::DOUBLE END AS gc_overhead_pct, CAST(n_regionkey + 7 AS DOUBLE) AS tail_latency_p999_us, n_name AS vendor FROM nation")
 def _(t):
-    xml = F.concat(F.lit("<R><F><IOPS>"), _s("n_nationkey"), F.lit("</IOPS><Device_Response_Time>"), _s("n_regionkey"), F.lit("</Device_Response_Time></F></R>"))
-    p = path(t.spark, "xml")
-    t("nation").select("n_nationkey", xml.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(p)
-    return sources.sim_xml(t.spark, p).select(F.col("iops_number").alias("iops"), F.col("response_time_number").alias("response"))
+    """Results with nested tags, a second value that overrides, one that is missing, and a tag whose name only starts alike."""
+    tag = lambda name, v: F.concat(F.lit(f"<{name}> "), v, F.lit(f" </{name}>"))
+    n = t("nation").withColumn("later", F.when(F.col("n_nationkey") % 3 == 0, tag("Device_Throughput", _s("n_regionkey"))).otherwise(""))
+    xml = F.concat(
+        F.lit("<?xml version='1.0'?><R><Host><Flow id='1'>"), F.col("later"), tag("Device_Throughput_KOPS", _s("n_nationkey")), F.lit("</Flow><Flow id='2'>"), tag("Device_Throughput_KOPS", F.lit("-1")), F.lit("</Flow></Host>"),
+        F.when(F.col("n_nationkey") % 2 == 0, tag("GC_Overhead", F.lit("0.5"))).otherwise("<GC_Overhead/>"), tag("Read_Latency_P999", F.lit("3")), tag("Tail_Latency_P999", (F.col("n_regionkey") + 7).cast("string")), tag("Device_Vendor", F.col("n_name")), F.lit("</R>"),
+    )
+    found = sources.sim_xml(t.spark, _files(t, n.select("n_nationkey", xml.alias("value")), "n_nationkey", "xml"))
+    key = F.regexp_extract("file", r"n_nationkey=(\d+)", 1).cast("int")
+    return found.select(key.alias("n_nationkey"), F.col("throughput_kops_number").alias("throughput_kops"), F.col("gc_overhead_pct_number").alias("gc_overhead_pct"), F.col("tail_latency_p999_us_number").alias("tail_latency_p999_us"), "vendor")
 
 
-@query("src_kv_log", "SELECT n_nationkey / 1000.0::DOUBLE AS kops, CAST(n_regionkey AS DOUBLE) AS p99 FROM nation")
+@query("src_kv_log", """SELECT n_nationkey, n_nationkey / 1000.0::DOUBLE AS kops, CASE WHEN n_nationkey % 2 = 0 THEN 1.5::DOUBLE END AS p50, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS DOUBLE) END AS p99,
+  CASE WHEN n_nationkey % 2 = 0 THEN 9.25::DOUBLE END AS p999, CASE WHEN n_nationkey % 3 = 0 THEN 4.5::DOUBLE ELSE (n_nationkey + 10) / 4.0::DOUBLE END AS write_amplification, CAST(n_regionkey AS DOUBLE) AS read_amplification, CAST(n_nationkey + 10 AS DOUBLE) AS gb_written, 2.5::DOUBLE AS gb_read, CAST(n_regionkey AS DOUBLE) AS compact_s FROM nation""")
 def _(t):
-    log = F.concat(F.lit("fill: "), _s("n_nationkey"), F.lit(" ops/sec;\nPercentiles: P50: 1 P99: "), _s("n_regionkey"), F.lit(" P99.9: 9\n"))
-    p = path(t.spark, "log")
-    t("nation").select("n_nationkey", log.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(p)
-    return sources.kv_log(t.spark, p).select("kops", "p99")
+    """Logs with and without percentiles and a write amplification of their own."""
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    log = c(
+        "fillrandom : 2.1 micros/op ", _s("n_nationkey"), " ops/sec; 1.0 MB/s\n** DB Stats **\nCumulative writes: 3M writes, ingest: ", (F.col("n_nationkey") + 10).cast("string"), " GB written\nCumulative reads: 7 keys, 2.5 GB read\nUser writes: 4 GB\n",
+        F.when(F.col("n_nationkey") % 3 == 0, "write-amplification: 4.5\n").otherwise(""), "Read Amplification ", _s("n_regionkey"), "\nCompact(s) : ", _s("n_regionkey"), "\n",
+        F.when(F.col("n_nationkey") % 2 == 0, c("Percentile table\n  50th : 1.5 us\n  99th : ", _s("n_regionkey"), " us\n  99.9th : 9.25 us\n")).otherwise("P50: 3 P99: 4\n"),
+    )
+    found = sources.kv_log(t.spark, _files(t, t("nation").select("n_nationkey", log.alias("value")), "n_nationkey", "log"))
+    key = F.regexp_extract("file", r"n_nationkey=(\d+)", 1).cast("int")
+    return found.select(key.alias("n_nationkey"), "kops", "p50", "p99", "p999", "write_amplification", "read_amplification", "gb_written", "gb_read", "compact_s")
+
+
+def _by_day(t):
+    """Orders by the first day of their month: a file for each such day."""
+    return t("orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("ds"), "o_orderkey", "o_totalprice")
 
 
-@query("src_daily_csv_chunks", "SELECT CAST(o_orderdate AS DATE) AS ds, count(*) AS n FROM orders GROUP BY 1")
+@query("src_daily_csv_chunks", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def _(t):
+    """Daily files read back by the day in their names."""
     p = path(t.spark, "daily")
-    o = t("orders").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey")
-    sinks.daily_csv(o, p)
-    return t.spark.read.option("header", True).csv(p).groupBy(F.col("ds").cast("date").alias("ds")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.daily_csv(_by_day(t), p)
+    return sources.daily_csv(t.spark, p, "o_orderkey long, o_totalprice double").groupBy("ds").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("snk_daily_csv", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ds FROM orders")
+@query("snk_daily_csv", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds FROM orders")
 def _(t):
     p = path(t.spark, "daily2")
-    sinks.daily_csv(t("orders").select(F.col("o_orderdate").cast("date").alias("ds"), "o_orderkey"), p)
-    return t.spark.read.schema("o_orderkey long, ds date").option("header", True).csv(p)
+    sinks.daily_csv(_by_day(t), p)
+    return sources.daily_csv(t.spark, p, "o_orderkey long, o_totalprice double").select("o_orderkey", "ds")
 
 
 @query("src_err_log", "SELECT CAST(user_id AS VARCHAR) AS drive_id, CAST(ts AS DATE) AS day, coalesce(value, 0) AS errors, 0.0::DOUBLE AS absent FROM events")
@@ -174,11 +201,28 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-@query("stm_ttl", "SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def _events(t, label):
+    """The events as a folder that grows, to be read as a stream: key, ts, ord, value, v."""
+    e = t("events").select(_s("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), F.col("event_type").alias("value"), F.coalesce("value", F.lit(0.0)).alias("v"))
+    p = path(t.spark, label)
+    e.write.parquet(p)
+    return t.spark.readStream.schema(e.schema).parquet(p)
+
+
+@query("stm_ttl", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM events GROUP BY user_id HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
 def _(t):
-    e = t("events")
-    now = e.agg(F.max("ts").alias("now"))
-    return e.groupBy("user_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(now)).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 2 DAYS")).select("user_id", "ts")
+    """Users alive at the end of a stream with a time to live of two days."""
+    out = path(t.spark, "ttl-out")
+    state.run(state.expiring(_events(t, "ttl"), 2 * 86400), out, path(t.spark, "ttl-cp"), 8)
+    return state.alive_now(t.spark.read.schema("key string, at long, expired boolean").parquet(out))
+
+
+@query("stm_state_kv", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(max(ts)) AS BIGINT) AS at, arg_max(event_type, row(ts, event_id)) AS value, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    """Newest value of each user, kept as state of a stream."""
+    out = path(t.spark, "kv-out")
+    state.run(state.newest(_events(t, "kv")), out, path(t.spark, "kv-cp"), 8)
+    return state.newest_now(t.spark.read.schema("key string, at long, ord long, value string, n long").parquet(out))
 
 
 @query("stm_late")
@@ -232,16 +276,37 @@ def _(t):
     return t("v_kv").select("cf", "key").unionByName(new).groupBy("cf", "key").agg(F.count(F.lit(1)).alias("versions"))
 
 
-@query("kv_single_delete", "SELECT cf, key, value FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC) AS r FROM v_kv WHERE type <> 'merge') WHERE r = 1 AND type = 'put'")
+MARKED = "mk AS (SELECT cf, key, day, a, b, c, value, CASE WHEN type = 'delete' AND c % 2 = 0 THEN 'single' ELSE type END AS type, CASE WHEN day > 9800 THEN 1 ELSE 0 END + CASE WHEN day > 10500 THEN 1 ELSE 0 END AS s FROM v_kv WHERE type <> 'merge')"
+AROUND = f"{MARKED}, ar AS (SELECT *, lag(s) OVER w AS newer, lead(s) OVER w AS older, lead(type) OVER w AS next_type FROM mk WINDOW w AS (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC))"
+
+
+def _marked(t):
+    """The log with every other delete a single delete."""
+    return t("v_kv").filter("type <> 'merge'").withColumn("type", F.when((F.col("type") == "delete") & (F.col("c") % 2 == 0), "single").otherwise(F.col("type")))
+
+
+@query("kv_single_delete", f"WITH {AROUND} SELECT cf, key, day, a, b, c, type, value FROM ar WHERE CASE WHEN type = 'single' THEN older <> s OR (older IS NULL AND s > 0) ELSE newer IS DISTINCT FROM s AND NOT (type = 'delete' AND s = 0) END")
 def _(t):
-    """A single delete counts as a delete: with one put below both hide it."""
-    return kv.resolve(t("v_kv").filter("type <> 'merge'"), SEQ)
+    """What a compaction under two snapshots leaves."""
+    return kv.compact_single(_marked(t), SEQ, [9800, 10500], "day").select("cf", "key", *SEQ, "type", "value")
 
 
-@query("kv_write_batch", "SELECT cf, key, value FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC) AS r FROM v_kv WHERE NOT (day > 10800 AND b > 4)) WHERE r = 1 AND type <> 'delete'")
+@query("kv_single_delete_mismatch", f"WITH {AROUND} SELECT cf, count(*) AS mismatches FROM ar WHERE type = 'single' AND older = s AND next_type IN ('single', 'delete') GROUP BY cf")
 def _(t):
-    """A batch rolled back to a savepoint is filtered out by its sequence."""
-    return kv.resolve(t("v_kv").filter("not (day > 10800 and b > 4)"), SEQ)
+    return kv.single_mismatches(_marked(t), SEQ, [9800, 10500], "day")
+
+
+@query("kv_write_batch", """WITH o AS (SELECT cf, key, day, a, b, c, value, CASE c % 9 WHEN 0 THEN 'save' WHEN 1 THEN 'rollback' WHEN 2 THEN 'pop' ELSE type END AS type FROM v_kv),
+  d AS (SELECT *, sum(CASE type WHEN 'save' THEN 1 WHEN 'rollback' THEN -1 WHEN 'pop' THEN -1 ELSE 0 END) OVER (PARTITION BY cf, day ORDER BY a, b, c, key) AS d FROM o),
+  l AS (SELECT *, least(0, coalesce(min(d) OVER (PARTITION BY cf, day ORDER BY a, b, c, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM d),
+  p AS (SELECT *, CASE WHEN type = 'save' THEN d - low WHEN type IN ('rollback', 'pop') AND d >= low THEN d - low + 1 END AS depth FROM l),
+  u AS (SELECT *, lead(type) OVER (PARTITION BY cf, day, depth ORDER BY a, b, c, key) AS taken FROM p),
+  r AS (SELECT *, sum(CASE WHEN depth IS NOT NULL AND type = 'save' AND taken = 'rollback' THEN 1 WHEN depth IS NOT NULL AND type = 'rollback' THEN -1 ELSE 0 END) OVER (PARTITION BY cf, day ORDER BY a, b, c, key) AS open FROM u)
+  SELECT cf, key, day, a, b, c, type, value FROM r WHERE open = 0 AND type NOT IN ('save', 'rollback', 'pop')""")
+def _(t):
+    """Writes of each family and day that outlive the batch's nested savepoints."""
+    mark = F.when(F.col("c") % 9 == 0, "save").when(F.col("c") % 9 == 1, "rollback").when(F.col("c") % 9 == 2, "pop").otherwise(F.col("type"))
+    return kv.batch_survivors(t("v_kv").withColumn("type", mark), ["cf", "day"], ["a", "b", "c", "key"]).select("cf", "key", *SEQ, "type", "value")
 
 
 @query("kv_get_entity", "SELECT key, string_agg(cf || '=' || value, ';' ORDER BY cf) AS entity FROM (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY day DESC, a DESC, b DESC, c DESC) AS r FROM v_kv) WHERE r = 1 AND type <> 'delete' GROUP BY key")
@@ -258,9 +323,16 @@ def _(t):
 @query("udf_registry", f"WITH {EFF} SELECT cf, key, min(value) AS value FROM ef WHERE type <> 'delete' GROUP BY cf, key")
 def _(t):
     """A merge operator registered by name: the least operand."""
-    kv.register_merge("min", lambda seq: F.min("value"))
-    return kv.merged(t("v_kv"), SEQ, "min")
+    return kv.merged(t("v_kv"), SEQ, "min", merges=kv.MERGES.register("min", lambda seq: F.min("value")))
 
 
 for _name in ("hyperbolic", "costclass", "ts", "linucb", "hybrid", "priority"):
     query(f"sim_{_name}")(lambda t, n=_name: bc.simulate(t("v_block"), [(n, 5_000)]))
+
+
+@query("src_wal_tail", "SELECT seq, cf, key, type, value FROM (SELECT *, row_number() OVER (ORDER BY day, a, b, c, cf, key) - 1 AS seq FROM v_kv) WHERE seq >= 3 * (SELECT count(*) FROM v_kv) // 4")
+def _(t):
+    """The last quarter of a log, read from a sequence number on."""
+    p = path(t.spark, "wal")
+    after = wal.append(t("v_kv"), p, [*SEQ, "cf", "key"], 10_000)
+    return wal.read(t.spark, p, "seq long, cf string, key long, type string, value long", 3 * after // 4)

@@ -22,14 +22,20 @@ def _(t):
     return sources.ensure_columns(t("supplier").withColumn("s_suppkey", F.col("s_suppkey").cast("double")), ["s_acctbal", "r_5", "s_suppkey"])
 
 
-@query("prj_drop_by_model", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_tax END AS l_tax FROM lineitem")
+DRIVES = ", ".join(f"l_quantity + {i} AS {c}" for i, c in enumerate(fn.SMART))
+
+
+@query("prj_drop_by_model", "WITH d AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, " + DRIVES + " FROM lineitem) SELECT l_orderkey, l_linenumber, model, " + ", ".join(f"CASE WHEN model NOT IN ({', '.join(repr(m) for m, cs in (('A', fn.DROPPED['MA1']), ('N', fn.DROPPED['MB1'])) if c in cs) or repr('')}) THEN {c} END AS {c}" for c in fn.SMART) + " FROM d")
 def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("l_tax"))
+    """Each model keeps the attributes it reports; those that it drops are null, or gone where all rows are of one model."""
+    d = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("model"), *[(F.col("l_quantity") + i).alias(c) for i, c in enumerate(fn.SMART)])
+    return fn.drop_by_model(d, "model", {"A": fn.DROPPED["MA1"], "N": fn.DROPPED["MB1"]})
 
 
-@query("prj_map_features", "SELECT s_suppkey, coalesce(s_acctbal, 0) AS r_5, 0.0::DOUBLE AS r_9 FROM supplier")
+@query("prj_map_features", "SELECT s_suppkey, " + ", ".join({"r_241": "s_acctbal", "r_187": "coalesce(s_nationkey, 0)::DOUBLE"}.get(c, "0.0::DOUBLE") + f" AS {c}" for c in fn.MAPPED) + " FROM supplier")
 def _(t):
-    return t("supplier").select("s_suppkey", F.coalesce(F.col("s_acctbal").try_cast("double"), F.lit(0.0)).alias("r_5"), F.lit(0.0).alias("r_9"))
+    s = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("write_count"), F.col("s_nationkey").cast("string").alias("uncorrectable_error"), F.lit("x").alias("erase_error"))
+    return fn.map_features(s).select("s_suppkey", *fn.MAPPED)
 
 
 @query("prj_prefix_cols", "SELECT n_nationkey AS nation_n_nationkey, n_name AS nation_n_name FROM nation")
@@ -116,10 +122,14 @@ def _(t):
     return t("events").select("event_id", F.try_element_at(fn.value_distribution(F.col("props")), F.lit("k")).alias("k"))
 
 
-@query("fn_fix_verb", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'degrades' ELSE 'improves' END AS verb FROM part")
+EVIDENCE = {0: "It degrades the tail", 1: "Latency is reduced", 2: "Lower hit rate, higher cost", 3: "Throughput improves while wear gets worse", 4: "No change"}
+
+
+@query("fn_fix_verb", """WITH e AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'improves' ELSE 'degrades' END AS v, CASE p_partkey % 5 """ + " ".join(f"WHEN {k} THEN '{v}'" for k, v in EVIDENCE.items()) + """ END AS ev FROM part)
+  SELECT p_partkey, CASE WHEN v = 'degrades' AND regexp_matches(lower(ev), 'improve|decrease|reduced|lower') THEN 'improves' WHEN v = 'improves' AND regexp_matches(lower(ev), 'increase|worse|degrade|higher') THEN 'degrades' ELSE v END AS verb FROM e""")
 def _(t):
-    e = F.when(F.col("p_partkey") % 3 == 0, "It degrades the tail").otherwise("Latency is reduced")
-    return t("part").select("p_partkey", fn.fix_verb(F.lit("improves"), e).alias("verb"))
+    p = t("part").withColumn("v", F.when(F.col("p_size") % 2 == 0, "improves").otherwise("degrades")).withColumn("ev", F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[(F.col("p_partkey") % 5).cast("int")])
+    return p.select("p_partkey", fn.fix_verb(F.col("v"), F.col("ev")).alias("verb"))
 
 
 TERMS = [(0, "the"), (1, "tion"), (2, "that")]
@@ -251,24 +261,30 @@ def _(t):
     return t.spark.createDataFrame(rows, "rule string, source string, condition string")
 
 
+def _growing(t):
+    """The events as a folder that a stream reads, two files at a time."""
+    p = path(t.spark, "feed")
+    t("events").repartition(4).write.parquet(p)
+    return t.spark.readStream.schema(t("events").schema).option("maxFilesPerTrigger", 2).parquet(p)
+
+
+def _streamed(t, stream):
+    return streaming.run_complete(stream, path(t.spark, "windows"), path(t.spark, "windows-cp"))
+
+
 @query("stm_tumbling", "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
 def _(t):
-    return streaming.tumbling(t("events"))
+    return _streamed(t, streaming.tumbling(_growing(t)))
 
 
 @query("stm_sliding", "SELECT CAST(s AS BIGINT) AS start, count(*) AS n FROM (SELECT unnest([floor(epoch(ts) / 3600) * 3600, floor(epoch(ts) / 3600) * 3600 - 3600]) AS s FROM events) GROUP BY s")
 def _(t):
-    return streaming.sliding(t("events"))
+    return _streamed(t, streaming.sliding(_growing(t)))
 
 
 @query("stm_session", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 86400 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, sid")
 def _(t):
-    return streaming.sessions(t("events"), "1 day")
-
-
-@query("stm_state_kv", "SELECT user_id, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, arg_max(event_type, row(ts, event_id)) AS last_type, count(*) AS n FROM events GROUP BY 1, 2")
-def _(t):
-    return streaming.latest(t("events"), "user_id")
+    return _streamed(t, streaming.sessions(_growing(t), "1 day"))
 
 
 @query("src_fio_gen", "SELECT rw, bs, CAST(d AS BIGINT) AS iodepth FROM (SELECT unnest(['read', 'randwrite']) AS rw) CROSS JOIN (SELECT unnest(['4k', '64k', '1m']) AS bs) CROSS JOIN (SELECT unnest([1, 32]) AS d)")
@@ -286,9 +302,13 @@ def _(t):
     return sources.parquet_columns(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice", "missing"])
 
 
-@query("src_papers", "SELECT doc_id, CAST(ceil(greatest(length(text), 1) / 2000.0) AS BIGINT) AS chunks FROM documents")
+@query("src_papers", "SELECT 'paper_' || item_id AS paper, i AS chunk, substr(text, i * 50 + 1, 50) AS text FROM benchmark, range(0, 200) t(i) WHERE i * 50 < greatest(length(text), 1)")
 def _(t):
-    return t("documents").select("doc_id", F.size(fn.chunks(F.col("text"))).cast("long").alias("chunks"))
+    """Texts written a file each, read back in chunks with an id from the file's name."""
+    p = path(t.spark, "papers")
+    t("benchmark").select(F.concat(F.lit("paper "), F.col("item_id").cast("string")).alias("name"), "text").repartition("name").write.partitionBy("name").option("lineSep", "\x00").text(p)
+    sinks.named(t.spark, p, "name", ".txt")
+    return sources.papers(t.spark, p, 50).select("paper", F.col("chunk").cast("long").alias("chunk"), "text")
 
 
 @query("ins_log_stats", "SELECT event_id AS ts, 'op.' || k AS stat, v FROM (SELECT event_id, unnest(['p50', 'p99', 'count']) AS k, unnest([CAST(user_id AS DOUBLE), CAST(user_id * 2 AS DOUBLE), CAST(event_id AS DOUBLE)]) AS v FROM events)")

@@ -95,19 +95,25 @@ FILL = "sp AS (SELECT drive, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)
 ENDS = "isl AS (SELECT drive, day, day - CAST(row_number() OVER (PARTITION BY drive ORDER BY day) AS INTEGER) AS g FROM v_drive_daily), ends AS (SELECT drive, day AS window_end FROM (SELECT drive, day, row_number() OVER (PARTITION BY drive, g ORDER BY day) AS run FROM isl) WHERE run >= 2)"
 
 
-@query("win_gap_fill", f"WITH {FILL} SELECT * FROM fill")
+MODELS = "dm AS (SELECT drive, day, CASE WHEN errors % 3 > 0 THEN 'm' || flag END AS model FROM v_drive_daily)"
+
+
+@query("win_gap_fill", f"WITH {FILL}, {MODELS}, fm AS (SELECT fill.*, dm.model AS own FROM fill LEFT JOIN dm USING (drive, day)) SELECT drive, day, errors, flag, wear, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY drive ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(own IGNORE NULLS) OVER (PARTITION BY drive ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS model FROM fm")
 def _(t):
-    return drive.gap_fill(t("v_drive_daily"))
+    return drive.gap_fill(t("v_drive_daily").withColumn("model", F.when(F.col("errors") % 3 > 0, F.concat(F.lit("m"), F.col("flag").cast("string")))))
+
+
+RUNS = "isl AS (SELECT drive, day, day - CAST(row_number() OVER (PARTITION BY drive ORDER BY day) AS INTEGER) AS g FROM v_dense), rn AS (SELECT drive, day, row_number() OVER (PARTITION BY drive, g ORDER BY day) AS run FROM isl)"
 
 
-@query("win_consecutive30", f"WITH {ENDS} SELECT * FROM ends")
+@query("win_consecutive30", f"WITH {RUNS} SELECT drive, day AS window_end FROM rn WHERE run >= 30")
 def _(t):
-    return drive.consecutive(t("v_drive_daily"), 2)
+    return drive.consecutive(t("v_dense"), 30)
 
 
-@query("prj_flatten_window", f"WITH {FILL} SELECT * FROM (SELECT drive, day, errors AS e_t02, lag(errors, 1) OVER w AS e_t01, lag(errors, 2) OVER w AS e_t00 FROM fill WINDOW w AS (PARTITION BY drive ORDER BY day)) WHERE e_t00 IS NOT NULL")
+@query("prj_flatten_window", f"WITH {RUNS}, fl AS (SELECT drive, day, " + ", ".join(f"lag(errors, {29 - i}) OVER w AS e_t{i:02d}" for i in range(30)) + " FROM v_dense WINDOW w AS (PARTITION BY drive ORDER BY day)) SELECT fl.* FROM fl JOIN rn USING (drive, day) WHERE run >= 30")
 def _(t):
-    return drive.flatten_window(drive.window_values(drive.gap_fill(t("v_drive_daily")), 3), "e", 3)
+    return drive.flatten_window(drive.window_values(t("v_dense"), 30), "e", 30)
 
 
 @query("win_first_healthy", f"WITH {ENDS} SELECT drive, min(window_end) AS window_end FROM ends WHERE drive NOT IN (SELECT drive FROM v_failure WHERE drive % 2 = 0) GROUP BY drive")
@@ -231,7 +237,14 @@ def _(t):
     return scoring.bleu4(_pairs(t), "item_id")
 
 
-@query("fn_rouge_l")
+@query("fn_rouge_l", f"""WITH RECURSIVE {NG}, l AS (
+    SELECT item_id, 0 AS i, list_transform(r, lambda z: 0) AS line FROM tk
+    UNION ALL
+    SELECT item_id, i + 1, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j])) FROM (
+      SELECT l.item_id, i, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = c[i + 1] THEN coalesce(line[j - 1], 0) + 1 ELSE line[j] END) AS cand FROM l JOIN tk ON tk.item_id = l.item_id WHERE i < len(c))),
+  e AS (SELECT tk.item_id, coalesce(list_max(line), 0) AS n, len(c) AS nc, len(r) AS nr FROM l JOIN tk ON tk.item_id = l.item_id AND i = len(c)),
+  f AS (SELECT item_id, coalesce(n / nullif(nc, 0)::DOUBLE, 0) AS p, coalesce(n / nullif(nr, 0)::DOUBLE, 0) AS q FROM e)
+  SELECT item_id, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS rouge_l FROM f""")
 def _(t):
     return scoring.rouge_l(_pairs(t), "item_id")
 

@@ -58,6 +58,11 @@ def v_drive_daily(t: Tables) -> DataFrame:
     return d.withColumn("wear", F.sum("errors").over(w))
 
 
+def v_dense(t: Tables) -> DataFrame:
+    """Drive days of five busy drives, with few gaps: drive, day, errors."""
+    return v_drive_rows(t).groupBy((F.col("drive") % 5).alias("drive"), "day").agg(F.sum("errors").alias("errors"))
+
+
 def v_failure(t: Tables) -> DataFrame:
     """Failures: drive, fail_day: first day with at least 40 errors."""
     return v_drive_daily(t).filter("errors >= 40").groupBy("drive").agg(F.min("day").alias("fail_day"))
@@ -95,6 +100,7 @@ SQL_VIEWS = {
         CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS flag, l_returnflag AS model, l_orderkey AS o1, CAST(l_linenumber AS BIGINT) AS o2, l_partkey AS o3 FROM lineitem""",
     "v_drive_sum": "SELECT drive, day, CAST(sum(errors) AS BIGINT) AS errors, CAST(max(flag) AS BIGINT) AS flag FROM v_drive_rows GROUP BY drive, day",
     "v_drive_daily": "SELECT *, CAST(sum(errors) OVER (PARTITION BY drive ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS wear FROM v_drive_sum",
+    "v_dense": "SELECT drive % 5 AS drive, day, CAST(sum(errors) AS BIGINT) AS errors FROM v_drive_rows GROUP BY ALL",
     "v_failure": "SELECT drive, min(day) AS fail_day FROM v_drive_daily WHERE errors >= 40 GROUP BY drive",
     "v_block": """SELECT l_partkey AS block, CAST(l_quantity AS BIGINT) AS size, l_returnflag AS caller, CAST(l_linenumber AS BIGINT) AS level, l_linestatus AS btype,
         CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS ts, l_orderkey AS o1, CAST(l_linenumber AS BIGINT) AS o2, l_suppkey AS o3, l_orderkey % 64 AS key_id, CASE WHEN l_discount > 0.03 THEN 1 ELSE 0 END AS is_hit FROM lineitem""",

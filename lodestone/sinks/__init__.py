@@ -11,9 +11,30 @@ def partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
-def daily_csv(df: DataFrame, path: str) -> None:
-    """A folder per day; the day is in the path, not in the rows."""
-    df.repartition("ds").write.mode("append").partitionBy("ds").option("header", True).csv(path)
+def named(spark, path: str, by: str, ending: str, name=lambda value: value) -> None:
+    """Turns folders by=value that Spark wrote under `path` into files named by their value, <value>-0 and on where a value
+    has several. Only names pass through the driver."""
+    from urllib.parse import unquote
+
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        value = folder.getPath().getName()
+        if not value.startswith(f"{by}="):
+            continue
+        files = sorted((f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+        for i, f in enumerate(files):
+            own = name(unquote(value.split("=", 1)[1])) + (f"-{i}" if len(files) > 1 else "") + ending
+            if not fs.rename(f, jvm.org.apache.hadoop.fs.Path(root, own)):
+                raise FileExistsError(f"{own} is in {path} already")
+        fs.delete(folder.getPath(), True)
+
+
+def daily_csv(df: DataFrame, path: str, by: str = "ds") -> None:
+    """Files named by their day, 20180123.csv, the day not in the rows."""
+    df.repartition(by).write.mode("append").partitionBy(by).option("header", True).csv(path)
+    named(df.sparkSession, path, by, ".csv", lambda day: day.replace("-", ""))
 
 
 def artifact(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import functions as fn
 
 TRACE_COLUMNS = ["ts", "key", "key_size", "value_size", "client_id", "op", "ttl"]
 KVPACK_DEFAULTS = {"source": "kvpack", "kv_ftl": "KVPack"}  # fixed values
-SIM_PATHS = {"requests": "Request_Count", "iops": "IOPS", "bandwidth": "Bandwidth", "response_time": "Device_Response_Time"}  # fixed values: tags of a flow
+# fixed values: paths in simulator results and the columns they fill, later ones over earlier ones
+SIM_PATHS = [
+    ("//Device_Throughput_KOPS", "throughput_kops"),
+    ("//Device_Throughput", "throughput_kops"),
+    ("//Average_Read_Latency", "read_latency_p50_us"),
+    ("//Read_Latency_P99", "read_latency_p99_us"),
+    ("//Read_Latency_P999", "tail_latency_p999_us"),
+    ("//Tail_Latency_P999", "tail_latency_p999_us"),
+    ("//Write_Amplification", "write_amplification"),
+    ("//Read_Amplification", "read_amplification"),
+    ("//GC_Overhead", "gc_overhead_pct"),
+    ("//Average_Value_Size", "value_size_bytes"),
+    ("//Average_Key_Size", "key_size_bytes"),
+    ("//Read_Write_Ratio", "read_write_ratio"),
+    ("//Access_Skew", "access_skew"),
+    ("//Device_Vendor", "vendor"),
+    ("//Device_Model", "model"),
+    ("//Firmware_Version", "firmware"),
+    ("//Device_Capacity_GB", "capacity_gb"),
+    ("//Interface_Type", "interface"),
+]
+FLOW_PATHS = [("//Request_Count", "requests"), ("//IOPS", "iops"), ("//Bandwidth", "bandwidth"), ("//Device_Response_Time", "response_time")]  # fixed values: tags of a flow
+# fixed values: what store logs say
+LOG_PATTERNS = {
+    "gb_written": r"(?i)Cumulative writes:.*?(\d[\d.]*)\s*GB written",
+    "gb_read": r"(?i)Cumulative reads:.*?(\d[\d.]*)\s*GB read",
+    "user_gb": r"(?i)User writes:.*?(\d+\.?\d*)\s*GB",
+    "write_amplification": r"(?i)write[- ]amplification[:\s]+(\d+\.?\d*)",
+    "read_amplification": r"(?i)read[- ]amplification[:\s]+(\d+\.?\d*)",
+    "compact_s": r"(?i)Compact\(s\)\s*:\s*(\d+\.?\d*)",
+    "p50": r"(?is)Percentile.*?50th[^0-9]*(\d+\.?\d*)\s*us",
+    "p99": r"(?is)Percentile.*?99th[^0-9]*(\d+\.?\d*)\s*us",
+    "p999": r"(?is)Percentile.*?99\.9[^0-9]*(\d+\.?\d*)\s*us",
+    "ops": r"(?i)([\d.]+)\s*ops/sec",
+}
 
 
 def trace_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
@@ -43,21 +77,27 @@ def kvpack(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
     return df
 
 
-def sim_xml(spark: SparkSession, path: str, paths: dict[str, str] | None = None) -> DataFrame:
-    """First value by tag of each simulator result file; numbers where they are."""
-    w = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), F.col("_metadata.file_name").alias("file"))
-    for name, tag in (paths or SIM_PATHS).items():
-        w = w.withColumn(name, F.nullif(F.trim(F.regexp_extract("xml", rf"<{tag}>\s*([^<]*)</{tag}>", 1)), F.lit("")))
-        w = w.withColumn(f"{name}_number", F.col(name).try_cast("double"))
-    return w.drop("xml")
+def sim_xml(spark: SparkSession, path: str, paths: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(file, names of `paths`, and <name>_number): the first text at each path of every simulator result file.
+
+    Where several paths have one name, the last that is found counts. Texts are trimmed; numbers where they are.
+    """
+    paths = SIM_PATHS if paths is None else paths
+    w = spark.read.text(path, wholetext=True).select(F.col("value").alias("_xml"), F.col("_metadata.file_path").alias("file"))
+    names = list(dict.fromkeys(name for _, name in paths))
+    found = {n: F.coalesce(*[F.nullif(F.trim(F.get(F.xpath("_xml", F.lit(f"{at}/text()")), F.lit(0))), F.lit("")) for at, name in reversed(paths) if name == n]) for n in names}
+    return w.select("file", *[c.alias(n) for n, c in found.items()]).select("*", *[F.col(n).try_cast("double").alias(f"{n}_number") for n in names])
 
 
 def kv_log(spark: SparkSession, path: str) -> DataFrame:
-    """Throughput, latencies and amplification of store logs."""
-    w = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    """(file, and a column for each of LOG_PATTERNS): what each store log says; the first match counts.
+
+    Write amplification that a log does not give is what was written over what users wrote.
+    """
+    w = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     num = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
-    gb, user = num(r"(?i)written[^\d\n]*([\d.]+) GB"), num(r"(?i)user[^\d\n]*([\d.]+) GB")
-    return w.select("file", num(r"([\d.]+) ops/sec").alias("ops"), (num(r"([\d.]+) ops/sec") / 1000).alias("kops"), num(r"P50:\s*([\d.]+)").alias("p50"), num(r"P99:\s*([\d.]+)").alias("p99"), num(r"P99\.9:\s*([\d.]+)").alias("p999"), F.coalesce(num(r"(?i)write amp\w*[:=]\s*([\d.]+)"), F.try_divide(gb, user)).alias("write_amp"))
+    w = w.select("file", *[num(p).alias(name) for name, p in LOG_PATTERNS.items()]).withColumn("kops", F.col("ops") / 1000)
+    return w.withColumn("write_amplification", F.coalesce("write_amplification", F.when(F.col("user_gb") > 0, F.col("gb_written") / F.col("user_gb"))))
 
 
 def log_stats(lines: DataFrame) -> DataFrame:
@@ -68,10 +108,14 @@ def log_stats(lines: DataFrame) -> DataFrame:
     return out.select("ts", F.concat_ws(".", "name", F.lower(F.col("p.k"))).alias("stat"), F.col("p.v").try_cast("double").alias("v"))
 
 
-def daily_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Many daily CSV files; the day comes from the file name."""
-    df = spark.read.option("header", True).csv(path)
-    return df.withColumn("ds", fn.file_date(F.input_file_name()))
+def daily_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Many daily CSV files at any depth; the day `ds` comes from the file's own name, and rows of files without one go.
+
+    Header names are matched by file; a schema spares reading all files to guess it.
+    """
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*")
+    df = (reader.schema(schema).option("enforceSchema", False) if schema else reader).csv(path)
+    return df.withColumn("ds", fn.file_date(F.col("_metadata.file_name"))).filter("ds IS NOT NULL")
 
 
 def parquet_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -109,9 +153,9 @@ def fio_grid(spark: SparkSession, rws: list[str], sizes: list[str], depths: list
 
 
 def papers(spark: SparkSession, path: str, size: int = 2000) -> DataFrame:
-    """Texts in chunks of a fixed length: (file, chunk, text)."""
-    w = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return w.select("file", F.posexplode(fn.chunks(F.col("value"), size)).alias("chunk", "text"))
+    """Texts of a folder in chunks of a fixed length: (paper, file, chunk, text); `paper` is the file's name without ending, made safe."""
+    w = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B")).alias("file"), "value")
+    return w.select(fn.paper_id(F.col("file")).alias("paper"), "file", F.posexplode(fn.chunks(F.col("value"), size)).alias("chunk", "text"))
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
@@ -134,16 +178,6 @@ def turtle(spark: SparkSession, path: str) -> DataFrame:
     return out.select("s", F.when(F.col("p") == "a", "rdf:type").otherwise(F.col("p")).alias("p"), F.regexp_replace("o", r'^"+|"+(@[\w-]+|\^\^.*)?$', "").alias("o"), F.col("o").startswith('"').alias("o_is_literal")).distinct()
 
 
-def block_io(spark: SparkSession, path: str) -> DataFrame:
-    """Block IO trace `time device address size type` up to the first malformed line of each file."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.split(F.trim("value"), r"\s+").alias("p"))
-    n = lambda i: F.try_element_at("p", F.lit(i)).try_cast("long")
-    r = raw.select("file", "line_no", n(1).alias("time"), n(2).alias("device"), n(3).alias("address"), n(4).alias("size"), n(5).alias("type"))
-    bad = F.col("time").isNull() | F.col("device").isNull() | F.col("address").isNull() | F.col("size").isNull() | F.col("type").isNull()
-    stop = r.filter(bad).groupBy("file").agg(F.min("line_no").alias("stop"))
-    return r.join(stop, "file", "left").filter("stop is null or line_no < stop").drop("stop", "file")
-
-
 def trace_text(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """Query, block-cache and IO traces in their text form, by schema."""
     return spark.read.schema(columns).csv(path, mode="DROPMALFORMED")
@@ -173,8 +207,3 @@ def options_ini(spark: SparkSession, path: str) -> DataFrame:
     s = w.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\[[^\]\n]+\][^\[]*)"), F.lit(1))).alias("x"))
     s = s.select(F.regexp_extract("x", r"^\[([^\]]+)\]", 1).alias("section"), F.explode(F.regexp_extract_all("x", F.lit(r"(?m)^\s*([\w.]+\s*=\s*[^\n\r]*)"), F.lit(1))).alias("kv"))
     return s.select("section", F.trim(F.split_part("kv", F.lit("="), F.lit(1))).alias("name"), F.trim(F.regexp_extract("kv", r"=(.*)$", 1)).alias("value"))
-
-
-def ordered(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Adds the place of each row within its key."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(*by)))

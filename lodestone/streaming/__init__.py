@@ -24,12 +24,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return g.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
 
 
-def latest(updates: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """Latest value per key and expiry window: the stream form of version resolution with a time to live."""
-    u = updates.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return u.groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count(F.lit(1)).alias("n")).select(key, F.unix_timestamp("w.start").alias("start"), "last_type", "n")
-
-
 def tail(spark, path: str, schema, start: int = 0) -> DataFrame:
     """Change feed of a growing folder from a sequence number on."""
     return spark.readStream.schema(schema).parquet(path).filter(F.col("event_id") >= start)
@@ -39,3 +33,16 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Runs a stream over what is there into Parquet, and ends."""
     q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
     q.awaitTermination()
+
+
+def run_complete(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream over what is there, and gives its whole result after the last batch."""
+    schema = stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number:012d}")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.schema(schema).option("basePath", sink).parquet(sink)
+    last = every.agg(F.max("batch").alias("_last"))  # one row
+    return every.join(F.broadcast(last), F.col("batch") == F.col("_last")).select(*schema.names)

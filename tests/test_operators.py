@@ -39,6 +39,30 @@ def test_range_delete_end_is_exclusive(spark):
         assert {r.key for r in kv.range_deleted(v, d, few=few).collect()} == {5, 3}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from(["put", "delete", "merge", "merge"]), st.integers(0, 50)), min_size=1, max_size=40), st.lists(st.integers(0, 40), max_size=5), st.integers(0, 99))
+def test_merge_states_fold_the_same_in_any_cut(spark, ops, stripes, seed):
+    rows = [("d", k, i, kind, v) for i, (k, kind, v) in enumerate(ops)]
+    random.Random(seed).shuffle(rows)
+    log = spark.createDataFrame(rows, "cf string, key long, seq long, type string, value long").repartition(3)
+    for op in ("add", "max", "xor", "put", "append"):
+        plain = {r.key: r.value for r in kv.merged(log, ["seq"], op).collect()}
+        assert {r.key: r.value for r in kv.merged(log, ["seq"], op, stripes=stripes).collect()} == plain
+        assert {r.key: r.value for r in kv.merged(log, ["seq"], op, with_base=False, stripes=stripes).collect()} == {r.key: r.value for r in kv.merged(log, ["seq"], op, with_base=False).collect()}
+
+
+def test_merges_read_the_log_once(spark):
+    log = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_linestatus cf", "l_partkey key", "l_orderkey seq", "'merge' type", "l_suppkey value")
+    for df, exchanges in ((kv.merged(log, ["seq"], "add"), 1), (kv.merged(log, ["seq"], "add", stripes=[100]), 2), (kv.newest(log, ["seq"]), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning") == exchanges
+
+
+def test_merge_registry_is_a_value(spark):
+    more = kv.MERGES.register("min", lambda seq: F.min("value"))
+    assert "min" in more.known and "min" not in kv.MERGES.known
+
+
 def test_ttl_edge(spark):
     r = spark.createDataFrame([(100,)], "write_time long")
     assert kv.alive(r, 10, 110).count() == 1 and kv.alive(r, 10, 111).count() == 0 and kv.alive(r, 0, 999).count() == 1
@@ -173,16 +197,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sources.trace_csv(spark, str(p), max_rows=2).count() == 1
     x = tmp_path / "r.xml"
     x.write_text("<r><Flow><IOPS>12.5</IOPS></Flow><Flow><IOPS>9</IOPS></Flow></r>")
-    assert sources.sim_xml(spark, str(x)).first().iops_number == 12.5
+    assert sources.sim_xml(spark, str(x), sources.FLOW_PATHS).first().iops_number == 12.5
     j = tmp_path / "j.fio"
     j.write_text("[global]\nbs=1k\n[a]\nrw=read\nbs=4k\n[b]\nrw=write\n")
     assert [(r.job_name, r.rw, r.bs) for r in sources.fio_jobs(spark, str(j)).orderBy("job_name").collect()] == [("a", "read", "4k"), ("b", "write", None)]
     t = tmp_path / "g.ttl"
     t.write_text('@prefix e: <http://x/> .\ne:a a e:T ;\n  e:p "v; w." , e:b .\n')
     assert {(r.s, r.p, r.o) for r in sources.turtle(spark, str(t)).collect()} == {("e:a", "rdf:type", "e:T"), ("e:a", "e:p", "v; w."), ("e:a", "e:p", "e:b")}
-    io = tmp_path / "io.txt"
-    io.write_text("1 0 5 8 1\n2 0 6 8 0\nbroken\n3 0 7 8 0\n")
-    assert sources.block_io(spark, str(io)).count() == 2
     df = spark.createDataFrame([(1, 2023, "m"), (2, 2024, "m")], "v int, year int, model string")
     sinks.partitioned(df, str(tmp_path / "o"), ["year", "model"])
     assert spark.read.parquet(str(tmp_path / "o")).filter("year = 2024").count() == 1
