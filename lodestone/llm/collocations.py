@@ -69,7 +69,7 @@ class Pieces:
         return at, mixed(h)
 
 
-def counted(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 8 << 20, bucket_bytes: int = 1 << 20) -> DataFrame:
+def counted(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 4 << 20, bucket_bytes: int = 1 << 20) -> DataFrame:
     """(lang, words, phrase, n) as a written table: phrases that occur `least` times or more; with words = 0 and an empty
     phrase, all words of the language."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), F.col(text_col).cast("string").alias("text"))
