@@ -10,7 +10,7 @@ from lodestone.llm.common import table
 
 
 def op1_warc_index(spark, sf_dir):
-    return warc.capture_history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.capture_history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture")
 
 
 def op2_language_id(spark, sf_dir):
@@ -97,15 +97,20 @@ def _vector_codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256, dims:
 
 ORACLE: dict[str, str] = {
     "op1_warc_index": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+        WITH u AS (
+          SELECT *, regexp_replace(lower(regexp_extract(trim(coalesce(url, '')), '^[A-Za-z]+://([^/:?#]*)', 1)), '^www[.]', '') AS host, regexp_extract(trim(coalesce(url, '')), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_extract(trim(coalesce(url, '')), '^[^?#]*[?]([^#]*)', 1) AS query FROM pages),
+        p AS (
+          SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 4294967296), '%Y%m%d%H%M%S') AS ts,
+            CASE WHEN host = '' THEN lower(trim(coalesce(url, ''))) ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url_key FROM u),
         d AS (
-          SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+          SELECT page_id, url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS capture, CAST(strlen(body) AS BIGINT) AS payload_bytes,
             list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_aggregate(list_transform(range(5), lambda b:
               ((((position(substr(h, CAST((5 * i + b) // 4 + 1 AS INTEGER), 1) IN '0123456789ABCDEF') - 1) >> CAST(3 - (5 * i + b) % 4 AS INTEGER)) & 1) << CAST(4 - b AS INTEGER))), 'sum')::INTEGER, 1)), 'string_agg', '') AS payload_digest
           FROM p),
         w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM w""",
+          CASE WHEN page_id < keeper THEN keeper END AS refers_to, url_key, ts, capture FROM w""",
     "op6_exact_topk": """
         WITH ok AS (
           SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

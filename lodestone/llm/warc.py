@@ -9,7 +9,8 @@ the global capture history. The range key ends with the page, so captures of one
 
 Cases: a null payload is empty; a null URL has no target line and the empty key; equal page_ids write a record each, and
 of equal payloads every record with the largest page_id is the response; null page_ids come before all others; an empty
-table writes no file and gives no capture; further columns are ignored.
+table writes no file and gives no capture; payloads of any length are written, read and checked whole, one record in memory
+at a time; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import new_path, slices, written
@@ -240,5 +241,10 @@ def _merged(part: int, place: int, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def capture_history(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes the archives of `pages`, reads them back and merges their index."""
-    return merge_runs(read_runs(write_archives(pages, least)))
+    """Writes the archives of `pages`, reads them back and merges their index: captures with their number from 0 in the
+    global order of URL key, timestamp and page (column `capture`), and the range and the place in it that give it."""
+    merged = written(merge_runs(read_runs(write_archives(pages, least))), "captures")
+    sizes = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select(F.col("part").alias("_part"), before.alias("_before"))
+    return merged.join(starts, F.col("part") == F.col("_part")).withColumn("capture", F.col("_before") + F.col("place")).drop("_part", "_before")
