@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased runs of letters; every term of the examples is in the vector space. A term weighs (1 + ln tf) times
-its inverse document frequency over all documents; terms that go with either label beyond chance weigh more, by one plus
-the root of the likelihood ratio of their document frequencies, if that passes a threshold that grows with the number of
-terms tried. (By plain TF-IDF, neighbours share the topic rather than the label; the README has the figures.)
+Terms are lower-cased runs of letters; every term of the examples is in the vector space and weighs (1 + ln tf) times its
+inverse document frequency over all documents, so the distance is the plain one.
 
 Examples are labelled rows in the order of a hash of their id, at most `max_rows` of them and at most `max_postings`
-distinct terms in all, so the index is bounded and can be sent to every task. It keeps postings by term and, for terms with
-long postings, the greatest weight in each block of examples; examples with like terms share a block. A query adds up the
-short postings, bounds the rest by block maxima, and scores exactly those examples whose bound reaches the k-th cosine,
-so neighbours are exact; ties go to the smaller example id. Terms that no example has scale all cosines of a query alike.
-
-Neighbours vote with their cosine as weight. Votes are calibrated by an isotonic fit, with straight lines between its
-steps, on the examples' own leave-one-out votes; texts that share no term with any example get the smoothed rate of the
-examples without neighbours.
+distinct terms in all, so the index is bounded and can be sent to every task. Examples with like terms share a block, and
+the index keeps the greatest weight in each block for every term that several blocks' worth of examples hold. A query adds
+up the postings of its other terms, which are short, and bounds the rest by the block maxima; examples are then scored
+exactly in the order of their bounds, some at a time, until the next bound is below the k-th cosine. So neighbours are
+exact; ties go to the smaller example id. Terms that no example has scale all cosines of a query alike.
+
+Neighbours vote with their cosine, of which each shared term gave a part. Neighbours share topics more than labels, so the
+parts count by what a term tells of the label: one plus the root of the likelihood ratio of its document frequencies under
+the two labels, if that passes a threshold that grows with the number of terms tried, and a thousandth if not. Votes are
+calibrated by an isotonic fit, with straight lines between its steps, on the examples' own leave-one-out votes; texts that
+share no term with any example get the smoothed rate of the examples without neighbours.
 
 Cases: null and empty texts have no term and get that rate; without labelled rows every score is 0.1; very long texts are
 counted whole; repeated rows are scored alike; several labels of one document count as their rounded mean, and of several
@@ -39,6 +40,7 @@ from lodestone.llm.quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 0.1
+HARDLY = 1e-3  # what a term counts in a vote that tells nothing of the label
 
 
 def terms(text: str | None) -> list[str]:
@@ -99,14 +101,14 @@ def document_frequencies(counts: DataFrame, n_terms: int) -> tuple[int, np.ndarr
 
 
 def relevance(df: np.ndarray, hit: np.ndarray, pos: int, n: int) -> np.ndarray:
-    """1, or 1 + the root of the likelihood ratio for terms (in df of n examples, hit of the pos ones) that go with a label beyond chance."""
+    """1 + the root of the likelihood ratio for terms (in df of n examples, hit of the pos ones) that go with a label beyond chance, else HARDLY."""
     rate, bar = pos / n if n else 0.0, 2 * math.log(100 * max(1, len(df)))
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
 
     llr = 2 * (part(hit, df * rate) + part(df - hit, df * (1 - rate)) + part(pos - hit, (n - df) * rate) + part((n - pos) - (df - hit), (n - df) * (1 - rate)))
-    return np.where(llr > bar, 1 + np.sqrt(np.maximum(llr, 0)), 1.0)
+    return np.where(llr > bar, 1 + np.sqrt(np.maximum(llr, 0)), HARDLY)
 
 
 def weights(i: np.ndarray, tf: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -116,16 +118,17 @@ def weights(i: np.ndarray, tf: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, and block maxima of the terms whose postings are long."""
+    """Postings of unit vectors by term, and block maxima of all terms in more than `long` of the vectors."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, long: float = 1 / 2):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 4, long: float = 1 / 6):
         # terms are numbered by frequency, so the first ones tell the language and kind of a text
         order = sorted(range(len(vectors)), key=lambda d: (vectors[d][0][:12].tolist(), d))
         self.names, self.block, n = np.array(order, np.int64), block, len(order)
+        self.at = np.argsort(self.names)
         size = np.array([len(vectors[d][0]) for d in order], np.int64)
         self.start = np.r_[0, size.cumsum()]
         none = np.empty(0)
-        self.term = np.concatenate([vectors[d][0] for d in order] + [none]).astype(np.int32)
+        self.term = np.concatenate([vectors[d][0] for d in order] + [none]).astype(np.int64)
         self.weight = np.concatenate([vectors[d][1] for d in order] + [none])
         by = np.argsort(self.term, kind="stable")
         self.doc = np.repeat(np.arange(n), size)[by]
@@ -141,19 +144,24 @@ class BlockMaxIndex:
             s = slice(self.cut[t], self.cut[t + 1])
             np.maximum.at(self.most[k], self.doc[s] // block, self.post[s])
         self.query = np.zeros(n_terms)
+        self.scored = self.searched = 0  # examples scored exactly, and looked at in all
+
+    def _parts(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the terms of these examples, where each example starts among them)."""
+        size = self.start[d + 1] - self.start[d]
+        first = size.cumsum() - size
+        return np.repeat(self.start[d] - first, size) + np.arange(size.sum()), first
 
     def _exact(self, d: np.ndarray) -> np.ndarray:
         """Cosines of these examples (places in the index) with the laid-out query."""
-        size = self.start[d + 1] - self.start[d]
-        at = np.repeat(self.start[d] - np.r_[0, size.cumsum()[:-1]], size) + np.arange(size.sum())
-        return np.round(np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.r_[0, size.cumsum()[:-1]]), 12)
+        at, first = self._parts(d)
+        return np.round(np.add.reduceat(self.query[self.term[at]] * self.weight[at], first), 12)
 
     def search(self, i: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest positive cosine, without `skip`; ties to the smaller number."""
-        none = np.empty(0, np.int64), np.empty(0)
         n = len(self.names)
         if not n or not len(i):
-            return none
+            return np.empty(0, np.int64), np.empty(0)
         place = self.place[i]
         rare, often = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
         lo = self.cut[i[rare]]
@@ -164,24 +172,23 @@ class BlockMaxIndex:
         if len(often):
             bound = bound + (q[often] @ self.most[place[often]])[self.of]
         if skip >= 0:
-            bound[self.names == skip] = 0
+            bound[self.at[skip]] = 0
         self.query[i] = q
-        few = k + k // 3 + 1  # bounds are close to cosines, so these hold nearly all of the k best
-        d = np.argpartition(-bound, few)[:few] if n > few else np.arange(n)
-        d = d[bound[d] > 0]
-        if not len(d):
-            self.query[i] = 0
-            return none
-        cos = self._exact(d)
-        if n > few:
-            kth = np.sort(cos)[-k] if len(cos) >= k else 0.0
-            done = np.zeros(n, bool)
-            done[d] = True
-            more = np.flatnonzero((bound >= kth - 1e-9) & (bound > 0) & ~done)
-            if len(more):
-                d, cos = np.concatenate([d, more]), np.concatenate([cos, self._exact(more)])
+        places, cosines, kth, few = np.empty(0, np.int64), np.empty(0), 0.0, k + k // 2 + 1
+        left = (bound > 0) & (self.start[1:] > self.start[:-1])
+        while True:
+            open_ = np.flatnonzero(left & (bound >= kth - 1e-9))  # in falling order, some at a time
+            if len(open_) > few:
+                open_ = open_[np.argpartition(-bound[open_], few)[:few]]
+            if not len(open_):
+                break
+            left[open_] = False
+            places, cosines = np.concatenate([places, open_]), np.concatenate([cosines, self._exact(open_)])
+            kth = float(np.partition(cosines, -k)[-k]) if len(cosines) >= k else 0.0
+            few *= 2
         self.query[i] = 0
-        d, cos = self.names[d[cos > 0]], cos[cos > 0]
+        self.scored, self.searched = self.scored + len(places), self.searched + n
+        d, cos = self.names[places[cosines > 0]], cosines[cosines > 0]
         top = np.lexsort((d, -cos))[:k]
         return d[top], cos[top]
 
@@ -203,18 +210,39 @@ def isotonic(x: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> tuple[np.ndar
 class Model:
     """Vocabulary, term values and index of the examples; calibration once it is fitted."""
 
-    def __init__(self, value: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], k: int = 25):
+    def __init__(self, value: np.ndarray, telling: np.ndarray, ids: np.ndarray, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], k: int = 50):
         self.value, self.k = value, k
         order = np.argsort(ids)
         self.ids, self.y = ids[order], y[order].astype(float)  # ties between examples go by these numbers
         self.index = BlockMaxIndex([(counts[d][0], weights(*counts[d], value)) for d in order], len(value))
+        # of a cosine, HARDLY counts as it is; the rest of what telling terms count is looked up in a narrow table
+        self.few = np.flatnonzero(telling > HARDLY)
+        self.column = np.full(len(value), -1, np.int64)
+        self.column[self.few] = np.arange(len(self.few))
+        self.told: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for e, d in enumerate(order):
+            i, w = counts[d][0], weights(*counts[d], value)
+            has = self.column[i] >= 0
+            if has.any():
+                self.told[e] = self.column[i[has]], w[has] * (telling[i[has]] - HARDLY)
         self.rest, self.at, self.level = UNKNOWN, np.zeros(1), np.full(1, UNKNOWN)
 
     def vote(self, i: np.ndarray, tf: np.ndarray, own_id: int | None = None) -> tuple[float | None, list[int]]:
-        """Share of label 1 among the neighbours by cosine, and their ids; own_id is left out."""
+        """Share of label 1 among the neighbours by their cosines' telling parts, and their ids; own_id is left out."""
         skip = -1 if own_id is None else int(np.searchsorted(self.ids, own_id))
-        d, cos = self.index.search(i, weights(i, tf, self.value), self.k, skip)
-        return (float((cos * self.y[d]).sum() / cos.sum()) if len(d) else None), self.ids[d].tolist()
+        q = weights(i, tf, self.value)
+        d, cos = self.index.search(i, q, self.k, skip)
+        if not len(d):
+            return None, []
+        say, own = HARDLY * cos, self.column[i]
+        if (own >= 0).any():
+            mine = np.zeros(len(self.few))
+            mine[own[own >= 0]] = q[own >= 0]
+            for n, e in enumerate(d.tolist()):
+                if e in self.told:
+                    at, w = self.told[e]
+                    say[n] += mine[at] @ w
+        return float((say * self.y[d]).sum() / say.sum()), self.ids[d].tolist()
 
     def fit(self, votes: list[tuple[float | None, int]]) -> None:
         """Calibration by the examples' leave-one-out votes."""
@@ -234,7 +262,7 @@ def _pairs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(i, np.int32), np.frombuffer(t, np.int32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 25) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 50) -> tuple[Model, DataFrame]:
     """Index over the labelled rows, term values from all documents, calibration by leave-one-out votes; and the coded documents."""
     rows = written(labelled(docs, labels, "toxic", max_rows).withColumn("o", F.xxhash64("doc_id")), "examples")
 
@@ -249,12 +277,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postin
     n, pos = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = written(coded(docs, ["doc_id"], vocab), "term_counts")
     total, df = document_frequencies(counts, len(vocab))
-    value = (np.log((total + 1) / (df + 1)) + 1e-6) * relevance(ex_df, hit, pos, n)
+    value = np.log((total + 1) / (df + 1)) + 1e-6
     own = written(coded(examples, ["doc_id", "y"], vocab), "coded_examples")
     discard(rows)
     got = own.toPandas()  # at most max_postings numbers
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(t, np.int32)) for i, t in zip(got["ids"], got["tf"], strict=True)]
-    model = Model(value, got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(), pairs, k)
+    model = Model(value, relevance(ex_df, hit, pos, n), got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(), pairs, k)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postin
     return model, counts
 
 
-def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 25) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_postings: int = 1_000_000, k: int = 50) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row."""
     model, counts = learn(docs, labels, max_rows, max_postings, k)
 
