@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.chunks import settled
 from lodestone.llm.common import discard, fresh, slices, utf8, written
 
 SEED = 42
@@ -212,7 +213,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, cap: int
 # arccos(2s/(1+s))/pi: 0.15 at 0.8. Of 512 bits about 78 differ, and about 17 of the 64 positional bytes stay equal, against
 # a quarter of a byte for unrelated texts. The same index then works with a count filter that holds all but surely.
 WIDE_BITS, WIDE_BYTES = 512, 64
-WIDE_KEYS = [(i, (i + a) % 64, (i + b) % 64) for a, b in ((11, 38), (23, 10), (7, 29), (17, 41)) for i in range(64)]
+
+
+def wide_keys(size: int) -> np.ndarray:
+    """[key, byte] positions: 4 ** (size + 1) sets of `size` different positional bytes, each byte in equally many.
+
+    A byte stays equal with 0.27 at a similarity of 0.8, so a key of one byte more is met by about a quarter of the pairs
+    that met the shorter one, and four times as many keys keep the recall; unrelated texts meet in 256 times fewer.
+    """
+    steps, rng = [(11, 38), (23, 10), (7, 29), (17, 41)], np.random.default_rng(size)
+    if size != 3:
+        steps = [tuple((1 + rng.choice(WIDE_BYTES - 1, size - 1, replace=False)).tolist()) for _ in range(max(1, 4 ** (size - 2)))]
+    return np.array([[i, *((i + s) % WIDE_BYTES for s in step)] for step in steps for i in range(WIDE_BYTES)])
+
+
+def key_bytes(rows: int) -> int:
+    """Bytes of a key: one more for every 256 times as many rows, from half a billion on. Until then unrelated texts that
+    meet, 2 ** -16 of all pairs, cost less than four times as many keys would."""
+    return 3 + max(0, -(-(max(1, rows).bit_length() - 30) // 8))
 
 
 def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
@@ -242,11 +260,10 @@ def _wide_near(a: np.ndarray, x: np.ndarray, max_bits: int, shared: int) -> np.n
     return near[(y[near].view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared]
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first place in WIDE_KEYS at which the fingerprints of each row agree."""
+def _first_common(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of the keys at which the fingerprints of each row agree."""
     same = (a ^ b).view(np.uint8).reshape(-1, WIDE_BYTES) == 0
-    place = np.array(WIDE_KEYS)
-    return np.argmax(same[:, place[:, 0]] & same[:, place[:, 1]] & same[:, place[:, 2]], axis=1)
+    return np.argmax(np.logical_and.reduce([same[:, place[:, i]] for i in range(place.shape[1])]), axis=1)
 
 
 UNIT = ["t", "k", "i", "j"]
@@ -287,9 +304,9 @@ def _whole_units(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _pairs(key: np.ndarray, b: np.ndarray, fp: np.ndarray, c: np.ndarray, max_bits: int, shared: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and differing bits of the pairs of one unit that are near enough and of different c; with `once`, only of
-    those for which the unit's posting is the first that holds both."""
+def _pairs(key: np.ndarray, b: np.ndarray, fp: np.ndarray, c: np.ndarray, max_bits: int, shared: int, once: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and differing bits of the pairs of one unit that are near enough and of different c; with the keys as `once`,
+    only of those for which the unit's posting is the first that holds both."""
     t, within = int(key[0, 0]), key[0, 2] == key[0, 3]
     second = int(np.searchsorted(b, b[0], "right"))  # the second block starts there
     xs, ys = [], []
@@ -297,8 +314,8 @@ def _pairs(key: np.ndarray, b: np.ndarray, fp: np.ndarray, c: np.ndarray, max_bi
         start = x + 1 if within else second
         hit = start + _wide_near(fp[start:], fp[x], max_bits, shared)
         hit = hit[c[hit] != c[x]]
-        if once and len(hit):
-            hit = hit[_first_common(fp[hit], fp[x][None]) == t]
+        if once is not None and len(hit):
+            hit = hit[_first_common(fp[hit], fp[x][None], once) == t]
         xs.append(np.full(len(hit), x))
         ys.append(hit)
     none = np.empty(0, np.int64)
@@ -306,7 +323,7 @@ def _pairs(key: np.ndarray, b: np.ndarray, fp: np.ndarray, c: np.ndarray, max_bi
     return x, y, np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int32)
 
 
-def _members(units: DataFrame, max_bits: int, shared: int, once: bool) -> DataFrame:
+def _members(units: DataFrame, max_bits: int, shared: int, once: np.ndarray | None) -> DataFrame:
     """The rows (unit, b, fid) of units that lie in any pair: they are few, and only their texts are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +334,8 @@ def _members(units: DataFrame, max_bits: int, shared: int, once: bool) -> DataFr
             two = starts[(ends - starts == 2) & (key[starts, 2] == key[starts, 3])]
             y = fp[two] ^ fp[two + 1]
             two = two[(c[two] != c[two + 1]) & ((y.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(y).sum(axis=1, dtype=np.int32) <= max_bits)]
-            if once:
-                two = two[_first_common(fp[two], fp[two + 1]) == key[two, 0]]
+            if once is not None:
+                two = two[_first_common(fp[two], fp[two + 1], once) == key[two, 0]]
             keep[two] = keep[two + 1] = True
             for s, e in zip(starts, ends, strict=True):
                 if e - s > 2 or e - s == 2 and key[s, 2] != key[s, 3]:
@@ -334,7 +351,7 @@ def shingles(text: bytes, width: int) -> set[bytes]:
     return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def _verified(units: DataFrame, max_bits: int, shared: int, once: bool, width: int, least: float) -> DataFrame:
+def _verified(units: DataFrame, max_bits: int, shared: int, once: np.ndarray | None, width: int, least: float) -> DataFrame:
     """Links (u, v) that join the classes c of a unit's rows (with texts): pairs are verified by the Jaccard similarity of
     their shingles, the nearest first, unless links of the unit join them already."""
 
@@ -375,7 +392,7 @@ def _verified(units: DataFrame, max_bits: int, shared: int, once: bool, width: i
     return units.select(*UNIT, "b", "fid", "fp", "c", F.col("text").cast("binary").alias("text")).mapInArrow(run, "u long, v long")
 
 
-def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = 5, least: float = 0.8, max_bits: int = 110, shared: int = 6, cap: int = 1024, tight: int = 60, dense: int = 64) -> DataFrame:
+def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = 5, least: float = 0.8, max_bits: int = 110, shared: int = 6, cap: int = 1024, tight: int = 60, dense: int = 64, size: int | None = None) -> DataFrame:
     """A spanning set of the links (u, v) of a shingle similarity of at least `least` between distinct wide fingerprints
     (columns fid, fp) that meet in a posting within max_bits; a written table.
 
@@ -385,11 +402,16 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
     unit's rows come with their texts and are compared where they are.
     """
 
+    size = size or key_bytes(fps.count())
+    place = wide_keys(size)
+    low = 8 * size
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.array(WIDE_KEYS)
         for b in slices(batches, 2000):
             x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-            k = np.arange(len(place)) << 24 | x[:, place[:, 0]] << 16 | x[:, place[:, 1]] << 8 | x[:, place[:, 2]]
+            k = np.arange(len(place)) << low
+            for i in range(size):
+                k = k | x[:, place[:, i]] << 8 * i
             yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(b.column("fid").to_numpy(), len(place)))], names=["key", "fid"])
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,37 +431,38 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
             yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["key", "fid"])
 
     pairs = "key long, fid long"
-    some = written(fps.select("fid", "fp").mapInArrow(keyed, pairs).repartition("key").sortWithinPartitions("key").mapInArrow(shared_only, pairs), "wide_keys")
-    keys = some.select(F.shiftright("key", 24).cast("int").alias("t"), F.col("key").bitwiseAND(F.lit((1 << 24) - 1)).alias("k"), "fid")
-    post = written(_counted(keys), "wide_post")
+    some = settled(fps.select("fid", "fp").mapInArrow(keyed, pairs).repartition("key").sortWithinPartitions("key").mapInArrow(shared_only, pairs), "wide_keys")
+    keys = some.select(F.shiftright("key", low).cast("int").alias("t"), F.col("key").bitwiseAND(F.lit((1 << low) - 1)).alias("k"), "fid")
+    post = settled(_counted(keys), "wide_post")
     discard(some)
-    def found(some: DataFrame, own: DataFrame, bits: int, once: bool, label: str) -> DataFrame:
-        near = written(_members(_units(some, own, cap), bits, shared, once), "wide_near")
-        texts = written(texts_of(near.select("fid").distinct()).join(own, "fid"), "wide_texts")
-        out = written(_verified(_in_order(near.join(texts, "fid")), bits, shared, once, width, least), label)
+
+    def found(some: DataFrame, own: DataFrame, bits: int, once: np.ndarray | None, label: str) -> DataFrame:
+        near = settled(_members(_units(some, own, cap), bits, shared, once), "wide_near")
+        texts = settled(texts_of(near.select("fid").distinct()).join(own, "fid"), "wide_texts")
+        out = settled(_verified(_in_order(near.join(texts, "fid")), bits, shared, once, width, least), label)
         discard(near, texts)
         return out
 
     made, first, own = [post], None, fps.select("fid", "fp", F.col("fid").alias("c"))
-    long_ = post.filter((F.col("n") > dense) & (F.col("t") < WIDE_BYTES))  # so near pairs share half of their bytes
+    long_ = post.filter((F.col("n") > dense) & (F.col("t") < len(place) // 4))  # so near pairs share half of their bytes
     if long_.limit(1).count():
-        first = found(long_, own, min(tight, max_bits), False, "wide_first")
-        classes = written(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
+        first = found(long_, own, min(tight, max_bits), None, "wide_first")
+        classes = settled(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
         made.append(classes)
         own = fps.select("fid", "fp").join(classes, "fid", "left").select("fid", "fp", F.coalesce("root", "fid").alias("c"))
-    sure = found(post, own, max_bits, True, "wide_sure")
+    sure = found(post, own, max_bits, place, "wide_sure")
     discard(*made)
     return sure if first is None else sure.union(first)
 
 
-def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 1024) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 1024, size: int | None = None) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
 
     Texts are linked whose word shingles have a Jaccard similarity of at least `least`, of the pairs that postings of
-    their wide fingerprints join.
+    their wide fingerprints join. `size` is the bytes of a posting's key, by default what the number of texts asks for.
     """
     names = docs.columns
-    fp, fid, row = (fresh(c, names) for c in ("fp", "fid", "row"))
+    fp, row = (fresh(c, names) for c in ("fp", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -447,17 +470,16 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
             yield pa.record_batch([*b.columns, pa.array(own, pa.binary())], names=[*b.schema.names, fp])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(run, f"{kinds}, `{fp}` binary").withColumn(fid, F.xxhash64(fp)).withColumn(row, F.monotonically_increasing_id())
-    rows = written(rows, "wide_rows")
+    rows = docs.mapInArrow(run, f"{kinds}, `{fp}` binary").withColumn(row, F.monotonically_increasing_id())
+    rows = settled(rows, "wide_rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
-    one = rows.groupBy(fid).agg(F.min(order).alias("o"), F.first(fp).alias("fp"))
-    one = written(one.select(F.col(fid).alias("fid"), "fp", "o"), "wide_fps")
+    one = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("o"))
+    one = settled(one.select(F.col("o.row").alias("fid"), "fp", "o"), "wide_fps")  # a fingerprint's number is its first row
 
     def texts_of(fids: DataFrame) -> DataFrame:  # one text stands for a fingerprint: that of its first row
-        at = one.join(fids, "fid").select("fid", F.col("o.row").alias("at"))
-        return at.join(rows.select(F.col(row).alias("at"), "text"), "at").select("fid", "text")
+        return fids.join(rows.select(F.col(row).alias("fid"), "text"), "fid").select("fid", "text")
 
-    sure = similar_links(one.select("fid", "fp"), texts_of, width, least, max_bits, cap=cap)
+    sure = similar_links(one.select("fid", "fp"), texts_of, width, least, max_bits, cap=cap, size=size)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias(row))
     return rows.join(best, row, "left_semi").select(*[f"`{c}`" for c in names])
