@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,10 +71,15 @@ def first_failure(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("drive").agg(F.min("day").alias("fail_day"), F.min_by("model", at).alias("model"))
 
 
+def dealt(seed: int, key: str) -> Column:
+    """A seeded place for each key, from its md5, so that any engine deals alike: 32 bits of it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def cohorts(ids: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """Deals ids into cohorts of about `size` by a seeded hash; needs no global order."""
     n = max(1, -(-ids.count() // size))
-    return ids.withColumn("cohort", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)))
+    return ids.withColumn("cohort", F.pmod(dealt(seed, key), F.lit(n)))
 
 
 def dedup_keep_first(rows: DataFrame, key: str, order: list[str], cohort_size: int) -> DataFrame:
@@ -88,14 +93,15 @@ def ratio_sample(rows: DataFrame, label: str, key: str, n: int, positive: float,
     have = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     pos = min(have.get(1, 0), max(round(n * positive), n - have.get(0, 0)))
     want = {1: pos, 0: min(have.get(0, 0), n - pos)}
-    parts = [rows.filter(F.col(label) == k).orderBy(F.xxhash64(F.lit(seed), key), key).limit(v) for k, v in want.items()]
+    parts = [rows.filter(F.col(label) == k).orderBy(dealt(seed, key), key).limit(v) for k, v in want.items()]
     return parts[0].unionByName(parts[1])
 
 
-def pair_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str, parts: int = 64) -> DataFrame:
-    """Joins rows by hash order inside hash parts, the right side reused where it is short."""
-    deal = lambda df, k: df.withColumn("_p", F.pmod(F.xxhash64(k), F.lit(parts))).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.xxhash64(F.lit(1), k), k)) - 1)
+def pair_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str, parts: int | None = None, a_part: int = 100_000) -> DataFrame:
+    """Joins rows by hash order inside hash parts of about `a_part` rows, the right side reused where it is short."""
+    parts = parts or max(1, -(-left.count() // a_part))
+    deal = lambda df, k: df.withColumn("_p", F.pmod(dealt(0, k), F.lit(parts))).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(dealt(1, k), k)) - 1)
     r = deal(right, right_key)
     size = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    out = deal(left, left_key).join(F.broadcast(size), "_p").withColumn("_i", F.pmod("_i", "_n"))
+    out = deal(left, left_key).join(size, "_p").withColumn("_i", F.pmod("_i", "_n"))
     return out.join(r, ["_p", "_i"]).drop("_p", "_i", "_n")

@@ -53,6 +53,20 @@ def flatten_taxonomy(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
+    """(label, path, depth) of each node of a forest (node, parent or null, label): a join a level, from the roots down."""
+    level = nodes.filter("parent IS NULL").select("node", "label", F.col("label").alias("path"))
+    out, depth = level.select("label", "path", F.lit(1).alias("depth")), 1
+    while depth < most:
+        below = nodes.select(F.col("node").alias("child"), "parent", F.col("label").alias("own")).join(level.select(F.col("node").alias("parent"), "path"), "parent")
+        level = below.select(F.col("child").alias("node"), F.col("own").alias("label"), F.concat_ws("/", "path", "own").alias("path"))
+        if level.isEmpty():
+            break
+        depth += 1
+        out = out.unionByName(level.select("label", "path", F.lit(depth).alias("depth")))
+    return out
+
+
 def retrieve(literals: DataFrame, terms: DataFrame, limit: int = 5, least: int = 20) -> DataFrame:
     """Literals (id, text) that contain a term (ord, term), any case, of a length at least; each once by its first term, the first `limit` a term.
 

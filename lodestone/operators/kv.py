@@ -186,6 +186,24 @@ def batch_survivors(ops: DataFrame, batch: list[str], at: list[str], kind: str =
     return out.filter((F.col("_open") == 0) & ~F.col(kind).isin("save", "rollback", "pop")).drop("_d", "_low", "_depth", "_undone", "_open")
 
 
+def filtered_log(log: DataFrame, action: Column, replaced: dict[str, Column], seq: str = "seq") -> DataFrame:
+    """A log as a recovery filter lets it through: records to `keep`, those to `ignore` gone, those to `replace` with other
+    columns, and nothing from the first record on that says `stop`."""
+    acted = log.withColumn("_act", action)
+    stop = acted.filter("_act = 'stop'").agg(F.min(seq).alias("_stop"))  # one row
+    live = acted.crossJoin(F.broadcast(stop)).filter((F.col("_stop").isNull() | (F.col(seq) < F.col("_stop"))) & F.col("_act").isin("keep", "replace"))
+    return live.select(*[F.when(F.col("_act") == "replace", replaced[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c) for c in log.columns])
+
+
+def puts(rows: DataFrame, seq: Column, written_at: Column | None = None) -> DataFrame:
+    """Rows (cf, key, value, or entity: a map of columns) as put records of a log: an entity's anonymous column is its
+    value, and a timed put carries its own write time, null for now."""
+    entity = F.col("entity") if "entity" in rows.columns else F.lit(None).cast("map<string,string>")
+    value = F.coalesce(F.col("value").cast("string"), default_column(entity)) if "value" in rows.columns else default_column(entity)
+    kind = F.when(entity.isNotNull(), "put_entity").otherwise("put")
+    return rows.select("cf", "key", seq.alias("seq"), kind.alias("type"), value.alias("value"), F.map_filter(entity, lambda k, _: k != "").alias("columns"), (written_at if written_at is not None else F.lit(None).cast("long")).alias("write_time"))
+
+
 def overlay(stored: DataFrame, batch: DataFrame, seq: list[str]) -> DataFrame:
     """Reads an uncommitted batch over stored rows; the batch wins."""
     both = stored.withColumn("_layer", F.lit(0)).unionByName(batch.withColumn("_layer", F.lit(1)))

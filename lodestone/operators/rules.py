@@ -63,8 +63,18 @@ def combine(*triggers: DataFrame, by: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select(by).distinct(), by, "left_semi"), triggers[1:], triggers[0].select(by).distinct())
 
 
-def apply_suggestion(options: DataFrame, name: str, action: str, value: float) -> DataFrame:
-    """Sets, increases or decreases (by a factor) an option (name, value)."""
+def matches(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(rule, condition, matches): for how many rows each condition holds, in one reading."""
+    counts = rows.agg(*[F.count_if(expression(x)).alias(f"_{i}") for i, (_, x) in enumerate(rules)])
+    each = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(x).alias("condition"), F.col(f"_{i}").alias("matches")) for i, (n, x) in enumerate(rules)])
+    return counts.select(F.inline(each))
+
+
+def apply_suggestion(options: DataFrame, name: str | DataFrame, action: str, value: float) -> DataFrame:
+    """Sets, increases or decreases (by a factor) an option (name, value); the name may come as a table of one row."""
     v = F.col("value")
     new = {"set": F.lit(float(value)), "increase": v * (1 + value), "decrease": v * (1 - value)}[action]
-    return options.withColumn("value", F.when(F.col("name") == name, new).otherwise(v))
+    if isinstance(name, str):
+        return options.withColumn("value", F.when(F.col("name") == name, new).otherwise(v))
+    own = options.crossJoin(F.broadcast(name.select(F.col("name").alias("_name"))))
+    return own.withColumn("value", F.when(F.col("name") == F.col("_name"), new).otherwise(v)).drop("_name")

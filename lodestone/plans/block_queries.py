@@ -158,7 +158,10 @@ def _(t):
     return t("v_block").groupBy("btype").agg(F.sum("is_hit").alias("hits"), F.count(F.lit(1)).alias("total")).withColumn("ratio", F.round(F.col("hits") / F.col("total"), 6))
 
 
-@query("agg_hot_cold")
+@query("agg_hot_cold", """WITH c AS (SELECT block, count(*) AS n FROM v_block GROUP BY block), b AS (SELECT n, count(*) AS m FROM c GROUP BY n), r AS (SELECT n, m, sum(m) OVER (ORDER BY n DESC) AS b1 FROM b), t AS (SELECT sum(m) AS addresses, sum(m * n) AS writes FROM b),
+  g AS (SELECT k, sum(greatest(0, least(b1, k * (addresses * 0.01::DOUBLE)) - greatest(b1 - m, (k - 1) * (addresses * 0.01::DOUBLE))) * n) / any_value(writes) AS share, any_value(addresses) AS addresses FROM r, t, range(1, 101) s(k) GROUP BY k),
+  s AS (SELECT coalesce(min(k) FILTER (share < 0.01), 101) AS stop FROM g), h AS (SELECT coalesce(sum(share), 0) AS r, count(*) * 0.01::DOUBLE AS f, coalesce(any_value(addresses), 0) AS addresses FROM g, s WHERE k < stop)
+  SELECT round(r, 6)::DOUBLE AS write_share, round(f, 6)::DOUBLE AS address_share, addresses > 100 AND r > 0.5 AND f > 0 AND r > 2.5 * f AS is_hot FROM h""")
 def _(t):
     return bc.hot_set(t("v_block").groupBy(F.col("block").alias("address")).agg(F.count(F.lit(1)).alias("n")), least=100)
 

@@ -225,7 +225,7 @@ def _(t):
     return state.newest_now(t.spark.read.schema("key string, at long, ord long, value string, n long").parquet(out))
 
 
-@query("stm_late")
+@query("stm_late", "WITH c AS (SELECT epoch_ms(max(ts)) - 3600000 AS mark FROM events) SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, c GROUP BY 1, 2, mark HAVING (floor(epoch(min(ts)) / 86400) + 1) * 86400000 <= mark")
 def _(t):
     """Windows that a one-hour watermark closes."""
     src, out = path(t.spark, "late"), path(t.spark, "late-out")
@@ -270,10 +270,13 @@ def _(t):
 SEQ = ["day", "a", "b", "c"]
 
 
-@query("kv_put", "SELECT cf, key, count(*) AS versions FROM (SELECT cf, key FROM v_kv UNION ALL SELECT 'N', p_partkey FROM part) GROUP BY ALL")
+@query("kv_put", "SELECT 'N' AS cf, p_partkey AS key, p_partkey AS seq, CASE WHEN p_size % 3 = 0 THEN 'put_entity' ELSE 'put' END AS type, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS value, CASE WHEN p_size % 3 = 0 THEN p_type END AS column_type, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) END AS write_time FROM part")
 def _(t):
-    new = t("part").select(F.lit("N").alias("cf"), F.col("p_partkey").alias("key"))
-    return t("v_kv").select("cf", "key").unionByName(new).groupBy("cf", "key").agg(F.count(F.lit(1)).alias("versions"))
+    """Puts of plain values and of entities of several columns, every other with a write time of its own."""
+    entity = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit(""), F.col("p_brand"), F.lit("type"), F.col("p_type")))
+    rows = t("part").select(F.lit("N").alias("cf"), F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("value"), entity.alias("entity"), "p_size")
+    log = kv.puts(rows, F.col("key"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("long")))
+    return log.select("cf", "key", "seq", "type", "value", F.try_element_at("columns", F.lit("type")).alias("column_type"), "write_time")
 
 
 MARKED = "mk AS (SELECT cf, key, day, a, b, c, value, CASE WHEN type = 'delete' AND c % 2 = 0 THEN 'single' ELSE type END AS type, CASE WHEN day > 9800 THEN 1 ELSE 0 END + CASE WHEN day > 10500 THEN 1 ELSE 0 END AS s FROM v_kv WHERE type <> 'merge')"

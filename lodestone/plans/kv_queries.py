@@ -45,7 +45,9 @@ def _(t):
     return kv.effective(_log(t), SEQ).groupBy("cf", "key").agg(c("merge").alias("operands"), c("put").alias("bases"), c("delete").alias("cuts"))
 
 
-@query("mrg_agg_named")
+@query("mrg_agg_named", """WITH RECURSIVE o AS (SELECT cf, key, value::DOUBLE AS v, CASE b % 3 WHEN 0 THEN 'sum' WHEN 1 THEN 'max' ELSE 'last' END AS f, row_number() OVER (PARTITION BY cf, key ORDER BY day, a, b, c) AS i FROM v_kv),
+  s AS (SELECT cf, key, i, v FROM o WHERE i = 1 UNION ALL SELECT o.cf, o.key, o.i, CASE o.f WHEN 'sum' THEN s.v + o.v WHEN 'max' THEN greatest(s.v, o.v) ELSE o.v END FROM s JOIN o ON o.cf = s.cf AND o.key = s.key AND o.i = s.i + 1)
+  SELECT cf, key, arg_max(v, i) AS value FROM s GROUP BY cf, key""")
 def _(t):
     f = F.when(F.col("b") % 3 == 0, "sum").when(F.col("b") % 3 == 1, "max").otherwise("last")
     return kv.agg_named(_log(t).withColumn("func", f), SEQ)
@@ -290,9 +292,14 @@ def _(t):
     return kv.resolve(_log(t), SEQ).filter("value > 0").filter("key % 3 = 0")
 
 
-@query("flt_wal", "SELECT day, count(*) AS n FROM v_kv WHERE type <> 'merge' AND day < 9500 GROUP BY day")
+@query("flt_wal", "WITH n AS (SELECT *, row_number() OVER (ORDER BY day, a, b, c, cf, key) - 1 AS seq FROM v_kv), s AS (SELECT min(seq) AS stop FROM n WHERE day > 10500 AND value = 50) SELECT seq, cf, key, type, CASE WHEN value > 45 THEN 45 ELSE value END AS value FROM n, s WHERE (stop IS NULL OR seq < stop) AND type <> 'merge'")
 def _(t):
-    return _log(t).filter("type <> 'merge'").filter("day < 9500").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    """A log replayed through a filter that ignores merges, replaces large values, and stops at a record."""
+    from lodestone.operators.order import numbered
+
+    log = numbered(_log(t), [*SEQ, "cf", "key"], name="seq")
+    act = F.when((F.col("day") > 10500) & (F.col("value") == 50), "stop").when(F.col("type") == "merge", "ignore").when(F.col("value") > 45, "replace").otherwise("keep")
+    return kv.filtered_log(log, act, {"value": F.lit(45).cast("long")}).select("seq", "cf", "key", "type", "value")
 
 
 @query("cmp_styles", "SELECT file, ord, size, running FROM (SELECT o_custkey AS file, min(o_orderkey) AS ord, CAST(sum(CAST(o_totalprice AS BIGINT)) AS BIGINT) AS size, CAST(sum(sum(CAST(o_totalprice AS BIGINT))) OVER (ORDER BY min(o_orderkey) DESC, o_custkey) AS BIGINT) AS running FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders) GROUP BY o_custkey) WHERE running <= 50000000")
@@ -343,6 +350,12 @@ def _(t):
     return t("v_series").filter("pos between 2 and 5")
 
 
-@query("idx_bucketing", "SELECT cf, key // 250 AS file, count(*) AS n FROM v_kv GROUP BY ALL")
+@query("idx_bucketing", "SELECT cf, key, day, a, b, c, value FROM v_kv WHERE key = 7")
 def _(t):
-    return _log(t).groupBy("cf", F.floor(F.col("key") / 250).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    """One key's versions, read from the one bucket of the written log that holds it."""
+    from lodestone.sinks import buckets
+    from lodestone.sources.scratch import path
+
+    p = path(t.spark, "buckets")
+    buckets(_log(t), p, "key", 16)
+    return buckets.read(t.spark, p, "key", 16, 7).select("cf", "key", *SEQ, "value")

@@ -140,10 +140,13 @@ def _(t):
     return graph.retrieve(t("benchmark").select(F.col("item_id").alias("id"), "text"), t.spark.createDataFrame(TERMS, "ord long, term string"))
 
 
-@query("fn_flatten_tax")
+@query("fn_flatten_tax", "SELECT r_name AS label, r_name AS path, 1 AS depth FROM region UNION ALL SELECT n_name, r_name || '/' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, r_name || '/' || n_name || '/' || s_name, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(t):
-    tree = {"device": {"flash": ["slc", "mlc"], "cache": {"dram": []}}, "workload": []}
-    return t.spark.createDataFrame(graph.flatten_taxonomy(tree), "label string, path string")
+    """The paths of a tree given as child and parent: regions, their nations, their suppliers."""
+    r = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
+    s = t("supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name")
+    return graph.paths(r.union(n).union(s))
 
 
 @query("set_union_csv", "SELECT n_name AS name, NULL::DOUBLE AS acct FROM nation UNION ALL SELECT s_name, s_acctbal FROM supplier")
@@ -151,14 +154,14 @@ def _(t):
     return t("nation").select(F.col("n_name").alias("name")).unionByName(t("supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("acct")), allowMissingColumns=True)
 
 
-def _triples(t, lo, hi):
+def _triples(t, where="true"):
     s = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    return t("nation").filter(f"n_nationkey between {lo} and {hi}").select(s.alias("s"), F.lit("in").alias("p"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("o"))
+    return t("nation").filter(where).select(s.alias("s"), F.lit("in").alias("p"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("o"))
 
 
 @query("set_graph_union", "SELECT DISTINCT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation")
 def _(t):
-    return graph.graph_union(_triples(t, 0, 15), _triples(t, 10, 24))
+    return graph.graph_union(_triples(t, "n_nationkey % 3 < 2"), _triples(t, "n_nationkey % 3 > 0"))
 
 
 @query("set_dedup_entities", "SELECT p_name, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY ALL")
@@ -181,8 +184,8 @@ def _(t):
 
 @query("jn_triple_entity", "SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS o FROM nation WHERE n_nationkey < 20 AND (n_regionkey < 3 OR n_nationkey % 2 = 0)")
 def _(t):
-    tr = _triples(t, 0, 24).withColumn("o_is_literal", F.substring("s", 2, 9).cast("int") % 2 == 0)
-    ent = _triples(t, 0, 19).select(F.col("s").alias("entity")).union(t("region").filter("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
+    tr = _triples(t).withColumn("o_is_literal", F.substring("s", 2, 9).cast("int") % 2 == 0)
+    ent = _triples(t, "n_nationkey < 20").select(F.col("s").alias("entity")).union(t("region").filter("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
     return graph.valid_triples(tr, ent).select("s", "o")
 
 
@@ -251,14 +254,17 @@ def _(t):
 @query("rul_apply", "SELECT p_name AS name, CASE WHEN p_name = (SELECT min(p_name) FROM part) THEN p_size * 1.5 ELSE p_size END::DOUBLE AS value FROM part")
 def _(t):
     p = t("part").select(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("value"))
-    return rules.apply_suggestion(p, p.agg(F.min("name")).first()[0], "increase", 0.5)
+    return rules.apply_suggestion(p, p.agg(F.min("name").alias("name")), "increase", 0.5)
 
 
-@query("rul_definitions")
+# fixed values: shipped conditions by name and expression, here over columns of parts
+RULES = [("large", "p_size > 40"), ("dear", "p_retailprice >= 1400 and p_size > 10"), ("small", "p_size*2 <= 20")]
+
+
+@query("rul_definitions", " UNION ALL ".join(f"SELECT '{n}' AS rule, '{x}' AS condition, count(*) AS matches FROM part WHERE {x}" for n, x in RULES))
 def _(t):
-    # fixed values: shipped conditions by name, source and expression
-    rows = [("stall-too-many-memtables", "log", "Stopping writes"), ("bloom-filter-useful", "option", "bloom_bits == 0"), ("level0-slowdown", "series", "level0_files > 20")]
-    return t.spark.createDataFrame(rows, "rule string, source string, condition string")
+    """Each shipped rule with the number of parts for which it holds, in one reading."""
+    return rules.matches(t("part"), RULES)
 
 
 def _growing(t):
@@ -287,14 +293,17 @@ def _(t):
     return _streamed(t, streaming.sessions(_growing(t), "1 day"))
 
 
-@query("src_fio_gen", "SELECT rw, bs, CAST(d AS BIGINT) AS iodepth FROM (SELECT unnest(['read', 'randwrite']) AS rw) CROSS JOIN (SELECT unnest(['4k', '64k', '1m']) AS bs) CROSS JOIN (SELECT unnest([1, 32]) AS d)")
+@query("src_fio_gen", "SELECT DISTINCT lower(l_returnflag) AS rw, bs, CAST(d AS BIGINT) AS iodepth FROM lineitem, (SELECT unnest(['4k', '64k', '1m']) AS bs), (SELECT unnest([1, 32]) AS d)")
 def _(t):
-    return sources.fio_grid(t.spark, ["read", "randwrite"], ["4k", "64k", "1m"], [1, 32])
+    """Jobs for every kind of request that the table holds."""
+    return sources.fio_grid(t("lineitem").select(F.lower("l_returnflag").alias("rw")).distinct(), ["4k", "64k", "1m"], [1, 32])
 
 
-@query("src_synth")
+@query("src_synth", """WITH r AS (SELECT o_orderkey AS time, ('0x' || substr(md5('1:' || o_orderkey), 1, 8))::BIGINT AS u, ('0x' || substr(md5('2:' || o_orderkey), 1, 8))::BIGINT AS v, ('0x' || substr(md5('3:' || o_orderkey), 1, 8))::BIGINT AS w FROM orders), n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.2) AS BIGINT) AS hot FROM part)
+  SELECT time, CASE WHEN v * 10 < 8 * 4294967296 THEN u % greatest(hot, 1) ELSE hot + u % greatest(n - hot, 1) END AS address, CAST(w * 2 < 4294967296 AS INTEGER) AS type FROM r, n""")
 def _(t):
-    return sources.synthetic(t.spark, 10_000, 1_000).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("address").alias("addresses"))
+    """A request for each order, eight in ten to the hottest fifth of the parts."""
+    return sources.synthetic(t("orders").select(F.col("o_orderkey").alias("time")), t("part").count())
 
 
 @query("src_parquet_dataset", "SELECT o_orderkey, o_totalprice, NULL::DOUBLE AS missing FROM orders")
@@ -302,11 +311,11 @@ def _(t):
     return sources.parquet_columns(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice", "missing"])
 
 
-@query("src_papers", "SELECT 'paper_' || item_id AS paper, i AS chunk, substr(text, i * 50 + 1, 50) AS text FROM benchmark, range(0, 200) t(i) WHERE i * 50 < greatest(length(text), 1)")
+@query("src_papers", "SELECT 'paper_' || item_id AS paper, i AS chunk, substr(text || chr(10), i * 50 + 1, 50) AS text FROM benchmark, range(0, 200) t(i) WHERE i * 50 < length(text) + 1")
 def _(t):
     """Texts written a file each, read back in chunks with an id from the file's name."""
     p = path(t.spark, "papers")
-    t("benchmark").select(F.concat(F.lit("paper "), F.col("item_id").cast("string")).alias("name"), "text").repartition("name").write.partitionBy("name").option("lineSep", "\x00").text(p)
+    t("benchmark").select(F.concat(F.lit("paper "), F.col("item_id").cast("string")).alias("name"), "text").repartition("name").write.partitionBy("name").text(p)
     sinks.named(t.spark, p, "name", ".txt")
     return sources.papers(t.spark, p, 50).select("paper", F.col("chunk").cast("long").alias("chunk"), "text")
 
@@ -324,8 +333,8 @@ def _(t):
     return sources.unpivot(w, ["s_suppkey"], "stat", "v")
 
 
-@query("src_sst", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("src_sst", "SELECT CAST(count(*) AS BIGINT) AS rows, min(o_orderkey) AS least, max(o_orderkey) AS greatest, true AS ordered, true AS apart FROM orders")
 def _(t):
-    p = path(t.spark, "sorted")
-    sinks.sorted_files(t("orders").select("o_orderkey", "o_totalprice"), p, "o_orderkey", 4)
-    return t.spark.read.parquet(p).select("o_orderkey", "o_totalprice")
+    """Sorted files read back: all rows are there, each file in order, and files apart."""
+    got = sinks.verified(t("orders").select("o_orderkey", "o_totalprice"), path(t.spark, "sorted"), "o_orderkey", 4)
+    return got.agg(F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.bool_and("ordered").alias("ordered"), F.bool_and("apart").alias("apart"))

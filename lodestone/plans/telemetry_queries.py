@@ -169,17 +169,24 @@ def _(t):
     return drive.dedup_keep_first(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 100).select("o_custkey", "o_orderkey")
 
 
-@query("win_cohort")
+def _dealt(seed, key):
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
+
+
+@query("win_cohort", f"SELECT {_dealt(1, 's_suppkey')} % (SELECT greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT)) FROM supplier) AS cohort, count(*) AS n FROM supplier GROUP BY 1")
 def _(t):
     return drive.cohorts(t("supplier").select("s_suppkey"), "s_suppkey", 10, 1).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win_ratio_sample")
+@query("win_ratio_sample", f"""WITH h AS (SELECT count(*) FILTER (pred = 1) AS n1, count(*) FILTER (pred = 0) AS n0 FROM v_pred), w AS (SELECT least(n1, greatest(30, 100 - n0)) AS pos, n0 FROM h), v AS (SELECT pos, least(n0, 100 - pos) AS neg FROM w),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY {_dealt(1, 'sample_id')}, sample_id) AS r FROM v_pred WHERE pred IN (0, 1)) SELECT sample_id, task, truth, pred, pred AS label FROM r, v WHERE r <= CASE pred WHEN 1 THEN pos ELSE neg END""")
 def _(t):
     return drive.ratio_sample(t("v_pred").withColumn("label", F.col("pred")), "label", "sample_id", 100, 0.3, 1)
 
 
-@query("jn_pair_random")
+@query("jn_pair_random", f"""WITH a AS (SELECT c_custkey, {_dealt(0, 'c_custkey')} % 8 AS p, row_number() OVER (PARTITION BY {_dealt(0, 'c_custkey')} % 8 ORDER BY {_dealt(1, 'c_custkey')}, c_custkey) - 1 AS i FROM customer),
+  b AS (SELECT p_partkey, {_dealt(0, 'p_partkey')} % 8 AS p, row_number() OVER (PARTITION BY {_dealt(0, 'p_partkey')} % 8 ORDER BY {_dealt(1, 'p_partkey')}, p_partkey) - 1 AS i FROM part), n AS (SELECT p, count(*) AS n FROM b GROUP BY p)
+  SELECT c_custkey, p_partkey FROM a JOIN n USING (p) JOIN b ON b.p = a.p AND b.i = a.i % n""")
 def _(t):
     return drive.pair_by_position(t("customer").select("c_custkey"), t("part").select("p_partkey"), "c_custkey", "p_partkey", 8)
 

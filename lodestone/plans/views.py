@@ -122,7 +122,8 @@ def with_views(sql: str) -> str:
     need(sql)
     ctes = [f"{v} AS ({SQL_VIEWS[v]})" for v in used]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        return "WITH " + ", ".join(ctes) if used else body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            ctes.append(body[len(head) :])
+            return head + ", ".join(ctes)
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body

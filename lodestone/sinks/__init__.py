@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,33 @@ def purge(spark, path: str, keep: int) -> list[str]:
     for x in old:
         fs.delete(x, True)
     return [x.getName() for x in old]
+
+
+class _Buckets:
+    """Writes rows by hash bucket of a key, and reads the one bucket that may hold a key."""
+
+    def __call__(self, df: DataFrame, path: str, key: str, n: int) -> None:
+        df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
+
+    def read(self, spark, path: str, key: str, n: int, value) -> DataFrame:
+        df = spark.read.parquet(path)
+        own = F.pmod(F.xxhash64(F.lit(value).cast(df.schema[key].dataType)), F.lit(n)).cast("int")
+        return df.filter((F.col("bucket") == own) & (F.col(key) == value)).drop("bucket")
+
+
+buckets = _Buckets()
+
+
+def verified(df: DataFrame, path: str, key: str, files: int) -> DataFrame:
+    """Writes sorted files and reads them back checked: (file, rows, least, greatest, ordered, apart), and raises when read
+    if rows or their checksum are not those of df."""
+    digest = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[c for c, k in d.dtypes if "map<" not in k]).cast("decimal(38,0)")).alias("sum"))
+    sorted_files(df, path, key, files)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    same = digest(df).crossJoin(digest(back).withColumnsRenamed({"n": "n2", "sum": "sum2"}))  # one row
+    at = back.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    place = Window.partitionBy("_file").orderBy("_at")
+    per = at.withColumn("_before", F.lag(key).over(place)).groupBy("_file").agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest"), (F.count_if(F.col("_before") > F.col(key)) == 0).alias("ordered"))
+    apart = F.coalesce(F.lag("greatest").over(Window.orderBy("least")) <= F.col("least"), F.lit(True))  # a row a file
+    wrong = F.when(~(F.col("n") == F.col("n2")) | ~F.col("sum").eqNullSafe(F.col("sum2")), F.raise_error(F.lit("the files do not hold what was written")).cast("boolean")).otherwise(F.lit(True))
+    return per.withColumn("apart", apart).crossJoin(F.broadcast(same)).filter(wrong).select(F.col("_file").alias("file"), "rows", "least", "greatest", "ordered", "apart")

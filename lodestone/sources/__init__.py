@@ -53,7 +53,9 @@ def trace_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Da
     """
     raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
     if max_rows is not None:
-        raw = raw.orderBy("line_no").limit(max_rows)
+        from lodestone.operators.order import numbered
+
+        raw = numbered(raw, ["line_no"], name="_place").filter(F.col("_place") < max_rows).drop("_place")
     p = F.split("value", ",")
     num = lambda i, t: F.try_element_at(p, F.lit(i)).try_cast(t)
     text = lambda i: F.try_element_at(p, F.lit(i))
@@ -146,10 +148,10 @@ def fio_jobs(spark: SparkSession, path: str) -> DataFrame:
     return j.select("job_name", "job_text", *[fn.fio_value(F.col("job_text"), k).alias(k) for k in fn.FIO_KEYS])
 
 
-def fio_grid(spark: SparkSession, rws: list[str], sizes: list[str], depths: list[int]) -> DataFrame:
-    """All combinations of short parameter lists."""
-    one = lambda v, n: spark.createDataFrame([(x,) for x in v], [n])
-    return one(rws, "rw").crossJoin(one(sizes, "bs")).crossJoin(one(depths, "iodepth"))
+def fio_grid(kinds: DataFrame, sizes: list[str], depths: list[int]) -> DataFrame:
+    """A job for each kind of request (column rw) with each of a few block sizes and queue depths."""
+    each = lambda v: F.explode(F.array(*map(F.lit, v)))
+    return kinds.withColumn("bs", each(sizes)).withColumn("iodepth", each(depths).alias("iodepth")).withColumn("iodepth", F.col("iodepth").cast("long"))
 
 
 def papers(spark: SparkSession, path: str, size: int = 2000) -> DataFrame:
@@ -158,23 +160,43 @@ def papers(spark: SparkSession, path: str, size: int = 2000) -> DataFrame:
     return w.select(fn.paper_id(F.col("file")).alias("paper"), "file", F.posexplode(fn.chunks(F.col("value"), size)).alias("chunk", "text"))
 
 
+def statements(tokens: list[str]) -> list[dict]:
+    """Triples of a Turtle document's tokens, in one pass."""
+    out, s, p = [], "", ""
+    for x in tokens:
+        if x == ".":
+            s = p = ""
+        elif x == ";":
+            p = ""
+        elif x == ",":
+            continue
+        elif not s:
+            s = x
+        elif not p:
+            p = x
+        else:
+            out.append({"s": s, "p": p, "o": x})
+    return out
+
+
+def _statements(tokens):
+    """statements() of an array column, over Arrow batches."""
+
+    @F.pandas_udf("array<struct<s:string,p:string,o:string>>")
+    def run(t):
+        import pandas as pd
+
+        return pd.Series([statements(x.tolist()) for x in t], dtype=object)
+
+    return run(tokens)
+
+
 def turtle(spark: SparkSession, path: str) -> DataFrame:
     """Triples of Turtle files of the plain kind: one subject a block, predicates by `;`, objects by `,`."""
     w = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)^\s*(@prefix|@base|#)[^\n]*$", "").alias("v"))
     lit = r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\]|\\.)*\"(?:@[\w-]+|\^\^[\w:<>/#.\-]+)?|<[^>]*>|[^\s;,.\"]+(?:\.[^\s;,.\"]+)*|[;,.]"
     tok = w.select(F.monotonically_increasing_id().alias("f"), F.regexp_extract_all("v", F.lit(f"({lit})"), F.lit(1)).alias("t"))
-    start = F.struct(F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast("array<struct<s:string,p:string,o:string>>").alias("out"))
-
-    def step(a, x):
-        put = lambda s, p, out: F.struct(s.alias("s"), p.alias("p"), out.alias("out"))
-        none = F.lit("")
-        return (
-            F.when(x == ".", put(none, none, a["out"])).when(x == ";", put(a["s"], none, a["out"])).when(x == ",", a)
-            .when(a["s"] == "", put(x, none, a["out"])).when(a["p"] == "", put(a["s"], x, a["out"]))
-            .otherwise(put(a["s"], a["p"], F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["p"].alias("p"), x.alias("o"))))))
-        )
-
-    out = tok.select(F.inline(F.aggregate("t", start, step)["out"]))
+    out = tok.select(F.inline(_statements(F.col("t"))))
     return out.select("s", F.when(F.col("p") == "a", "rdf:type").otherwise(F.col("p")).alias("p"), F.regexp_replace("o", r'^"+|"+(@[\w-]+|\^\^.*)?$', "").alias("o"), F.col("o").startswith('"').alias("o_is_literal")).distinct()
 
 
@@ -183,11 +205,16 @@ def trace_text(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(columns).csv(path, mode="DROPMALFORMED")
 
 
-def synthetic(spark: SparkSession, n: int, addresses: int, mode: str = "hotcold", hot: float = 0.2, hot_share: float = 0.8, reads: float = 0.5, seed: int = 1) -> DataFrame:
-    """Synthetic requests: streaming, uniform or hot and cold addresses."""
-    u, v = F.rand(seed), F.rand(seed + 1)
-    pick = {"streaming": F.col("id") % addresses, "uniform": F.floor(u * addresses), "hotcold": F.when(v < hot_share, F.floor(u * addresses * hot)).otherwise(F.floor(addresses * hot + u * addresses * (1 - hot)))}[mode]
-    return spark.range(n).select(F.col("id").alias("time"), pick.cast("long").alias("address"), (F.rand(seed + 2) < reads).cast("int").alias("type"))
+def synthetic(times: DataFrame, addresses: int, mode: str = "hotcold", hot: float = 0.2, hot_tenths: int = 8, read_tenths: int = 5, seed: int = 1) -> DataFrame:
+    """A synthetic request (time, address, type) for each time: streaming, uniform, or hot and cold addresses. The draws are
+    hashes of the time, so they are the same wherever they are made."""
+    from lodestone.operators.drive import dealt
+
+    u, v, w = (dealt(seed + i, "time") for i in range(3))
+    top, warm = F.lit(1 << 32), int(addresses * hot)
+    cold = F.lit(warm) + F.pmod(u, F.lit(max(addresses - warm, 1)))
+    pick = {"streaming": F.pmod("time", F.lit(max(addresses, 1))), "uniform": F.pmod(u, F.lit(max(addresses, 1))), "hotcold": F.when(v * 10 < hot_tenths * top, F.pmod(u, F.lit(max(warm, 1)))).otherwise(cold)}[mode]
+    return times.select("time", pick.cast("long").alias("address"), (w * 10 < read_tenths * top).cast("int").alias("type"))
 
 
 def benchmark_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -221,3 +221,46 @@ def test_mapping_functions(spark):
     assert r.r_241 == 3.0 and r.r_242 == 0.0 and r.r_5 == 0.0 and len(fn.MAPPED) == 15
     v = spark.createDataFrame([("degrades", "Improved yet higher"), ("improves", "Higher"), ("improves", "lower"), ("uses", "worse"), ("degrades", None)], "v string, e string")
     assert [x.v for x in v.select(fn.fix_verb(F.col("v"), F.col("e")).alias("v")).collect()] == ["improves", "degrades", "improves", "uses", "degrades"]
+
+
+def test_sorted_files_are_verified(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id").alias("v"))
+    got = sinks.verified(df, str(tmp_path / "s"), "k", 4).collect()
+    assert sum(r.rows for r in got) == 5000 and all(r.ordered and r.apart for r in got) and 2 <= len(got) <= 4
+
+
+def test_one_bucket_is_read(spark, tmp_path):
+    p = str(tmp_path / "b")
+    sinks.buckets(spark.range(2000).withColumnRenamed("id", "k"), p, "k", 8)
+    got = sinks.buckets.read(spark, p, "k", 8, 77)
+    assert [r.k for r in got.collect()] == [77]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and len(got.inputFiles()) <= 8
+
+
+def test_recovery_filter_stops_and_replaces(spark):
+    log = spark.createDataFrame([(i, k, i) for i, k in enumerate("kkrikksk")], "seq long, act string, value long")
+    act = F.when(F.col("act") == "s", "stop").when(F.col("act") == "i", "ignore").when(F.col("act") == "r", "replace").otherwise("keep")
+    got = kv.filtered_log(log, act, {"value": F.lit(-1).cast("long")}).orderBy("seq").collect()
+    assert [(r.seq, r.value) for r in got] == [(0, 0), (1, 1), (2, -1), (4, 4), (5, 5)]
+
+
+def test_puts_of_entities_and_times(spark):
+    rows = spark.createDataFrame([("d", 1, "x", None, 9), ("d", 2, None, {"": "v", "c": "w"}, None)], "cf string, key long, value string, entity map<string,string>, t long")
+    got = kv.puts(rows, F.col("key"), F.col("t")).orderBy("key").collect()
+    assert [(r.type, r.value, r.columns, r.write_time) for r in got] == [("put", "x", None, 9), ("put_entity", "v", {"c": "w"}, None)]
+
+
+def test_turtle_in_linear_time():
+    tokens = ["e:a", "p", "x"] + [t for i in range(200_000) for t in (",", f"x{i}")] + [".", "e:b", "a", "e:T", ";", "q", "y", "."]
+    start = time.time()
+    got = sources.statements(tokens)
+    assert len(got) == 200_003 and got[-1] == {"s": "e:b", "p": "q", "o": "y"} and time.time() - start < 2
+
+
+def test_paths_of_a_forest(spark):
+    from lodestone.operators import graph
+
+    nodes = spark.createDataFrame([("1", None, "a"), ("2", "1", "b"), ("3", "2", "c"), ("4", "1", "d"), ("5", None, "e")], "node string, parent string, label string")
+    assert sorted((r.label, r.path, r.depth) for r in graph.paths(nodes).collect()) == [("a", "a", 1), ("b", "a/b", 2), ("c", "a/b/c", 3), ("d", "a/d", 2), ("e", "e", 1)]
+    assert graph.paths(nodes.limit(0)).count() == 0
