@@ -9,7 +9,9 @@ its k-th score. A tie could still win by its smaller id, so equality does not st
 Each vector moves once, to the task of its block; the queries are sent to every block and stream past it in batches, and a
 block gives a query at most k rows; the final ranking is a window over those. No task holds more than one block and one
 batch. Every query has to meet every block, so the work grows with queries times vectors; with a fixed share of the rows
-as queries that is the square of the rows.
+as queries that is the square of the rows. What moves is a row for each query and block; a block has as many vectors as
+give every core a few blocks, up to `most` (65,536: some 150 MB with its lists at 64 components), so in large tables a query
+moves once for every 65,536 vectors.
 
 Scores are exact integers at any size of the components: where 64-bit floats could round, a block is searched in Python
 integers. Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor does a null vec_id;
@@ -105,9 +107,11 @@ def _most(x: np.ndarray) -> int:
     return max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int | None = None, query_block: int = 2048, most: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): vectors and queries are rows of one written table (row, id, v)."""
-    blocks = max(1, -(-vectors.count() // block))
+    n = vectors.count()
+    block = block or min(most, max(4096, -(-n // (4 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n // block))
     # rows are dealt by their number, so that a repeated id cannot fill a block
     right = vectors.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("vb"), F.lit(0).alias("side"), "row", "id", "v")
     left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.lit(1).alias("side"), "row", "id", "v")
