@@ -13,8 +13,8 @@ the model does not depend on the layout of the table; every shard trains from th
 averaged by their number of tokens, `rounds` times. What is gathered therefore grows with the corpus.
 
 Cases: null and empty texts are one end token; with no training document all counts are zero and the base is that of an
-empty corpus; very long texts are learned from and scored whole, in windows; a null doc_id counts as training and has held_out null; repeated rows count as often as they occur; further
-columns are ignored. Two different tokens with one 64-bit hash would share their counts.
+empty corpus; very long texts are learned from and scored whole, in windows; a null doc_id counts as training and has held_out null; repeated rows count as often as they occur; of
+equally frequent tokens those of smaller hash are symbols first; an empty table gives no rows; further columns are ignored. Two different tokens with one 64-bit hash would share their counts.
 """
 
 from __future__ import annotations

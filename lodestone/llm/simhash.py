@@ -12,7 +12,9 @@ are verified by Hamming distance. A posting emits a spanning forest of its links
 fingerprints take part, so exact copies cost nothing. Components come from alternating large-star and small-star steps.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows stay rows of their own;
-a null doc_id keeps its row and is never a component id unless its whole component has none; further columns are ignored.
+a null doc_id keeps its row and is never a component id unless its whole component has none; texts are taken whole, however
+long; a bit that exactly half of the hashes set is 0, and of equal ids any stands for its component; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
