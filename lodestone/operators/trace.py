@@ -35,10 +35,16 @@ def window_stats(trace: DataFrame, n: int = 8) -> DataFrame:
     """A row per window 0..n-1, empty ones with zeros: requests, throughput, read share, update intensity, sizes, inline share."""
     is_write, is_read = F.col("op").isin(*WRITES), F.col("op").isin(*READS)
     fits = F.col("key_size") + F.col("value_size") + INLINE_HEADER <= INLINE_LIMIT
-    w = windows(seen_before(trace), n)
-    stats = w.groupBy("w").agg(
-        F.count(F.lit(1)).alias("requests"), F.first("width").alias("width"), F.count_if(is_read).alias("reads"), F.count_if(is_write).alias("writes"),
-        F.count_if(is_write & F.col("seen")).alias("updates"), F.count_if(is_write & fits).alias("inline"), F.avg(F.when(F.col("value_size") > 0, F.col("value_size"))).alias("mean_value"), F.count_distinct("key").alias("keys"),
+    some = F.when(F.col("value_size") > 0, F.col("value_size"))
+    # a row for each key and window: a key's first line is in the window that has its least line
+    per = windows(trace, n).groupBy("key", "w").agg(
+        F.count(F.lit(1)).alias("requests"), F.first("width").alias("width"), F.count_if(is_read).alias("reads"), F.count_if(is_write).alias("writes"), F.count_if(is_write & fits).alias("inline"),
+        F.sum(some).alias("bytes"), F.count(some).alias("sized"), F.min("line_no").alias("line"), F.min_by(is_write, "line_no").alias("first_write"),
+    )
+    fresh = (F.col("line") == F.min("line").over(Window.partitionBy("key"))) & F.col("first_write")  # over at most n rows a key
+    stats = per.withColumn("fresh", fresh.cast("int")).groupBy("w").agg(
+        F.sum("requests").alias("requests"), F.first("width").alias("width"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"), (F.sum("writes") - F.sum("fresh")).alias("updates"),
+        F.sum("inline").alias("inline"), F.try_divide(F.sum("bytes"), F.sum("sized")).alias("mean_value"), F.count(F.lit(1)).alias("keys"),
     )
     spine = trace.sparkSession.range(n).withColumnRenamed("id", "w")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
