@@ -40,6 +40,22 @@ def map_features(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.coalesce(F.col(of[r]).try_cast("double"), F.lit(0.0)).alias(r) if r in of else F.lit(0.0).alias(r) for r in MAPPED])
 
 
+# fixed values: columns of the optional sections
+ENVIRONMENT = ["temperature_c", "relative_humidity_pct", "vibration_freq_hz", "vibration_amp_g", "throughput_change_pct", "tail_latency_change_pct", "study", "condition_id"]
+
+
+def section(columns: list[str], keys: list[str], ids: list[str], default: str) -> Column:
+    """The given keys whose columns are there and not blank, as a map with an `id`: the first of the id columns that is not
+    blank, else the default. Null if no key is."""
+    have = [k for k in keys if k in columns]
+    if not have:
+        return F.lit(None).cast("map<string,string>")
+    text = lambda k: F.nullif(F.trim(F.col(k).cast("string")), F.lit(""))
+    found = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, have)), F.array(*map(text, have))), lambda _, v: v.isNotNull())
+    own = F.coalesce(*[text(i) for i in ids if i in columns], F.lit(default))
+    return F.when(F.cardinality(found) > 0, F.map_concat(found, F.create_map(F.lit("id"), own)))
+
+
 def first_alias(df_columns: list[str], names: list[str]) -> Column:
     """First non-blank of the alias columns that exist."""
     have = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in df_columns]
@@ -84,6 +100,12 @@ def policies(text: Column) -> Column:
     return F.str_to_map(text, F.lit(";"), F.lit("="))
 
 
+def policy_list(text: Column) -> Column:
+    """The policies of a text with semicolons, trimmed, blank ones left out; null if there is none."""
+    found = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(found) > 0, found)
+
+
 def extract_json(text: Column) -> Column:
     """The outermost {...} of a text."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

@@ -140,9 +140,10 @@ def _text(t, name, df):
     return sources.trace_text(t.spark, p, TRACES[name][0])
 
 
-@query("src_qtrace", "SELECT key, CAST(length(op) AS INTEGER) AS type_id, value_size, ts FROM v_trace")
+@query("src_qtrace", "SELECT key, CAST(length(op) AS INTEGER) AS type_id, value_size, ts, (ts - min(ts) OVER ()) / 4.0::DOUBLE AS due FROM v_trace")
 def _(t):
-    return _text(t, "src_qtrace", t("v_trace").withColumn("type_id", F.length("op")))
+    """A query trace with the times at which a replay at four times the speed runs it."""
+    return sources.replayed(_text(t, "src_qtrace", t("v_trace").withColumn("type_id", F.length("op"))), "ts", 4.0)
 
 
 @query("src_btrace", "SELECT block, size, caller, level FROM v_block")
@@ -176,13 +177,18 @@ def _(t):
     return t.spark.read.parquet(p).filter("o_orderkey between 40 and 90")
 
 
-@query("snk_checkpoint", "SELECT r_regionkey, r_name FROM region")
+@query("snk_checkpoint", "SELECT 1 AS backup, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 2, o_orderkey, o_totalprice FROM orders")
 def _(t):
-    p = path(t.spark, "snap")
-    for seq in (1, 2, 3):
-        last = sinks.snapshot(t("region"), p, seq)
-    sinks.purge(t.spark, p, 2)
-    return t.spark.read.parquet(last)
+    """Two backups of a table that grows between them; the second keeps only the new files."""
+    from lodestone.sinks import backups
+
+    at, to = path(t.spark, "live"), path(t.spark, "backups")
+    o = t("orders").select("o_orderkey", "o_totalprice")
+    o.filter("o_orderkey % 4 = 0").write.parquet(at)
+    one = backups.backup(t.spark, at, to)
+    o.filter("o_orderkey % 4 <> 0").write.mode("append").parquet(at)
+    two = backups.backup(t.spark, at, to)
+    return backups.restore(t.spark, to, one).select(F.lit(1).alias("backup"), "*").unionByName(backups.restore(t.spark, to, two).select(F.lit(2).alias("backup"), "*"))
 
 
 @query("bench_report", "SELECT p_name AS name, CAST(p_size AS DOUBLE) AS ops_sec FROM part WHERE p_partkey % 5 <> 0")
@@ -240,21 +246,29 @@ def _(t):
     return t("part").select("p_partkey", fn.fio_value(F.concat(F.lit("rw=read\nbs = "), "p_brand"), "bs").alias("bs"))
 
 
-@query("fn_policies", "SELECT p_partkey, p_brand AS gc, p_type AS wl FROM part")
+@query("fn_policies", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'gc=' || p_brand || '|' || trim(p_type) WHEN p_size % 3 = 1 THEN trim(p_type) END AS policies FROM part")
 def _(t):
-    m = fn.policies(fn.policy_string(F.col("p_brand"), F.col("p_type")))
-    return t("part").select("p_partkey", F.element_at(m, "gc").alias("gc"), F.element_at(m, "wl").alias("wl"))
+    """Lists of policies with blank entries and without any."""
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" gc="), "p_brand", F.lit(" ;; "), "p_type", F.lit(";"))).when(F.col("p_size") % 3 == 1, F.concat("p_type", F.lit(" ; "))).otherwise(" ; ")
+    return t("part").select("p_partkey", F.array_join(fn.policy_list(text), "|").alias("policies"))
 
 
-@query("fn_env", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS temperature_c FROM events")
+@query("fn_env", "SELECT event_id, CASE WHEN event_id % 3 > 0 OR event_id % 2 = 0 THEN CASE WHEN event_id % 3 > 0 THEN coalesce(CAST(user_id AS VARCHAR), '') ELSE '' END || '/' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END || '/' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'ENV_1' END END AS env FROM events")
 def _(t):
-    text = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(_s("value"))
-    return t("events").select("event_id", text.try_cast("double").alias("temperature_c"))
+    """Effects of the environment: blank columns left out, an id from the condition or the default."""
+    e = t("events").select("event_id", F.when(F.col("event_id") % 3 > 0, _s("user_id")).otherwise(" ").alias("temperature_c"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("condition_id"))
+    m = fn.section(e.columns, fn.ENVIRONMENT, ["env_id", "condition_id"], "ENV_1")
+    part = lambda k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+    return e.select("event_id", F.when(m.isNotNull(), F.concat_ws("/", part("temperature_c"), part("condition_id"), part("id"))).alias("env"))
 
 
-@query("fn_flash", "SELECT p_partkey, lower(trim(p_type)) AS flash FROM part")
+@query("fn_flash", "SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN trim(p_type) || '/FT_1' END AS flash FROM part")
 def _(t):
-    return t("part").select("p_partkey", F.lower(F.trim("p_type")).alias("flash"))
+    """The flash type under any of its names."""
+    p = t("part").select("p_partkey", F.when(F.col("p_size") % 2 > 0, F.concat(F.lit(" "), "p_type")).alias("ft"), F.when(F.col("p_size") % 4 == 2, F.col("p_type")).alias("FlashType"))
+    p = p.withColumn("type", fn.first_alias(p.columns, ["flash_type", "ft", "FlashType"]))
+    m = fn.section(p.columns, ["type"], [], "FT_1")
+    return p.select("p_partkey", F.when(m.isNotNull(), F.concat_ws("/", F.element_at(m, "type"), F.element_at(m, "id"))).alias("flash"))
 
 
 @query("fn_uri", "SELECT n_nationkey, 'http://x/' || replace(replace(n_name, '%', '%25'), ' ', '%20') AS uri FROM nation")

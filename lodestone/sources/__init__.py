@@ -217,6 +217,14 @@ def synthetic(times: DataFrame, addresses: int, mode: str = "hotcold", hot: floa
     return times.select("time", pick.cast("long").alias("address"), (w * 10 < read_tenths * top).cast("int").alias("type"))
 
 
+def replayed(trace: DataFrame, ts: str = "ts", fast_forward: float = 1.0) -> DataFrame:
+    """Adds `due`: when a replay runs each operation, in seconds from its start; fast_forward times as fast as recorded."""
+    if fast_forward <= 0:
+        raise ValueError("a replay goes forward")
+    first = trace.agg(F.min(ts).alias("_first"))  # one row
+    return trace.crossJoin(F.broadcast(first)).withColumn("due", (F.col(ts) - F.col("_first")) / F.lit(float(fast_forward))).drop("_first")
+
+
 def benchmark_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark report; rows whose ops_sec is no number go."""
     df = spark.read.option("sep", "\t").option("header", True).csv(path)

@@ -264,3 +264,36 @@ def test_paths_of_a_forest(spark):
     nodes = spark.createDataFrame([("1", None, "a"), ("2", "1", "b"), ("3", "2", "c"), ("4", "1", "d"), ("5", None, "e")], "node string, parent string, label string")
     assert sorted((r.label, r.path, r.depth) for r in graph.paths(nodes).collect()) == [("a", "a", 1), ("b", "a/b", 2), ("c", "a/b/c", 3), ("d", "a/d", 2), ("e", "e", 1)]
     assert graph.paths(nodes.limit(0)).count() == 0
+
+
+def test_backups_keep_a_file_once(spark, tmp_path):
+    from lodestone.sinks import backups
+
+    live, to = str(tmp_path / "live"), str(tmp_path / "to")
+    for n in range(3):
+        spark.range(n * 100, n * 100 + 100).repartition(2).write.mode("append").parquet(live)
+        assert backups.backup(spark, live, to) == n + 1
+        assert len(list((tmp_path / "to" / "files").glob("[0-9a-f]*"))) == 2 * (n + 1)
+    assert [backups.restore(spark, to, n).count() for n in (1, 2, 3)] == [100, 200, 300] and backups.restore(spark, to).agg(F.sum("id")).first()[0] == 299 * 150
+    assert backups.damaged(spark, to, 3).count() == 0
+    for f in (tmp_path / "live").glob("part-*"):  # a smaller table, then the old backups go
+        f.unlink()
+    spark.range(500, 510).coalesce(1).write.mode("append").parquet(live)
+    backups.backup(spark, live, to)
+    assert backups.purge(spark, to, 1) == [1, 2, 3] and backups.backups(to) == [4]
+    assert len(list((tmp_path / "to" / "files").glob("[0-9a-f]*"))) == 1 and backups.restore(spark, to).count() == 10
+    victim = next((tmp_path / "to" / "files").glob("[0-9a-f]*"))
+    victim.write_bytes(b"no")
+    for crc in (tmp_path / "to" / "files").glob(".*.crc"):
+        crc.unlink()
+    assert backups.damaged(spark, to, 4).count() == 1
+
+
+def test_sections_and_replay(spark):
+    df = spark.createDataFrame([(" 5 ", None, "c9"), ("", " ", None)], "temperature_c string, study string, condition_id string")
+    got = [r.m for r in df.select(fn.section(df.columns, fn.ENVIRONMENT, ["env_id", "condition_id"], "ENV_1").alias("m")).collect()]
+    assert got == [{"temperature_c": "5", "condition_id": "c9", "id": "c9"}, None]
+    t = spark.createDataFrame([(100, "a"), (104, "b")], "ts long, k string")
+    assert sorted((r.k, r.due) for r in sources.replayed(t, "ts", 2.0).collect()) == [("a", 0.0), ("b", 2.0)]
+    with pytest.raises(ValueError):
+        sources.replayed(t, "ts", 0)
