@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import functions as fn
 from lodestone import sinks, sources, streaming
 from lodestone.operators import blockcache as bc
-from lodestone.operators import kv
+from lodestone.operators import kv, plugins
 from lodestone.plans.kv_queries import EFF
 from lodestone.plans.registry import query
 from lodestone.sources import wal
@@ -343,6 +343,29 @@ def _(t):
     return kv.merged(t("v_kv"), SEQ, "min", merges=kv.MERGES.register("min", lambda seq: F.min("value")))
 
 
+def _plugins():
+    return plugins.Plugins(
+        compare=lambda key: -key, prefix=lambda key: F.substring(key.cast("string"), 1, 1), merge=kv.Merge(lambda seq: F.min("value")),
+        filter=lambda: F.when(F.col("key") % 10 == 0, "ignore").when(F.col("value") > 20, "replace").otherwise("keep"), replaced={"value": F.lit(20).cast("long")},
+        partition=lambda key: F.floor(key / 250), properties={"entries": lambda: F.count(F.lit(1)), "total": lambda: F.sum("value")},
+    )
+
+
+LEAST = f"WITH {EFF}, mg AS (SELECT cf, key, least(min(value), 20) AS value FROM ef WHERE type <> 'delete' AND key % 10 <> 0 GROUP BY cf, key)"
+
+
+@query("udf_plugins", f"{LEAST} SELECT cf, key // 250 AS file, max(key) AS first, min(key) AS last, count(*) AS entries, CAST(sum(value) AS BIGINT) AS total FROM mg GROUP BY ALL")
+def _(t):
+    """Files of a compaction with a comparator, merge, filter, partitioner and properties of the user's."""
+    return plugins.files(plugins.compacted(t("v_kv"), SEQ, _plugins()), _plugins())
+
+
+@query("udf_prefix", f"{LEAST} SELECT cf, key, value FROM mg WHERE CAST(key AS VARCHAR) LIKE '7%'")
+def _(t):
+    """The keys of a prefix by the user's extractor, in the user's order."""
+    return plugins.prefixed(plugins.compacted(t("v_kv"), SEQ, _plugins()), "7", _plugins()).select("cf", "key", "value")
+
+
 for _name in ("hyperbolic", "costclass", "ts", "linucb", "hybrid", "priority"):
     query(f"sim_{_name}")(lambda t, n=_name: bc.simulate(t("v_block"), [(n, 5_000)]))
 
