@@ -297,3 +297,15 @@ def test_sections_and_replay(spark):
     assert sorted((r.k, r.due) for r in sources.replayed(t, "ts", 2.0).collect()) == [("a", 0.0), ("b", 2.0)]
     with pytest.raises(ValueError):
         sources.replayed(t, "ts", 0)
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from lodestone.sources import scratch
+
+    p = scratch.path(spark, "x")
+    spark.range(3).write.parquet(p)
+    assert spark.read.parquet(p).count() == 3
+    scratch.clear(spark)
+    assert not os.path.exists(p.removeprefix("file://"))
