@@ -452,10 +452,6 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
         classes = settled(components(first, "wide_cc1").select(F.col("node").alias("fid"), "root").distinct(), "wide_classes")
         made.append(classes)
         own = fps.select("fid", "fp").join(classes, "fid", "left").select("fid", "fp", F.coalesce("root", "fid").alias("c"))
-        # a posting of one class has no pair to test: those of large groups of near copies go here, before they are cut
-        of = post.join(classes, "fid", "left").groupBy("t", "k").agg(F.min(F.coalesce("root", "fid")).alias("lo"), F.max(F.coalesce("root", "fid")).alias("hi"))
-        post = settled(post.join(of.filter("lo < hi").select("t", "k"), ["t", "k"], "left_semi"), "wide_mixed")
-        made.append(post)
     sure = found(post, own, max_bits, place, "wide_sure")
     discard(*made)
     return sure if first is None else sure.union(first)
