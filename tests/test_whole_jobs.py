@@ -23,3 +23,8 @@ def test_files_out_of_order_raise(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "sorted_files", lambda df, path, key, files: df.write.parquet(path))
     with pytest.raises(Exception, match="not sorted"):
         sinks.verified_rows(rows, str(tmp_path / "s"), "k", 2).collect()
+
+
+def test_every_day_has_its_file(spark):
+    want = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ds"))
+    assert sorted(QUERIES["snk_daily_csv"](spark, SF).select("o_orderkey", "ds").collect()) == sorted(want.collect())
