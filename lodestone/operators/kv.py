@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.order import pieces
 from lodestone.operators.rangedel import range_deleted  # noqa: F401  one of the log's reads
 
 KEY = ["cf", "key"]
@@ -172,7 +173,7 @@ def batch_survivors(ops: DataFrame, batch: list[str], at: list[str], kind: str =
     order = Window.partitionBy(*batch).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col(kind) == "save", 1).when(F.col(kind).isin("rollback", "pop"), -1).otherwise(0)
-    d = ops.withColumn("_d", F.sum(step).over(order))
+    d = ops.repartition(pieces(ops), *batch).withColumn("_d", F.sum(step).over(order))
     d = d.withColumn("_low", F.least(F.lit(0), F.coalesce(F.min("_d").over(before), F.lit(0))))
     taker = F.col(kind).isin("rollback", "pop") & (F.col("_d") >= F.col("_low"))  # else the stack is empty here
     depth = F.when(F.col(kind) == "save", F.col("_d") - F.col("_low")).when(taker, F.col("_d") - F.col("_low") + 1)

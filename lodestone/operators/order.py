@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from lodestone.sources import scratch
 
 
+def pieces(rows: DataFrame, most: int = 1_000_000) -> int:
+    """Into how many partitions rows go, so that a task's share does not grow with them."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+
+
 def numbered(rows: DataFrame, by: list[str | Column], group: list[str] | None = None, name: str = "place", total: str | None = None) -> DataFrame:
     """Rows with their place (from 0) in the order `by` within their group, and if asked for the group's number of rows.
 
@@ -20,7 +25,7 @@ def numbered(rows: DataFrame, by: list[str | Column], group: list[str] | None =
     group = group or []
     keys = [F.col(g) for g in group] + [F.col(b) if isinstance(b, str) else b for b in by]
     at = scratch.path(rows.sparkSession, "ordered")
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
+    rows.repartitionByRange(pieces(rows), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
     placed = rows.sparkSession.read.parquet(at).withColumn("_range", F.shiftright("_at", 33))
     sizes = placed.groupBy("_range", *group).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each range

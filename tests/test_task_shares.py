@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import blockcache as bc
+from lodestone.operators import kv, order
 
 ACCESS = "block long, btype string, caller string, level long"
 
@@ -23,3 +24,17 @@ def test_summary_is_that_of_grouping_sets(spark, levels, most):
     assert bc.summary(acc.limit(0), most).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("Expand" in plan) == (most == 3)
+
+
+def test_places_have_partitions_by_rows(spark, monkeypatch):
+    rows = spark.range(4000).withColumn("id", F.col("id") * 7 % 4001)
+    assert order.pieces(rows) == 4 and order.pieces(rows, 100) == 40
+    few = order.pieces
+    monkeypatch.setattr(order, "pieces", lambda df: few(df, 100))
+    n = order.numbered(rows, ["id"])
+    assert [r.place for r in n.orderBy("id").collect()] == list(range(4000))
+    monkeypatch.setattr(kv, "pieces", lambda df: few(df, 100))
+    ops = spark.createDataFrame([(i % 50, i, ("put", "save", "put", "rollback", "put")[i // 50 % 5]) for i in range(500)], "b int, at int, type string")
+    out = kv.batch_survivors(ops, ["b"], ["at"])
+    assert sorted(r["at"] for r in out.collect()) == sorted(i for i in range(500) if i // 50 % 5 in (0, 4))
+    assert "hashpartitioning(b" in out._jdf.queryExecution().toString()
