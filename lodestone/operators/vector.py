@@ -52,8 +52,9 @@ def _matrix(b: pa.RecordBatch, name: str = "v") -> np.ndarray:
     return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
 
-def _search(dealt: DataFrame, k: int, batch: int = 1024) -> DataFrame:
-    """(query_id, vec_id, dist) from rows (block, side, row, id, v): side 0 is held, side 1 asks."""
+def _search(dealt: DataFrame, k: int, batch: int = 1024, pairs: int = 1 << 19) -> DataFrame:
+    """(query_id, vec_id, dist) from rows (block, side, row, id, v): side 0 is held, side 1 asks. Of `pairs` of the two the
+    distances are held at once, or of one query and all that is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -94,7 +95,9 @@ def _search(dealt: DataFrame, k: int, batch: int = 1024) -> DataFrame:
                         if ready is None:
                             r, i, x = (np.concatenate(c) for c in zip(*held, strict=True))
                             ready, held = (r, i, x, (x * x).sum(axis=1)), []
-                        yield ask(row, ids, v)
+                        few = max(1, pairs // len(ready[0]))
+                        for j in range(0, len(row), few):
+                            yield ask(row[j : j + few], ids[j : j + few], v[j : j + few])
 
     met = dealt.repartition("block").sortWithinPartitions("block", "side").mapInArrow(run, "query_row long, query_id long, vec_id long, dist double")
     w = Window.partitionBy("query_row").orderBy("dist", "vec_id")

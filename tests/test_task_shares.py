@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import blockcache as bc
-from lodestone.operators import kv, order
+from lodestone.operators import kv, order, vector
 
 ACCESS = "block long, btype string, caller string, level long"
 
@@ -38,3 +39,15 @@ def test_places_have_partitions_by_rows(spark, monkeypatch):
     out = kv.batch_survivors(ops, ["b"], ["at"])
     assert sorted(r["at"] for r in out.collect()) == sorted(i for i in range(500) if i // 50 % 5 in (0, 4))
     assert "hashpartitioning(b" in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("pairs", [1, 50])
+def test_search_holds_few_pairs(spark, pairs):
+    rng = np.random.default_rng(pairs)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 3, (70, 4)))]
+    rows = vector.numbered(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    dealt = rows.select(F.lit(0).cast("long").alias("block"), F.lit(0).alias("side"), "row", "id", "v")
+    asks = rows.filter("id % 5 = 0").select(F.lit(0).cast("long").alias("block"), F.lit(1).alias("side"), "row", "id", "v")
+    got = vector._search(dealt.unionByName(asks), 3, pairs=pairs).collect()
+    want = vector.knn(rows, rows.filter("id % 5 = 0"), 3).collect()
+    assert sorted(got) == sorted(want) and len(got) == 42
