@@ -336,4 +336,7 @@ def _(t):
 @query("src_sst", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(t):
     """Sorted files read back row by row: all rows are there, each file in order, and files apart."""
-    return sinks.verified_rows(t("orders").select("o_orderkey", "o_totalprice"), path(t.spark, "sorted"), "o_orderkey", 4)
+    from lodestone.operators.order import pieces
+
+    o = t("orders").select("o_orderkey", "o_totalprice")
+    return sinks.verified_rows(o, path(t.spark, "sorted"), "o_orderkey", pieces(o))
