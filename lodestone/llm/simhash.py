@@ -440,7 +440,7 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
 
     def found(some: DataFrame, own: DataFrame, bits: int, once: np.ndarray | None, label: str) -> DataFrame:
         near = settled(_members(_units(some, own, cap), bits, shared, once), "wide_near")
-        texts = settled(texts_of(near.select("fid").distinct()).join(own, "fid"), "wide_texts")
+        texts = settled(texts_of(near.select("fid")).join(own, "fid"), "wide_texts")
         out = settled(_verified(_in_order(near.join(texts, "fid")), bits, shared, once, width, least), label)
         discard(near, texts)
         return out
@@ -457,6 +457,21 @@ def similar_links(fps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], wi
     return sure if first is None else sure.union(first)
 
 
+def _picked(rows: DataFrame, row: str, picks: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows whose number (column row of both, 0 or more) is in picks.
+
+    Rows carry whole texts and stay where they are: the numbers come to them as bits, 64 to a word, if these are at most
+    `most` words, a number and a bit mask each; only beyond that rows are dealt by their number.
+    """
+    word, bits = (fresh(c, rows.columns) for c in ("word", "bits"))
+    masks = picks.groupBy(F.shiftright(row, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{row}` & 63 AS int)))").alias(bits))
+    masks = settled(masks, "wide_picks")
+    if masks.count() > most:
+        return rows.join(picks, row, "left_semi").select(*[f"`{c}`" for c in rows.columns])
+    met = rows.join(F.broadcast(masks), F.shiftright(row, 6) == F.col(word))
+    return met.filter(F.expr(f"getbit(`{bits}`, cast(`{row}` & 63 AS int)) = 1")).select(*[f"`{c}`" for c in rows.columns])
+
+
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits: int = 110, cap: int = 1024, size: int | None = None) -> DataFrame:
     """The rows of docs, all columns, that come first in their class of similar texts: smallest doc_id, nulls last.
 
@@ -479,9 +494,9 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, max_bits:
     one = settled(one.select(F.col("o.row").alias("fid"), "fp", "o"), "wide_fps")  # a fingerprint's number is its first row
 
     def texts_of(fids: DataFrame) -> DataFrame:  # one text stands for a fingerprint: that of its first row
-        return fids.join(rows.select(F.col(row).alias("fid"), "text"), "fid").select("fid", "text")
+        return _picked(rows.select(F.col(row).alias("fid"), "text"), "fid", fids)
 
     sure = similar_links(one.select("fid", "fp"), texts_of, width, least, max_bits, cap=cap, size=size)
     classes = components(sure, "wide_cc").select(F.col("node").alias("fid"), "root")
     best = one.join(classes, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.row").alias(row))
-    return rows.join(best, row, "left_semi").select(*[f"`{c}`" for c in names])
+    return _picked(rows, row, best).select(*[f"`{c}`" for c in names])

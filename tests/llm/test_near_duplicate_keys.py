@@ -86,3 +86,26 @@ def test_every_fingerprint_is_a_class_of_its_own(spark):
     """Texts without a common word stay, however their fingerprints hash."""
     texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(500)]
     assert simhash.first_of_each(spark.createDataFrame(list(enumerate(texts)), DOC)).count() == 500
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_rows_are_picked_by_number_as_bits_or_dealt(spark, most):
+    rnd = random.Random(5)
+    numbers = [part << 33 | at for part in range(3) for at in range(200)]
+    rows = spark.createDataFrame([(n, f"t{n}", n % 7) for n in numbers], "row long, text string, word long")
+    some = rnd.sample(numbers, 90)
+    picks = spark.createDataFrame([(n,) for n in [*some, *some[:9], 7 << 33]], "row long")  # one twice, one of no row
+    got = simhash._picked(rows, "row", picks, most)
+    assert got.columns == rows.columns and sorted(r.row for r in got.collect()) == sorted(some)
+    assert simhash._picked(rows, "row", picks.limit(0), most).count() == 0
+
+
+def test_whole_texts_are_not_shuffled_to_pick_the_first(spark):
+    docs = spark.createDataFrame(list(enumerate(variants(6, 10, 4))), DOC)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        plan = simhash.first_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "hashpartitioning" not in plan and "text" in plan
