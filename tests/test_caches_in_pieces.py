@@ -4,6 +4,7 @@ import pickle
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.operators import blockcache as bc
 
@@ -28,6 +29,12 @@ def test_a_piece_is_a_part_of_the_trace(spark):
     assert bc.simulate(spark.createDataFrame(_rows(0, 4), ACCESS), [("lru", 9)]).collect() == []
 
 
+def test_a_task_writes_one_piece(spark):
+    rows, n = bc._cut(spark.createDataFrame(_rows(1600, 6), ACCESS), 100, 1024, ["block"])
+    of = bc._by_chunk(rows, n).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("chunk").alias("k")).collect()
+    assert n == len(of) == 16 and {r.k for r in of} == {1}
+
+
 def test_draws_are_those_of_the_generator():
     rnd, d, r = random.Random(1), bc._Draws(7), np.random.default_rng(7)
     for _ in range(1500):
