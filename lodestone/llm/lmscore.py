@@ -20,8 +20,10 @@ equally frequent tokens those of smaller hash are symbols first; an empty table
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -46,7 +48,7 @@ def blocks(docs: DataFrame, tokens: int = 1_500_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        known: dict[bytes, int] = {}
+        known: dict[bytes, int] = defaultdict(count().__next__)  # a new token gets the next place
         ids, held, seqs, size = [], [], [], 0
 
         def send() -> pa.RecordBatch:
@@ -65,16 +67,13 @@ def blocks(docs: DataFrame, tokens: int = 1_500_000) -> DataFrame:
             for i, hold, t in zip(b.column("row").to_pylist(), b.column("held").to_pylist(), utf8(b, "text"), strict=True):
                 words = t.lower().split()
                 words.append(END)
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
                 seqs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 held.append(hold)
                 size += len(words)
                 if size >= tokens:
                     yield send()
-                    known.clear()
+                    known = defaultdict(count().__next__)
                     ids, held, seqs, size = [], [], [], 0
         if seqs:
             yield send()

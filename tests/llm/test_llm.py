@@ -588,6 +588,45 @@ def test_gradient():
             assert abs((got[0] - got[1]) / 2e-5 - g[k][at]) < 1e-6
 
 
+def test_steps_cost_little_more_than_their_sums():
+    """A training step against the products and exponentials it cannot do without, in turn, so that the machine's speed does not count."""
+    rng = np.random.default_rng(3)
+    freq = 1e6 / np.arange(1, 1025)
+    d = [rng.choice(1024, 500, p=freq / freq.sum()).astype(np.uint16) for _ in range(205)]
+    p = gru.initial(freq, 32, 32)
+    h, u, s, o, x = (rng.standard_normal(n).astype(np.float32) for n in ((256, 32), (32, 96), (5120, 32), (32, 64), (5120, 64)))
+    wide = rng.standard_normal((5120, 96)).astype(np.float32)
+
+    def least():
+        for _ in range(20):
+            g = h @ u
+            g @ u.T
+            np.exp(g)
+        np.exp(s @ o)
+        s.T @ x, x @ o.T, s.T @ wide
+
+    ratio = []
+    for _ in range(7):
+        t = time.thread_time()
+        gru.train(p, d, 0, width=256)
+        own = time.thread_time() - t
+        t = time.thread_time()
+        for _ in range(20):
+            least()
+        ratio.append(own / (time.thread_time() - t))
+    assert sorted(ratio)[3] < 5
+
+
+def test_logits_that_exp_does_not_take():
+    """Far from their start, weights and biases still give finite probabilities that sum to one."""
+    rng = np.random.default_rng(4)
+    p = {k: 30 * rng.standard_normal(v.shape).astype(np.float32) for k, v in gru.initial(np.arange(16, 0, -1.0), 4, 4).items()}
+    one = np.array([gru.log_likelihood(p, [np.array([i], np.int32)], 0)[0] for i in range(16)])
+    assert np.isfinite(one).all() and abs(np.exp(one).sum() - 1) < 1e-4
+    _, g, _ = gru.gradient(p, *(rng.integers(0, 16, (6, 3)) for _ in range(2)), np.zeros((6, 3), bool), np.zeros((3, 4), np.float32))
+    assert all(np.isfinite(x).all() for x in g.values())
+
+
 def test_more_documents_are_better(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
