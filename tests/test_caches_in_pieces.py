@@ -4,6 +4,7 @@ import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import blockcache as bc
@@ -72,3 +73,36 @@ def test_sampled_caches_step_by_step():
                 cache.feed(rows[at : at + 700])
                 cache = pickle.loads(pickle.dumps(cache))
             assert cache.hits == _plain(rows, capacity, worth)
+
+
+def test_sampled_caches_that_hold_more_than_a_sample(monkeypatch):
+    rnd, calls, careful = random.Random(8), [], bc._Draws.__call__
+    monkeypatch.setattr(bc._Draws, "__call__", lambda self, n, k: calls.append(n) or careful(self, n, k))
+    rows = [(rnd.randint(0, 400), rnd.randint(1, 9)) for _ in range(9000)]
+    for name, worth in (("hyperbolic", lambda s, n, age, c: n / (age * s)), ("costclass", lambda s, n, age, c: (c + 1) / s)):
+        cache = bc.POLICIES[name](700)
+        for at in range(0, len(rows), 3700):
+            cache.feed(rows[at : at + 3700])
+            cache = pickle.loads(pickle.dumps(cache))
+        assert cache.hits == _plain(rows, 700, worth) and len(cache.cache) > 64
+    assert len(calls) < 500  # not one for each of some 12,000 evictions
+
+
+def test_parts_with_refused_numbers_are_fed_again():
+    rnd = random.Random(9)
+    rows = [(rnd.randint(0, 400), rnd.randint(1, 9), i, "F", i % 7) for i in range(6000)]
+    for name in ("hyperbolic", "costclass", "ts", "linucb"):
+        quick, careful = (bc.POLICIES[name](700) for _ in range(2))
+        fed = [r[: len(quick.fields)] for r in rows]
+        for c in (quick, careful):
+            c.draw.ahead = c.draw.rng.integers(0, 1 << 32, 60_000, np.uint32).astype(np.uint64)
+            c.draw.ahead[[100, 101, 40_000]] = 0  # zero is refused for all n but powers of two
+        quick.feed(fed)
+        careful.run(fed, lambda n, c=careful: c.draw(n, min(64, n)))
+        assert (quick.hits, quick.cache) == (careful.hits, careful.cache)
+
+
+def test_a_piece_is_dealt_in_packs(spark):
+    rows, n = bc._cut(spark.createDataFrame(_rows(1600, 7), ACCESS), 800, 1024, ["block", "btype"], True)
+    got = rows.orderBy("pos").collect()
+    assert n == 2 and len(got) < 2 * n + 2 and sum(pa.ipc.open_stream(r.rows).read_all().num_rows for r in got) == 1600
