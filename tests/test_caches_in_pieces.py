@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,96 @@ def test_a_piece_is_dealt_in_packs(spark):
     rows, n = bc._cut(spark.createDataFrame(_rows(1600, 7), ACCESS), 800, 1024, ["block", "btype"], True)
     got = rows.orderBy("pos").collect()
     assert n == 2 and len(got) < 2 * n + 2 and sum(pa.ipc.open_stream(r.rows).read_all().num_rows for r in got) == 1600
+
+
+def _plain_bandit(rows, capacity, choose, learn, sample=64):
+    """Hits and evictions of a bandit's cache step by step; it is told at once what it hears."""
+    rng, cache, names, gone, used, hits, evicted = np.random.default_rng(2), {}, [], {}, 0, 0, 0
+    for b, s, nth, btype, level in rows:
+        if b in cache:
+            hits += 1
+            cache[b] = cache.pop(b)[0], nth
+            continue
+        if b in gone:
+            learn(*gone.pop(b), 0.0)
+        x = np.array((1.0, zlib.crc32(btype.encode()) % 2, level / 8, min(1.0, s / capacity)))
+        while used + s > capacity:
+            arm, evicted = choose(x), evicted + 1
+            old = next(iter(cache))
+            if arm:
+                old = names[min(rng.integers(0, len(names), min(sample, len(names))).tolist(), key=lambda j: cache[names[j]][1])]
+            at, last = names.index(old), names.pop()
+            if at < len(names):
+                names[at] = last
+            used -= cache.pop(old)[0]
+            gone[old] = arm, x
+            if len(gone) > 64:
+                learn(*gone.pop(next(iter(gone))), 1.0)
+        cache[b] = s, nth
+        names.append(b)
+        used += s
+    return hits, evicted
+
+
+def _bandit_rows(n, blocks, seed):
+    rnd, met = random.Random(seed), {}
+    for _ in range(n):
+        b = int(rnd.paretovariate(0.5)) % blocks
+        met[b] = met.get(b, 0) + 1
+        yield b, rnd.randint(1, 9), met[b], rnd.choice("FO"), rnd.randint(1, 7)
+
+
+class _Counted:
+    """A generator that counts its draws of beta numbers."""
+
+    calls = 0
+
+    def __init__(self, rng):
+        self.rng, self.bit_generator = rng, rng.bit_generator
+
+    def __reduce__(self):
+        return _Counted, (self.rng,)
+
+    def beta(self, *args):
+        _Counted.calls += 1
+        return self.rng.beta(*args)
+
+
+def test_thompson_step_by_step():
+    for blocks, capacity in ((100, 150), (5000, 150), (5000, 700)):
+        rows, rng, win, loss, evicted = list(_bandit_rows(6000, blocks, 4)), np.random.default_rng(1), [1.0, 1.0], [1.0, 1.0], 0
+
+        def learn(arm, x, reward, win=win, loss=loss):
+            win[arm] += reward
+            loss[arm] += 1 - reward
+
+        hits, evicted = _plain_bandit(rows, capacity, lambda x, r=rng, w=win, o=loss: int(r.beta(w[1], o[1]) > r.beta(w[0], o[0])), learn)
+        cache, _Counted.calls = bc.POLICIES["ts"](capacity), 0
+        cache.arms = _Counted(cache.arms)
+        for at in range(0, len(rows), 2500):
+            cache.feed(rows[at : at + 2500])
+            cache = pickle.loads(pickle.dumps(cache))
+        assert (cache.hits, cache.win, cache.loss) == (hits, win, loss) and evicted > 500
+    assert _Counted.calls < evicted  # and not two for each, where blocks seldom come back
+
+
+def test_linucb_step_by_step():
+    for blocks, capacity in ((100, 150), (5000, 150), (5000, 700)):
+        rows, g, r = list(_bandit_rows(4000, blocks, 5)), [np.eye(4), np.eye(4)], [np.zeros(4), np.zeros(4)]
+
+        def bound(x, arm, g=g, r=r):
+            a = np.linalg.inv(g[arm])
+            return x @ a @ r[arm] + 0.2 * np.sqrt(x @ a @ x)
+
+        def learn(arm, x, reward, g=g, r=r):
+            g[arm] += np.outer(x, x)
+            r[arm] += reward * x
+
+        hits, evicted = _plain_bandit(rows, capacity, lambda x, f=bound: int(f(x, 1) > f(x, 0)), learn)
+        cache = bc.POLICIES["linucb"](capacity)
+        for at in range(0, len(rows), 1700):
+            cache.feed(rows[at : at + 1700])
+            cache = pickle.loads(pickle.dumps(cache))
+        assert cache.hits == hits and evicted > 300
+        for own, m, n in zip(cache.sums, g, r, strict=True):
+            assert np.allclose(own, np.r_[m[np.triu_indices(4)], n], rtol=1e-12)
